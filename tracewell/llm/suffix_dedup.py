@@ -40,7 +40,7 @@ from .shingles import _POWERS, mix
 
 LENGTH, GRAM = 400, 100
 _PLACE_BITS = 28  # of a position in a slice; the other bits of the order of anchors are the gram's hash
-_ANCHOR_SCHEMA = "d long, t long, h long, pos int, lo int, hi int"
+_ANCHOR_SCHEMA = "d long, t int, h long, at long"
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -88,8 +88,7 @@ def _anchors(length: int, gram: int):
             for first, texts in text_slices(batch.column(2)):
                 owner, h, pos, lo, hi = anchors_of(texts, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[first + owner]), pa.array(t[first + owner]), pa.array(h)] + [pa.array(x.astype(np.int32)) for x in (pos, lo, hi)],
-                    names=["d", "t", "h", "pos", "lo", "hi"],
+                    [pa.array(d[first + owner]), pa.array(t[first + owner]), pa.array(h), pa.array(pos << 20 | lo << 10 | hi)], names=["d", "t", "h", "at"]
                 )
 
     return run
@@ -102,8 +101,9 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
+_ZSTD = pa.Codec("zstd", compression_level=6)
 _HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("places", "<u4")])
-_PLACE = np.dtype([("d", "<i8"), ("t", "<i8"), ("pos", "<u4")])
+_PLACE = np.dtype([("d", "<i8"), ("t", "<i4"), ("pos", "<u4")])
 
 
 def encode_run(contexts: dict[tuple[bytes, bytes], list[tuple[int, int, int]]]) -> bytes:
@@ -118,7 +118,7 @@ def encode_run(contexts: dict[tuple[bytes, bytes], list[tuple[int, int, int]]])
         before = right
     places = np.array([x for key in keys for x in contexts[key]], dtype=_PLACE)
     body = head.tobytes() + b"".join(rests) + b"".join(left for _, left in keys) + places.tobytes()
-    return len(keys).to_bytes(4, "little") + len(body).to_bytes(4, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(keys).to_bytes(4, "little") + len(body).to_bytes(4, "little") + _ZSTD.compress(body, asbytes=True)
 
 
 class Run:
@@ -236,7 +236,7 @@ def repeats(lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, hi: np.ndarray,
     return low, high
 
 
-def _runs(length: int, buckets: int, flush: int = 32 << 20):
+def _runs(text_col: str, length: int, buckets: int, flush: int = 32 << 20):
     """Sorted front-coded runs for each bucket, of the contexts of the surviving anchors of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +248,10 @@ def _runs(length: int, buckets: int, flush: int = 32 << 20):
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([encode_run(parts[b]) for b in names], pa.binary())], names=["bucket", "run"])
 
         for batch in batches:
-            for d, t, text, rows in zip(*(batch.column(i) for i in range(3)), batch.column(3), strict=True):
+            for d, t, text, rows in zip(*(batch.column(k) for k in ("_d", "_t", text_col, "_a")), strict=True):
                 d, t, text = d.as_py(), t.as_py(), text.as_py().encode()
-                s = rows.values
-                for h, pos, lo, hi in zip(*(s.field(k).to_pylist() for k in ("h", "pos", "lo", "hi")), strict=True):
+                for h, at in zip(*(rows.values.field(k).to_pylist() for k in ("h", "at")), strict=True):
+                    pos, lo, hi = at >> 20, at >> 10 & 1023, at & 1023
                     key = (text[pos : pos + length - lo], text[pos - hi : pos][::-1])
                     part = parts.setdefault((h ^ (h >> 32)) % buckets, {})
                     places = part.get(key)
@@ -287,7 +287,7 @@ def _merge(length: int):
         low, high = np.repeat(back_low, counts), np.repeat(back_high, counts)
         hit = high >= 0
         pos = places["pos"].astype(np.int64)
-        return pd.DataFrame({"d": places["d"][hit], "t": places["t"][hit], "begin": (pos - high)[hit], "end": (pos - low + length)[hit]})
+        return pd.DataFrame({"_d": places["d"][hit], "_t": places["t"][hit], "begin": (pos - high)[hit], "end": (pos - low + length)[hit]})
 
     return run
 
@@ -325,20 +325,18 @@ def _erase_column():
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with `kept` (binary: the bytes that remain), `n_removed` and `spans` (of the bytes removed, in order)."""
+    if not 0 < gram <= length < 1024:
+        raise ValueError("gram and length must fit")
     spark = docs.sparkSession
     docs = docs.drop("kept", "n_removed", "spans")
-    keyed = docs.withColumns({
-        "_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
-        "_t": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-        "_x": F.coalesce(F.col(text_col), F.lit("")),
-    })
-    plain = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col("_x").alias("x"))
-    anchors = materialize(plain.filter(F.octet_length("x") >= length).mapInArrow(_anchors(length, gram), _ANCHOR_SCHEMA), "anchors")
-    often = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    rows = anchors.join(often, "h", "left_semi").groupBy("d", "t").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("a"))
-    contexts = plain.join(rows, ["d", "t"]).select("d", "t", "x", "a")
-    runs = contexts.mapInArrow(_runs(length, partitions_for(spark)), "bucket int, run binary")
-    found = materialize(runs.groupBy("bucket").applyInPandas(_merge(length), "d long, t long, begin long, end long"), "stretches")
-    found = found.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("begin", "end")).alias("_f"))
-    out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column()("_x", "_f"))
+    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_t": F.hash(text_col)})
+    plain = keyed.filter(F.octet_length(text_col) >= length).select("_d", "_t", text_col)
+    anchors = materialize(plain.mapInArrow(_anchors(length, gram), _ANCHOR_SCHEMA), "anchors")
+    often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "grams")
+    rows = anchors.join(often, "h", "left_semi").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "at")).alias("_a"))
+    # Both joins with the texts use all columns, so that the texts are exchanged once.
+    runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, length, partitions_for(spark)), "bucket int, run binary")
+    found = runs.groupBy("bucket").applyInPandas(_merge(length), "_d long, _t int, begin long, end long")
+    found = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("begin", "end")).alias("_f"))
+    out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column()(text_col, "_f"))
     return out.select(*[F.col(c) for c in docs.columns], F.col("_r.kept").alias("kept"), F.col("_r.n_removed").alias("n_removed"), F.col("_r.spans").alias("spans"))
