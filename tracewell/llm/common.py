@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Text of at most so many bytes, and so many rows, are worked on at once in a Python worker.
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1000
@@ -18,6 +20,7 @@ _local_scratch: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,23 +3,85 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, suffix_dedup
-from .common import table
+from . import byte_bpe, exact_topk, jaccard, lang_id, main_text, packing, suffix_dedup, token_counts, toxicity, transport_stream
+from .common import digest_bucket, table
+from .vocab import byte_ranks, multi_path, pretoken_pattern
+
+VOCABULARY = "byte_bpe_multi_50k"
+
+
+def _n_bytes(text: str = "text"):
+    return F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = digest_bucket(F.col("doc_id"), 5) != 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train)
+    scored = docs.select("doc_id", (~train).alias("held_out"), toxicity.score_column(model, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op2_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", transport_stream.digest_column("text").alias("m"))
+    return docs.select("doc_id", "m.*")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@lru_cache(maxsize=2)
+def _longest_match(path: str) -> token_counts.LongestMatch:
+    return token_counts.LongestMatch(list(byte_ranks(path)))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = token_counts.count_column(_longest_match(multi_path()), "text", VOCABULARY)
+    return table(spark, sf_dir, "documents").select("doc_id", count.alias("c")).select("doc_id", "c.n_words", "c.n_tokens")
+
+
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    train = digest_bucket(F.col("doc_id"), 4) != 2
+    model = lang_id.fit(docs, train)
+    found = docs.select("doc_id", (~train).alias("held_out"), lang_id.language_column(model, "text").alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@lru_cache(maxsize=2)
+def _codec(path: str) -> byte_bpe.ByteBpe:
+    return byte_bpe.ByteBpe(byte_ranks(path), pretoken_pattern())
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = byte_bpe.round_trip_column(_codec(multi_path()), "text", VOCABULARY)
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("b")).select("doc_id", "b.n_tokens", "b.ids_sha256", "b.decoded_sha256")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text.main_text_column("html").alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select(
         "doc_id",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        _n_bytes().alias("n_bytes"),
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
@@ -27,8 +89,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_jaccard_join, op10_suffix_dedup)}
+    found = (op1_toxicity, op2_media_ts, op3_exact_topk, op4_packing, op5_token_counts, op6_lang_id, op7_byte_bpe, op8_jaccard_join, op9_main_text, op10_suffix_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_exact_topk": """
+            with v as (
+                select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+                from embeddings
+                where vec_id is not null and len(embedding) > 0
+                  and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+            scored as (
+                select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) as score
+                from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+            ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+            select query_id, rank, vec_id, score from ranked where rank <= 5
+        """
+    }
