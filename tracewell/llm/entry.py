@@ -97,12 +97,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_topk": """
             with v as (
-                select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+                select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
                 from embeddings
                 where vec_id is not null and len(embedding) > 0
-                  and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+                  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
             scored as (
-                select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) as score
+                select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
                 from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
             ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
             select query_id, rank, vec_id, score from ranked where rank <= 5
