@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import jaccard, lang_id, packing, suffix_dedup, toxicity
@@ -33,9 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
-@F.arrow_udf("string")
-def _whole_characters(kept: pa.Array) -> pa.Array:
-    return pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in kept], pa.string())
+def _whole_characters(kept: str) -> Column:
+    @F.arrow_udf("string")
+    def decoded(values: pa.Array) -> pa.Array:
+        return pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in values], pa.string())
+
+    return decoded(kept)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
