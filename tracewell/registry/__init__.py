@@ -6,6 +6,6 @@ from .data import Registered
 
 
 def registered() -> dict[str, Registered]:
-    from . import groups, series
+    from . import groups, lines, series
 
-    return {**groups.QUERIES, **series.QUERIES}
+    return {**groups.QUERIES, **lines.QUERIES, **series.QUERIES}
