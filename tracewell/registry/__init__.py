@@ -6,6 +6,6 @@ from .data import Registered
 
 
 def registered() -> dict[str, Registered]:
-    from . import groups, lines, plans, series
+    from . import groups, lines, plans, series, sinks, sqltext
 
-    return {**groups.QUERIES, **lines.QUERIES, **plans.QUERIES, **series.QUERIES}
+    return {**groups.QUERIES, **lines.QUERIES, **plans.QUERIES, **series.QUERIES, **sinks.QUERIES, **sqltext.QUERIES}
