@@ -122,6 +122,39 @@ def node_findings(nodes: DataFrame, thresholds: Thresholds, work_mem_kb: int = 4
     return rows.select(n.PLAN, "node_id", "f.*")
 
 
+def _counter(text: Column, group: str, key: str) -> Column:
+    """A count such as read of `shared hit=8 read=2, temp written=1`; 0 if absent."""
+    return F.coalesce(F.regexp_extract(text, rf"{group}(?: \w+=\d+)*? {key}=(\d+)", 1).try_cast("bigint"), F.lit(0))
+
+
+def buffer_findings(nodes: DataFrame) -> DataFrame:
+    """(plan_id, node_id, analyzer, rule, severity) of spills, disk reads and WAL. A node's own count is its total minus its children's, at least 0."""
+    buffers, wal = _prop("Buffers"), _prop("WAL")
+    counts = {"temp_read": _counter(buffers, "temp", "read"), "temp_written": _counter(buffers, "temp", "written"), "shared_read": _counter(buffers, "shared", "read"), "local_read": _counter(buffers, "local", "read"), "wal": _counter(F.concat(F.lit("wal "), wal), "wal", "bytes")}
+    counts = {k: F.coalesce(v, F.lit(0)) for k, v in counts.items()}
+    rows = n.with_children(nodes.withColumns(counts), *counts)
+    own = lambda k: F.greatest(F.col(k) - F.col(f"child_{k}"), F.lit(0))
+    temp, read, written = own("temp_read") + own("temp_written"), own("shared_read") + own("local_read"), own("wal")
+    mb = lambda blocks: blocks * 8192 / 1e6
+    rules = [
+        ("temp_spill", F.when(temp >= 1, F.when(mb(temp) >= 100, "Critical").when(mb(temp) >= 10, "High").when(mb(temp) >= 1, "Medium").otherwise("Low"))),
+        ("disk_reads", F.when(read >= 1024, F.when(mb(read) >= 512, "High").when(mb(read) >= 64, "Medium").otherwise("Low"))),
+        ("wal", F.when(written >= 1_048_576, F.when(written >= 64e6, "High").when(written >= 8e6, "Medium").otherwise("Low"))),
+    ]
+    fired = F.filter(F.array(*[F.struct(F.lit("BufferWal").alias("analyzer"), F.lit(r).alias("rule"), s.alias("severity")) for r, s in rules]), lambda x: x.severity.isNotNull())
+    return rows.select(n.PLAN, "node_id", F.explode(fired).alias("f")).select(n.PLAN, "node_id", "f.*")
+
+
+def missed_parallelism(nodes: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """Large scans, joins and aggregates that run without workers; not part of the default set."""
+    rows, cost = classify(F.col("est_rows"), *thresholds.rows), classify(F.col("total_cost"), *thresholds.cost)
+    worst = F.when(rank(rows) >= rank(cost), rows).otherwise(cost)
+    parallel = _prop("Workers Planned").isNotNull() | _prop("Workers Launched").isNotNull() | F.col("kind").rlike("Parallel|Gather")
+    able = (F.col("category").isin("scan", "aggregate")) | F.col("kind").isin("HashJoin", "MergeJoin")
+    out = nodes.filter(~parallel & able & (rank(worst) >= 3))
+    return out.select(n.PLAN, "node_id", F.lit("Parallelization").alias("analyzer"), F.lit("missed").alias("rule"), worst.alias("severity"))
+
+
 def plan_findings(nodes: DataFrame) -> DataFrame:
     """(plan_id, node_id null or the node meant, analyzer, rule, severity) of the plan-level rules."""
     c = F.col
@@ -149,7 +182,7 @@ def plan_findings(nodes: DataFrame) -> DataFrame:
 
 
 def all_findings(nodes: DataFrame, thresholds: Thresholds, work_mem_kb: int = 4096) -> DataFrame:
-    return node_findings(nodes, thresholds, work_mem_kb).unionByName(plan_findings(nodes))
+    return node_findings(nodes, thresholds, work_mem_kb).unionByName(buffer_findings(nodes)).unionByName(plan_findings(nodes))
 
 
 def assessment(critical: Column, high: Column, medium: Column) -> Column:

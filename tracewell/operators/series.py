@@ -7,11 +7,16 @@ spread over as many tasks as it has hours.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "fingerprint"
+# Percent of change that bound the classes, half against half and baseline against the rest.
 MINOR, SIGNIFICANT, CRITICAL = 5.0, 20.0, 50.0
+BASE_MINOR, BASE_SIGNIFICANT, BASE_CRITICAL = 10.0, 25.0, 50.0
 
 
 def ranked(executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame:
@@ -167,8 +172,8 @@ def baseline_split(rows: DataFrame, key: str = KEY) -> DataFrame:
     sa, sb = F.col("_va") / F.col("_na"), F.col("_vb") / F.col("_nb")
     t = (F.col("_a") - F.col("_b")) / F.sqrt(sa + sb)
     df = (sa + sb) * (sa + sb) / (sa * sa / (F.col("_na") - 1) + sb * sb / (F.col("_nb") - 1))
-    severity = F.when(change >= CRITICAL, "Critical").when(change >= SIGNIFICANT, "High").when(change > MINOR, "Medium")
-    status = F.when(change >= CRITICAL, "Critical").when(change > MINOR, "Significant").otherwise("None")
+    severity = F.when(change >= BASE_CRITICAL, "Critical").when(change >= BASE_SIGNIFICANT, "High").when(change > BASE_MINOR, "Medium")
+    status = F.when(change >= BASE_CRITICAL, "Critical").when(change > BASE_MINOR, "Significant").otherwise("None")
     return out.select(
         key, F.round("_a", 6).alias("baseline_ms"), F.round("_b", 6).alias("current_ms"), F.round(change, 6).alias("change_pct"), severity.alias("severity"), status.alias("status"),
         F.round(t, 6).alias("welch_t"), F.round(df, 4).alias("welch_df"),
@@ -182,3 +187,71 @@ def correlation(executions: DataFrame, x: str, y: str, key: str = KEY) -> DataFr
     a = F.abs("_r")
     name = F.when(a < 0.3, "VeryWeak").when(a < 0.5, "Weak").when(a < 0.7, "Moderate").when(a < 0.9, "Strong").otherwise("VeryStrong")
     return out.select(key, "n", F.round("_r", 6).alias("r"), name.alias("strength"))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), tiny) * (1 if 1 - (a + b) * x / (a + 1) >= 0 else -1)
+    h = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return h
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t."""
+    if not (math.isfinite(t) and df > 0):
+        return 1.0 if not math.isinf(t) else 0.0
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if x > 0 else 0.0
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def p_value_column(t: Column | str, df: Column | str) -> Column:
+    """student_p over columns; groups are few, so this runs on one row a group."""
+
+    @F.arrow_udf("double")
+    def p(ts: pa.Array, dfs: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else student_p(x, y) for x, y in zip(ts.to_pylist(), dfs.to_pylist(), strict=True)], pa.float64())
+
+    return p(t, df)
+
+
+def shape(skewness: Column, kurtosis: Column) -> Column:
+    return F.when((F.abs(skewness) < 0.5) & (F.abs(kurtosis) < 0.5), "Normal").when(skewness > 1.0, "LogNormal").when(kurtosis < -1.0, "Uniform").otherwise("Unknown")
+
+
+def regression_report(executions: DataFrame, value: str = "duration_ms", key: str = KEY, detector_points: int = 30) -> DataFrame:
+    """One row a fingerprint of at least 3 points: which engine judged it, status, change, trend, significance, shape, anomalies, confidence, recommendations.
+
+    Series shorter than `detector_points` are judged half against half; the others by the first three quarters against the rest.
+    """
+    rows = ranked(executions, value, key)
+    basic = basic_regression(rows, key).select(key, "n", F.col("status").alias("_bs"), F.col("change_pct").alias("_bc"))
+    split = baseline_split(rows, key).select(key, "status", "change_pct", "severity", "welch_t", "welch_df")
+    shapes = distribution(executions, value, key).select(key, "skewness", "kurtosis", "jarque_bera")
+    odd = modified_z(executions, 3.5, value, key).groupBy(key).agg(F.count("*").alias("anomalies"))
+    out = basic.join(split, key).join(trend(rows, key), key).join(shapes, key).join(odd, key, "left").withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
+    full = F.col("n") >= detector_points
+    out = out.withColumns({
+        "engine": F.when(full, "statistical").otherwise("basic"), "status": F.when(full, F.col("status")).otherwise(F.col("_bs")), "change_pct": F.when(full, F.col("change_pct")).otherwise(F.col("_bc")),
+        "severity": F.when(full, F.col("severity")), "shape": shape(F.col("skewness"), F.col("kurtosis")), "p_value": F.when(F.col("severity").isNotNull() & full, F.round(p_value_column("welch_t", "welch_df"), 9)),
+    })
+    score = F.when(F.col("n") >= 1000, 0.4).when(F.col("n") >= 500, 0.3).when(F.col("n") >= 100, 0.2).otherwise(0.1)
+    score = score + F.when(F.exp(-F.col("jarque_bera") / 2) <= 0.05, 0.2).otherwise(0.0) + F.when(F.col("shape") == "Normal", 0.2).otherwise(0.0) + F.when(F.col("anomalies") / F.col("n") < 0.05, 0.2).otherwise(0.0)
+    confidence = F.when(score >= 0.95, "VeryHigh").when(score >= 0.85, "High").when(score >= 0.70, "Medium").otherwise("Low")
+    advice = F.array_compact(F.array(
+        F.when(F.col("severity") == "Critical", "investigate").when(F.col("severity") == "High", "optimize").when(F.col("severity").isNotNull(), "monitor"),
+        F.when((F.col("trend") == "Degrading") & (F.col("strength") > 0.7), "investigate_trend"), F.when(F.col("anomalies") > 5, "investigate_variability"),
+    ))
+    return out.select(key, "n", "engine", "status", "change_pct", "severity", "p_value", "trend", "strength", "shape", "anomalies", confidence.alias("confidence"), F.array_join(advice, ",").alias("recommendations"))

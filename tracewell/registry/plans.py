@@ -191,4 +191,21 @@ QUERIES = {
             qualify row_number() over w <= 5""",
     ),
     "q2_18_5_one_analyzer": Registered(lambda s, d: rules.node_findings(plan_nodes(s, d), DEFAULT, analyzers=("Join",)), f"with {RULES} select * from f where analyzer = 'Join'"),
+    "q2_11_24_buffers": Registered(
+        lambda s, d: rules.buffer_findings(
+            plan_nodes(s, d).withColumn("props", F.create_map(F.lit("Buffers"), F.concat(F.lit("shared hit=5 read="), (F.col("est_rows") / 100).cast("bigint").cast("string"), F.lit(", temp read="), F.col("width").cast("string"), F.lit(" written=3")), F.lit("WAL"), F.concat(F.lit("records=1 bytes="), (F.col("est_rows") * 4).cast("string"))))
+        ),
+        f"""with {N}, x as (select *, cast(floor(est_rows / 100) as bigint) as sr, width as tr, 3 as tw, est_rows * 4 as wb from n),
+            k as (select plan_id, parent_id as node_id, sum(sr) as csr, sum(tr) as ctr, sum(tw) as ctw, sum(wb) as cwb from x where parent_id is not null group by all),
+            o as (select x.plan_id, x.node_id, greatest(tr - coalesce(ctr, 0), 0) + greatest(tw - coalesce(ctw, 0), 0) as t, greatest(sr - coalesce(csr, 0), 0) as r, greatest(wb - coalesce(cwb, 0), 0) as w
+                from x left join k on k.plan_id = x.plan_id and k.node_id = x.node_id)
+            select plan_id, node_id, 'BufferWal' as analyzer, 'temp_spill' as rule, case when t * 8192 / 1e6 >= 100 then 'Critical' when t * 8192 / 1e6 >= 10 then 'High' when t * 8192 / 1e6 >= 1 then 'Medium' else 'Low' end as severity from o where t >= 1
+            union all select plan_id, node_id, 'BufferWal', 'disk_reads', case when r * 8192 / 1e6 >= 512 then 'High' when r * 8192 / 1e6 >= 64 then 'Medium' else 'Low' end from o where r >= 1024
+            union all select plan_id, node_id, 'BufferWal', 'wal', case when w >= 64e6 then 'High' when w >= 8e6 then 'Medium' else 'Low' end from o where w >= 1048576""",
+    ),
+    "q2_11_39_missed_parallel": Registered(
+        lambda s, d: rules.missed_parallelism(plan_nodes(s, d), DEFAULT),
+        f"""with {N}, c as (select *, greatest({_ROWS}, {_COST}) as g from n) select plan_id, node_id, 'Parallelization' as analyzer, 'missed' as rule, {_SEV.format("g")} as severity
+            from c where g >= 2 and (category in ('scan', 'aggregate') or kind in ('HashJoin', 'MergeJoin'))""",
+    ),
 }

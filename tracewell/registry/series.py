@@ -70,8 +70,8 @@ QUERIES = {
         lambda s, d: x.baseline_split(_drift(s, d)),
         f"""with {R}, h as (select fingerprint, {BA} as a, {BB} as b, var_samp(y) filter ({_BASE}) as va, var_samp(y) filter (not ({_BASE})) as vb, count(*) filter ({_BASE}) as na, count(*) filter (not ({_BASE})) as nb from r group by fingerprint, n),
             c as (select *, (b - a) / a * 100 as p, va / na as sa, vb / nb as sb from h)
-            select fingerprint, round(a, 6) as baseline_ms, round(b, 6) as current_ms, round(p, 6) as change_pct, case when p >= 50 then 'Critical' when p >= 20 then 'High' when p > 5 then 'Medium' end as severity,
-            case when p >= 50 then 'Critical' when p > 5 then 'Significant' else 'None' end as status, round((a - b) / sqrt(sa + sb), 6) as welch_t,
+            select fingerprint, round(a, 6) as baseline_ms, round(b, 6) as current_ms, round(p, 6) as change_pct, case when p >= 50 then 'Critical' when p >= 25 then 'High' when p > 10 then 'Medium' end as severity,
+            case when p >= 50 then 'Critical' when p > 10 then 'Significant' else 'None' end as status, round((a - b) / sqrt(sa + sb), 6) as welch_t,
             round((sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)), 4) as welch_df from c""",
     ),
     "q2_9_27_quantiles_r6": Registered(
@@ -89,4 +89,16 @@ QUERIES = {
             , z as (select a.fingerprint, seq, duration_ms as value, 0.6745 * (duration_ms - a.q50) / d6.q50 as z from a join d6 using (fingerprint) where d6.q50 > 0)
             select fingerprint, seq, value, round(z, 6) as z, case when abs(z) > 4 then 'Spike' else 'Outlier' end as kind from z where abs(z) > 3.5""",
     ),
+    "q2_9_3_regression_report": Registered(
+        lambda s, d: x.regression_report(executions(s, d), "drift_ms").select("fingerprint", "n", "engine", "status", "severity", "trend", "shape", "anomalies", F.col("p_value") < 0.05).withColumnRenamed("(p_value < 0.05)", "significant"),
+        f"""with {R}, {Q6.format(v="y", src="r", cols=_r6(0.5))}, a as (select r.fingerprint, r.y, abs(y - q50) as a, q50 from r join q6 using (fingerprint)),
+            {Q6.format(v="a", src="a", cols=_r6(0.5)).replace("q6 as", "d6 as").replace("q as", "d as").replace("from q)", "from d)")}
+            , z as (select a.fingerprint, count(*) filter (abs(0.6745 * (y - a.q50) / d6.q50) > 3.5) as anomalies from a join d6 using (fingerprint) group by all),
+            h as (select fingerprint, n, {BA} as a, {BB} as b, skewness(y) as g1, kurtosis(y) as g2, stddev_samp(y) / avg(y) as cv, {A} as ha, {B} as hb from r group by fingerprint, n), c as (select *, (b - a) / a * 100 as p from h)
+            select fingerprint, n, 'statistical' as engine, case when p >= 50 then 'Critical' when p > 10 then 'Significant' else 'None' end as status,
+            case when p >= 50 then 'Critical' when p >= 25 then 'High' when p > 10 then 'Medium' end as severity,
+            case when abs(cv) > 0.5 then 'Volatile' when (hb - ha) / ha > 0.05 then 'Degrading' when (hb - ha) / ha < -0.05 then 'Improving' else 'Stable' end as trend,
+            case when abs(g1) < 0.5 and abs(g2) < 0.5 then 'Normal' when g1 > 1 then 'LogNormal' when g2 < -1 then 'Uniform' else 'Unknown' end as shape, anomalies,
+            case when p > 10 then true end as significant from c join z using (fingerprint)""",
+    ),
 }
