@@ -5,11 +5,18 @@ common, and sets that meet in a subset are linked without further comparison. La
 over the rarest fifth of each set (the prefix that any link must hit) are scanned, pairs pass size and parity-bitmap
 bounds, and the rest are verified on the whole sets. The boundary is the one of least estimated cost on the sizes at hand.
 
+Which shingles are rare: every set's lowest hashes are counted over the whole corpus first (COUNTED of the set, more than
+a prefix), and shingles in many sets go last in the order that prefixes are cut by.
+
+A parity bitmap has one bit for each residue of the shingles' hashes, the parity of how many fall there. Two bitmaps
+differ in no more bits than their sets differ in shingles, so too many different bits rule a link out exactly.
+
 What holds the work down when a large share of the rows are copies:
 * equal sets are one class, represented by the smallest id;
-* a map task forwards one entry of each list and class it holds, so a list never has more entries than tasks;
-* lists of more than `full_list` members first link neighbours only; pairs within a linked component are never made,
-  and the pairs that remain between components of such a list are then verified in full.
+* a map task forwards one entry of each list and class it holds;
+* lists of more than `full_list` members first link neighbours only; pairs within a linked component are never made.
+  What remains between components of such a list is compared by bitmaps in blocks of bounded size (a long list is cut
+  into chunks, and each pair of chunks is a block), and only the pairs that no bound excludes become rows.
 
 Links are never dropped: the result has the components of the complete link graph.
 
@@ -33,9 +40,11 @@ from .common import materialize, partitions_for, text_slices
 from .components import connected_components
 from .shingles import BITS, SLICE_DOCS, mix, shingle_sets
 
-#: A shingle found in so many different sets of one slice is counted as frequent; frequent shingles go last in the order
-#: that prefixes are cut by. The order holds at most FREQUENT shingles; it only affects speed, never links.
-LOCAL_FREQUENT, FREQUENT = 3, 1 << 18
+#: Shingles in at least OFTEN different sets count as frequent. The order holds at most FREQUENT of them, the most
+#: frequent ones: that bounds what is broadcast, and only affects speed, never links.
+OFTEN, FREQUENT = 24, 1 << 19
+COUNTED = 0.3
+CHUNK = 2000
 MAX_BOUNDARY = 12
 _SIGNED = np.int64
 
@@ -60,33 +69,96 @@ def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np
         yield values, bounds, np.diff(bounds), batch.column(0).slice(first, len(texts))
 
 
+def _bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity bitmaps, of at least two bits a shingle."""
+    sizes = np.diff(bounds)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(bits)))
+    at = np.repeat(first[:-1], sizes) + (values & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[i >> 3 : j >> 3] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _folded(bitmap: bytes, size: int) -> int:
+    """A bitmap cut down to `size` bytes: the upper half is added to the lower one, again and again."""
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = (int.from_bytes(bitmap[:half], "big") ^ int.from_bytes(bitmap[half:], "big")).to_bytes(half, "big")
+    return int.from_bytes(bitmap, "big")
+
+
+def _may_link(x: bytes, y: bytes, sizes: int, percent: int) -> bool:
+    """Whether bitmaps leave a link possible; sizes is the sum of both sets' sizes."""
+    n = min(len(x), len(y))
+    return (_folded(x, n) ^ _folded(y, n)).bit_count() * (100 + percent) <= (100 - percent) * sizes
+
+
 def _scan(width: int):
-    """Per document its set's size and digests; per slice the shingles that several of its different sets hold."""
+    """Per document its set's size, digests and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for values, bounds, sizes, ids in _sets_of(batch, width):
                 h1, h2 = _set_hash(values, bounds)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes), pa.array(h1), pa.array(h2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_SCAN
-                )
-                _, once = np.unique(h1, return_index=True)
-                chosen = np.zeros(n, bool)
-                chosen[once] = True
-                found, count = np.unique(values[np.repeat(chosen, sizes)], return_counts=True)
-                often = count >= LOCAL_FREQUENT
-                if often.any():
-                    k = int(often.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(k, pa.int64())] * 4 + [pa.array(found[often].view(_SIGNED)), pa.array(count[often])], names=_SCAN
-                    )
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(h1), pa.array(h2), pa.array(_bitmaps(values, bounds), pa.binary())], names=["id", "n", "h1", "h2", "bitmap"])
 
     return run
 
 
-_SCAN = ["id", "n", "h1", "h2", "token", "times"]
-_SCAN_SCHEMA = "id long, n long, h1 long, h2 long, token long, times long"
+_SCAN_SCHEMA = "id long, n long, h1 long, h2 long, bitmap binary"
+
+
+def _low_shingles(width: int, percent: int, least: int, share: float, buckets: int, flush: int = 4_000_000):
+    """The lowest shingles of the different sets of each task with their counts, as one block for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, seen = [], 0, set()
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            found, count = np.unique(np.concatenate(held), return_counts=True)
+            b = (mix(found) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(b, kind="stable")
+            found, count, b = found[order], count[order].astype(np.uint32), b[order]
+            cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(b[i]) for i, _ in spans], pa.int32()), pa.array([found[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([count[i:j].tobytes() for i, j in spans], pa.binary())],
+                names=["bucket", "found", "times"],
+            )
+
+        for batch in batches:
+            for values, bounds, sizes, _ in _sets_of(batch, width):
+                h1, h2 = _set_hash(values, bounds)
+                chosen = sizes >= least
+                for i in np.flatnonzero(chosen):
+                    key = (int(h1[i]), int(h2[i]))
+                    if key in seen:
+                        chosen[i] = False
+                    elif len(seen) < 1_000_000:
+                        seen.add(key)
+                take = np.where(chosen, np.ceil(sizes * share).astype(np.int64) + 1, 0)
+                place = np.arange(len(values)) - np.repeat(bounds[:-1], sizes)
+                low = values[place < np.repeat(np.minimum(take, sizes), sizes)]
+                held.append(low)
+                n += len(low)
+                if n >= flush:
+                    yield from blocks()
+                    held, n = [], 0
+        if n:
+            yield from blocks()
+
+    return run
+
+
+def _frequent(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    found = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["found"]])
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["times"]]).astype(np.int64)
+    order = np.argsort(found, kind="stable")
+    found, times = found[order], times[order]
+    cut = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.empty(0, np.int64)
+    total = np.add.reduceat(times, cut) if len(cut) else np.empty(0, np.int64)
+    often = total >= OFTEN
+    return pd.DataFrame({"token": found[cut][often].astype(np.int64), "w": total[often]})
 
 
 def _subsets(width: int, percent: int, boundary: int):
@@ -281,17 +353,74 @@ def _boundary(scan: DataFrame, percent: int, list_cost: float = 8.0) -> int:
     return best
 
 
+def _cross(percent: int):
+    """Pairs of one bucket of list chunks that lie in different components and that neither size nor bitmap excludes."""
+
+    def run(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for (_, i, j), group in frame.groupby(["token", "i", "j"], sort=False):
+            group = group.sort_values("size")
+            size, part, own, ids = (group[c].to_numpy() for c in ("size", "part", "chunk", "id"))
+            width = group["bitmap"].map(len).to_numpy()
+            # sets that can link differ by at most a quarter in size, so their bitmaps have the same or neighbouring widths
+            for w in np.unique(width):
+                x = np.flatnonzero(width == w)
+                bits_x = np.frombuffer(b"".join(group["bitmap"].iloc[x]), np.uint64).reshape(len(x), -1)
+                for w2 in (w, 2 * w):
+                    y = np.flatnonzero(width == w2)
+                    if not len(y):
+                        continue
+                    bits_y = np.frombuffer(b"".join(group["bitmap"].iloc[y]), np.uint64).reshape(len(y), -1)
+                    if w2 != w:
+                        half = bits_y.shape[1] // 2
+                        bits_y = bits_y[:, :half] ^ bits_y[:, half:]
+                    for lo in range(0, len(x), 64):
+                        r = x[lo : lo + 64]
+                        ok = part[r][:, None] != part[y][None, :]
+                        small, large = np.minimum(size[r][:, None], size[y][None, :]), np.maximum(size[r][:, None], size[y][None, :])
+                        ok &= small * 100 >= large * percent
+                        if w2 == w:
+                            ok &= r[:, None] < y[None, :]
+                        if i != j:
+                            ok &= own[r][:, None] != own[y][None, :]
+                        p, q = np.nonzero(ok)
+                        for at in range(0, len(p), 1 << 16):
+                            pp, qq = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                            apart = np.bitwise_count(bits_x[lo + pp] ^ bits_y[qq]).sum(1, dtype=np.int64)
+                            keep = apart * (100 + percent) <= (100 - percent) * (size[r[pp]] + size[y[qq]])
+                            out_a.append(ids[r[pp[keep]]])
+                            out_b.append(ids[y[qq[keep]]])
+        if not out_a:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _possible(percent: int):
+    @F.arrow_udf("boolean")
+    def possible(x: pa.Array, y: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array([_may_link(a, b, n, percent) for a, b, n in zip(x.to_pylist(), y.to_pylist(), sizes.to_pylist(), strict=True)], pa.bool_())
+
+    return possible
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, full_list: int = 16) -> tuple[DataFrame, DataFrame]:
     """(sets, edges): each row's set (id, n, h1, h2), and links between representatives that span every component of the link graph."""
     spark = docs.sparkSession
     pairs_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = materialize(pairs_in.mapInArrow(_scan(width), _SCAN_SCHEMA), "scan")
-    sets = scan.filter("token is null").select("id", "n", "h1", "h2")
-    top = scan.filter("token is not null").groupBy("token").agg(F.sum("times").alias("w")).orderBy(F.desc("w"), "token").limit(FREQUENT).toPandas()
-    top = top.sort_values("token")
-    frequent, weight = top["token"].to_numpy(np.int64).view(np.uint64), top["w"].to_numpy(np.int64)
+    sets = materialize(pairs_in.mapInArrow(_scan(width), _SCAN_SCHEMA), "sets")
     boundary = _boundary(sets, percent)
     buckets = partitions_for(spark)
+    # light sets large enough to link to a heavy one are listed too
+    least = max(1, _needed(boundary + 1, percent))
+    low = pairs_in.mapInArrow(_low_shingles(width, percent, least, COUNTED, buckets), "bucket int, found binary, times binary")
+    top = low.groupBy("bucket").applyInPandas(_frequent, "token long, w long").orderBy(F.desc("w"), "token").limit(FREQUENT).toPandas()
+    top["token"] = top["token"].astype(np.int64).astype(np.uint64)
+    top = top.sort_values("token")
+    frequent, weight = top["token"].to_numpy(), top["w"].to_numpy(np.int64)
 
     edges = []
     if boundary:
@@ -302,38 +431,44 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             .filter(f"id <> hub.id and 100 * c >= {percent} * (size + hub.size - c)")
             .select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
         )
-    # light sets large enough to link to a heavy one are listed too
-    least = max(1, _needed(boundary + 1, percent))
     blocks = pairs_in.mapInArrow(_prefixes(width, percent, least, frequent, weight, buckets), "bucket int, entries binary, owners binary")
     found = materialize(blocks.groupBy("bucket").applyInPandas(_pairs(percent, full_list), "a long, b long, token long, size long"), "pairs")
+    shapes = sets.filter("n > 0").select("id", "n", "bitmap").dropDuplicates(["id", "n"])
     first = found.filter("token = -1").select("a", "b").distinct()
+    first = first.join(shapes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), "a")
+    first = first.join(shapes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), "b")
+    first = materialize(first.filter(_possible(percent)("xa", "xb", F.col("na") + F.col("nb"))).select("a", "b").distinct(), "candidates")
+    long_lists = materialize(found.filter("token <> -1").select("token", F.col("a").alias("id"), "size").distinct(), "lists")
+
+    # the texts of all documents that may have to be verified, taken from the table once
+    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(long_lists.select("id")).distinct()
+    texts = materialize(pairs_in.join(ids, "id").dropDuplicates(["id", "text"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = materialize(pairs_in.join(ids, "id").dropDuplicates(["id", "text"]), "texts")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
 
     edges.append(verified(first))
-    long_lists = found.filter("token <> -1").select("token", F.col("a").alias("id"), "size").distinct()
     if long_lists.take(1):
-        # Different list members in different components: every such pair of fitting sizes is verified.
+        # Members of a list in different components: every pair that no bound excludes is verified.
         known = edges[0]
         for e in edges[1:]:
             known = known.unionByName(e)
         parts = connected_components(known.unionByName(_same_sets(sets)), "a", "b")
         placed = long_lists.join(parts, long_lists.id == parts.node, "left").select("token", "id", "size", F.coalesce("component", "id").alias("part"))
-        mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("token")
-        placed = materialize(placed.join(mixed, "token"), "placed")
-        x, y = placed.alias("x"), placed.alias("y")
-        rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")) & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent))
-        rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        edges.append(verified(rest))
+        mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("token", F.ceil(F.col("m") / CHUNK).alias("chunks"))
+        placed = placed.join(mixed, "token").join(shapes.select("id", F.col("n").alias("size"), "bitmap"), ["id", "size"])
+        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        dealt = dealt.select("token", F.least("k", "chunk").alias("i"), F.greatest("k", "chunk").alias("j"), "chunk", "id", "size", "part", "bitmap")
+        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * buckets)))
+        rest = dealt.groupBy("bucket").applyInPandas(_cross(percent), "a long, b long").distinct()
+        edges.append(verified(materialize(rest, "candidates")))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return sets, out
+    return sets.drop("bitmap"), out
 
 
 def _same_sets(sets: DataFrame) -> DataFrame:
