@@ -119,3 +119,36 @@ def test_boundaries(tmp_path):
     path.write_bytes(data[:200])
     assert tail.complete_part(str(path), end, flush=True)[0] == data[:200]
     assert tail.read_budget(3) == 8 * tail.BUDGET
+
+
+def test_byte_ranges(spark, tmp_path):
+    from tracewell.sources import ranges
+
+    ranges.register(spark)
+    path = tmp_path / "x.log"
+    path.write_bytes(LOG.encode())
+    read = lambda **o: spark.read.format("logrange").options(path=str(path), **o).load()
+    whole = [r.value for r in read(blockBytes=100).orderBy("place").collect()]
+    assert whole == LOG.rstrip("\n").split("\n")
+    assert logs.entries(read(blockBytes=64), "%m [%p] %u@%d ").count() == 3
+    at = LOG.encode().index(b"2025-06-12 00:00:18")
+    assert read(start=at).orderBy("place").first().value.startswith("2025-06-12 00:00:18")
+
+
+def test_presets():
+    from tracewell.operators.config import DEFAULT, for_workload
+
+    assert for_workload() == DEFAULT
+    assert for_workload("oltp", "large", "latency").cost[0] == 1000
+
+
+def test_engine_keeps_failures_apart(spark):
+    from tracewell.operators.engine import Engine
+    from tracewell.plans.parse import node_table
+
+    engine = Engine.default()
+    engine.add("Broken", lambda nodes: 1 / 0)
+    plans = spark.createDataFrame([(1, "Seq Scan on t  (cost=0.00..2000000.00 rows=20000000 width=8)")], "plan_id long, plan_text string")
+    report = engine.run(node_table(plans, "plan_text", "plan_id"))
+    assert report.outcomes["Broken"].startswith("failed") and report.summary()["failed"] == 1
+    assert ("Scan", "seq_scan", "Critical") in {(r.analyzer, r.rule, r.severity) for r in report.findings.collect()}

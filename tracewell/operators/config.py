@@ -1,20 +1,35 @@
-"""Thresholds of the analyzers and workload presets."""
+"""Thresholds of the analyzers, from a workload's kind, size and target."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+
+# Medium thresholds of rows, cost and duration (ms) by workload, and the factors of size and target.
+_BASES = {"oltp": (10_000.0, 1_000.0, 100.0), "olap": (1_000_000.0, 100_000.0, 10_000.0), "analytics": (500_000.0, 50_000.0, 5_000.0), "mixed": (100_000.0, 10_000.0, 1_000.0)}
+_SIZES = {"small": 0.1, "medium": 1.0, "large": 10.0, "very_large": 100.0}
+_TARGETS = {"latency": 0.1, "throughput": 2.0, "balanced": 1.0, "efficiency": 5.0}
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """(medium, high, critical) of estimated rows and of total cost."""
+    """(medium, high, critical) of estimated rows, total cost and duration in ms."""
 
     rows: tuple[float, float, float] = (100_000, 1_000_000, 10_000_000)
     cost: tuple[float, float, float] = (10_000, 100_000, 1_000_000)
+    duration_ms: tuple[float, float, float] = (1_000, 10_000, 100_000)
+
 
-    def scaled(self, factor: float) -> Thresholds:
-        return replace(self, rows=tuple(x * factor for x in self.rows), cost=tuple(x * factor for x in self.cost))
+def for_workload(workload: str = "mixed", size: str = "medium", target: str = "balanced") -> Thresholds:
+    """Thresholds of a workload; high and critical are 10 and 100 times medium."""
+    rows, cost, duration = _BASES[workload]
+    steps = lambda base: (base, base * 10, base * 100)
+    return Thresholds(steps(rows * _SIZES[size]), steps(cost * _SIZES[size] * _TARGETS[target]), steps(duration * _TARGETS[target]))
 
 
 DEFAULT = Thresholds()
-PRESETS = {"mixed": DEFAULT, "oltp": DEFAULT.scaled(0.1), "warehouse": DEFAULT.scaled(10), "development": DEFAULT.scaled(0.5)}
+PRESETS = {"oltp": for_workload("oltp", "large", "latency"), "warehouse": for_workload("olap", "very_large", "throughput"), "development": for_workload("mixed", "small", "balanced")}
+
+
+def regression_thresholds(workload: str = "mixed") -> tuple[float, float, float, float, int]:
+    """Minor, significant and critical change in percent, significance level, and points the statistical engine needs."""
+    return {"oltp": (5.0, 15.0, 30.0, 0.05, 20), "olap": (15.0, 35.0, 70.0, 0.01, 50), "analytics": (20.0, 40.0, 80.0, 0.01, 50), "mixed": (10.0, 25.0, 50.0, 0.05, 30)}[workload]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import engine, rules
 from ..operators.config import DEFAULT
 from ..plans import nodes as n
+from ..plans import properties as pr
 from ..plans.parse import node_table
 from .data import Registered, table
 
@@ -208,4 +209,29 @@ QUERIES = {
         f"""with {N}, c as (select *, greatest({_ROWS}, {_COST}) as g from n) select plan_id, node_id, 'Parallelization' as analyzer, 'missed' as rule, {_SEV.format("g")} as severity
             from c where g >= 2 and (category in ('scan', 'aggregate') or kind in ('HashJoin', 'MergeJoin'))""",
     ),
+    "q2_5_27_property_lists": Registered(
+        lambda s, d: s.createDataFrame([(1, "a DESC, b , c ASC", "count(x), f(y)"), (2, "x", "g(a), h(g(b))")], "id long, keys string, output string")
+        .select("id", pr.sort_keys(F.col("keys")).alias("k"), pr.group_keys(F.col("keys")).alias("g"), pr.aggregate_functions(F.col("output")).alias("f"))
+        .select("id", F.array_join(F.transform("k", lambda x: F.concat(x.expression, F.lit("/"), F.coalesce(x.direction, F.lit("-")))), "|").alias("sort_keys"), F.array_join("g", "|").alias("group_keys"), F.array_join("f", "|").alias("functions")),
+        "select * from (values (1::bigint, 'a/DESC|b/-|c/ASC', 'a DESC|b|c ASC', 'count'), (2::bigint, 'x/-', 'x', 'g|h')) v(id, sort_keys, group_keys, functions)",
+    ),
+    "q2_6_6_descriptions": Registered(
+        lambda s, d: _parsed(s, d).select("name", "node_id", pr.description().alias("label"), pr.table_or_fallback().alias("tbl"), pr.index_or_fallback().alias("idx"), pr.average_cost().alias("avg_cost"), F.round(pr.cost_span(), 6).alias("span")),
+        """select name, node_id::integer as node_id, label, tbl, idx, avg_cost::double as avg_cost, round(span::double, 6) as span from (values ('text', 1, 'Nested Loop Left Join', 'unknown_table', 'unknown_index', 2186.8, 4352.6),
+            ('text', 2, 'Index Scan using ix_a on s.lines', 's.lines', 'ix_a', 22.09, 43.34), ('text', 3, 'Materialize', 'unknown_table', 'unknown_index', 12.995, 7.77), ('text', 4, 'Sequential Scan on t', 't', 'no_index', 3.5, 7.0),
+            ('json', 1, 'Limit', 'unknown_table', 'unknown_index', 4.95, 9.1), ('json', 2, 'Index Scan using ix on s.t', 's.t', 'ix', 49.8, 99.4)) v(name, node_id, label, tbl, idx, avg_cost, span)""",
+    ),
+    "q2_6_31_scan_types": Registered(
+        lambda s, d: n.kind_counts(plan_nodes(s, d).filter("category in ('scan', 'join')").withColumn("database", F.concat(F.lit("db"), (F.col("plan_id") % 3).cast("string"))), "database", "category"),
+        f"with {N} select 'db' || plan_id % 3 as database, category, kind, count(*) as nodes from n where category in ('scan', 'join') group by all",
+    ),
+    "q2_6_32_render_plan": Registered(
+        lambda s, d: pr.render_plans(_parsed(s, d).filter("name = 'json'"), "name"),
+        """select 'json' as name, 'Limit  (cost=0.40..9.50 rows=10 width=8)' || chr(10) || '  -> Index Scan using ix on s.t  (cost=0.10..99.50 rows=500 width=8) (actual rows=13 loops=3)' as plan""",
+    ),
+    "q2_6_34_shortened": Registered(lambda s, d: s.range(118, 124).select("id", F.length(pr.shortened(F.repeat(F.lit("x"), F.col("id").cast("int")))).alias("n")), "select id::bigint as id, case when id > 120 then 120 else id end::integer as n from range(118, 124) r(id)"),
+    "q2_18_4_engine": Registered(
+        lambda s, d: engine.Engine.default().run(plan_nodes(s, d), lambda name: name in ("Scan", "Join")).findings.groupBy("analyzer", "rule", "severity").agg(F.count("*").alias("findings")),
+        f"with {RULES} select analyzer, rule, severity, count(*) as findings from f where analyzer in ('Scan', 'Join') group by all",
+    ),
 }
