@@ -1,4 +1,4 @@
-"""Sending the package to the executors."""
+"""What a session needs for this package's Python: the code on the executors, and batches of moderate size."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = 2000
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let executors import this package, wherever the driver has it: once a session, through Spark's own file server."""
+    """Let executors import this package, wherever the driver has it: once a session, through Spark's own file server.
+
+    Rows of text can be long, so Arrow batches left at Spark's default of 10,000 rows are cut to BATCH_ROWS.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
