@@ -59,6 +59,10 @@ QUERIES = {
     "q2_10_33_anti_patterns": Registered(
         lambda s, d: _known(s, d).select("id", F.explode(q.anti_patterns_column("sql")).alias("a")).select("id", "a.kind", "a.severity"),
         """select * from (values (0::bigint, 'SelectStar', 'Low'), (2, 'SelectStar', 'Low'), (5, 'FunctionWrappedPredicate', 'Medium'), (6, 'LeadingWildcardLike', 'Medium'), (7, 'UnionInsteadOfUnionAll', 'Low'),
-            (7, 'OffsetWithoutLimit', 'Medium'), (8, 'NotIn', 'High')) v(id, kind, severity)""",
+            (7, 'OffsetWithoutLimit', 'Medium'), (8, 'NotIn', 'High'), (3, 'CorrelatedSubquery', 'High')) v(id, kind, severity)""",
+    ),
+    "q2_3_25_format_sql": Registered(
+        lambda s, d: _known(s, d).filter("id in (1, 9)").select("id", q.format_column("sql").alias("sql")),
+        """select id::bigint as id, replace(sql, '|', chr(10)) as sql from (values (1, 'SELECT a, count(*)|FROM t|WHERE a IN (1, 2, 3)|  AND b = ''x''|GROUP BY a|HAVING count(*) > 5|ORDER BY a|LIMIT 10'), (9, 'NOT VALID SQL ;;; @@')) v(id, sql)""",
     ),
 }
