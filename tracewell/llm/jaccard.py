@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, text_slices
 from .components import connected_components
-from .shingles import BITS, SLICE_DOCS, mix, shingle_sets
+from .shingles import SLICE_DOCS, mix, shingle_sets
 
 #: Shingles in at least OFTEN different sets count as frequent. The order holds at most FREQUENT of them, the most
 #: frequent ones: that bounds what is broadcast, and only affects speed, never links.
@@ -435,18 +435,19 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     found = materialize(blocks.groupBy("bucket").applyInPandas(_pairs(percent, full_list), "a long, b long, token long, size long"), "pairs")
     shapes = sets.filter("n > 0").select("id", "n", "bitmap").dropDuplicates(["id", "n"])
     first = found.filter("token = -1").select("a", "b").distinct()
-    first = first.join(shapes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), "a")
-    first = first.join(shapes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), "b")
+    # tables that grow with the corpus are never broadcast, however small they are here: hence the hints
+    first = first.hint("merge").join(shapes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), "a")
+    first = first.hint("merge").join(shapes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), "b")
     first = materialize(first.filter(_possible(percent)("xa", "xb", F.col("na") + F.col("nb"))).select("a", "b").distinct(), "candidates")
     long_lists = materialize(found.filter("token <> -1").select("token", F.col("a").alias("id"), "size").distinct(), "lists")
 
     # the texts of all documents that may have to be verified, taken from the table once
     ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(long_lists.select("id")).distinct()
-    texts = materialize(pairs_in.join(ids, "id").dropDuplicates(["id", "text"]), "texts")
+    texts = materialize(pairs_in.join(ids.hint("merge"), "id").dropDuplicates(["id", "text"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        both = both.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
 
     edges.append(verified(first))
