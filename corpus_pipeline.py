@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import jaccard, lang_id, packing, suffix_dedup, toxicity
 from tracewell.llm.common import digest_bucket, materialize, table
+from tracewell.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: texts without letters go, and those for which no language is likelier than not."""
+    ship_package(spark)
     model = lang_id.fit(docs, digest_bucket(F.col("doc_id"), 4) != 2)
     found = docs.withColumn("_p", lang_id.language_column(model, "text"))
     return found.filter((F.col("_p.lang") != lang_id.UNDETERMINED) & (F.col("_p.score") >= 0.5)).select(*COLUMNS)
@@ -21,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic by a model of the labelled ones."""
+    ship_package(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), digest_bucket(F.col("doc_id"), 5) != 0)
     return docs.withColumn("_s", toxicity.score_column(model, "text")).filter(F.col("_s") < 0.5).select(*COLUMNS)
 
@@ -33,23 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
-def _whole_characters(kept: str) -> Column:
-    @F.arrow_udf("string")
-    def decoded(values: pa.Array) -> pa.Array:
-        return pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in values], pa.string())
-
-    return decoded(kept)
-
-
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated strings of 400 bytes; characters cut in two go with them, and so do documents of which nothing is left."""
-    left = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
-    left = left.withColumn("text", F.when(F.col("n_removed") > 0, _whole_characters("kept")).otherwise(F.col("text")))
+    left = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True).withColumn("text", F.col("kept"))
     return left.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents in training sequences."""
+    ship_package(spark)
     return packing.pack_documents(docs)
 
 

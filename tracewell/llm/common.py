@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 #: Text of at most so many bytes, and so many rows, are worked on at once in a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1000
 
 _local_scratch: list[str] = []
@@ -36,6 +36,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{scratch_dir(spark)}/tracewell/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

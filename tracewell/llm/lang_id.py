@@ -215,7 +215,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     The sample is bounded: for each language the texts of the `texts_per_language` ids of smallest hash.
     """
-    labelled = docs.filter(train).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = docs.filter(train).filter(F.col(lang_col).isNotNull())
     shares = {r[0]: float(r[1]) for r in labelled.groupBy(lang_col).count().collect()}
     if not shares:
         return learn({}, {}, pieces or public_pieces())
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     rows = labelled.filter(chosen).select(F.col(lang_col), F.col(text_col)).collect()
     texts: dict[str, list[str]] = {x: [] for x in shares}
     for lang, text in rows:
-        texts[lang].append(text)
+        texts[lang].append(text or "")
     return learn(texts, shares, pieces or public_pieces())
 
 

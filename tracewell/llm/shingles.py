@@ -35,7 +35,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, 1 << 20)
             for name, base in (("up", _BASE), ("down", _BASE_INV)):
                 p = np.full(n, base, np.uint64)
                 p[0] = 1

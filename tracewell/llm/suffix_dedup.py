@@ -236,7 +236,7 @@ def repeats(lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, hi: np.ndarray,
     return low, high
 
 
-def _runs(text_col: str, length: int, buckets: int, flush: int = 32 << 20):
+def _runs(text_col: str, length: int, buckets: int, flush: int = 16 << 20):
     """Sorted front-coded runs for each bucket, of the contexts of the surviving anchors of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,10 +305,10 @@ def erase(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, lis
     return b"".join([*kept, text[at:]]), spans
 
 
-def _erase_column():
-    kind = pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+def _erase_column(as_text: bool):
+    kind = pa.struct([("kept", pa.string() if as_text else pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
-    @F.arrow_udf("struct<kept:binary,n_removed:bigint,spans:array<struct<begin:bigint,end:bigint>>>")
+    @F.arrow_udf(f"struct<kept:{'string' if as_text else 'binary'},n_removed:bigint,spans:array<struct<begin:bigint,end:bigint>>>")
     def erased(text: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for x, rows in zip(text, found, strict=True):
@@ -317,14 +317,18 @@ def _erase_column():
                 kept, spans = erase(data, rows.values.field("begin").to_numpy(), rows.values.field("end").to_numpy())
             else:
                 kept, spans = data, []
-            out.append({"kept": kept, "n_removed": len(data) - len(kept), "spans": [{"begin": b, "end": e} for b, e in spans]})
+            shown = kept.decode("utf-8", "ignore") if as_text else kept
+            out.append({"kept": shown, "n_removed": len(data) - len(kept), "spans": [{"begin": b, "end": e} for b, e in spans]})
         return pa.array(out, kind)
 
-    return erased
+    return erased.asNondeterministic()  # so that filters on the result don't run it again
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with `kept` (binary: the bytes that remain), `n_removed` and `spans` (of the bytes removed, in order)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """docs with `kept`, `n_removed` and `spans` (of the bytes removed, in order).
+
+    `kept` is the bytes that remain (binary), or, with as_text, the whole characters among them (string).
+    """
     if not 0 < gram <= length < 1024:
         raise ValueError("gram and length must fit")
     spark = docs.sparkSession
@@ -338,5 +342,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, length, partitions_for(spark)), "bucket int, run binary")
     found = runs.groupBy("bucket").applyInPandas(_merge(length), "_d long, _t int, begin long, end long")
     found = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("begin", "end")).alias("_f"))
-    out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column()(text_col, "_f"))
+    out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column(as_text)(text_col, "_f"))
     return out.select(*[F.col(c) for c in docs.columns], F.col("_r.kept").alias("kept"), F.col("_r.n_removed").alias("n_removed"), F.col("_r.spans").alias("spans"))

@@ -35,7 +35,7 @@ LOOKALIKES = dict(zip("авеёкмнорстухіјѕԁԛԝαβεικνορτ
 DIGITS = dict(zip("013456789@$!|", "oieasgtbgasii", strict=True))
 
 #: The labelled sample: so many toxic and clean texts, those of the smallest hashes of their ids.
-TOXIC_TEXTS, CLEAN_TEXTS = 2000, 4000
+TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
 
 
 class _Fold(dict):
@@ -126,22 +126,29 @@ def learn(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED, lea
     model = ToxicityModel({f" {w} ": 3.0 for w in seed})
     if not texts or len(set(labels)) < 2:
         return model
-    folded = [fold(t) for t in texts]
-    bad, good = [_patterns(f) for f, y in zip(folded, labels, strict=True) if y], Counter()
-    counts = Counter(p for s in bad for p in s)
-    wanted = {p for p, n in counts.items() if n >= least} | {p for p in model.lexicon}
-    for f, y in zip(folded, labels, strict=True):
+    bad_counts, good = Counter(), Counter()
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            bad_counts.update(_patterns(fold(t)))
+    counts = Counter({p: n for p, n in bad_counts.items() if n >= least or p in model.lexicon})
+    del bad_counts
+    for t, y in zip(texts, labels, strict=True):
         if not y:
-            good.update(_patterns(f) & wanted)
-    n_bad, n_good = len(bad), len(labels) - len(bad)
+            good.update(p for p in _patterns(fold(t)) if p in counts or p in model.lexicon)
+    n_bad, n_good = sum(labels), len(labels) - sum(labels)
 
     def weight(p: str, seen: int) -> float:
         return math.log((seen + 0.5) / (n_bad + 1)) - math.log((good[p] + 0.5) / (n_good + 1))
 
     lexicon = {p: min(max(weight(p, counts[p]), 0.0), 8.0) if counts[p] + good[p] else 3.0 for p in model.lexicon}
     lexicon = {p: w for p, w in lexicon.items() if w > 1.0}
-    eager = {p for p in wanted if good[p] <= 0.02 * counts[p] * n_good / n_bad and weight(p, counts[p]) > 2.0}
-    left = [s & eager for s in bad if not s & lexicon.keys()]
+    eager = {p for p in counts if good[p] <= 0.02 * counts[p] * n_good / n_bad and weight(p, counts[p]) > 2.0}
+    left = []
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            s = _patterns(fold(t))
+            if not s & lexicon.keys():
+                left.append(s & eager)
     gain = Counter(p for s in left for p in s)
     while gain and len(lexicon) < most:
         # of equals the shortest beginning generalises best
