@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -42,6 +42,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() has written, of all jobs that share the folder; results that read them must be stored by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tracewell")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def digest_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -62,5 +69,23 @@ def text_slices(texts: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = S
         yield first, out
 
 
+def sample_cuts(rows: DataFrame, group: str, hashed: str, limits: dict, default: int = 0) -> dict:
+    """For each group the hash up to which it has at most its limit of distinct hashes.
+
+    `rows` has a uniform 64-bit hash. Counts come first; then only hashes below a bound of about twice the limit are
+    ranked, so no task sees a whole group.
+    """
+    rows = rows.filter(F.col(group).isNotNull()).select(group, hashed).distinct()
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    keep, wanted = F.lit(False), F.lit(0)
+    for g, n in sorted(counts.items(), key=lambda x: str(x[0])):
+        k = limits.get(g, default)
+        bound = -(1 << 63) + int((1 << 64) * min(1.0, (2 * k + 50) / n)) - 1
+        keep = keep | ((F.col(group) == g) & (F.col(hashed) <= bound))
+        wanted = F.when(F.col(group) == g, k).otherwise(wanted)
+    ranked = rows.filter(keep).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hashed))).filter(F.col("_r") <= wanted)
+    return {r[0]: r[1] for r in ranked.groupBy(group).agg(F.max(hashed)).collect()}
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,9 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_cuts
 from .shingles import mix
 
 UNDETERMINED = "und"
@@ -220,8 +221,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     if not shares:
         return learn({}, {}, pieces or public_pieces())
     hashed = labelled.select(F.col(lang_col).alias("g"), F.xxhash64(F.col(id_col)).alias("h"))
-    ranked = hashed.distinct().withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("r") <= texts_per_language)
-    limit = {r["g"]: r["cut"] for r in ranked.groupBy("g").agg(F.max("h").alias("cut")).collect()}
+    limit = sample_cuts(hashed, "g", "h", {}, texts_per_language)
     chosen = F.lit(False)
     for lang, cut in sorted(limit.items()):
         chosen = chosen | ((F.col(lang_col) == lang) & (F.xxhash64(F.col(id_col)) <= cut))

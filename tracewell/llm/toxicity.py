@@ -21,9 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_cuts
+
 # A seed of common English insults, and phrases in which they are harmless.
 SEED = (
     "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "clown", "clowns", "pathetic", "disgusting", "worthless",
@@ -184,10 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     The sample is bounded: the labelled ids of smallest hash, `toxic_texts` toxic and `clean_texts` clean ones.
     """
     known = labels.filter(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    order = Window.partitionBy("_y").orderBy(F.xxhash64(id_col), id_col)
-    limit = F.when(F.col("_y") == 1, toxic_texts).otherwise(clean_texts)
-    ids = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.lit(max(toxic_texts, clean_texts))).filter(F.col("_r") <= limit).drop("_r")
-    found = {r[0]: r[1] for r in ids.collect()}
+    known = known.withColumn("_h", F.xxhash64(id_col))
+    cuts = sample_cuts(known, "_y", "_h", {1: toxic_texts, 0: clean_texts})
+    chosen = F.lit(False)
+    for y, cut in cuts.items():
+        chosen = chosen | ((F.col("_y") == y) & (F.col("_h") <= cut))
+    found = {r[0]: r[1] for r in known.filter(chosen).select(id_col, "_y").collect()}
     # at most toxic_texts + clean_texts ids
     rows = docs.filter(F.col(id_col).isin(list(found))).select(id_col, text_col).dropDuplicates([id_col]).collect() if found else []
     rows.sort(key=lambda r: r[0])
