@@ -107,9 +107,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram"), [(400, 100), (60, 12), (30, 30)])
-def test_remove_repeats(hard_docs, hard_rows, length, gram):
-    got = remove_repeats(hard_docs, length=length, gram=gram).collect()
+@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 100, 20_000), (60, 12, 5), (30, 30, 1), (400, 100, 1)])
+def test_remove_repeats(hard_docs, hard_rows, length, gram, hot):
+    """With a low limit, grams go the way of hot ones."""
+    got = remove_repeats(hard_docs, length=length, gram=gram, hot=hot).collect()
     texts = [(t or "").encode() for _, t in hard_rows]
     want = Counter((i, hashlib.sha256(k).hexdigest(), len(t) - len(k)) for (i, _), t, k in zip(hard_rows, texts, brute_repeats(texts, length), strict=True))
     assert Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest(), r.n_removed) for r in got) == want

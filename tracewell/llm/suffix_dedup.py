@@ -19,7 +19,13 @@ communication-efficient as in distributed string sorting with distinguishing pre
    same m bytes before it. The windows of an anchor overlap, so those that repeat cover one stretch of bytes.
 
 Buckets take grams by hash, not by alphabetical range: suffixes that agree on a gram always meet, and common beginnings
-don't make a bucket large. Equal contexts travel once from each task, with the list of their places.
+don't make a bucket large.
+
+What holds a bucket down when one passage is in a large share of the texts: a task that has a context (the bytes its windows
+reach) more than once knows that all its windows repeat, marks its places itself, and forwards the context once, without
+places. Contexts of a gram with more than `hot` anchors are cut into bands of distances before the anchor (0, 1, 2-3, 4-7, ...).
+Windows of a band see no bytes beyond it, so contexts that agree within the band are one; and those that repeat each other
+share the bytes up to the band's begin, so the band is dealt to buckets by these.
 
 Defined results: null texts count as empty; rows that repeat an id and a text are two texts (so they repeat each other);
 rows of one id and different texts are separate; other columns stay unless named like a result, which replaces them.
@@ -27,6 +33,7 @@ rows of one id and different texts are separate; other columns stay unless named
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +46,7 @@ from .common import materialize, partitions_for, text_slices
 from .shingles import _POWERS, mix
 
 LENGTH, GRAM = 400, 100
+HOT = 20_000
 _PLACE_BITS = 28  # of a position in a slice; the other bits of the order of anchors are the gram's hash
 _ANCHOR_SCHEMA = "d long, t int, h long, at long"
 
@@ -102,27 +110,28 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 _ZSTD = pa.Codec("zstd", compression_level=6)
-_HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("places", "<u4")])
+_HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("many", "<u1")])
 _PLACE = np.dtype([("d", "<i8"), ("t", "<i4"), ("pos", "<u4")])
+_STRETCH = np.dtype([("d", "<i8"), ("t", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 
 
 def encode_run(contexts: dict[tuple[bytes, bytes], list[tuple[int, int, int]]]) -> bytes:
-    """A front-coded sorted run: keys are (suffix, bytes before it, reversed), values the places it occurs at."""
+    """A front-coded sorted run: keys are (suffix, bytes before it, reversed), values the places. Several places are only marked."""
     keys = sorted(contexts)
     head = np.empty(len(keys), _HEAD)
     before, rests = b"", []
     for i, (right, left) in enumerate(keys):
         k = common_prefix(before, right)
-        head[i] = (k, len(right) - k, len(left), len(contexts[right, left]))
+        head[i] = (k, len(right) - k, len(left), len(contexts[right, left]) > 1)
         rests.append(right[k:])
         before = right
-    places = np.array([x for key in keys for x in contexts[key]], dtype=_PLACE)
+    places = np.array([contexts[key][0] for key in keys if len(contexts[key]) == 1], dtype=_PLACE)
     body = head.tobytes() + b"".join(rests) + b"".join(left for _, left in keys) + places.tobytes()
     return len(keys).to_bytes(4, "little") + len(body).to_bytes(4, "little") + _ZSTD.compress(body, asbytes=True)
 
 
 class Run:
-    """A decoded run: suffixes, shared prefix with the one before, bytes before, and places."""
+    """A decoded run: suffixes, shared prefix with the one before, bytes before, and the place of those that have a single one."""
 
     def __init__(self, blob: bytes) -> None:
         n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
@@ -139,7 +148,7 @@ class Run:
         for k in head["left"].tolist():
             self.lefts.append(body[at : at + k])
             at += k
-        self.counts = head["places"].astype(np.int64)
+        self.many = head["many"] > 0
         self.places = np.frombuffer(body, _PLACE, offset=at)
 
 
@@ -236,31 +245,52 @@ def repeats(lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, hi: np.ndarray,
     return low, high
 
 
+def _bands(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The bands [begin, end) of distances that [lo, hi] reaches."""
+    begin, end = 0, 1
+    while begin <= hi:
+        if end > lo:
+            yield begin, end
+        begin, end = end, end * 2
+
+
 def _runs(text_col: str, length: int, buckets: int, flush: int = 16 << 20):
-    """Sorted front-coded runs for each bucket, of the contexts of the surviving anchors of each task."""
+    """Sorted front-coded runs for each bucket, of the contexts of the surviving anchors of each task; and, dealt evenly,
+    the stretches that the task itself knows to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict[tuple[bytes, bytes], list[tuple[int, int, int]]]] = {}
         held = 0
 
+        def put(bucket: int, right: bytes, left: bytes, place: tuple[int, int, int]) -> int:
+            places = parts.setdefault(bucket % buckets, {}).setdefault((right, left), [])
+            places.append(place)
+            return 100 if len(places) > 1 else len(right) + len(left) + 200
+
         def out() -> pa.RecordBatch:
             names = sorted(parts)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([encode_run(parts[b]) for b in names], pa.binary())], names=["bucket", "run"])
+            done = np.array(
+                [(d, t, pos - len(left), pos - (length - len(right)) + length) for p in parts.values() for (right, left), places in p.items() if len(places) > 1 for d, t, pos in places], dtype=_STRETCH
+            )
+            share = np.array_split(done, len(names))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int32()), pa.array([encode_run(parts[b]) for b in names], pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], names=["bucket", "run", "done"]
+            )
 
         for batch in batches:
             for d, t, text, rows in zip(*(batch.column(k) for k in ("_d", "_t", text_col, "_a")), strict=True):
                 d, t, text = d.as_py(), t.as_py(), text.as_py().encode()
-                for h, at in zip(*(rows.values.field(k).to_pylist() for k in ("h", "at")), strict=True):
+                for h, at, hot in zip(*(rows.values.field(k).to_pylist() for k in ("h", "at", "hot")), strict=True):
                     pos, lo, hi = at >> 20, at >> 10 & 1023, at & 1023
-                    key = (text[pos : pos + length - lo], text[pos - hi : pos][::-1])
-                    part = parts.setdefault((h ^ (h >> 32)) % buckets, {})
-                    places = part.get(key)
-                    if places is None:
-                        part[key] = [(d, t, pos)]
-                        held += len(key[0]) + len(key[1]) + 200
-                    else:
-                        places.append((d, t, pos))
-                        held += 100
+                    bucket = h ^ (h >> 32)
+                    right, left = text[pos : pos + length - lo], text[pos - hi : pos][::-1]
+                    if not hot:
+                        held += put(bucket, right, left, (d, t, pos))
+                        continue
+                    for begin, end in _bands(lo, hi):
+                        low, high = max(lo, begin), min(hi, end - 1)
+                        seen = zlib.crc32(left[:begin], zlib.crc32(right[: length - end + 1], begin))
+                        held += put(bucket + seen, right[: length - low], left[:high], (d, t, pos))
                 if held > flush:
                     yield out()
                     parts, held = {}, 0
@@ -273,21 +303,25 @@ def _runs(text_col: str, length: int, buckets: int, flush: int = 16 << 20):
 def _merge(length: int):
     def run(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         runs = [Run(x) for x in frame["run"]]
+        done = np.concatenate([np.frombuffer(x, _STRETCH) for x in frame["done"]])
         which, index, lcp = merge_runs([(r.rights, r.lcps) for r in runs])
         base = np.concatenate(([0], np.cumsum([len(r.rights) for r in runs])))[:-1]
         at = base[which] + np.array(index, np.int64)
-        counts = np.concatenate([r.counts for r in runs])
+        many = np.concatenate([r.many for r in runs])
         lefts = [runs[r].lefts[i] for r, i in zip(which, index, strict=True)]
         lo = length - np.array([len(runs[r].rights[i]) for r, i in zip(which, index, strict=True)], np.int64)
         hi = np.fromiter(map(len, lefts), np.int64, len(lefts))
-        low, high = repeats(np.array(lcp, np.int64), lefts, lo, hi, counts[at] > 1, length)
+        low, high = repeats(np.array(lcp, np.int64), lefts, lo, hi, many[at], length)
         back_low, back_high = np.empty_like(low), np.empty_like(high)
         back_low[at], back_high[at] = low, high
         places = np.concatenate([r.places for r in runs])
-        low, high = np.repeat(back_low, counts), np.repeat(back_high, counts)
+        low, high = back_low[~many], back_high[~many]
         hit = high >= 0
         pos = places["pos"].astype(np.int64)
-        return pd.DataFrame({"_d": places["d"][hit], "_t": places["t"][hit], "begin": (pos - high)[hit], "end": (pos - low + length)[hit]})
+        return pd.DataFrame({
+            "_d": np.concatenate((places["d"][hit], done["d"])), "_t": np.concatenate((places["t"][hit], done["t"])),
+            "begin": np.concatenate(((pos - high)[hit], done["begin"])), "end": np.concatenate(((pos - low + length)[hit], done["end"])),
+        })
 
     return run
 
@@ -324,7 +358,7 @@ def _erase_column(as_text: bool):
     return erased.asNondeterministic()  # so that filters on the result don't run it again
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """docs with `kept`, `n_removed` and `spans` (of the bytes removed, in order).
 
     `kept` is the bytes that remain (binary), or, with as_text, the whole characters among them (string).
@@ -336,10 +370,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_t": F.hash(text_col)})
     plain = keyed.filter(F.octet_length(text_col) >= length).select("_d", "_t", text_col)
     anchors = materialize(plain.mapInArrow(_anchors(length, gram), _ANCHOR_SCHEMA), "anchors")
-    often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "grams")
-    rows = anchors.join(often, "h", "left_semi").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "at")).alias("_a"))
+    often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > hot).alias("hot")), "grams")
+    rows = anchors.join(often, "h").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "at", "hot")).alias("_a"))
     # Both joins with the texts use all columns, so that the texts are exchanged once.
-    runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, length, partitions_for(spark)), "bucket int, run binary")
+    runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, length, partitions_for(spark)), "bucket int, run binary, done binary")
     found = runs.groupBy("bucket").applyInPandas(_merge(length), "_d long, _t int, begin long, end long")
     found = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("begin", "end")).alias("_f"))
     out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column(as_text)(text_col, "_f"))
