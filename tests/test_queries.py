@@ -14,7 +14,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple("-" if v is None or v is pd.NaT or v != v else f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "fiu" else str(v) for v in r))
+        out.append(tuple("-" if pd.isna(v) else f"{float(v):.9g}" if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "fiu" and hasattr(v, "dtype") else str(v) for v in r))
     return sorted(out)
 
 
