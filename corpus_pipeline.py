@@ -9,6 +9,8 @@ from tracewell.llm import jaccard, lang_id, packing, suffix_dedup, toxicity
 from tracewell.llm.common import digest_bucket, materialize, table
 from tracewell.session import ship_package
 
+#: Passages of over 50 words that repeat go, besides strings of 400 bytes.
+PASSAGE_WORDS = 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated strings of 400 bytes; characters cut in two go with them, and so do documents of which nothing is left."""
-    left = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True).withColumn("text", F.col("kept"))
+    """Texts without repeated strings of 400 bytes and repeated passages of over 50 words; characters cut in two go with them, and so do documents of which nothing is left."""
+    left = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True, words=PASSAGE_WORDS).withColumn("text", F.col("kept"))
     return left.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

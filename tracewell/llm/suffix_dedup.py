@@ -27,6 +27,11 @@ places. Contexts of a gram with more than `hot` anchors are cut into bands of di
 Windows of a band see no bytes beyond it, so contexts that agree within the band are one; and those that repeat each other
 share the bytes up to the band's begin, so the band is dealt to buckets by these.
 
+Passages of words. With `words`, every passage of so many words that also starts at another position goes as well, however
+short its words are. A word is that of shingles.py (ASCII letters folded, any white space between), written as WORD_BYTES
+bytes of its hash; a text is then a string of these, with `words` * WORD_BYTES bytes to a window, and takes the same way as
+its bytes. Stretches found are cut to whole words and take the white space behind them. Both kinds are judged on the input.
+
 Defined results: null texts count as empty; rows that repeat an id and a text are two texts (so they repeat each other);
 rows of one id and different texts are separate; other columns stay unless named like a result, which replaces them.
 """
@@ -43,10 +48,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, text_slices
-from .shingles import _POWERS, mix
+from .shingles import _POWERS, _SPACE, mix, words
 
 LENGTH, GRAM = 400, 100
 HOT = 20_000
+WORD_BYTES = 5
 _PLACE_BITS = 28  # of a position in a slice; the other bits of the order of anchors are the gram's hash
 _ANCHOR_SCHEMA = "d long, t int, h long, at long"
 
@@ -89,15 +95,39 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     return owner, h[at].view(np.int64), at - (ends - lens)[owner], at - start[last], at - start[new]
 
 
-def _anchors(length: int, gram: int):
+def word_codes(texts: list[bytes]) -> list[bytes]:
+    """Each text as WORD_BYTES bytes for each of its words."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lens + 1) - 1
+    hashes, counts = words(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), ends - lens, ends)
+    codes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+    cuts = np.concatenate(([0], np.cumsum(counts) * WORD_BYTES)).tolist()
+    return [codes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def word_stretches(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a text's word codes as stretches of its bytes: the whole words among them and the white space behind each stretch."""
+    inside = ~_SPACE[np.frombuffer(text, np.uint8)]
+    cuts = np.append(np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1]))), len(text))
+    cuts[0] = 0
+    first, last = -(-begins // WORD_BYTES), ends // WORD_BYTES
+    return cuts[first[last > first]], cuts[last[last > first]]
+
+
+def _anchors(sizes: list[tuple[int, int]]):
+    """The anchors of texts as bytes and, with a second (length, gram), as word codes; then the hash's last bit says which."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, texts in text_slices(batch.column(2)):
-                owner, h, pos, lo, hi = anchors_of(texts, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[first + owner]), pa.array(t[first + owner]), pa.array(h), pa.array(pos << 20 | lo << 10 | hi)], names=["d", "t", "h", "at"]
-                )
+                for kind, (length, gram) in enumerate(sizes):
+                    owner, h, pos, lo, hi = anchors_of(word_codes(texts) if kind else texts, length, gram)
+                    if len(sizes) > 1:
+                        h = h & ~1 | kind
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(d[first + owner]), pa.array(t[first + owner]), pa.array(h), pa.array(pos << 20 | lo << 10 | hi)], names=["d", "t", "h", "at"]
+                    )
 
     return run
 
@@ -254,43 +284,48 @@ def _bands(lo: int, hi: int) -> Iterator[tuple[int, int]]:
         begin, end = end, end * 2
 
 
-def _runs(text_col: str, length: int, buckets: int, flush: int = 16 << 20):
+def _runs(text_col: str, lengths: list[int], buckets: int, flush: int = 16 << 20):
     """Sorted front-coded runs for each bucket, of the contexts of the surviving anchors of each task; and, dealt evenly,
-    the stretches that the task itself knows to repeat."""
+    the stretches that the task itself knows to repeat. Word codes have buckets of their own, behind those of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict[tuple[bytes, bytes], list[tuple[int, int, int]]]] = {}
         held = 0
 
-        def put(bucket: int, right: bytes, left: bytes, place: tuple[int, int, int]) -> int:
-            places = parts.setdefault(bucket % buckets, {}).setdefault((right, left), [])
+        def put(kind: int, bucket: int, right: bytes, left: bytes, place: tuple[int, int, int]) -> int:
+            places = parts.setdefault(kind * buckets + bucket % buckets, {}).setdefault((right, left), [])
             places.append(place)
             return 100 if len(places) > 1 else len(right) + len(left) + 200
 
         def out() -> pa.RecordBatch:
-            names = sorted(parts)
-            done = np.array(
-                [(d, t, pos - len(left), pos - (length - len(right)) + length) for p in parts.values() for (right, left), places in p.items() if len(places) > 1 for d, t, pos in places], dtype=_STRETCH
-            )
-            share = np.array_split(done, len(names))
+            names, share = sorted(parts), []
+            for kind in range(len(lengths)):
+                own = [b for b in names if b // buckets == kind]
+                done = np.array([(d, t, pos - len(left), pos + len(right)) for b in own for (right, left), places in parts[b].items() if len(places) > 1 for d, t, pos in places], dtype=_STRETCH)
+                share += np.array_split(done, len(own)) if own else []
             return pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int32()), pa.array([encode_run(parts[b]) for b in names], pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], names=["bucket", "run", "done"]
             )
 
         for batch in batches:
             for d, t, text, rows in zip(*(batch.column(k) for k in ("_d", "_t", text_col, "_a")), strict=True):
-                d, t, text = d.as_py(), t.as_py(), text.as_py().encode()
+                d, t, text, code = d.as_py(), t.as_py(), text.as_py().encode(), None
                 for h, at, hot in zip(*(rows.values.field(k).to_pylist() for k in ("h", "at", "hot")), strict=True):
                     pos, lo, hi = at >> 20, at >> 10 & 1023, at & 1023
                     bucket = h ^ (h >> 32)
-                    right, left = text[pos : pos + length - lo], text[pos - hi : pos][::-1]
+                    kind = h & 1 if len(lengths) > 1 else 0
+                    length = lengths[kind]
+                    if kind and code is None:
+                        code = word_codes([text])[0]
+                    data = code if kind else text
+                    right, left = data[pos : pos + length - lo], data[pos - hi : pos][::-1]
                     if not hot:
-                        held += put(bucket, right, left, (d, t, pos))
+                        held += put(kind, bucket, right, left, (d, t, pos))
                         continue
                     for begin, end in _bands(lo, hi):
                         low, high = max(lo, begin), min(hi, end - 1)
                         seen = zlib.crc32(left[:begin], zlib.crc32(right[: length - end + 1], begin))
-                        held += put(bucket + seen, right[: length - low], left[:high], (d, t, pos))
+                        held += put(kind, bucket + seen, right[: length - low], left[:high], (d, t, pos))
                 if held > flush:
                     yield out()
                     parts, held = {}, 0
@@ -300,8 +335,10 @@ def _runs(text_col: str, length: int, buckets: int, flush: int = 16 << 20):
     return run
 
 
-def _merge(length: int):
-    def run(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _merge(lengths: list[int], buckets: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        kind = int(key[0]) // buckets
+        length = lengths[kind]
         runs = [Run(x) for x in frame["run"]]
         done = np.concatenate([np.frombuffer(x, _STRETCH) for x in frame["done"]])
         which, index, lcp = merge_runs([(r.rights, r.lcps) for r in runs])
@@ -320,7 +357,7 @@ def _merge(length: int):
         pos = places["pos"].astype(np.int64)
         return pd.DataFrame({
             "_d": np.concatenate((places["d"][hit], done["d"])), "_t": np.concatenate((places["t"][hit], done["t"])),
-            "begin": np.concatenate(((pos - high)[hit], done["begin"])), "end": np.concatenate(((pos - low + length)[hit], done["end"])),
+            "begin": np.concatenate(((pos - high)[hit], done["begin"])), "end": np.concatenate(((pos - low + length)[hit], done["end"])), "words": kind > 0,
         })
 
     return run
@@ -348,7 +385,11 @@ def _erase_column(as_text: bool):
         for x, rows in zip(text, found, strict=True):
             data = (x.as_py() or "").encode()
             if rows.is_valid and len(rows.values):
-                kept, spans = erase(data, rows.values.field("begin").to_numpy(), rows.values.field("end").to_numpy())
+                begins, ends, coded = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in ("begin", "end", "words"))
+                if coded.any():
+                    more = word_stretches(data, begins[coded], ends[coded])
+                    begins, ends = np.concatenate((begins[~coded], more[0])), np.concatenate((ends[~coded], more[1]))
+                kept, spans = erase(data, begins, ends) if len(begins) else (data, [])
             else:
                 kept, spans = data, []
             shown = kept.decode("utf-8", "ignore") if as_text else kept
@@ -358,23 +399,25 @@ def _erase_column(as_text: bool):
     return erased.asNondeterministic()  # so that filters on the result don't run it again
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, hot: int = HOT, words: int = 0) -> DataFrame:
     """docs with `kept`, `n_removed` and `spans` (of the bytes removed, in order).
 
-    `kept` is the bytes that remain (binary), or, with as_text, the whole characters among them (string).
+    `kept` is the bytes that remain (binary), or, with as_text, the whole characters among them (string). With `words`,
+    passages of so many words that repeat go too.
     """
-    if not 0 < gram <= length < 1024:
-        raise ValueError("gram and length must fit")
-    spark = docs.sparkSession
+    sizes = [(length, gram)] + ([(words * WORD_BYTES, -(-words // 3) * WORD_BYTES)] if words else [])
+    if not all(0 < g <= n < 1024 for n, g in sizes):
+        raise ValueError("gram, length and words must fit")
+    lengths, buckets = [n for n, _ in sizes], partitions_for(docs.sparkSession)
     docs = docs.drop("kept", "n_removed", "spans")
     keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_t": F.hash(text_col)})
-    plain = keyed.filter(F.octet_length(text_col) >= length).select("_d", "_t", text_col)
-    anchors = materialize(plain.mapInArrow(_anchors(length, gram), _ANCHOR_SCHEMA), "anchors")
+    plain = keyed.filter(F.octet_length(text_col) >= (min(length, 2 * words - 1) if words else length)).select("_d", "_t", text_col)
+    anchors = materialize(plain.mapInArrow(_anchors(sizes), _ANCHOR_SCHEMA), "anchors")
     often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > hot).alias("hot")), "grams")
     rows = anchors.join(often, "h").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "at", "hot")).alias("_a"))
     # Both joins with the texts use all columns, so that the texts are exchanged once.
-    runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, length, partitions_for(spark)), "bucket int, run binary, done binary")
-    found = runs.groupBy("bucket").applyInPandas(_merge(length), "_d long, _t int, begin long, end long")
-    found = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("begin", "end")).alias("_f"))
+    runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, lengths, buckets), "bucket int, run binary, done binary")
+    found = runs.groupBy("bucket").applyInPandas(_merge(lengths, buckets), "_d long, _t int, begin long, end long, words boolean")
+    found = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("begin", "end", "words")).alias("_f"))
     out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column(as_text)(text_col, "_f"))
     return out.select(*[F.col(c) for c in docs.columns], F.col("_r.kept").alias("kept"), F.col("_r.n_removed").alias("n_removed"), F.col("_r.spans").alias("spans"))
