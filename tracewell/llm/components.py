@@ -55,4 +55,6 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components aren't complete after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
