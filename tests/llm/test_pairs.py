@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewell.llm.components import connected_components
-from tracewell.llm.jaccard import jaccard_components
+from tracewell.llm.jaccard import _bodies, jaccard_components, spanning_links
 from tracewell.llm.shingles import shingle_sets
 from tracewell.llm.suffix_dedup import common_prefix, merge_runs, remove_repeats
 
@@ -73,6 +75,65 @@ def test_jaccard_dense_random(spark):
     assert got == want
 
 
+def near_group(n, seed, length=60, changes=6):
+    """Copies of one text with some words changed: neighbours differ by more or less than a link allows."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rnd.randint(0, changes)):
+            w[rnd.randrange(length)] = f"x{rnd.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("apart_only", [False, True])
+def test_spanning_links(apart_only):
+    """A block gives links that span what brute force finds, fewer than it has members."""
+    rows = sorted(near_group(150, 4) + [(200 + i, t) for i, t in near_group(80, 5, 40, 3)], key=lambda r: len(shingles(r[1])))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "text"])
+    bodies = [x.as_py() for b in _bodies(5)(iter([batch])) for x in b.column("body")]
+    part = np.array([i % 7 if i < 20 else i for i, _ in rows])
+    own = np.arange(len(rows)) % 2
+    sets = [shingles(t) for _, t in rows]
+
+    def groups(pairs):
+        up = list(range(len(rows)))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            up[max(root(x), root(y))] = min(root(x), root(y))
+        return [root(x) for x in range(len(rows))]
+
+    given = [(int(np.flatnonzero(part == part[x])[0]), x) for x in range(len(rows))]
+    every = [(x, y) for y in range(len(rows)) for x in range(y) if (not apart_only or own[x] != own[y]) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    found = spanning_links(bodies, part, own, apart_only, 80)
+    assert set(found) <= set(every) and len(found) < len(rows)
+    assert groups(found + given) == groups(every + given)
+
+
+def test_jaccard_large_near_group(spark):
+    """2,000 near copies in one list: components are those of brute force on the distinct sets, whatever the blocks."""
+    rows = near_group(2000, 8)
+    want, _ = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == want
+
+
+def test_jaccard_versions_of_one_id(spark):
+    """Rows of one id and different texts share a component, and each text's links count."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(rnd.randint(0, 99)) for _ in range(40)) for _ in range(12)]
+    rows = [(7, t) for t in texts] + [(20 + i, t + " more") for i, t in enumerate(texts)] + [(None, texts[0])] * 3
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: None if i is None else 7 for i, _ in rows}
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard_components(no_docs).count() == 0
 

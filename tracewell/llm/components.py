@@ -43,11 +43,11 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        large = both.filter("b > a").hint("merge").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.filter("m < a").select("a", F.col("m").alias("b"))
         ).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        small = large.hint("merge").join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         ).distinct()
         e = materialize(small, "edges")

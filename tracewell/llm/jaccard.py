@@ -15,8 +15,9 @@ What holds the work down when a large share of the rows are copies:
 * equal sets are one class, represented by the smallest id;
 * a map task forwards one entry of each list and class it holds;
 * lists of more than `full_list` members first link neighbours only; pairs within a linked component are never made.
-  What remains between components of such a list is compared by bitmaps in blocks of bounded size (a long list is cut
-  into chunks, and each pair of chunks is a block), and only the pairs that no bound excludes become rows.
+  What remains between components of such a list is compared in blocks of bounded size (a long list is cut into chunks,
+  and each pair of chunks is a block): bitmaps first, then the whole sets of the members that the bitmaps leave. A block
+  gives links that span its components, fewer than it has members; candidate pairs never become rows.
 
 Links are never dropped: the result has the components of the complete link graph.
 
@@ -27,7 +28,7 @@ component; rows that repeat an id are versions of one document and share its com
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,9 +45,13 @@ from .shingles import SLICE_DOCS, mix, shingle_sets
 #: frequent ones: that bounds what is broadcast, and only affects speed, never links.
 OFTEN, FREQUENT = 24, 1 << 19
 COUNTED = 0.3
-CHUNK = 2000
+#: Of a block of two list chunks, and of a bucket of lists.
+CHUNK, CHUNK_SHINGLES, BUCKET_SHINGLES = 1000, 1_000_000, 4_000_000
 MAX_BOUNDARY = 12
 _SIGNED = np.int64
+_SECOND, _LOW63 = np.uint64(0x5851F42D4C957F2D), (1 << 63) - 1
+#: Packed sets keep the low 7 bytes of a shingle, which hold all its bits.
+_PACKED = 7
 
 
 def _needed(size: int, percent: int) -> int:
@@ -162,28 +167,31 @@ def _frequent(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _subsets(width: int, percent: int, boundary: int):
-    """(subset digest, its size, set size, id) of the light sets of each slice; equal sets of a slice count once."""
+    """(two subset digests, its size, set size, id) of the light sets of each slice; equal sets of a slice count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for values, bounds, sizes, ids in _sets_of(batch, width):
-                keys, common, own, who, seen = [], [], [], [], set()
+                keys, checks, common, own, who, seen = [], [], [], [], [], set()
                 ids = ids.to_pylist()
                 for i in np.flatnonzero((sizes > 0) & (sizes <= boundary)):
                     part = values[bounds[i] : bounds[i + 1]]
                     if (ids[i], part.tobytes()) in seen or ids[i] is None:
                         continue
                     seen.add((ids[i], part.tobytes()))
-                    mixed = [int(x) for x in mix(part)]
+                    # one sum of both digests of each shingle, 96 bits apart, so that sums of the lower ones don't reach the upper
+                    mixed = [int(x) | int(y) << 96 for x, y in zip(mix(part), mix(part ^ _SECOND), strict=True)]
                     for c in range(_needed(len(mixed), percent), len(mixed) + 1):
                         for chosen in combinations(mixed, c):
-                            keys.append(sum(chosen) & ((1 << 63) - 1))
+                            both = sum(chosen)
+                            keys.append(both & _LOW63)
+                            checks.append(both >> 96 & _LOW63)
                             common.append(c)
                             own.append(len(mixed))
                             who.append(ids[i])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(common, pa.int32()), pa.array(own, pa.int32()), pa.array(who, pa.int64())],
-                    names=["key", "c", "size", "id"],
+                    [pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(common, pa.int32()), pa.array(own, pa.int32()), pa.array(who, pa.int64())],
+                    names=["key", "check", "c", "size", "id"],
                 )
 
     return run
@@ -306,35 +314,60 @@ def _pairs(percent: int, full_list: int):
             a, b = np.concatenate(left), np.concatenate(right)
             small, large = np.minimum(docs["size"][a], docs["size"][b]).astype(np.int64), np.maximum(docs["size"][a], docs["size"][b]).astype(np.int64)
             ok = small * 100 >= large * percent
-            x, y = docs["id"][a[ok]], docs["id"][b[ok]]
-            pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0) if ok.any() else np.empty((0, 2), np.int64)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "token": np.int64(-1), "size": np.int64(0)}))
+            a, b = a[ok], b[ok]
+            turn = docs["id"][a] > docs["id"][b]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            pairs = np.unique(np.stack((docs["id"][a], docs["set"][a], docs["id"][b], docs["set"][b]), 1), axis=0) if len(a) else np.empty((0, 4), np.int64)
+            pairs = pairs[pairs[:, 0] != pairs[:, 2]]
+            out.append(pd.DataFrame({"a": pairs[:, 0], "sa": pairs[:, 1], "b": pairs[:, 2], "sb": pairs[:, 3], "token": np.int64(-1), "size": np.int64(0)}))
         if long_token:
             t, w = np.concatenate(long_token), np.concatenate(long_at)
-            out.append(pd.DataFrame({"a": docs["id"][w], "b": np.int64(-1), "token": t.astype(np.int64), "size": docs["size"][w].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "b", "token", "size")})
+            out.append(pd.DataFrame({"a": docs["id"][w], "sa": docs["set"][w], "b": np.int64(-1), "sb": np.int64(0), "token": t.astype(np.int64), "size": docs["size"][w].astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "sa", "b", "sb", "token", "size")})
 
     return run
 
 
-def _verify(width: int, percent: int):
-    """Keeps the pairs whose whole sets link; a pair comes with both texts."""
+def _bodies(width: int):
+    """The packed set of each text with its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_slices(batch.column("ta"), max_rows=400):
-                other = [x.as_py() or b"" for x in batch.column("tb").slice(first, len(texts)).cast(pa.large_binary())]
-                va, ba = shingle_sets(texts, width)
-                good = []
-                for lo in range(0, len(other), 100):
-                    vb, bb = shingle_sets(other[lo : lo + 100], width)
-                    for i in range(len(bb) - 1):
-                        x, y = va[ba[lo + i] : ba[lo + i + 1]], vb[bb[i] : bb[i + 1]]
-                        both = np.intersect1d(x, y, assume_unique=True).size
-                        good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                part = batch.slice(first, len(texts)).select(["a", "b"])
-                yield part.filter(pa.array(good, pa.bool_()))
+            for values, bounds, _, ids in _sets_of(batch, width):
+                h1, h2 = _set_hash(values, bounds)
+                packed = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PACKED].tobytes()
+                cuts = (bounds * _PACKED).tolist()
+                body = pa.array([packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h1), pa.array(h2), body], names=["id", "h1", "h2", "body"])
+
+    return run
+
+
+def _unpacked(bodies: list[bytes]) -> np.ndarray:
+    """The shingles of packed sets, one set after the other."""
+    raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, _PACKED)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :_PACKED] = raw
+    return out.view("<u8").ravel()
+
+
+def _in_common(one: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets that follow one another in `others` (none is empty) shares with the sorted set `one`."""
+    hit = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _verify(percent: int):
+    """Keeps the pairs whose whole sets link; a pair comes with both packed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
+                x, y = _unpacked([x.as_py()]), _unpacked([y.as_py()])
+                both = int(_in_common(x, y, np.array([len(y)]))[0])
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -353,48 +386,126 @@ def _boundary(scan: DataFrame, percent: int, list_cost: float = 8.0) -> int:
     return best
 
 
+def _near(bitmap: list[bytes], size: np.ndarray, part: np.ndarray, own: np.ndarray, apart_only: bool, percent: int) -> np.ndarray:
+    """Which members of a block have a partner in another component that neither size nor bitmap excludes; members come by size."""
+    near = np.zeros(len(size), bool)
+    width = np.fromiter(map(len, bitmap), np.int64, len(bitmap))
+    # sets that can link differ by at most a quarter in size, so their bitmaps have the same or neighbouring widths
+    for w in np.unique(width):
+        x = np.flatnonzero(width == w)
+        bits_x = np.frombuffer(b"".join([bitmap[i] for i in x]), np.uint64).reshape(len(x), -1)
+        for w2 in (w, 2 * w):
+            y = np.flatnonzero(width == w2)
+            if not len(y):
+                continue
+            bits_y = np.frombuffer(b"".join([bitmap[i] for i in y]), np.uint64).reshape(len(y), -1)
+            if w2 != w:
+                half = bits_y.shape[1] // 2
+                bits_y = bits_y[:, :half] ^ bits_y[:, half:]
+            for lo in range(0, len(x), 64):
+                r = x[lo : lo + 64]
+                ok = part[r][:, None] != part[y][None, :]
+                small, large = np.minimum(size[r][:, None], size[y][None, :]), np.maximum(size[r][:, None], size[y][None, :])
+                ok &= small * 100 >= large * percent
+                if w2 == w:
+                    ok &= r[:, None] < y[None, :]
+                if apart_only:
+                    ok &= own[r][:, None] != own[y][None, :]
+                p, q = np.nonzero(ok)
+                for at in range(0, len(p), 1 << 16):
+                    pp, qq = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                    apart = np.bitwise_count(bits_x[lo + pp] ^ bits_y[qq]).sum(1, dtype=np.int64)
+                    keep = apart * (100 + percent) <= (100 - percent) * (size[r[pp]] + size[y[qq]])
+                    near[r[pp[keep]]] = True
+                    near[y[qq[keep]]] = True
+    return near
+
+
+_BLOCK = ["token", "i", "j"]
+_MEMBER = [*_BLOCK, "chunk", "id", "h1", "size", "part"]
+_MEMBER_SCHEMA = "token long, i long, j long, chunk long, id long, h1 long, size long, part long"
+
+
 def _cross(percent: int):
-    """Pairs of one bucket of list chunks that lie in different components and that neither size nor bitmap excludes."""
+    """The members of one bucket of blocks (pairs of list chunks) that may link to another component: at most one row for each member."""
+
+    def run(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), group in frame.groupby(_BLOCK, sort=False):
+            group = group.sort_values("size")
+            near = _near(list(group["bitmap"]), *(group[c].to_numpy() for c in ("size", "part", "chunk")), i != j, percent)
+            if near.any():
+                out.append(group.loc[near, _MEMBER])
+        return pd.concat(out) if out else frame.iloc[:0][_MEMBER]
+
+    return run
+
+
+def spanning_links(bodies: list[bytes], part: np.ndarray, own: np.ndarray, apart_only: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components (`part`), verified on whole sets, that join all components which links of the block join.
+
+    Members come by size. A member is compared with the later ones that aren't in its component yet, so a block of n
+    members gives at most n - 1 links, and copies of one text cost one comparison each.
+    """
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // _PACKED
+    values, first = _unpacked(bodies), np.cumsum(sizes) - sizes
+    part = np.unique(part, return_inverse=True)[1]
+    bitmaps = _bitmaps(values, np.append(first, len(values)))
+    width = np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+    place, bits = np.empty(len(width), np.int64), {}
+    for w in np.unique(width).tolist():
+        own_width = np.flatnonzero(width == w)
+        place[own_width] = np.arange(len(own_width))
+        bits[w, w] = np.frombuffer(b"".join([bitmaps[i] for i in own_width]), np.uint64).reshape(len(own_width), -1)
+        half = bits[w, w].shape[1] // 2
+        if half:
+            bits[w // 2, w] = bits[w, w][:, :half] ^ bits[w, w][:, half:]
+
+    def possible(r: int, y: np.ndarray) -> np.ndarray:
+        """Those of `y` that the bitmaps leave; sets that can link have bitmaps of the same or of neighbouring widths."""
+        w, kept = int(width[r]), []
+        for w2 in (w, 2 * w):
+            z = y[width[y] == w2]
+            if len(z):
+                apart = np.bitwise_count(bits[w, w][place[r]] ^ bits[w, w2][place[z]]).sum(1, dtype=np.int64)
+                kept.append(z[apart * (100 + percent) <= (100 - percent) * (sizes[r] + sizes[z])])
+        return np.concatenate(kept) if kept else y[:0]
+
+    out = []
+    for r in range(len(sizes) - 1):
+        # sizes rise, so those that can link to this one end where they exceed it too far
+        end = int(np.searchsorted(sizes, sizes[r] * 100 // percent, side="right"))
+        y = np.arange(r + 1, end)
+        y = y[part[y] != part[r]]
+        if apart_only:
+            y = y[own[y] != own[r]]
+        y = possible(r, y)
+        for lo in range(0, len(y), 256):
+            some = y[lo : lo + 256]
+            some = some[part[some] != part[r]]
+            if not len(some):
+                continue
+            others = values[np.repeat(first[some] - (np.cumsum(sizes[some]) - sizes[some]), sizes[some]) + np.arange(sizes[some].sum())]
+            both = _in_common(values[first[r] : first[r] + sizes[r]], others, sizes[some])
+            for k in some[100 * both >= percent * (sizes[r] + sizes[some] - both)]:
+                if part[k] != part[r]:
+                    out.append((r, int(k)))
+                    part[part == part[k]] = part[r]
+    return out
+
+
+def _linked(percent: int):
+    """The spanning links of one bucket of blocks, whose members come with their packed sets."""
 
     def run(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        for (_, i, j), group in frame.groupby(["token", "i", "j"], sort=False):
+        left, right = [], []
+        for (_, i, j), group in frame.groupby(_BLOCK, sort=False):
             group = group.sort_values("size")
-            size, part, own, ids = (group[c].to_numpy() for c in ("size", "part", "chunk", "id"))
-            width = group["bitmap"].map(len).to_numpy()
-            # sets that can link differ by at most a quarter in size, so their bitmaps have the same or neighbouring widths
-            for w in np.unique(width):
-                x = np.flatnonzero(width == w)
-                bits_x = np.frombuffer(b"".join(group["bitmap"].iloc[x]), np.uint64).reshape(len(x), -1)
-                for w2 in (w, 2 * w):
-                    y = np.flatnonzero(width == w2)
-                    if not len(y):
-                        continue
-                    bits_y = np.frombuffer(b"".join(group["bitmap"].iloc[y]), np.uint64).reshape(len(y), -1)
-                    if w2 != w:
-                        half = bits_y.shape[1] // 2
-                        bits_y = bits_y[:, :half] ^ bits_y[:, half:]
-                    for lo in range(0, len(x), 64):
-                        r = x[lo : lo + 64]
-                        ok = part[r][:, None] != part[y][None, :]
-                        small, large = np.minimum(size[r][:, None], size[y][None, :]), np.maximum(size[r][:, None], size[y][None, :])
-                        ok &= small * 100 >= large * percent
-                        if w2 == w:
-                            ok &= r[:, None] < y[None, :]
-                        if i != j:
-                            ok &= own[r][:, None] != own[y][None, :]
-                        p, q = np.nonzero(ok)
-                        for at in range(0, len(p), 1 << 16):
-                            pp, qq = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                            apart = np.bitwise_count(bits_x[lo + pp] ^ bits_y[qq]).sum(1, dtype=np.int64)
-                            keep = apart * (100 + percent) <= (100 - percent) * (size[r[pp]] + size[y[qq]])
-                            out_a.append(ids[r[pp[keep]]])
-                            out_b.append(ids[y[qq[keep]]])
-        if not out_a:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            ids = group["id"].to_numpy()
+            for x, y in spanning_links(list(group["body"]), group["part"].to_numpy(), group["chunk"].to_numpy(), i != j, percent):
+                left.append(ids[x])
+                right.append(ids[y])
+        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
 
     return run
 
@@ -413,7 +524,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     pairs_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = materialize(pairs_in.mapInArrow(_scan(width), _SCAN_SCHEMA), "sets")
     boundary = _boundary(sets, percent)
-    buckets = partitions_for(spark)
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions_for(spark), -(-int(shingles) // BUCKET_SHINGLES))
     # light sets large enough to link to a heavy one are listed too
     least = max(1, _needed(boundary + 1, percent))
     low = pairs_in.mapInArrow(_low_shingles(width, percent, least, COUNTED, buckets), "bucket int, found binary, times binary")
@@ -424,54 +536,74 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     edges = []
     if boundary:
-        subsets = materialize(pairs_in.mapInArrow(_subsets(width, percent, boundary), "key long, c int, size int, id long"), "subsets")
-        hubs = subsets.groupBy("key", "c").agg(F.min(F.struct("size", "id")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
+        subsets = materialize(pairs_in.mapInArrow(_subsets(width, percent, boundary), "key long, check long, c int, size int, id long"), "subsets")
+        hubs = subsets.groupBy("key", "check", "c").agg(F.min(F.struct("size", "id")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
         edges.append(
-            subsets.join(hubs, ["key", "c"])
+            subsets.hint("merge").join(hubs, ["key", "check", "c"])
             .filter(f"id <> hub.id and 100 * c >= {percent} * (size + hub.size - c)")
             .select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
         )
     blocks = pairs_in.mapInArrow(_prefixes(width, percent, least, frequent, weight, buckets), "bucket int, entries binary, owners binary")
-    found = materialize(blocks.groupBy("bucket").applyInPandas(_pairs(percent, full_list), "a long, b long, token long, size long"), "pairs")
-    shapes = sets.filter("n > 0").select("id", "n", "bitmap").dropDuplicates(["id", "n"])
-    first = found.filter("token = -1").select("a", "b").distinct()
+    found = materialize(blocks.groupBy("bucket").applyInPandas(_pairs(percent, full_list), "a long, sa long, b long, sb long, token long, size long"), "pairs")
+    # several versions of one id are told apart by their sets' digests
+    shapes = sets.filter("n > 0").select("id", "h1", "n", "bitmap").dropDuplicates(["id", "h1"])
+    first = found.filter("token = -1").select("a", "sa", "b", "sb").distinct()
     # tables that grow with the corpus are never broadcast, however small they are here: hence the hints
-    first = first.hint("merge").join(shapes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), "a")
-    first = first.hint("merge").join(shapes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), "b")
-    first = materialize(first.filter(_possible(percent)("xa", "xb", F.col("na") + F.col("nb"))).select("a", "b").distinct(), "candidates")
-    long_lists = materialize(found.filter("token <> -1").select("token", F.col("a").alias("id"), "size").distinct(), "lists")
-
-    # the texts of all documents that may have to be verified, taken from the table once
-    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(long_lists.select("id")).distinct()
-    texts = materialize(pairs_in.join(ids.hint("merge"), "id").dropDuplicates(["id", "text"]), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
-
-    edges.append(verified(first))
+    first = first.hint("merge").join(shapes.select(F.col("id").alias("a"), F.col("h1").alias("sa"), F.col("n").alias("na"), F.col("bitmap").alias("xa")), ["a", "sa"])
+    first = first.hint("merge").join(shapes.select(F.col("id").alias("b"), F.col("h1").alias("sb"), F.col("n").alias("nb"), F.col("bitmap").alias("xb")), ["b", "sb"])
+    first = materialize(first.filter(_possible(percent)("xa", "xb", F.col("na") + F.col("nb"))).select("a", "sa", "b", "sb"), "candidates")
+    long_lists = materialize(found.filter("token <> -1").select("token", F.col("a").alias("id"), F.col("sa").alias("h1"), "size").distinct(), "lists")
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        """The packed sets of (id, h1)."""
+        ids = wanted.select("id").distinct()
+        whole = pairs_in.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_bodies(width), "id long, h1 long, h2 long, body binary")
+        return whole.join(wanted.distinct().hint("merge"), ["id", "h1"], "left_semi").dropDuplicates(["id", "h1"]).drop("h2")
+
+    ends = first.select(F.col("a").alias("id"), F.col("sa").alias("h1")).unionByName(first.select(F.col("b").alias("id"), F.col("sb").alias("h1")))
+    own = materialize(bodies(ends), "bodies")
+    both = first.hint("merge").join(own.select(F.col("id").alias("a"), F.col("h1").alias("sa"), F.col("body").alias("xa")), ["a", "sa"])
+    both = both.hint("merge").join(own.select(F.col("id").alias("b"), F.col("h1").alias("sb"), F.col("body").alias("xb")), ["b", "sb"])
+    edges.append(materialize(both.select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a long, b long"), "links"))
     if long_lists.take(1):
-        # Members of a list in different components: every pair that no bound excludes is verified.
         known = edges[0]
         for e in edges[1:]:
             known = known.unionByName(e)
-        parts = connected_components(known.unionByName(_same_sets(sets)), "a", "b")
-        placed = long_lists.join(parts, long_lists.id == parts.node, "left").select("token", "id", "size", F.coalesce("component", "id").alias("part"))
-        mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("token", F.ceil(F.col("m") / CHUNK).alias("chunks"))
-        placed = placed.join(mixed, "token").join(shapes.select("id", F.col("n").alias("size"), "bitmap"), ["id", "size"])
-        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        dealt = dealt.select("token", F.least("k", "chunk").alias("i"), F.greatest("k", "chunk").alias("j"), "chunk", "id", "size", "part", "bitmap")
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * buckets)))
-        rest = dealt.groupBy("bucket").applyInPandas(_cross(percent), "a long, b long").distinct()
-        edges.append(verified(materialize(rest, "candidates")))
+        edges.append(_across(sets, shapes, long_lists, known, bodies, percent, buckets))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return sets.drop("bitmap"), out
 
 
+def _across(sets: DataFrame, shapes: DataFrame, lists: DataFrame, known: DataFrame, bodies: Callable[[DataFrame], DataFrame], percent: int, buckets: int) -> DataFrame:
+    """Links between members of a list that the known links leave in different components.
+
+    A list is cut into chunks of bounded rows and shingles; a pair of chunks is a block. A first pass over the bitmaps keeps
+    the members with a possible partner in another component; their sets are then compared within the block, which gives links
+    that span what the block's members have in common: fewer than members, never all pairs.
+    """
+    parts = connected_components(known.unionByName(_same_sets(sets)), "a", "b")
+    placed = lists.hint("merge").join(parts, lists.id == parts.node, "left").select("token", "id", "h1", "size", F.coalesce("component", "id").alias("part"))
+    member = F.xxhash64("id", "h1")
+    mixed = placed.groupBy("token").agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"), F.sum("size").alias("total"),
+        F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(38,0)")).alias("y"),
+    )
+    # of lists with the same members, one is enough
+    mixed = mixed.filter("lo < hi").groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.first("total").alias("total"))
+    mixed = mixed.select("token", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).alias("chunks"))
+    placed = placed.hint("merge").join(mixed, "token").hint("merge").join(shapes.select("id", "h1", "bitmap"), ["id", "h1"])
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "h1"), F.col("chunks")))
+    dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("token", F.least("k", "chunk").alias("i"), F.greatest("k", "chunk").alias("j"), "chunk", "id", "h1", "size", "part", "bitmap")
+    bucket = F.pmod(F.xxhash64(*_BLOCK), F.lit(4 * buckets))
+    near = materialize(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_cross(percent), _MEMBER_SCHEMA), "near")
+    whole = materialize(bodies(near.select("id", "h1")), "bodies")
+    with_sets = near.hint("merge").join(whole, ["id", "h1"]).withColumn("bucket", bucket)
+    return materialize(with_sets.groupBy("bucket").applyInPandas(_linked(percent), "a long, b long"), "links")
+
+
 def _same_sets(sets: DataFrame) -> DataFrame:
     """Each id of a class of equal sets with the smallest id of the class."""
     hubs = sets.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("b"), F.count("*").alias("members")).filter("members > 1").drop("members")
