@@ -10,12 +10,19 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def plain(v) -> str:
+    """A value as text, whatever type pandas gave it: nulls, truth values and numbers are told apart."""
+    if pd.isna(v):
+        return "-"
+    kind = getattr(getattr(v, "dtype", None), "kind", "")
+    if isinstance(v, bool) or kind == "b":
+        return str(bool(v))
+    return f"{float(v):.9g}" if isinstance(v, (int, float)) or kind in tuple("fiu") else str(v)
+
+
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    out = []
-    for r in frame.itertuples(index=False):
-        out.append(tuple("-" if pd.isna(v) else f"{float(v):.9g}" if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "fiu" and hasattr(v, "dtype") else str(v) for v in r))
-    return sorted(out)
+    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")

@@ -26,6 +26,11 @@ def _r6(q: float) -> str:
 
 QR = Q6.format(v="duration_ms", src="e", cols=", ".join(_r6(q) for q in (0.25, 0.5, 0.75)))
 _BASE = "rn <= 3 * n // 4"
+#: The two-sided p-value of t with df degrees of freedom, by Simpson's rule over Student's density from 0 to t.
+_STEPS = 4000
+_TWO_SIDED = f"""w as (select fingerprint, 1 - 2 * t / {3 * _STEPS} * sum((case when i in (0, {_STEPS}) then 1 when i % 2 = 1 then 4 else 2 end)
+    * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * pow(1 + pow(t * i / {_STEPS}, 2) / df, -(df + 1) / 2)) as two_sided
+    from c, range({_STEPS + 1}) s(i) group by fingerprint, t)"""
 BA, BB = _AVG.format(_BASE), _AVG.format(f"not ({_BASE})")
 
 QUERIES = {
@@ -94,11 +99,15 @@ QUERIES = {
         f"""with {R}, {Q6.format(v="y", src="r", cols=_r6(0.5))}, a as (select r.fingerprint, r.y, abs(y - q50) as a, q50 from r join q6 using (fingerprint)),
             {Q6.format(v="a", src="a", cols=_r6(0.5)).replace("q6 as", "d6 as").replace("q as", "d as").replace("from q)", "from d)")}
             , z as (select a.fingerprint, count(*) filter (abs(0.6745 * (y - a.q50) / d6.q50) > 3.5) as anomalies from a join d6 using (fingerprint) group by all),
-            h as (select fingerprint, n, {BA} as a, {BB} as b, skewness(y) as g1, kurtosis(y) as g2, stddev_samp(y) / avg(y) as cv, {A} as ha, {B} as hb from r group by fingerprint, n), c as (select *, (b - a) / a * 100 as p from h)
+            h as (select fingerprint, n, {BA} as a, {BB} as b, skewness(y) as g1, kurtosis(y) as g2, stddev_samp(y) / avg(y) as cv, {A} as ha, {B} as hb,
+                var_samp(y) filter ({_BASE}) / count(*) filter ({_BASE}) as sa, var_samp(y) filter (not ({_BASE})) / count(*) filter (not ({_BASE})) as sb,
+                count(*) filter ({_BASE}) as na, count(*) filter (not ({_BASE})) as nb from r group by fingerprint, n),
+            c as (select *, (b - a) / a * 100 as p, abs(a - b) / sqrt(sa + sb) as t, (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) as df from h),
+            {_TWO_SIDED}
             select fingerprint, n, 'statistical' as engine, case when p >= 50 then 'Critical' when p > 10 then 'Significant' else 'None' end as status,
             case when p >= 50 then 'Critical' when p >= 25 then 'High' when p > 10 then 'Medium' end as severity,
             case when abs(cv) > 0.5 then 'Volatile' when (hb - ha) / ha > 0.05 then 'Degrading' when (hb - ha) / ha < -0.05 then 'Improving' else 'Stable' end as trend,
             case when abs(g1) < 0.5 and abs(g2) < 0.5 then 'Normal' when g1 > 1 then 'LogNormal' when g2 < -1 then 'Uniform' else 'Unknown' end as shape, anomalies,
-            case when p > 10 then true end as significant from c join z using (fingerprint)""",
+            case when p > 10 then two_sided < 0.05 end as significant from c join z using (fingerprint) join w using (fingerprint)""",
     ),
 }
