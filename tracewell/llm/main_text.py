@@ -1,18 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-1. Markup is stripped by one pass over the tags: each block element is a line; scripts, styles, comments, forms and
-   what an element's name, role or class marks as a menu, header, footer, sidebar, notice, advert or reader comments
-   give no text. White space within a line becomes one space, character references are decoded.
-2. The text lengths (without the text of links) are summed over a sliding window of WINDOW lines: the distribution
-   of line blocks. A surge is a line whose block passes the threshold and doesn't fall at once; a dive is where the
-   blocks reach zero. The lines between a surge and its dive are a stretch of running text.
-3. The stretches of the page's article are kept. On a page without article or main element, the stretch with the most
-   text is kept, and those that are close to it in size.
-
-A page whose blocks never pass the threshold keeps its lines with text of their own, so short articles aren't lost.
-
-Defined results: null and empty pages, and those without text, give the empty text; unclosed tags close with their parents;
-an unclosed script, style or comment runs to the end.
+1. Markup is stripped in one pass over the tags. A block element's text is a line; where more than two block borders lie
+   between two texts, empty lines stand for the rest, so that nesting leaves gaps as it does in pretty-printed source.
+2. A line weighs as many characters as it has outside links; headings weigh all of theirs. What an element's name or role,
+   or a whole class or id, marks as a menu, header, footer, sidebar, notice, advert, form or reader comments gives one
+   empty line. On a page with article or main elements, only lines inside them weigh anything.
+3. The weights are summed over a sliding window of WINDOW lines: the distribution of line blocks. A surge is where a block
+   passes the threshold; the text begins at the first line of weight there, and reaches back over lines of weight that
+   follow one another. A dive is where the blocks reach zero. The lines between each surge and its dive are kept.
+   Inside article elements any weight is a surge, as the markup vouches for it; elsewhere THRESHOLD characters are, or
+   half of the page's largest block if that is less.
+
+So lists of links before, after and between the running text (three or more link-only lines) go without having to be
+marked, link-only lines within it stay, and on pages without article so do short lines of text apart from it.
+
+If marked classes, ids and forms leave no text at all, they are not believed and only elements' names and roles count.
+
+Defined results: null and empty pages, and those without text, give the empty text; of repeated pages each gives its own;
+pages are read whole, however long, in time linear in their length; other columns are ignored. Unclosed tags close with
+their parents; an unclosed script, style or comment runs to the end; an attribute's unclosed quote ends at the next `>`.
 """
 
 from __future__ import annotations
@@ -27,11 +33,12 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 THRESHOLD = 86  # characters in a window that begin a stretch
-SHARE = 0.3  # of the largest stretch that another must have, on pages without article
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _SPACE = re.compile(r"\s+")
+# The last branch takes tags without quotes whole; others are read attribute by attribute.
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)(>|\Z)?", re.S)
+# HTML's attribute syntax: quotes count only where a value begins.
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)?+", re.S)
 # Elements of HTML by their part in a page.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 _DROPPED = {"nav", "footer", "aside", "form", "button", "select", "option", "head", "svg", "canvas", "object", "dialog", "menu", "label", "fieldset", "audio", "video", "map", "datalist"}
@@ -42,13 +49,17 @@ _BLOCK = {
     "tfoot", "th", "thead", "tr", "ul",
 }
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|"
-    r"widget|footer|header|masthead|topbar|comments?|disqus|replies|respond|share|sharing|social|related|recommended|login|signup|search|skip|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_ZONES = {"article", "main"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
+# Whole classes and ids of boilerplate, alone or with a word for the page in front; and those that say so as any part of a name.
+_MARKED = re.compile(
+    r"(?:(?:site|page|global|main|top|bottom)[_-])?(?:header|footer|nav|navigation|menu|banner|notice|masthead|topbar|toolbar|search|login|signup|share|sharing|social|related|recommended|widget|copyright|pagination|pager|overlay|comment|comments|respond|replies|promo|skip-link|subscribe|side)",
     re.I,
 )
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-_IN_ARTICLE = {"header", "hgroup"}  # an article's own header belongs to it
+_MARKED_PART = re.compile(r"(?:.*[_-])?(?:ads?|advert|adverts|advertisement|advertising|adbox|sponsor|sponsored|cookies?|consent|gdpr|newsletter|popup|navbar|sidebar|breadcrumbs?|comments|disqus)(?:[_-].*)?", re.I)
+_UNMARKED = {"article", "main", "body", "html", "h1"}
+_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in _RAW}
 
 
 @dataclass
@@ -58,45 +69,72 @@ class Line:
     article: bool
 
 
-def _noisy(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _DROPPED or (name == "header" and not in_article):
+_GAP = Line("", 0, False)
+
+
+def attributes_of(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from the end of its name on, and where the tag ends."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        if not m[1]:
+            break
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found, at + 1 if page[at : at + 1] == ">" else max(page.find(">", at) + 1, at + 1)
+
+
+def _noisy(name: str, found: dict[str, str], in_article: bool, marks: bool) -> bool:
+    if name in _DROPPED and (marks or name != "form") or (name == "header" and not in_article):
         return True
-    if not attributes or name in ("article", "main", "body", "html", "h1"):
+    if not found or name in _UNMARKED:
         return False
-    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
     if found.get("role", "").lower() in _ROLES:
         return True
-    return bool(_NOISE.search(found.get("class", "")) or _NOISE.search(found.get("id", "")))
+    return marks and any(_MARKED.fullmatch(x) or _MARKED_PART.fullmatch(x) for k in ("class", "id") for x in found.get(k, "").split())
 
 
-def lines_of(page: str) -> list[Line]:
-    """The lines of text of a page, boilerplate left out; a boilerplate element leaves an empty line."""
+def lines_of(page: str, marks: bool = True) -> list[Line]:
+    """The lines of a page, boilerplate left out; `marks`: whether classes, ids and forms may mark it."""
     out: list[Line] = []
     parts: list[str] = []
-    own = 0
+    own = breaks = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are noise
-    noise = links = articles = 0
+    open_: dict[str, int] = {}  # how many elements of each name are open
+    noise = links = headings = articles = 0
     at, n = 0, len(page)
 
     def end_line() -> None:
-        nonlocal parts, own
+        nonlocal parts, own, breaks
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
+                if out:
+                    out.extend([_GAP] * min(breaks - 2, WINDOW))
                 out.append(Line(text, own, articles > 0))
+                breaks = 0
             parts, own = [], 0
+        breaks += 1
+
+    def border() -> None:
+        out.extend([_GAP] * WINDOW)
 
     def close(name: str) -> None:
-        nonlocal noise, links, articles
+        nonlocal noise, links, headings, articles
         while True:
             top, bad = stack.pop()
+            open_[top] -= 1
             noise -= bad
             links -= top == "a"
-            articles -= top in ("article", "main")
+            headings -= top in _HEADINGS
+            if top in _ZONES:
+                articles -= 1
+                if not articles:
+                    border()
             if bad:
-                out.append(Line("", 0, articles > 0))
+                out.append(_GAP)
             if top == name:
                 return
 
@@ -105,11 +143,11 @@ def lines_of(page: str) -> list[Line]:
         stop = m.start() if m else n
         if stop > at and not noise:
             parts.append(page[at:stop])
-            if not links:
+            if not links or headings:
                 own += len(page[at:stop].strip())
         if not m:
             break
-        at = m.end() if m.end() > stop else stop + 1
+        at = m.end()
         if m[1] is not None and not noise:
             parts.append(html.escape(m[1]))
             own += len(m[1])
@@ -117,82 +155,96 @@ def lines_of(page: str) -> list[Line]:
         if not name:
             continue
         name = name.lower()
+        found: dict[str, str] = {}
+        empty = m[4].endswith("/")
+        if m[5] is None:  # a quote
+            found, at = attributes_of(page, m.end(3))
+            empty = page[at - 2 : at] == "/>"
+        elif m[4] and not m[2]:
+            found, _ = attributes_of(page, m.end(3))
         if m[2]:
             if name in _BLOCK and not noise:
                 end_line()
-            if any(x == name for x, _ in stack):
+            if open_.get(name):
                 close(name)
             continue
         if name in _RAW:
-            if not m[4].rstrip().endswith("/"):
-                e = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = e.end() if e else n
+            if not empty:
+                e = _END[name].search(page, at)
+                at = max(page.find(">", e.start()) + 1, e.end()) if e else n
             continue
         if name == "br" and not noise:
             parts.append(" ")
         if name in _BLOCK:
             if not noise:
                 end_line()
-            if name in _CLOSES_P and any(x == "p" for x, _ in stack):
+            if name in _CLOSES_P and open_.get("p"):
                 # a block ends an open paragraph, if no other block was opened within it
-                inner = [x for x, _ in stack[max(i for i, (x, _) in enumerate(stack) if x == "p") :]]
-                if not any(x in _BLOCK for x in inner[1:]):
-                    close("p")
+                for top, _ in reversed(stack):
+                    if top == "p":
+                        close("p")
+                        break
+                    if top in _BLOCK:
+                        break
             if name == "li" and stack and stack[-1][0] == "li":
                 close("li")
-        if name in _VOID or m[4].rstrip().endswith("/"):
+        if name in _VOID or empty:
             continue
-        bad = not noise and _noisy(name, m[4], articles > 0)
+        bad = not noise and _noisy(name, found, articles > 0, marks)
         if bad:
             end_line()
+        if name in _ZONES:
+            if not articles:
+                border()
+            articles += 1
         stack.append((name, bad))
+        open_[name] = open_.get(name, 0) + 1
         noise += bad
         links += name == "a"
-        articles += name in ("article", "main")
+        headings += name in _HEADINGS
     end_line()
     return out
 
 
-def stretches(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+def blocks_of(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The distribution: the sum of `window` lines from each one on."""
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+def stretches(weights: list[int], window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """[begin, end) of the lines between each surge and its dive."""
-    n = len(lengths)
-    blocks = [sum(lengths[i : i + window]) for i in range(n)]
-    out, i = [], 0
+    blocks = blocks_of(weights, window)
+    n, out, i = len(weights), [], 0
     while i < n:
-        if blocks[i] > threshold and (i + 1 >= n or blocks[i + 1] > 0):
+        if blocks[i] > threshold:
             begin = i
-            while begin > 0 and lengths[begin - 1] > 0 and (not out or begin > out[-1][1]):
+            while not weights[begin]:
+                begin += 1
+            before = out[-1][1] if out else 0
+            while begin > before and weights[begin - 1]:
                 begin -= 1
-            end = i
-            while end < n and blocks[end] > 0:
-                end += 1
-            out.append((begin, end))
-            i = end
+            while i < n and blocks[i]:
+                i += 1
+            out.append((begin, i))
         i += 1
     return out
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, threshold: int = THRESHOLD) -> str:
+    """The main text; with a negative threshold, the distribution is left out and all unmarked lines stay."""
     lines = lines_of(page)
-    if any(x.article and x.text for x in lines):
-        lines = [x if x.article else Line("", 0, False) for x in lines]
-        # within an article, text in links counts as the article's
-        lengths = [len(x.text) for x in lines]
-        found = stretches(lengths)
-        first, last = (found[0][0], found[-1][1]) if found else (0, 0)
-        # lines of the article before the first surge and after the last dive are running text too short to surge
-        while first > 0 and (lengths[first - 1] or lines[first - 1].article):
-            first -= 1
-        while last < len(lines) and (lengths[last] or lines[last].article):
-            last += 1
-        found = [(first, last)] if found else [(0, len(lines))]
-    else:
-        lengths = [x.own for x in lines]
-        found = stretches(lengths)
-        sizes = [sum(lengths[a:b]) for a, b in found]
-        found = [s for s, k in zip(found, sizes, strict=True) if k >= SHARE * max(sizes)] if found else [(0, len(lines))]
-        lines = [x if x.own else Line("", 0, False) for x in lines]
-    return "\n".join(x.text for a, b in found for x in lines[a:b] if x.text)
+    if not any(x.text for x in lines):
+        lines = lines_of(page, marks=False)
+    zoned = any(x.article for x in lines)
+    if zoned:
+        lines = [x if x.article else _GAP for x in lines]
+    if threshold < 0:
+        return "\n".join(x.text for x in lines if x.text)
+    weights = [x.own for x in lines]
+    if not any(weights):  # all text is in links
+        weights = [len(x.text) for x in lines]
+    least = 0 if zoned else min(threshold, max(blocks_of(weights), default=0) / 2)
+    return "\n".join(x.text for a, b in stretches(weights, threshold=least) for x in lines[a:b] if x.text)
 
 
 def main_text_column(page: Column | str) -> Column:
