@@ -161,7 +161,7 @@ def test_packing_cost():
 
 
 def test_forward_sums_all_segmentations():
-    model = lang_id.learn({"a": ["banana bandana ban"], "b": ["cab bac abc"]}, {"a": 1, "b": 1}, ["▁b", "▁", "a", "n", "an", "b", "na", "▁ba", "ana", "c", "d"], rounds=2)
+    model = lang_id.learn({"a": lang_id.word_counts(["banana bandana ban"]), "b": lang_id.word_counts(["cab bac abc"])}, {"a": 1, "b": 1}, ["▁b", "▁", "a", "n", "an", "b", "na", "▁ba", "ana", "c", "d"], rounds=2)
     pieces = {"▁b": 2, "▁": 3, "a": 4, "n": 5, "an": 6, "b": 7, "na": 8, "▁ba": 9, "ana": 10, "c": 11, "d": 12}
     for word in ("banana", "cab", "x", "nana"):
         text = "▁" + word

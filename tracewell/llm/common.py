@@ -69,17 +69,17 @@ def text_slices(texts: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = S
         yield first, out
 
 
-def sample_cuts(rows: DataFrame, group: str, hashed: str, limits: dict, default: int = 0) -> dict:
-    """For each group the hash up to which it has at most its limit of distinct hashes.
+def sample_cuts(rows: DataFrame, group: str, hashed: str, limits: dict) -> dict:
+    """For each group the hash up to which it has at most its limit of distinct hashes; groups without limit are left out.
 
     `rows` has a uniform 64-bit hash. Counts come first; then only hashes below a bound of about twice the limit are
     ranked, so no task sees a whole group.
     """
-    rows = rows.filter(F.col(group).isNotNull()).select(group, hashed).distinct()
+    rows = rows.filter(F.col(group).isin(list(limits))).select(group, hashed).distinct()
     counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
     keep, wanted = F.lit(False), F.lit(0)
     for g, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        k = limits.get(g, default)
+        k = limits[g]
         bound = -(1 << 63) + int((1 << 64) * min(1.0, (2 * k + 50) / n)) - 1
         keep = keep | ((F.col(group) == g) & (F.col(hashed) <= bound))
         wanted = F.when(F.col(group) == g, k).otherwise(wanted)

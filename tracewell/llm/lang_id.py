@@ -5,14 +5,18 @@ all its segmentations into pieces, by the forward algorithm; a text's is the pro
 over the languages (with the learned shares as prior) gives the prediction and its score. Pieces are learned by
 expectation-maximisation: expected counts over all segmentations of the words of a bounded sample of labelled texts.
 
-Words are runs of letters, lower-cased, with a word-begin mark. Letters outside the vocabulary are pieces of their own
-with a floor probability. Words of more than SECTION letters are read in sections of that many.
+Words are runs of letters, lower-cased, with a word-begin mark, of any length. Letters outside the vocabulary are pieces
+of their own with a floor probability. Forward and backward values are brought back to range every RESCALED letters.
 
 Defined results: texts that are null or hold no letter get `und` and score 0; so does every text if nothing was labelled.
+Of languages with equal posteriors the first by name is predicted. Repeated labelled rows (same id, text and language) count
+once in the sample and each in the prior; rows without id are told apart by their texts; other columns are ignored. At most
+LANGUAGES languages are learned, the most frequent ones (ties by name), as each takes a column of the model.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +29,14 @@ from .common import sample_cuts
 from .shingles import mix
 
 UNDETERMINED = "und"
-SECTION = 64
-PIECE = 8  # longest piece, with the word-begin mark
-#: The sample: so many texts of each language, those of the smallest hashes of their ids.
+#: The sample: so many texts of each language, those of the smallest hashes of their ids and texts.
 TEXTS_PER_LANGUAGE = 250
+LANGUAGES = 500
+RESCALED = 16
 _MARK = 0x2581
-_TILT = 2.0  # nats a letter that forward values are scaled by, to stay in range
 _FLOOR = 1e-7
+_NO_LETTERS, _NO_LETTERS_JVM = r"[^\pL]+", r"[^\p{L}]+"
+_CELLS = 1 << 20  # words times letters worked on at once
 
 
 def public_pieces() -> list[str]:
@@ -41,7 +46,7 @@ def public_pieces() -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if len(p) <= PIECE and (p[1:] if p[0] == chr(_MARK) else p).isalpha())
+    return sorted(p for p in found if (p[1:] if p[0] == chr(_MARK) else p).isalpha())
 
 
 def _poly(codes: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -57,6 +62,7 @@ class Pieces:
             for c in p:
                 keys[i : i + 1] = _poly(np.array([ord(c)], np.uint64), keys[i : i + 1])
         self.n = len(pieces) + 2
+        self.longest = max(map(len, pieces), default=1)
         self.bits = max(4, int(8 * len(pieces)).bit_length())
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         for number, key in enumerate(keys, 2):
@@ -78,23 +84,23 @@ class Pieces:
         return out
 
 
-def _by_length(words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of the words, matrix of their code points with the mark in front) of each length; words are not empty."""
+def _by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words, matrix of their code points with the mark in front) of words of equal length; words are not empty."""
     lens = pc.utf8_length(words).to_numpy(zero_copy_only=False)
     codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
     begin = np.cumsum(lens) - lens
-    out = []
     for n in np.unique(lens):
-        own = np.flatnonzero(lens == n)
-        out.append((own, np.concatenate((np.full((len(own), 1), _MARK, np.uint32), codes[begin[own][:, None] + np.arange(n)]), axis=1)))
-    return out
+        of_length = np.flatnonzero(lens == n)
+        for lo in range(0, len(of_length), max(1, _CELLS // int(n))):
+            own = of_length[lo : lo + max(1, _CELLS // int(n))]
+            yield own, np.concatenate((np.full((len(own), 1), _MARK, np.uint32), codes[begin[own][:, None] + np.arange(n)]), axis=1)
 
 
 def _numbers(table: Pieces, codes: np.ndarray) -> list[np.ndarray]:
     """For each piece length k, the piece number at each begin of each word: arrays of (n, length - k + 1)."""
     n, length = codes.shape
     h, out = np.zeros((n, length), np.uint64), []
-    for k in range(1, min(PIECE, length) + 1):
+    for k in range(1, min(table.longest, length) + 1):
         width = length - k + 1
         h = _poly(codes[:, k - 1 :], h[:, :width])
         ids = table.find(h.ravel()).reshape(n, width)
@@ -104,6 +110,13 @@ def _numbers(table: Pieces, codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _rescale(values: np.ndarray, shift: np.ndarray, newest: int, window: slice) -> None:
+    """Divides the values of a window of positions, which have one scale, by the newest; `shift` is the logarithm taken out."""
+    top = values[:, newest : newest + 1].copy()
+    values[:, window] /= top
+    shift[:, window] += np.log(top)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -115,31 +128,62 @@ class LanguageModel:
         """log P(word | language), summed over segmentations."""
         out = np.zeros((len(words), len(self.languages)))
         for own, codes in _by_length(words):
-            for lo in range(0, len(own), 65536):
-                part = own[lo : lo + 65536]
-                out[part] = self._forward(codes[lo : lo + 65536])[:, -1].clip(1e-300)
-                out[part] = np.log(out[part]) - _TILT * codes.shape[1]
+            alpha, shift = self._forward(codes, _numbers(self.table, codes))
+            out[own] = np.log(alpha[:, -1]) + shift[:, -1]
         return out
 
-    def _forward(self, codes: np.ndarray, numbers: list[np.ndarray] | None = None) -> np.ndarray:
+    def _forward(self, codes: np.ndarray, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(values, logarithms taken out of them) of each word, position and language."""
         n, length = codes.shape
-        numbers = numbers or _numbers(self.table, codes)
-        scaled = [self.probs * np.exp(_TILT * k) for k in range(1, PIECE + 1)]
         alpha = np.zeros((n, length + 1, len(self.languages)))
         alpha[:, 0] = 1
+        shift = np.zeros_like(alpha) if length > RESCALED else np.zeros((1, length + 1, 1))
+        some = [ids.any(0) for ids in numbers]
         for i in range(1, length + 1):
-            for k in range(1, min(PIECE, i) + 1):
+            first = max(0, i - len(numbers))
+            shift[:, i] = shift[:, i - 1]
+            for k in range(1, i - first + 1):
+                if not some[k - 1][i - k]:
+                    continue
                 ids = numbers[k - 1][:, i - k]
                 hit = np.flatnonzero(ids)
                 if len(hit) * 2 > n:
-                    alpha[:, i] += alpha[:, i - k] * scaled[k - 1][ids]
-                elif len(hit):
-                    alpha[hit, i] += alpha[hit, i - k] * scaled[k - 1][ids[hit]]
-        return alpha
+                    alpha[:, i] += alpha[:, i - k] * self.probs[ids]
+                else:
+                    alpha[hit, i] += alpha[hit, i - k] * self.probs[ids[hit]]
+            if length > RESCALED and i % RESCALED == 0:
+                _rescale(alpha, shift, i, slice(max(0, i - len(numbers) + 1), i + 1))
+        return alpha, shift
+
+    def _expect(self, weight: np.ndarray, codes: np.ndarray, numbers: list[np.ndarray], expected: np.ndarray) -> None:
+        """Adds the expected counts of pieces over all segmentations of the words, each word as often as `weight` says."""
+        alpha, before = self._forward(codes, numbers)
+        n, length = codes.shape
+        beta = np.zeros_like(alpha)
+        beta[:, length] = 1
+        after = np.zeros_like(before)
+        total = np.log(alpha[:, length]) + before[:, length]
+        for i in range(length - 1, -1, -1):
+            after[:, i] = after[:, i + 1]
+            for k in range(1, min(len(numbers), length - i) + 1):
+                ids = numbers[k - 1][:, i]
+                hit = np.flatnonzero(ids)
+                if not len(hit):
+                    continue
+                use = self.probs[ids[hit]] * beta[hit, i + k]
+                beta[hit, i] += use
+                if length > RESCALED:
+                    use = np.exp(np.log(use) + np.log(alpha[hit, i]) + before[hit, i] + after[hit, i + k] - total[hit]) * weight[hit]
+                else:
+                    use = use * alpha[hit, i] / alpha[hit, length] * weight[hit]
+                for j in range(len(self.languages)):
+                    expected[:, j] += np.bincount(ids[hit], weights=use[:, j], minlength=len(expected))
+            if length > RESCALED and i % RESCALED == 0:
+                _rescale(beta, after, i, slice(i, min(length, i + len(numbers) - 1) + 1))
 
     def score(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Prediction and posterior of each text."""
-        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+")
+        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _NO_LETTERS)
         words = lists.values if lists.offset == 0 else lists.flatten()
         words = pc.dictionary_encode(words)
         values, codes = words.dictionary, words.indices.to_numpy()
@@ -148,12 +192,9 @@ class LanguageModel:
         some = np.bincount(owner, weights=wide[codes] > 0, minlength=len(texts)) > 0
         if not self.languages or not some.any():
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        normal = np.flatnonzero((wide > 0) & (wide <= SECTION))
         scores = np.zeros((len(values), len(self.languages)))
-        scores[normal] = self.word_scores(values.take(pa.array(normal)))
-        for i in np.flatnonzero(wide > SECTION):
-            word = values[i].as_py()
-            scores[i] = self.word_scores(pa.array([word[j : j + SECTION] for j in range(0, len(word), SECTION)])).sum(0)
+        real = np.flatnonzero(wide > 0)
+        scores[real] = self.word_scores(values.take(pa.array(real)))
         total = np.stack([np.bincount(owner, weights=scores[codes, j], minlength=len(texts)) for j in range(len(self.languages))], 1)
         total += np.log(self.prior)
         top = total.max(1, keepdims=True)
@@ -161,50 +202,34 @@ class LanguageModel:
         return [self.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)], np.where(some, sure, 0.0).tolist()
 
 
-def learn(texts: dict[str, list[str]], shares: dict[str, float], pieces: list[str], rounds: int = 4) -> LanguageModel:
-    """Piece probabilities of each language from its texts, by expectation-maximisation over segmentations."""
-    languages = sorted(texts)
+def word_counts(texts: list[str]) -> dict[str, int]:
+    """How often each word is in the texts."""
+    flat = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), _NO_LETTERS).flatten()
+    return {pair["values"].as_py(): pair["counts"].as_py() for pair in pc.value_counts(flat) if pair["values"].as_py()}
+
+
+def learn(counts: dict[str, dict[str, int]], shares: dict[str, float], pieces: list[str], rounds: int = 4) -> LanguageModel:
+    """Piece probabilities of each language from the counts of its words, by expectation-maximisation over segmentations."""
+    languages = sorted(shares)
     prior = np.array([max(shares[x], 1e-9) for x in languages])
     table = Pieces(pieces)
     model = LanguageModel(languages, prior / prior.sum() if languages else prior, table, np.zeros((table.n, len(languages))))
     if not languages:
         return model
-    counts: dict[str, np.ndarray] = {}
-    for j, lang in enumerate(languages):
-        flat = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts[lang], pa.string())), r"[^\pL]+").flatten()
-        for pair in pc.value_counts(flat):
-            word = pair["values"].as_py()
-            if 0 < len(word) <= SECTION:
-                counts.setdefault(word, np.zeros(len(languages)))[j] += pair["counts"].as_py()
-    words = pa.array(list(counts), pa.string())
-    weight = np.stack(list(counts.values())) if counts else np.zeros((0, len(languages)))
-    groups = [(own, codes, _numbers(table, codes)) for own, codes in _by_length(words)] if counts else []
+    known = sorted({w for c in counts.values() for w in c})
+    weight = np.array([[counts.get(x, {}).get(w, 0) for x in languages] for w in known], float).reshape(len(known), len(languages))
+    groups = [(own, codes, _numbers(table, codes)) for own, codes in _by_length(pa.array(known, pa.string()))] if known else []
     seen = np.zeros(table.n)
     for own, _, numbers in groups:
         for ids in numbers:
             seen += np.bincount(ids.ravel(), weights=np.repeat(weight[own].sum(1), ids.shape[1]), minlength=table.n)
     seen[0] = 0
-    model.probs[:] = ((seen + 0.1) / (seen + 0.1).sum())[:, None]
+    model.probs[:] = np.maximum((seen + 0.1) / (seen + 0.1).sum(), _FLOOR)[:, None]
     model.probs[0] = 0
     for _ in range(rounds):
         expected = np.full_like(model.probs, 0.01)
         for own, codes, numbers in groups:
-            alpha = model._forward(codes, numbers)
-            n, length = codes.shape
-            beta = np.zeros_like(alpha)
-            beta[:, length] = 1
-            scale = [model.probs * np.exp(_TILT * k) for k in range(1, PIECE + 1)]
-            share = weight[own] / alpha[:, length].clip(1e-300)
-            for i in range(length - 1, -1, -1):
-                for k in range(1, min(PIECE, length - i) + 1):
-                    ids = numbers[k - 1][:, i]
-                    hit = np.flatnonzero(ids)
-                    if len(hit):
-                        use = scale[k - 1][ids[hit]] * beta[hit, i + k]
-                        beta[hit, i] += use
-                        use = use * alpha[hit, i] * share[hit]
-                        for j in range(len(languages)):
-                            expected[:, j] += np.bincount(ids[hit], weights=use[:, j], minlength=table.n)
+            model._expect(weight[own], codes, numbers, expected)
         expected[0] = 0
         model.probs = np.maximum(expected / expected.sum(0), _FLOOR)
         model.probs[0] = 0
@@ -214,22 +239,25 @@ def learn(texts: dict[str, list[str]], shares: dict[str, float], pieces: list[st
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, pieces: list[str] | None = None) -> LanguageModel:
     """A model of the labelled rows that `train` selects.
 
-    The sample is bounded: for each language the texts of the `texts_per_language` ids of smallest hash.
+    The sample is bounded: for each language the `texts_per_language` texts of smallest hash of id and text. What comes to
+    the driver is their words with counts, and the number of rows of each of the LANGUAGES most frequent languages.
     """
     labelled = docs.filter(train).filter(F.col(lang_col).isNotNull())
-    shares = {r[0]: float(r[1]) for r in labelled.groupBy(lang_col).count().collect()}
+    most = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    shares = {r[0]: float(r[1]) for r in most}
     if not shares:
         return learn({}, {}, pieces or public_pieces())
-    hashed = labelled.select(F.col(lang_col).alias("g"), F.xxhash64(F.col(id_col)).alias("h"))
-    limit = sample_cuts(hashed, "g", "h", {}, texts_per_language)
+    hashed = labelled.select(F.col(lang_col).alias("g"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
+    limit = sample_cuts(hashed, "g", "h", dict.fromkeys(shares, texts_per_language))
     chosen = F.lit(False)
     for lang, cut in sorted(limit.items()):
-        chosen = chosen | ((F.col(lang_col) == lang) & (F.xxhash64(F.col(id_col)) <= cut))
-    rows = labelled.filter(chosen).select(F.col(lang_col), F.col(text_col)).collect()
-    texts: dict[str, list[str]] = {x: [] for x in shares}
-    for lang, text in rows:
-        texts[lang].append(text or "")
-    return learn(texts, shares, pieces or public_pieces())
+        chosen = chosen | ((F.col("g") == lang) & (F.col("h") <= cut))
+    sample = hashed.filter(chosen).dropDuplicates(["g", "h"])
+    words = sample.select("g", F.explode(F.split(F.lower("t"), _NO_LETTERS_JVM)).alias("w")).filter("w <> ''")
+    counts: dict[str, dict[str, int]] = {x: {} for x in shares}
+    for lang, word, n in words.groupBy("g", "w").count().collect():
+        counts[lang][word] = n
+    return learn(counts, shares, pieces or public_pieces())
 
 
 def language_column(model: LanguageModel, text: Column | str) -> Column:
