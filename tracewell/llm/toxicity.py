@@ -1,22 +1,27 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
 Folding: lower case; letters that look like Latin ones (Cyrillic, Greek, full-width) become those; digits and signs that
-stand for letters inside a word become the letters; everything else that is no letter becomes a space. Patterns are
-whole words (` word `) and word beginnings (` stem`). Matches inside an exception phrase don't count. The score is a
-logistic function of the summed weights and of the weights normalised by length.
+stand for letters inside a word become the letters; invisible characters and combining marks vanish; everything else that is
+no letter becomes a space. Patterns are whole words (` word `) and word beginnings (` stem`) of any length. Matches inside an
+exception phrase don't count. The score is a logistic function of the summed weights and of the weights normalised by length.
 
 The lexicon is a public seed list, extended and weighted on labelled texts: word beginnings and words are added one by
-one, each time the one that covers most toxic texts not yet covered while clean texts hardly have it.
+one, each time the one that covers most toxic texts not yet covered while clean texts hardly have it. Beginnings are those of
+at least STEM letters that end where two of the toxic texts' words part, so none that tells texts apart is left out.
 
-Defined results: null and empty texts have no match and get the score of a text without matches; ids, languages and
-sources are never read.
+Defined results: null and empty texts have no match and get the score of a text without matches; rows that repeat an id are
+scored each, and learned from by the least of their texts; of several labels of one id the greatest counts; labels other than
+0 and 1, and labels without id, are left out; texts of any length are matched in time linear in their length; other columns
+are never read.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_cuts
+from .common import materialize, sample_cuts
 
 # A seed of common English insults, and phrases in which they are harmless.
 SEED = (
@@ -38,6 +43,7 @@ DIGITS = dict(zip("013456789@$!|", "oieasgtbgasii", strict=True))
 
 #: The labelled sample: so many toxic and clean texts, those of the smallest hashes of their ids.
 TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
+STEM = 4  # least letters of a beginning
 
 
 class _Fold(dict):
@@ -45,6 +51,9 @@ class _Fold(dict):
 
     def __missing__(self, code: int) -> str:
         char = chr(code)
+        if unicodedata.category(char) in ("Cf", "Mn", "Me"):
+            self[code] = ""
+            return ""
         low = unicodedata.normalize("NFKC", char).lower()
         if len(low) != 1:
             low = char.lower()[:1]
@@ -53,7 +62,15 @@ class _Fold(dict):
         return out
 
 
-_FOLD = _Fold()
+class _Invisible(dict):
+    """Code point -> nothing for characters that folding removes, else itself."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = out = None if unicodedata.category(chr(code)) in ("Cf", "Mn", "Me") else code
+        return out
+
+
+_FOLD, _INVISIBLE = _Fold(), _Invisible()
 _SIGNS = tuple(s for s in DIGITS if not s.isdigit())
 
 
@@ -62,10 +79,24 @@ def fold(text: str) -> str:
     if any(s in text for s in _SIGNS):
         import re
 
-        text = re.sub(r"(?<=[^\W_])[@$!|](?=[^\W_])", lambda m: DIGITS[m[0]], text)
+        text = re.sub(r"(?<=[^\W_])[@$!|](?=[^\W_])", lambda m: DIGITS[m[0]], text.translate(_INVISIBLE))
     return " " + " ".join(text.translate(_FOLD).split()) + " "
 
 
+def outside(found: list[tuple[int, int, float]], spared: list[tuple[int, int, float | None]]) -> list[tuple[int, int, float]]:
+    """The matches that lie in no spared stretch, in one sweep by begin: of the stretches begun, the one that reaches furthest decides."""
+    if not spared:
+        return found
+    spared, kept, reach, k = sorted(spared, key=lambda x: x[0]), [], -1, 0
+    for m in sorted(found, key=lambda x: x[0]):
+        while k < len(spared) and spared[k][0] <= m[0]:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if m[1] > reach:
+            kept.append(m)
+    return kept
+
+
 @dataclass
 class ToxicityModel:
     """Patterns with weights (with their leading, and for whole words trailing, space), exceptions and logistic weights."""
@@ -96,7 +127,7 @@ class ToxicityModel:
         found, spared = [], []
         for last, (n, weight) in self._automaton.iter(folded):
             (spared if weight is None else found).append((last + 1 - n, last + 1, weight))
-        return [m for m in found if not any(b <= m[0] and m[1] <= e for b, e, _ in spared)]
+        return outside(found, spared)
 
     def features(self, text: str) -> tuple[float, float]:
         """Summed weight, and summed weight per 100 words, both as log(1 + x)."""
@@ -113,46 +144,59 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def _patterns(folded: str) -> set[str]:
-    out = set()
-    for word in set(folded.split()):
-        if 3 <= len(word) <= 24:
-            out.add(f" {word} ")
-        for k in range(4, min(len(word), 8)):
-            out.add(f" {word[:k]}")
+def stems_of(words: Iterable[str], least: int = STEM) -> set[str]:
+    """The beginnings of at least `least` letters at which two of the words part; a word that begins another is one too."""
+    out, before = set(), ""
+    for word in sorted(set(words)):
+        n = len(os.path.commonprefix((before, word)))
+        if n >= least:
+            out.add(word[:n])
+        before = word
     return out
 
 
-def learn(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED, least: int = 3, most: int = 400) -> ToxicityModel:
-    """Lexicon and weights from labelled texts; without labelled texts of both kinds, the seed with its default weights."""
-    model = ToxicityModel({f" {w} ": 3.0 for w in seed})
+def _patterns(words: list[str], stems: set[str], lengths: list[int]) -> set[str]:
+    """The patterns that distinct folded words have: themselves, and those of `stems` (of these lengths) that they begin with."""
+    out = {f" {w} " for w in words}
+    out.update(f" {w[:k]}" for w in words for k in lengths if k <= len(w) and w[:k] in stems)
+    return out
+
+
+def learn_lexicon(texts: list[list[str]], labels: list[int], seed: tuple[str, ...] = SEED, least: int = 3) -> dict[str, float]:
+    """Patterns with weights, from the distinct folded words of labelled texts; the seed with its default weight without texts of both kinds.
+
+    A pattern is added only if it covers at least `least` toxic texts that no other covers, which bounds the lexicon.
+    """
+    lexicon = {f" {w} ": 3.0 for w in seed}
     if not texts or len(set(labels)) < 2:
-        return model
+        return lexicon
+    stems = stems_of(w for words, y in zip(texts, labels, strict=True) if y for w in words)
+    lengths = sorted(set(map(len, stems)))
     bad_counts, good = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
+    for words, y in zip(texts, labels, strict=True):
         if y:
-            bad_counts.update(_patterns(fold(t)))
-    counts = Counter({p: n for p, n in bad_counts.items() if n >= least or p in model.lexicon})
+            bad_counts.update(_patterns(words, stems, lengths))
+    counts = Counter({p: n for p, n in bad_counts.items() if n >= least or p in lexicon})
     del bad_counts
-    for t, y in zip(texts, labels, strict=True):
+    for words, y in zip(texts, labels, strict=True):
         if not y:
-            good.update(p for p in _patterns(fold(t)) if p in counts or p in model.lexicon)
+            good.update(p for p in _patterns(words, stems, lengths) if p in counts or p in lexicon)
     n_bad, n_good = sum(labels), len(labels) - sum(labels)
 
     def weight(p: str, seen: int) -> float:
         return math.log((seen + 0.5) / (n_bad + 1)) - math.log((good[p] + 0.5) / (n_good + 1))
 
-    lexicon = {p: min(max(weight(p, counts[p]), 0.0), 8.0) if counts[p] + good[p] else 3.0 for p in model.lexicon}
+    lexicon = {p: min(max(weight(p, counts[p]), 0.0), 8.0) if counts[p] + good[p] else 3.0 for p in lexicon}
     lexicon = {p: w for p, w in lexicon.items() if w > 1.0}
     eager = {p for p in counts if good[p] <= 0.02 * counts[p] * n_good / n_bad and weight(p, counts[p]) > 2.0}
     left = []
-    for t, y in zip(texts, labels, strict=True):
+    for words, y in zip(texts, labels, strict=True):
         if y:
-            s = _patterns(fold(t))
+            s = _patterns(words, stems, lengths)
             if not s & lexicon.keys():
                 left.append(s & eager)
     gain = Counter(p for s in left for p in s)
-    while gain and len(lexicon) < most:
+    while gain:
         # of equals the shortest beginning generalises best
         p, n = max(gain.items(), key=lambda x: (x[1] - 3 * good[x[0]], -len(x[0]), x[0]))
         if n < least:
@@ -163,8 +207,12 @@ def learn(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED, lea
                 gain.subtract(s)
         left = [s for s in left if p not in s]
         gain = +gain
-    model = ToxicityModel(lexicon)
-    x = np.array([(1.0, *model.features(t)) for t in texts])
+    return lexicon
+
+
+def learn_weights(features: list[tuple[float, float]], labels: list[int]) -> tuple[float, ...]:
+    """Logistic weights of the features of labelled texts."""
+    x = np.array([(1.0, *f) for f in features])
     y = np.array(labels, float)
     share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     share = np.sqrt(share)  # between the sample's balance and an even one
@@ -176,14 +224,41 @@ def learn(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED, lea
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = tuple(float(v) for v in w)
+    return tuple(float(v) for v in w)
+
+
+def learn(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED) -> ToxicityModel:
+    """Lexicon and weights from labelled texts; without labelled texts of both kinds, the seed with its default weights."""
+    model = ToxicityModel(learn_lexicon([sorted(set(fold(t).split())) for t in texts], labels, seed))
+    if texts and len(set(labels)) > 1:
+        model.weights = learn_weights([model.features(t) for t in texts], labels)
     return model
 
 
+def _words_column(text: str) -> Column:
+    """The distinct folded words of a text column, in order."""
+
+    @F.arrow_udf("array<string>")
+    def distinct(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(set(fold(t.as_py() or "").split())) for t in texts], pa.list_(pa.string()))
+
+    return distinct(text)
+
+
+def _features_column(model: ToxicityModel, text: str) -> Column:
+    @F.arrow_udf("struct<x:double,y:double>")
+    def features(texts: pa.Array) -> pa.Array:
+        found = [model.features(t.as_py() or "") for t in texts]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], ["x", "y"])
+
+    return features(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_texts: int = TOXIC_TEXTS, clean_texts: int = CLEAN_TEXTS) -> ToxicityModel:
     """A model of the rows of `labels` that `train` (on the id) selects, and their texts.
 
-    The sample is bounded: the labelled ids of smallest hash, `toxic_texts` toxic and `clean_texts` clean ones.
+    The sample is bounded: the labelled ids of smallest hash, `toxic_texts` toxic and `clean_texts` clean ones. Their
+    distinct words come to the driver, and two features of each; their texts stay on the executors.
     """
     known = labels.filter(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     known = known.withColumn("_h", F.xxhash64(id_col))
@@ -191,11 +266,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     chosen = F.lit(False)
     for y, cut in cuts.items():
         chosen = chosen | ((F.col("_y") == y) & (F.col("_h") <= cut))
-    found = {r[0]: r[1] for r in known.filter(chosen).select(id_col, "_y").collect()}
+    found = {r[0]: int(r[1]) for r in known.filter(chosen).select(id_col, "_y").collect()}
+    model = ToxicityModel({f" {w} ": 3.0 for w in SEED})
+    if len(set(found.values())) < 2:
+        return model
     # at most toxic_texts + clean_texts ids
-    rows = docs.filter(F.col(id_col).isin(list(found))).select(id_col, text_col).dropDuplicates([id_col]).collect() if found else []
-    rows.sort(key=lambda r: r[0])
-    return learn([r[1] or "" for r in rows], [found[r[0]] for r in rows])
+    sample = docs.filter(F.col(id_col).isin(list(found))).groupBy(F.col(id_col).alias("_i")).agg(F.min(text_col).alias("_t"))
+    sample = materialize(sample, "labelled")
+    words = dict(sample.select("_i", _words_column("_t")).collect())
+    ids = sorted(words)
+    y = [found[i] for i in ids]
+    if len(set(y)) < 2:
+        return model
+    model.lexicon = learn_lexicon([words[i] for i in ids], y)
+    features = {r[0]: (r[1], r[2]) for r in sample.select("_i", _features_column(model, "_t").alias("f")).select("_i", "f.x", "f.y").collect()}
+    model.weights = learn_weights([features[i] for i in ids], y)
+    return model
 
 
 def score_column(model: ToxicityModel, text: Column | str) -> Column:
