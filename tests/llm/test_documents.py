@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, entry, exact_topk, lang_id, main_text, packing, token_counts, toxicity, transport_stream
+from tracewell.llm import byte_bpe, entry, lang_id, main_text, packing, token_counts, toxicity, transport_stream
 from tracewell.llm.vocab import byte_ranks, multi_path, pretoken_pattern
 
 SF = "/root/testdata/sf0.001"
@@ -106,32 +106,6 @@ def test_top_k_against_sql(spark):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == {(q, r, v, s) for q, r, v, s in want}
 
 
-def test_top_k_hard_rows(spark):
-    rnd = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rnd.integers(-2, 3, 3)], "x") for i in range(120)] + [(120 + i, [1.0, 1.0, 1.0], "x") for i in range(300)]
-    rows += [(500, None, "x"), (501, [1.0, None, 2.0], "x"), (502, [float("nan"), 1.0, 1.0], "x"), (503, [], "x"), (None, [1.0, 1.0, 1.0], "x"), (550, [float("inf"), 0.0, 0.0], "x"), (50, [2.0, 2.0, 2.0], "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
-    got = Counter(tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, scale=2.0).select("query_id", "score").collect())
-    good = [(i, np.floor(2.0 * np.array(v))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = Counter()
-    for q in {i for i, _ in good if i % 50 == 0}:
-        scores = sorted((-int(a @ b) for i, a in good if i == q for j, b in good if j != q))
-        want.update((q, -s) for s in scores[:5])
-    assert got == want
-
-
-def test_top_k_prunes():
-    """Blocks whose bound is below the k-th score aren't scored."""
-    rows = [np.full((4, 2), v, np.int64) for v in range(20)]
-    blocks = [(np.arange(4) + 4 * i, r, r.max(0), r.min(0)) for i, r in enumerate(rows)]
-    best, scored = exact_topk.search_range(np.array([1000]), np.array([[1, 1]]), np.array([-(1 << 62)]), blocks, 3)
-    assert best[0][1].tolist() == [38, 38, 38] and best[0][0].tolist() == [76, 77, 78] and scored == 1
-
-
-def test_top_k_empty(spark):
-    assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
-
-
 def test_packing(hard_docs, hard_rows):
     sizes = (64, 128, 512)
     got = packing.pack_documents(hard_docs, capacities=sizes, shard_pieces=40).collect()
