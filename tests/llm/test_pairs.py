@@ -11,7 +11,7 @@ import pytest
 from tracewell.llm.components import connected_components
 from tracewell.llm.jaccard import _bodies, jaccard_components, spanning_links
 from tracewell.llm.shingles import shingle_sets
-from tracewell.llm.suffix_dedup import common_prefix, merge_runs, remove_repeats
+from tracewell.llm.suffix_dedup import all_anchors_of, anchors_of, common_prefix, merge_runs, remove_repeats, repeats, word_codes
 
 
 def shingles(text, width=5):
@@ -180,10 +180,52 @@ def test_remove_repeats(hard_docs, hard_rows, length, gram, hot):
         assert sum(e - b for b, e in spans) == r.n_removed and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_copies_of_one_row(spark):
+    """Many equal rows, with and without id, cost in proportion to their number: all go, and so does what others share with them."""
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    copy, other = say(5000), say(3000)
+    rows = [(1, copy)] * 1500 + [(None, other)] * 700 + [(2, say(300) + copy[1000:1700] + say(300)), (3, say(900)), (None, other[:399]), (1, say(800))]
+    got = Counter((r.doc_id, r.n_removed, len(r.spans), len(r.kept)) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == Counter({(1, 5000, 1, 0): 1500, (None, 3000, 1, 0): 700, (2, 700, 1, 600): 1, (3, 0, 0, 900): 1, (None, 0, 0, 399): 1, (1, 0, 0, 800): 1})
+
+
+@pytest.mark.parametrize("scan", [100, 333, 5000])
+def test_scan_in_slices(scan):
+    """Slices give every window the anchor that a scan of the whole text gives it, and words the same codes."""
+    rnd = random.Random(13)
+    texts = [bytes(rnd.choice(b"ab c") for _ in range(n)) for n in (0, 59, 60, 61, 700, 2400)] + [b"x" * 400, b"a b " * 200]
+
+    def windows(parts):
+        return {(int(o), int(p) - d, int(h), int(p)) for owner, hs, pos, lo, hi in parts for o, h, p, a, b in zip(owner, hs, pos, lo, hi, strict=True) for d in range(int(a), int(b) + 1)}
+
+    whole = windows([anchors_of(texts, 60, 12)])
+    assert windows(all_anchors_of(texts, 60, 12, scan)) == whole and len(whole) == sum(max(0, len(t) - 59) for t in texts)
+    assert word_codes(texts, scan) == word_codes(texts)
+
+
 def test_remove_repeats_empty(no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_of_sorted_contexts():
+    """Distances of repeated windows, against comparing every two contexts byte for byte."""
+    rnd = random.Random(14)
+    for _ in range(150):
+        length = 8
+        rows = []
+        for _ in range(rnd.randint(1, 14)):
+            lo = rnd.randint(0, 3)
+            hi = rnd.randint(lo, 5)
+            rows.append((bytes(rnd.choice(b"ab") for _ in range(length - lo)), bytes(rnd.choice(b"ab") for _ in range(hi)), lo, hi, rnd.random() < 0.1))
+        rows.sort()
+        lcp = np.array([0] + [common_prefix(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)])
+        low, high = repeats(lcp, [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), length)
+        for k, (right, left, lo, hi, many) in enumerate(rows):
+            found = [m for m in range(lo, hi + 1) if many or any(k != j and r[2] <= m <= r[3] and r[0][: length - m] == right[: length - m] and r[1][:m] == left[:m] for j, r in enumerate(rows))]
+            assert (low[k], high[k]) == ((min(found), max(found)) if found else (length, -1))
+
+
 def test_loser_tree():
     rnd = random.Random(1)
     for _ in range(100):

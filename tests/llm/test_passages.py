@@ -53,6 +53,15 @@ def test_passages_of_words_go(spark, rows, hot):
     assert {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, words=51, hot=hot).collect()} == want
 
 
+def test_passages_are_counted(spark, rows):
+    """Marked passages stay and are counted; the strings of 400 bytes go as without them."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [(t or "").encode() for _, t in rows]
+    strings, both, alone = (dict(zip((i for i, _ in rows), brute_passages(texts, n, w), strict=True)) for n, w in ((400, 10**6), (400, 51), (10**6, 51)))
+    got = {r.doc_id: (bytes(r.kept), r.n_passage) for r in remove_repeats(docs, words=51, mark_words=True).collect()}
+    assert got == {i: (strings[i], len((t or "").encode()) - len(alone[i])) for i, t in rows} and both != strings
+
+
 def test_pipeline_takes_short_words(spark, rows):
     """A passage of 51 words under 400 bytes goes from all texts, one of 50 words from none."""
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")

@@ -13,6 +13,7 @@ from .common import digest_bucket, table
 from .vocab import byte_ranks, multi_path, pretoken_pattern
 
 VOCABULARY = "byte_bpe_multi_50k"
+PASSAGE_WORDS = 51
 
 
 def _n_bytes(text: str = "text"):
@@ -78,13 +79,15 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns are of strings of 400 bytes; n_passage_bytes also tells how many bytes lie in passages of over 50 words that repeat."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select(
+    return suffix_dedup.remove_repeats(docs, words=PASSAGE_WORDS, mark_words=True).select(
         "doc_id",
         _n_bytes().alias("n_bytes"),
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("n_passage").alias("n_passage_bytes"),
     )
 
 

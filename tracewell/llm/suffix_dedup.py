@@ -32,12 +32,17 @@ short its words are. A word is that of shingles.py (ASCII letters folded, any wh
 bytes of its hash; a text is then a string of these, with `words` * WORD_BYTES bytes to a window, and takes the same way as
 its bytes. Stretches found are cut to whole words and take the white space behind them. Both kinds are judged on the input.
 
+Rows are told apart by id and a 64-bit hash of the text. Equal rows share one list of anchors and of stretches, so copies cost
+in proportion to their number. The number of buckets follows the number of anchors, so that a bucket fits a task.
+
 Defined results: null texts count as empty; rows that repeat an id and a text are two texts (so they repeat each other);
-rows of one id and different texts are separate; other columns stay unless named like a result, which replaces them.
+rows of one id and different texts are separate, also where the id is null; texts of any length are scanned in slices; other
+columns stay unless named like a result, which replaces them; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,8 +58,10 @@ from .shingles import _POWERS, _SPACE, mix, words
 LENGTH, GRAM = 400, 100
 HOT = 20_000
 WORD_BYTES = 5
+BUCKET_ANCHORS = 40_000
+SCAN_BYTES = 4 << 20  # of a text scanned at once
 _PLACE_BITS = 28  # of a position in a slice; the other bits of the order of anchors are the gram's hash
-_ANCHOR_SCHEMA = "d long, t int, h long, at long"
+_ANCHOR_SCHEMA = "d long, t long, h long, at long"
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -74,12 +81,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, hash, position, least and greatest distance from a window's start) of the anchors of each text."""
+    """(text, hash, position, least and greatest distance from a window's start) of the anchors of each text; a few MB in one call."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lens)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) >> _PLACE_BITS:
-        raise ValueError(f"texts of 2^{_PLACE_BITS} bytes or more can't be scanned")
     if not (lens >= length).any():
         return tuple(np.empty(0, np.int64) for _ in range(5))
     h = _gram_hashes(data, gram)
@@ -95,8 +100,24 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     return owner, h[at].view(np.int64), at - (ends - lens)[owner], at - start[last], at - start[new]
 
 
-def word_codes(texts: list[bytes]) -> list[bytes]:
-    """Each text as WORD_BYTES bytes for each of its words."""
+def all_anchors_of(texts: list[bytes], length: int, gram: int, scan: int = SCAN_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """anchors_of for texts of any length: long ones are scanned in slices, each with the windows that begin in it.
+
+    The choice of a window's anchor doesn't depend on the slice; an anchor of windows in two slices comes from both.
+    """
+    if sum(map(len, texts)) <= 2 * scan:
+        yield anchors_of(texts, length, gram)
+        return
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text) - length + 1, 1), scan):
+            owner, h, pos, lo, hi = anchors_of([text[at : at + scan + length - 1]], length, gram)
+            yield owner + i, h, pos + at, lo, hi
+
+
+def word_codes(texts: list[bytes], scan: int = SCAN_BYTES) -> list[bytes]:
+    """Each text as WORD_BYTES bytes for each of its words; long texts are coded in slices that end between words."""
+    if sum(map(len, texts)) > 2 * scan:
+        return [b"".join(word_codes([part], len(part))[0] for part in _between_words(text, scan)) for text in texts]
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lens + 1) - 1
     hashes, counts = words(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), ends - lens, ends)
@@ -105,6 +126,19 @@ def word_codes(texts: list[bytes]) -> list[bytes]:
     return [codes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+_WHITE = re.compile(rb"[\t-\r ]")
+
+
+def _between_words(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes, cut at white space only."""
+    at = 0
+    while at < len(text):
+        m = _WHITE.search(text, at + size)
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def word_stretches(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches of a text's word codes as stretches of its bytes: the whole words among them and the white space behind each stretch."""
     inside = ~_SPACE[np.frombuffer(text, np.uint8)]
@@ -122,12 +156,12 @@ def _anchors(sizes: list[tuple[int, int]]):
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, texts in text_slices(batch.column(2)):
                 for kind, (length, gram) in enumerate(sizes):
-                    owner, h, pos, lo, hi = anchors_of(word_codes(texts) if kind else texts, length, gram)
-                    if len(sizes) > 1:
-                        h = h & ~1 | kind
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(d[first + owner]), pa.array(t[first + owner]), pa.array(h), pa.array(pos << 20 | lo << 10 | hi)], names=["d", "t", "h", "at"]
-                    )
+                    for owner, h, pos, lo, hi in all_anchors_of(word_codes(texts) if kind else texts, length, gram):
+                        if len(sizes) > 1:
+                            h = h & ~1 | kind
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(d[first + owner]), pa.array(t[first + owner]), pa.array(h), pa.array(pos << 20 | lo << 10 | hi)], names=["d", "t", "h", "at"]
+                        )
 
     return run
 
@@ -141,8 +175,8 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 _ZSTD = pa.Codec("zstd", compression_level=6)
 _HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("many", "<u1")])
-_PLACE = np.dtype([("d", "<i8"), ("t", "<i4"), ("pos", "<u4")])
-_STRETCH = np.dtype([("d", "<i8"), ("t", "<i4"), ("begin", "<i4"), ("end", "<i4")])
+_PLACE = np.dtype([("d", "<i8"), ("t", "<i8"), ("pos", "<u4")])
+_STRETCH = np.dtype([("d", "<i8"), ("t", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 
 
 def encode_run(contexts: dict[tuple[bytes, bytes], list[tuple[int, int, int]]]) -> bytes:
@@ -253,23 +287,21 @@ def repeats(lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, hi: np.ndarray,
     low, high = np.where(many, lo, length), np.where(many, hi, -1)
     if n < 2:
         return low, high
-    widest = int(hi.max(initial=0))
-    before = np.zeros((n, widest), np.uint8)
-    lens = np.fromiter(map(len, lefts), np.int64, n)
-    before[np.arange(widest)[None, :] < lens[:, None]] = np.frombuffer(b"".join(lefts), np.uint8)
+    # contexts that share their last m bytes before the anchor: neighbours in the order of these bytes, cut where fewer agree
+    order = sorted(range(n), key=lefts.__getitem__)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    agree = np.zeros(n, np.int64)
+    agree[1:] = [common_prefix(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False)]
     best = np.maximum(lcp, np.concatenate((lcp[1:], [0])))
-    digest = np.zeros(n, np.uint64)
-    for m in range(widest + 1):
-        if m:
-            digest = digest * np.uint64(0x9E3779B97F4A7C15) + before[:, m - 1] + np.uint64(1)
+    for m in range(int(hi.max(initial=0)) + 1):
         act = np.flatnonzero((lo <= m) & (hi >= m) & (best >= length - m))
         if len(act) < 2:
             continue
-        group = np.cumsum(lcp < length - m)[act].astype(np.uint64)
-        key = mix(mix(group) + digest[act])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        hit = act[np.unique(np.concatenate((order[1:][same], order[:-1][same])))]
+        key = np.cumsum(lcp < length - m)[act] * (n + 1) + np.cumsum(agree < m)[rank[act]]
+        by_key = np.argsort(key)
+        same = key[by_key][1:] == key[by_key][:-1]
+        hit = act[np.unique(np.concatenate((by_key[1:][same], by_key[:-1][same])))]
         low[hit] = np.minimum(low[hit], m)
         high[hit] = np.maximum(high[hit], m)
     return low, high
@@ -295,7 +327,7 @@ def _runs(text_col: str, lengths: list[int], buckets: int, flush: int = 16 << 20
         def put(kind: int, bucket: int, right: bytes, left: bytes, place: tuple[int, int, int]) -> int:
             places = parts.setdefault(kind * buckets + bucket % buckets, {}).setdefault((right, left), [])
             places.append(place)
-            return 100 if len(places) > 1 else len(right) + len(left) + 200
+            return 150 if len(places) > 1 else len(right) + len(left) + 500
 
         def out() -> pa.RecordBatch:
             names, share = sorted(parts), []
@@ -363,12 +395,17 @@ def _merge(lengths: list[int], buckets: int):
     return run
 
 
-def erase(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the union of the stretches, and the maximal stretches removed."""
+def union(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal stretches that at least one stretch covers; adjacent ones are one."""
     order = np.argsort(begins, kind="stable")
     begins, ends = begins[order], np.maximum.accumulate(ends[order])
     new = np.flatnonzero(np.concatenate(([True], begins[1:] > ends[:-1])))
-    spans = list(zip(begins[new].tolist(), ends[np.concatenate((new[1:] - 1, [len(ends) - 1]))].tolist(), strict=True))
+    return list(zip(begins[new].tolist(), ends[np.concatenate((new[1:] - 1, [len(ends) - 1]))].tolist(), strict=True))
+
+
+def erase(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without the union of the stretches, and the maximal stretches removed."""
+    spans = union(begins, ends)
     kept, at = [], 0
     for b, e in spans:
         kept.append(text[at:b])
@@ -376,48 +413,58 @@ def erase(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, lis
     return b"".join([*kept, text[at:]]), spans
 
 
-def _erase_column(as_text: bool):
-    kind = pa.struct([("kept", pa.string() if as_text else pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+def _erase_column(as_text: bool, mark: bool):
+    """What is left, what went and where; with `mark`, passages of words are counted and stay."""
+    kind = pa.struct([("kept", pa.string() if as_text else pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("n_passage", pa.int64())])
 
-    @F.arrow_udf(f"struct<kept:{'string' if as_text else 'binary'},n_removed:bigint,spans:array<struct<begin:bigint,end:bigint>>>")
+    @F.arrow_udf(f"struct<kept:{'string' if as_text else 'binary'},n_removed:bigint,spans:array<struct<begin:bigint,end:bigint>>,n_passage:bigint>")
     def erased(text: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for x, rows in zip(text, found, strict=True):
             data = (x.as_py() or "").encode()
+            kept, spans, passage = data, [], 0
             if rows.is_valid and len(rows.values):
                 begins, ends, coded = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in ("begin", "end", "words"))
                 if coded.any():
                     more = word_stretches(data, begins[coded], ends[coded])
-                    begins, ends = np.concatenate((begins[~coded], more[0])), np.concatenate((ends[~coded], more[1]))
-                kept, spans = erase(data, begins, ends) if len(begins) else (data, [])
-            else:
-                kept, spans = data, []
+                    begins, ends = begins[~coded], ends[~coded]
+                    if len(more[0]):
+                        passage = sum(e - b for b, e in union(*more))
+                    if not mark:
+                        begins, ends = np.concatenate((begins, more[0])), np.concatenate((ends, more[1]))
+                if len(begins):
+                    kept, spans = erase(data, begins, ends)
             shown = kept.decode("utf-8", "ignore") if as_text else kept
-            out.append({"kept": shown, "n_removed": len(data) - len(kept), "spans": [{"begin": b, "end": e} for b, e in spans]})
+            out.append({"kept": shown, "n_removed": len(data) - len(kept), "spans": [{"begin": b, "end": e} for b, e in spans], "n_passage": passage})
         return pa.array(out, kind)
 
     return erased.asNondeterministic()  # so that filters on the result don't run it again
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, hot: int = HOT, words: int = 0) -> DataFrame:
-    """docs with `kept`, `n_removed` and `spans` (of the bytes removed, in order).
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, hot: int = HOT, words: int = 0, mark_words: bool = False
+) -> DataFrame:
+    """docs with `kept`, `n_removed` and `spans` (of the bytes removed, in order), and `n_passage`, the bytes in repeated passages of words.
 
     `kept` is the bytes that remain (binary), or, with as_text, the whole characters among them (string). With `words`,
-    passages of so many words that repeat go too.
+    passages of so many words that repeat go too; with mark_words they are only counted.
     """
     sizes = [(length, gram)] + ([(words * WORD_BYTES, -(-words // 3) * WORD_BYTES)] if words else [])
     if not all(0 < g <= n < 1024 for n, g in sizes):
         raise ValueError("gram, length and words must fit")
-    lengths, buckets = [n for n, _ in sizes], partitions_for(docs.sparkSession)
-    docs = docs.drop("kept", "n_removed", "spans")
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_t": F.hash(text_col)})
+    lengths = [n for n, _ in sizes]
+    docs = docs.drop("kept", "n_removed", "spans", "n_passage")
+    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64(text_col)})
     plain = keyed.filter(F.octet_length(text_col) >= (min(length, 2 * words - 1) if words else length)).select("_d", "_t", text_col)
     anchors = materialize(plain.mapInArrow(_anchors(sizes), _ANCHOR_SCHEMA), "anchors")
-    often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > hot).alias("hot")), "grams")
-    rows = anchors.join(often, "h").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "at", "hot")).alias("_a"))
+    often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    buckets = max(partitions_for(docs.sparkSession), -(-int(often.agg(F.sum("n")).first()[0] or 0) // BUCKET_ANCHORS))
+    # sets, as equal rows have the same anchors and the same stretches
+    rows = anchors.hint("merge").join(often.select("h", (F.col("n") > hot).alias("hot")), "h")
+    rows = rows.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "at", "hot")).alias("_a"))
     # Both joins with the texts use all columns, so that the texts are exchanged once.
-    runs = keyed.join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, lengths, buckets), "bucket int, run binary, done binary")
-    found = runs.groupBy("bucket").applyInPandas(_merge(lengths, buckets), "_d long, _t int, begin long, end long, words boolean")
-    found = found.groupBy("_d", "_t").agg(F.collect_list(F.struct("begin", "end", "words")).alias("_f"))
-    out = keyed.join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column(as_text)(text_col, "_f"))
-    return out.select(*[F.col(c) for c in docs.columns], F.col("_r.kept").alias("kept"), F.col("_r.n_removed").alias("n_removed"), F.col("_r.spans").alias("spans"))
+    runs = keyed.hint("merge").join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, lengths, buckets), "bucket int, run binary, done binary")
+    found = runs.groupBy("bucket").applyInPandas(_merge(lengths, buckets), "_d long, _t long, begin long, end long, words boolean")
+    found = found.groupBy("_d", "_t").agg(F.collect_set(F.struct("begin", "end", "words")).alias("_f"))
+    out = keyed.hint("merge").join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column(as_text, mark_words)(text_col, "_f"))
+    return out.select(*[F.col(c) for c in docs.columns], *[F.col(f"_r.{c}").alias(c) for c in ("kept", "n_removed", "spans", "n_passage")])
