@@ -25,27 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not _local_scratch:
-        _local_scratch.append(tempfile.mkdtemp(prefix="tracewell-"))
-    return _local_scratch[0]
+    """This application's folder within the one that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a local folder serves local sessions (tests); on a cluster it is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="tracewell-"))
+        base = _local_scratch[0]
+    return f"{base.rstrip('/')}/tracewell/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     ship_package(spark)
-    path = f"{scratch_dir(spark)}/tracewell/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() has written, of all jobs that share the folder; results that read them must be stored by then."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tracewell")
+    """Deletes the tables that materialize() has written for this application; results that read them must be stored by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -9,8 +9,11 @@ The parser reads the tables (with their CRC-32), follows each elementary stream
 reassembles PES packets and lists the timestamps of all packets and of the random-access points. It takes streams with
 several programs, duplicates and losses: a repeated counter is a duplicate packet and is dropped, a gap is counted.
 
-Defined results: an empty payload is stored as tables only; damaged tables are counted and skipped; bytes outside
-188-byte packets make the parser fail.
+Defined results: an empty payload is stored as tables only; damaged, cut or empty table packets are counted and skipped,
+and so are PES packets without a whole header; gaps in the tables' own counters are counted; a null text is stored like an
+empty one by digest_column and stays null in mux_column; equal texts give equal streams; texts of any length become whole
+access units (a batch of streams must stay under Arrow's 2 GB: lower spark.sql.execution.arrow.maxRecordsPerBatch for texts
+of megabytes); an empty table gives none; other columns are ignored. Bytes outside 188-byte packets are an error.
 """
 
 from __future__ import annotations
@@ -64,7 +67,8 @@ def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
 
 
 _PAT = _section(0x00, 1, bytes([PROGRAM >> 8, PROGRAM & 0xFF, 0xE0 | PMT_PID >> 8, PMT_PID & 0xFF]))
-_PMT = _section(0x02, PROGRAM, bytes([0xE0 | STREAM_PID >> 8, STREAM_PID & 0xFF, 0xF0, 0, STREAM_TYPE, 0xE0 | STREAM_PID >> 8, STREAM_PID & 0xFF, 0xF0, 0]))
+# no clock reference: PCR_PID 0x1FFF
+_PMT = _section(0x02, PROGRAM, bytes([0xFF, 0xFF, 0xF0, 0, STREAM_TYPE, 0xE0 | STREAM_PID >> 8, STREAM_PID & 0xFF, 0xF0, 0]))
 
 
 def _stamp(pts: int) -> bytes:
@@ -126,6 +130,16 @@ class Parsed:
     packets: int
     streams: list[Stream]
     bad_tables: int = 0
+    table_gaps: int = 0
+
+
+def _steps(counter: np.ndarray, packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of one PID are duplicates of those before, and how many gaps the counters of the others have."""
+    twin = np.zeros(len(counter), bool)
+    same = np.flatnonzero(counter[1:] == counter[:-1])
+    twin[1:][same] = (packets[1:][same, 4:] == packets[:-1][same, 4:]).all(1)
+    rest = counter[~twin].astype(np.int64)
+    return twin, int((((rest[1:] - rest[:-1]) & 15) != 1).sum())
 
 
 def _sections(packets: np.ndarray, start: np.ndarray, offset: np.ndarray) -> list[bytes]:
@@ -133,6 +147,8 @@ def _sections(packets: np.ndarray, start: np.ndarray, offset: np.ndarray) -> lis
     found, open_ = [], b""
     for p, s, o in zip(packets, start, offset, strict=True):
         data = p[o:].tobytes()
+        if not data:
+            continue
         if s:
             pointer = data[0]
             open_ += data[1 : 1 + pointer] if open_ else b""
@@ -166,11 +182,15 @@ def parse(media: bytes) -> Parsed:
     counter = p[:, 3] & 15
     offset = np.where(adaptation, 5 + p[:, 4].astype(np.int64), 4)
     access = adaptation & (p[:, 4] > 0) & ((p[:, 5] & 0x40) > 0)
-    bad = 0
+    bad = table_gaps = 0
 
     def tables(of: int, table: int) -> list[bytes]:
-        nonlocal bad
-        m = (pid == of) & has_payload
+        nonlocal bad, table_gaps
+        m = np.flatnonzero((pid == of) & has_payload)
+        twin, gaps = _steps(counter[m], p[m])
+        table_gaps += gaps
+        bad += int((start[m] & (offset[m] >= PACKET)).sum())
+        m = m[~twin]
         out = {}
         for s in _sections(p[m], start[m], offset[m]):
             if section_crc(s):
@@ -195,16 +215,12 @@ def parse(media: bytes) -> Parsed:
         rows = np.flatnonzero((pid == s.pid) & has_payload)
         if not len(rows):
             continue
-        step = (counter[rows[1:]].astype(np.int64) - counter[rows[:-1]]) & 15
-        twin = np.zeros(len(rows), bool)
-        same = np.flatnonzero(step == 0)
-        twin[1:][same] = (p[rows[1:][same], 4:] == p[rows[:-1][same], 4:]).all(1)
+        twin, s.gaps = _steps(counter[rows], p[rows])
         s.duplicates = int(twin.sum())
         rows = rows[~twin]
-        s.gaps = int((((counter[rows[1:]].astype(np.int64) - counter[rows[:-1]]) & 15) != 1).sum())
         begins = np.flatnonzero(start[rows])
         data = []
-        for b, e in zip(begins, np.append(begins[1:], len(rows)), strict=True):
+        for b, e in zip(begins, np.append(begins, len(rows))[1:], strict=True):
             own = rows[b:e]
             plain = own[offset[own] == 4]
             if len(plain) >= len(own) - 2 and len(own) > 2 and offset[own[0]] != 4 and (offset[own[1:-1]] == 4).all():
@@ -216,7 +232,7 @@ def parse(media: bytes) -> Parsed:
             size = int.from_bytes(pes[4:6], "big")
             body = pes[9 + pes[8] : 6 + size] if size else pes[9 + pes[8] :]
             if pes[7] & 0x80:
-                x = pes[9:14]
+                x = pes[9:14].ljust(5, b"\0")
                 pts = (x[0] >> 1 & 7) << 30 | x[1] << 22 | x[2] >> 1 << 15 | x[3] << 7 | x[4] >> 1
                 s.pts.append(pts)
                 if access[own[0]]:
@@ -224,13 +240,13 @@ def parse(media: bytes) -> Parsed:
             s.units += 1
             data.append(body)
         s.data = b"".join(data)
-    return Parsed(len(p), list(streams.values()), bad)
+    return Parsed(len(p), list(streams.values()), bad, table_gaps)
 
 
 def feature_text(parsed: Parsed) -> str:
     s = parsed.streams[0] if parsed.streams else Stream(0, 0, 0)
     ends = f"{s.pts[0]}-{s.pts[-1]}" if s.pts else "-"
-    return f"packets={parsed.packets};streams={len(parsed.streams)};type={s.stream_type};units={s.units};pts={ends};access={len(s.random_access)};gaps={s.gaps};duplicates={s.duplicates};bad_tables={parsed.bad_tables}"
+    return f"packets={parsed.packets};streams={len(parsed.streams)};type={s.stream_type};units={s.units};pts={ends};access={len(s.random_access)};gaps={s.gaps};duplicates={s.duplicates};bad_tables={parsed.bad_tables};table_gaps={parsed.table_gaps}"
 
 
 def payload_of(text: bytes, multiple: int = 64) -> bytes:
