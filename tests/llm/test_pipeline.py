@@ -3,7 +3,8 @@
 import pytest
 
 import corpus_pipeline as cp
-from tests.llm.test_pairs import brute_components, brute_repeats
+from tests.llm.test_pairs import brute_components
+from tests.llm.test_passages import brute_passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,7 +48,7 @@ def test_one_of_each_group_stays(stages):
 def test_repeats_go(stages):
     before, after = stages[3]
     rows = before.collect()
-    want = {r.doc_id: k.decode("utf-8", "ignore") for r, k in zip(rows, brute_repeats([r.text.encode() for r in rows], 400), strict=True)}
+    want = {r.doc_id: k.decode("utf-8", "ignore") for r, k in zip(rows, brute_passages([r.text.encode() for r in rows], 400, cp.PASSAGE_WORDS), strict=True)}
     got = {r.doc_id: (r.text, r.n_chars) for r in after.collect()}
     assert got == {d: (t, len(t)) for d, t in want.items() if t}
 
