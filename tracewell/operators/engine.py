@@ -1,12 +1,18 @@
-"""Analyzers by name: the default set, user analyzers, runs with failures kept apart."""
+"""Analyzers by name: the default set, user analyzers, runs with failures kept apart.
+
+The default analyzers are rules over one scan of the nodes (and one of the plans), so those that are selected run as one
+pass each, whatever their number.
+"""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import rules
 from .config import DEFAULT, Thresholds
@@ -14,6 +20,7 @@ from .config import DEFAULT, Thresholds
 Analyzer = Callable[[DataFrame], DataFrame]
 COLUMNS = ("plan_id", "node_id", "analyzer", "rule", "severity")
 NODE_ANALYZERS = ("RowEstimation", "Scan", "Join", "QueryPattern", "StartupCost", "IndexUsage", "SortMemory", "FilterEfficiency", "IndexEfficiency")
+PLAN_ANALYZERS = ("QueryPattern", "PlanShape", "EstimationHealth")
 
 
 @dataclass
@@ -34,34 +41,49 @@ class Engine:
     """An ordered registry. An analyzer takes the node table and returns findings with COLUMNS."""
 
     def __init__(self) -> None:
-        self.analyzers: dict[str, Analyzer] = {}
+        self.analyzers: dict[str, Analyzer | None] = {}  # None: of the default set
+        self.thresholds, self.work_mem_kb = DEFAULT, 4096
 
     @classmethod
     def default(cls, thresholds: Thresholds = DEFAULT, work_mem_kb: int = 4096) -> Engine:
         out = cls()
-        for name in NODE_ANALYZERS:
-            out.add(name, lambda nodes, name=name: rules.node_findings(nodes, thresholds, work_mem_kb, (name,)))
+        out.thresholds, out.work_mem_kb = thresholds, work_mem_kb
+        for name in dict.fromkeys((*NODE_ANALYZERS, *PLAN_ANALYZERS)):
+            out.analyzers[name] = None
         out.add("BufferWal", rules.buffer_findings)
-        out.add("PlanShape", rules.plan_findings)
         return out
 
     def add(self, name: str, analyzer: Analyzer) -> None:
+        """Adds an analyzer, or replaces the one of this name."""
         self.analyzers[name] = analyzer
 
+    def _defaults(self, nodes: DataFrame, names: list[str]) -> list[DataFrame]:
+        """Findings of default analyzers: one pass over the nodes and one over the plans."""
+        of_nodes, of_plans = [n for n in names if n in NODE_ANALYZERS], [n for n in names if n in PLAN_ANALYZERS]
+        out = [rules.node_findings(nodes, self.thresholds, self.work_mem_kb, tuple(of_nodes))] if of_nodes else []
+        if of_plans:
+            out.append(rules.plan_findings(nodes).filter(F.col("analyzer").isin(of_plans)))
+        return [x.select(*COLUMNS) for x in out]
+
     def run(self, nodes: DataFrame, only: Callable[[str], bool] = lambda _: True) -> Report:
         """Union of the findings of the analyzers that `only` selects; one whose plan can't be built is reported, the others run."""
-        began, found = time.time(), None
+        began, found = time.time(), []
         report = Report(None)
-        for name, analyzer in self.analyzers.items():
-            if not only(name):
+        chosen = []
+        for name in self.analyzers:
+            if only(name):
+                chosen.append(name)
+            else:
                 report.outcomes[name] = "skipped"
-                continue
+        defaults = [n for n in chosen if self.analyzers[n] is None]
+        for names, run in [(defaults, lambda: self._defaults(nodes, defaults)), *[([n], lambda n=n: [self.analyzers[n](nodes).select(*COLUMNS)]) for n in chosen if self.analyzers[n]]]:
             try:
-                part = analyzer(nodes).select(*COLUMNS)
+                found += run()
             except Exception as e:  # a user's analyzer must not stop the others
-                report.outcomes[name] = f"failed: {e}"
-                continue
-            report.outcomes[name] = "ok"
-            found = part if found is None else found.unionByName(part)
-        report.findings, report.seconds = found, time.time() - began
+                report.outcomes |= dict.fromkeys(names, f"failed: {e}")
+            else:
+                report.outcomes |= dict.fromkeys(names, "ok")
+        if found:
+            report.findings = reduce(DataFrame.unionByName, found)
+        report.seconds = time.time() - began
         return report

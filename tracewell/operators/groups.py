@@ -7,9 +7,13 @@ don't depend on the order of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import order_quantiles
+
 GROUP = ("fingerprint", "database")
 # Upper bounds of the latency buckets in seconds; one more bucket takes the rest.
 LATENCY_BOUNDS = (0.001, 0.01, 0.1, 1.0, 5.0, 10.0, 30.0, 60.0, 300.0)
@@ -27,17 +31,19 @@ def sample_stddev(column: str) -> Column:
 
 
 def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
-    """Calls, total, mean, sample deviation, extremes, exact interpolated percentiles and time range of each group."""
+    """Calls, total, mean, sample deviation, extremes, exact interpolated percentiles and time range of each group.
+
+    Percentiles come from counts of distinct values in bands (series.order_quantiles), so no task holds a group's values.
+    """
     d = "duration_ms"
     out = executions.groupBy(*by).agg(
         F.count("*").alias("calls"), total(d).alias("total_ms"), F.min(d).alias("min_ms"), F.max(d).alias("max_ms"),
-        F.round(sample_stddev(d), 6).alias("stddev_ms"), F.percentile(d, F.array(*map(F.lit, PERCENTILES))).alias("_p"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.round(sample_stddev(d), 6).alias("stddev_ms"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
-    out = out.withColumn("mean_ms", F.round(F.col("total_ms") / F.col("calls"), 6))
-    for i, p in enumerate(PERCENTILES):
-        out = out.withColumn(f"p{round(p * 100)}_ms", F.round(F.col("_p")[i], 6))
-    return out.drop("_p")
+    found = order_quantiles(executions, PERCENTILES, d, by, False).alias("q")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by])
+    out = out.withColumn("mean_ms", F.round(F.col("total_ms") / F.col("calls"), 6)).alias("s").join(found, same, "left")
+    return out.select("s.*", *[F.round(f"q.q{round(p * 100)}", 6).alias(f"p{round(p * 100)}_ms") for p in PERCENTILES])
 
 
 def hourly_histogram(executions: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:

@@ -8,6 +8,7 @@ spread over as many tasks as it has hours.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -104,31 +105,43 @@ def change_points(rows: DataFrame, key: str = KEY, threshold: float = 0.2) -> Da
     return out.select(key, F.col("at").alias("rn"), "ts", kind.alias("change_type"), F.round(F.abs("m"), 6).alias("magnitude"))
 
 
-def quantiles_r6(executions: DataFrame, qs: tuple[float, ...], value: str = "duration_ms", key: str = KEY) -> DataFrame:
-    """Quantiles at q (n + 1) - 1, clamped to the ends, by linear interpolation: columns q<percent>.
+def value_bands(v: Column) -> Column:
+    """A number that rises with v and is equal only for values within 0.07 percent of each other."""
+    band = F.floor(F.log2(F.abs(v)) * 1024) + (1 << 21)
+    return F.when(v == 0, 0).when(v > 0, band).otherwise(-band)
+
+
+def order_quantiles(rows: DataFrame, qs: tuple[float, ...], value: str, keys: tuple[str, ...], weibull: bool) -> DataFrame:
+    """Quantiles of each group by linear interpolation: columns q<percent>, and n. Positions are q (n + 1) - 1, clamped to
+    the ends, with `weibull`, else q (n - 1). Null values are left out.
 
     Only the order statistics next to each quantile are needed. They come from counts by value: distinct values with
-    running counts, so equal values are gathered before any window and no group is collected.
+    running counts within bands of nearly equal values, so equal values are gathered before any window, no window holds
+    more than a band of a group, and no group is collected.
     """
-    values = executions.groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    bands = values.withColumn("_g", F.floor(F.col("v")))
-    sums = bands.groupBy(key, "_g").agg(F.sum("c").alias("_s"))
-    sums = sums.select(key, "_g", F.coalesce(F.sum("_s").over(Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy(key)).alias("n"))
-    inner = Window.partitionBy(key, "_g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = bands.withColumn("_i", F.sum("c").over(inner)).join(sums, [key, "_g"]).withColumn("hi", F.col("_i") + F.col("_b")).withColumn("lo", F.col("hi") - F.col("c"))
+    values = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("_g", value_bands(F.col("v")))
+    sums = values.groupBy(*keys, "_g").agg(F.sum("c").alias("_s"))
+    over = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_g", F.coalesce(F.sum("_s").over(over.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_s").over(over).alias("n"))
+    inner = Window.partitionBy(*keys, "_g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    left = values.withColumn("_i", F.sum("c").over(inner)).alias("l")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_g")])
+    upto = left.join(sums.alias("r"), same).select("l.*", "r._b", "r.n").withColumn("hi", F.col("_i") + F.col("_b")).withColumn("lo", F.col("hi") - F.col("c"))
     aggs = []
-    for q in qs:
-        at = F.least(F.greatest(F.lit(q) * (F.col("n") + 1) - 1, F.lit(0.0)), F.col("n") - 1.0)
+    for i, q in enumerate(qs):
+        at = F.least(F.greatest(F.lit(q) * (F.col("n") + 1) - 1, F.lit(0.0)), F.col("n") - 1.0) if weibull else F.lit(q) * (F.col("n") - 1)
         below, above = F.floor(at), F.ceil(at)
-        part = at - below
         a = F.max(F.when((F.col("lo") <= below) & (below < F.col("hi")), F.col("v")))
         b = F.max(F.when((F.col("lo") <= above) & (above < F.col("hi")), F.col("v")))
-        aggs += [a.alias(f"_a{q}"), b.alias(f"_b{q}"), F.max(part).alias(f"_p{q}")]
-    out = upto.groupBy(key).agg(F.max("n").alias("n"), *aggs)
-    for q in qs:
-        a, b, p = F.col(f"`_a{q}`"), F.col(f"`_b{q}`"), F.col(f"`_p{q}`")
-        out = out.withColumn(f"q{round(q * 100)}", a + (b - a) * p)
-    return out.select(key, "n", *[f"q{round(q * 100)}" for q in qs])
+        aggs += [a.alias(f"_a{i}"), b.alias(f"_b{i}"), F.max(at - below).alias(f"_p{i}")]
+    out = upto.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    shown = [(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_p{i}")).alias(f"q{round(q * 100)}") for i, q in enumerate(qs)]
+    return out.select(*keys, "n", *shown)
+
+
+def quantiles_r6(executions: DataFrame, qs: tuple[float, ...], value: str = "duration_ms", key: str = KEY) -> DataFrame:
+    """Quantiles at q (n + 1) - 1, clamped to the ends: columns q<percent>."""
+    return order_quantiles(executions, qs, value, (key,), True)
 
 
 def iqr_outliers(executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame:

@@ -25,6 +25,23 @@ def kind_counts(nodes: DataFrame, *by: str) -> DataFrame:
     return nodes.groupBy(*by, "kind").agg(F.count("*").alias("nodes"))
 
 
+def of_category(nodes: DataFrame, *categories: str) -> DataFrame:
+    """The scans, joins or other nodes of the named categories."""
+    return nodes.filter(F.col("category").isin(*categories))
+
+
+def tables(nodes: DataFrame) -> DataFrame:
+    """(plan, tables): the different tables of each plan, in order; plans without scans have none."""
+    return nodes.groupBy(PLAN).agg(F.sort_array(F.collect_set("table_name")).alias("tables"))
+
+
+def uses_workers(nodes: DataFrame) -> DataFrame:
+    """(plan, uses_workers, workers): whether a node gathers from workers, or plans or launches some, and how many at most."""
+    planned = F.greatest(*[F.coalesce(F.try_element_at("props", F.lit(k)).try_cast("int"), F.lit(0)) for k in ("Workers Planned", "Workers Launched")])
+    parallel = F.col("kind").isin("GatherMerge", "ParallelBitmapHeapScan") | (planned > 0)
+    return nodes.groupBy(PLAN).agg(F.bool_or(parallel).alias("uses_workers"), F.max(planned).alias("workers"))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes without children."""
     parents = nodes.select(PLAN, F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()

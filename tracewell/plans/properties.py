@@ -76,3 +76,9 @@ def render_plans(nodes, *keys: str):
     """(keys, plan): each plan's tree as text. A plan's nodes are bounded by what its statement says."""
     lines = F.sort_array(F.collect_list(F.struct("path", rendered().alias("line"))))
     return nodes.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("plan"))
+
+
+def render_compact(nodes, *keys: str):
+    """(keys, plan): each plan's tree as descriptions alone."""
+    lines = F.sort_array(F.collect_list(F.struct("path", F.concat(F.repeat(F.lit("  "), F.col("depth")), description()).alias("line"))))
+    return nodes.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("plan"))

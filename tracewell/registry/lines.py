@@ -41,6 +41,19 @@ def _entries(s, d):
     return logs.entries(log_lines(s, d), "%m [%p] %u@%d ")
 
 
+def mixed_log(s, d):
+    """The events as entries with a text plan, a JSON plan that holds the statement, and none, in turn; the statement has the event's number."""
+    e = _token(s, d)
+    prefix = F.concat(F.col("stamp"), F.lit(" [7] u@"), F.col("database"), F.lit(" LOG:  duration: "), F.col("duration_ms").cast("string"), F.lit(" ms  plan:"))
+    said = F.concat(F.lit("select * from "), F.col("fingerprint"), F.lit(" where id = "), F.col("seq").cast("string"))
+    json = F.concat(F.lit('\t  "Query Text": "'), said, F.lit('",'))
+    body = F.when(F.col("seq") % 3 == 0, F.array(prefix, F.concat(F.lit("\tQuery Text: "), said), F.lit("\tSeq Scan on t  (cost=0.00..1.00 rows=10 width=8)")))
+    body = body.when(F.col("seq") % 3 == 1, F.array(prefix, F.lit("\t{"), json, F.lit('\t  "Plan": {"Node Type": "Seq Scan", "Relation Name": "t", "Total Cost": 1.5, "Plan Rows": 10, "Plan Width": 8}'), F.lit("\t}")))
+    body = body.otherwise(F.array(prefix, F.concat(F.lit("\tQuery Text: "), said)))
+    rows = e.select((F.col("seq") % 5).cast("string").alias("file"), "seq", F.posexplode(body).alias("k", "value"))
+    return rows.select("file", F.floor(F.col("seq") / 100).cast("long").alias("block"), (F.col("seq") * 10 + F.col("k")).alias("place"), "value")
+
+
 _STAMP_MS = "date_trunc('millisecond', ts)::timestamp"
 
 QUERIES = {
@@ -74,4 +87,14 @@ QUERIES = {
         lambda s, d: logs.number_entries(log_lines(s, d)).groupBy("file").agg(F.max("entry").alias("entries"), F.count("*").alias("lines")),
         f"with {E} select cast(seq % 7 as varchar) as file, count(*) * 2 as entries, count(*) * 6 as lines from e group by all",
     ),
+    "q2_1_12_log_to_groups": Registered(
+        lambda s, d: logs.log_groups(mixed_log(s, d), "%m [%p] %u@%d ", without_plan=True).select("normalized_query", "database", "calls", "total_ms", "min_ms", "max_ms", "mean_ms", "p50_ms", "first_ts", "last_ts"),
+        f"""with {E} select 'SELECT * FROM ' || fingerprint || ' WHERE id = $1' as normalized_query, database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms, min(duration_ms) as min_ms,
+            max(duration_ms) as max_ms, round(cast(sum(cast(duration_ms as decimal(18,2))) as double) / count(*), 6) as mean_ms, round(quantile_cont(duration_ms, 0.5), 6) as p50_ms, min({_STAMP_MS}) as first_ts, max({_STAMP_MS}) as last_ts
+            from e group by fingerprint, database""",
+    ),
+    "q2_1_21_entries_without_plan": Registered(
+        lambda s, d: logs.entries(mixed_log(s, d), "%m [%p] %u@%d ", without_plan=True).select("duration_ms", "query_text", "plan_format", F.col("plan_text").isNotNull().alias("has_plan")),
+        f"with {E} select duration_ms, 'select * from ' || fingerprint || ' where id = ' || seq as query_text, (['text', 'json', null])[seq % 3 + 1] as plan_format, seq % 3 < 2 as has_plan from e",
+    ),
 }

@@ -118,30 +118,112 @@ def _findings(s, d):
     return rules.node_findings(plan_nodes(s, d), DEFAULT)
 
 
-_TEXT = """Nested Loop Left Join  (cost=10.5..4363.10 rows=565 width=214) (actual time=0.1..9.5 rows=12.6 loops=2)
-  Join Filter: (f.a = g.b)
-  ->  Index Scan using "ix_a" on "s"."lines" f  (cost=0.42..43.76 rows=565 width=180)
-        Index Cond: (f.a = 363)
-  ->  Materialize  (cost=9.11..16.88 rows=20 width=38)
-        ->  Seq Scan on t g  (cost=0.00..7.00 rows=20 width=38)
-              Filter: (x = 1)
-              Rows Removed by Filter: 77"""
-_JSON = """[{"Plan": {"Node Type": "Limit", "Startup Cost": 0.4, "Total Cost": 9.5, "Plan Rows": 10, "Plan Width": 8, "Plans": [
-  {"Node Type": "Index Scan", "Relation Name": "t", "Schema": "s", "Index Name": "ix", "Startup Cost": 0.1, "Total Cost": 99.5, "Plan Rows": 500, "Plan Width": 8, "Actual Rows": 12.5, "Actual Loops": 3, "Output": ["a", "b"]}]}}]"""
+#: For each of KINDS: how a text plan names the node ({0}: its number), the name in JSON, the kind that is read back, the words of its description.
+NAMES = (
+    ('Seq Scan on s."t{0}"', "Seq Scan", "SeqScan", "Sequential Scan"), ("Index Scan using ix{0} on t{0}", "Index Scan", "IndexScan", "Index Scan"), ("Bitmap Heap Scan on t{0}", "Bitmap Heap Scan", "BitmapHeapScan", "Bitmap Heap Scan"),
+    ("Nested Loop", "Nested Loop", "NestedLoop", "Nested Loop"), ("Hash Join", "Hash Join", "HashJoin", "Hash Join"), ("Merge Join", "Merge Join", "MergeJoin", "Merge Join"), ("Sort", "Sort", "Sort", "Sort"),
+    ("Materialize", "Materialize", "Materialize", "Materialize"), ("HashAggregate", "Aggregate", "Aggregate", "Aggregate"),
+)
+
+
+#: Heap numbers of the largest tree that the tables hold, and some more.
+MOST_NODES = 31
+
+
+def _of_kind(k: int):
+    return F.element_at(F.create_map(*[F.lit(x) for kind, names in zip(KINDS, NAMES, strict=True) for x in (kind, names[k])]), F.col("kind"))
+
+
+def labelled_nodes(s, d):
+    """plan_nodes with table and index names."""
+    scan = F.col("category") == "scan"
+    number = F.col("node_id").cast("string")
+    table_name = F.when(F.col("kind") == "SeqScan", F.concat(F.lit("s.t"), number)).when(scan, F.concat(F.lit("t"), number))
+    return plan_nodes(s, d).withColumns({"table_name": table_name, "index_name": F.when(F.col("kind") == "IndexScan", F.concat(F.lit("ix"), number))})
+
+
+def text_plans(s, d):
+    """The trees as text plans: (plan_id, plan_text)."""
+    fill = F.replace(_of_kind(0), F.lit("{0}"), F.col("node_id").cast("string"))
+    indent = F.when(F.col("depth") == 0, 0).otherwise(6 * F.col("depth") - 4)
+    actual = F.when(F.col("actual_rows").isNotNull(), F.concat(F.lit(" (actual time=0.010..1.500 rows="), F.col("actual_rows").cast("string"), F.lit(" loops=1)"))).otherwise("")
+    head = F.concat(F.repeat(F.lit(" "), indent), F.when(F.col("depth") > 0, "->  ").otherwise(""), fill, F.format_string("  (cost=%.2f..%.2f rows=%d width=%d)", "startup_cost", "total_cost", "est_rows", "width"), actual)
+    inner = F.repeat(F.lit(" "), 6 * F.col("depth") + 2)
+    lines = F.concat(F.array(head), F.transform(F.map_entries("props"), lambda p: F.concat(inner, p.key, F.lit(": "), p.value)))
+    rows = labelled_nodes(s, d).select("plan_id", "path", lines.alias("lines"))
+    return rows.groupBy("plan_id").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("path", "lines"))), lambda x: x.lines)), "\n").alias("plan_text"))
+
+
+def json_plans(s, d):
+    """The trees as JSON plans, nested as deep as MOST_NODES need: (plan_id, plan_text)."""
+    x = labelled_nodes(s, d)
+    own = F.to_json(F.struct(
+        _of_kind(1).alias("Node Type"), F.element_at(F.split("table_name", r"\."), -1).alias("Relation Name"), F.when(F.col("kind") == "SeqScan", "s").alias("Schema"), F.col("index_name").alias("Index Name"), F.col("startup_cost").alias("Startup Cost"),
+        F.col("total_cost").alias("Total Cost"), F.col("est_rows").alias("Plan Rows"), F.col("width").alias("Plan Width"), F.col("actual_rows").alias("Actual Rows"), F.col("actual_loops").alias("Actual Loops"),
+        F.try_element_at("props", F.lit("Filter")).alias("Filter"),
+    ))
+    plans = x.groupBy("plan_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.substr(own, F.lit(1), F.length(own) - 1).alias("j")))).alias("m"))
+
+    def tree(k: int):
+        node = F.try_element_at("m", F.lit(k))
+        if 2 * k > MOST_NODES:
+            return F.concat(node, F.lit("}"))
+        return F.concat(node, F.lit(',"Plans":['), F.concat_ws(",", tree(2 * k), tree(2 * k + 1)), F.lit("]}"))
+
+    return plans.select("plan_id", F.concat(F.lit('[{"Plan": '), tree(1), F.lit("}]")).alias("plan_text"))
 
 
 def _parsed(s, d):
-    return node_table(s.createDataFrame([("text", _TEXT), ("json", _JSON), ("bad", "no plan")], "name string, plan_text string"), "plan_text", "name")
+    both = text_plans(s, d).withColumn("format", F.lit("text")).unionByName(json_plans(s, d).withColumn("format", F.lit("json")))
+    return node_table(both, "plan_text", "plan_id", "format")
+
+
+#: The nodes in pre-order, with names; bits of the heap number below the first are the path.
+M = f"""{N}, m as (select n.*, cast(row_number() over (partition by plan_id order by substr(bin(node_id), 2)) as integer) as pre,
+      case when kind = 'SeqScan' then 's.t' || node_id when category = 'scan' then 't' || node_id end as table_name, case when kind = 'IndexScan' then 'ix' || node_id end as index_name,
+      ({_list(x[2] for x in NAMES)})[list_position({_list(KINDS)}, kind)] as read_kind, ({_list(x[3] for x in NAMES)})[list_position({_list(KINDS)}, kind)] as words from n)"""
+_DESCRIPTION = "concat_ws(' ', case kind when 'SeqScan' then 'Sequential Scan' when 'HashAggregate' then 'Hash Aggregate' else words end, 'using ' || index_name, 'on ' || table_name)"
+_LINE = f"""repeat('  ', depth) || case when depth > 0 then '-> ' else '' end || {_DESCRIPTION} || '  (cost=' || printf('%.2f', startup_cost) || '..' || printf('%.2f', total_cost) || ' rows=' || est_rows || ' width=' || width || ')'
+    || coalesce(' (actual rows=' || actual_rows || ' loops=1)', '')"""
 
 
 QUERIES = {
     "q2_5_1_parse_plans": Registered(
-        lambda s, d: _parsed(s, d).select("name", "node_id", "parent_id", "depth", "category", "kind", "table_name", "index_name", "total_cost", "est_rows", "actual_rows", F.try_element_at("props", F.lit("Filter")).alias("flt")),
-        """select name, node_id::integer as node_id, parent_id::integer as parent_id, depth::integer as depth, category, kind, table_name, index_name, total_cost::double as total_cost, est_rows::bigint as est_rows, actual_rows::bigint as actual_rows, flt
-        from (values ('text', 1, null, 0, 'join', 'NestedLoopLeftJoin', null, null, 4363.10, 565, 13, null), ('text', 2, 1, 1, 'scan', 'IndexScan', 's.lines', 'ix_a', 43.76, 565, null, null),
-        ('text', 3, 1, 1, 'utility', 'Materialize', null, null, 16.88, 20, null, null), ('text', 4, 3, 2, 'scan', 'SeqScan', 't', null, 7.0, 20, null, '(x = 1)'),
-        ('json', 1, null, 0, 'utility', 'Limit', null, null, 9.5, 10, null, null), ('json', 2, 1, 1, 'scan', 'IndexScan', 's.t', 'ix', 99.5, 500, 13, null))
-        v(name, node_id, parent_id, depth, category, kind, table_name, index_name, total_cost, est_rows, actual_rows, flt)""",
+        lambda s, d: _parsed(s, d).select("plan_id", "format", "node_id", "parent_id", "depth", "category", "kind", "table_name", "index_name", "startup_cost", "total_cost", "est_rows", "width", "actual_rows", F.try_element_at("props", F.lit("Filter")).alias("flt")),
+        f"""with {M} select m.plan_id, format, m.pre as node_id, u.pre as parent_id, m.depth, m.category, m.read_kind as kind, m.table_name, m.index_name, m.startup_cost::double as startup_cost, m.total_cost::double as total_cost, m.est_rows, m.width,
+            m.actual_rows, m.flt from m left join m u on u.plan_id = m.plan_id and u.node_id = m.parent_id, (values ('text'), ('json')) f(format)""",
+    ),
+    "q2_5_6_properties": Registered(
+        lambda s, d: node_table(text_plans(s, d), "plan_text", "plan_id").select("plan_id", "node_id", F.explode("props").alias("name", "value")),
+        f"""with {M} select plan_id, pre as node_id, unnest(p, recursive := true) from (select *, list_filter([{{'name': 'Filter', 'value': flt}}, {{'name': 'Rows Removed by Filter', 'value': removed::varchar}}, {{'name': 'Heap Fetches', 'value': fetches::varchar}},
+            {{'name': 'Sort Method', 'value': case when external then 'external merge' end}}, {{'name': 'Sort Space Used', 'value': space || 'kB'}}, {{'name': 'Batches', 'value': batches::varchar}}], lambda x: x.value is not null) as p from m)""",
+    ),
+    "q2_5_27_property_lists": Registered(
+        lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("k")).select("id", F.concat(F.lit("a"), "k", F.lit(" DESC, b , c ASC")).alias("keys"), F.concat(F.when(F.col("id") % 2 == 0, "count(x), f").otherwise("g(a), h(f"), "k", F.lit("(y))")).alias("output"))
+        .select("id", pr.sort_keys(F.col("keys")).alias("k"), pr.group_keys(F.col("keys")).alias("g"), pr.aggregate_functions(F.col("output")).alias("f"))
+        .select("id", F.array_join(F.transform("k", lambda x: F.concat(x.expression, F.lit("/"), F.coalesce(x.direction, F.lit("-")))), "|").alias("sort_keys"), F.array_join("g", "|").alias("group_keys"), F.array_join("f", "|").alias("functions")),
+        "select o_orderkey as id, 'a' || o_orderkey || '/DESC|b/-|c/ASC' as sort_keys, 'a' || o_orderkey || ' DESC|b|c ASC' as group_keys, case when o_orderkey % 2 = 0 then 'count' else 'g|h|f' || o_orderkey end as functions from orders",
+    ),
+    "q2_6_6_descriptions": Registered(
+        lambda s, d: labelled_nodes(s, d).select("plan_id", "node_id", pr.description().alias("label"), pr.table_or_fallback().alias("tbl"), pr.index_or_fallback().alias("idx"), pr.average_cost().alias("avg_cost"), F.round(pr.cost_span(), 6).alias("span")),
+        f"""with {M} select plan_id, node_id, {_DESCRIPTION} as label, coalesce(table_name, 'unknown_table') as tbl, case when kind = 'SeqScan' then 'no_index' else coalesce(index_name, 'unknown_index') end as idx,
+            ((startup_cost + total_cost) / 2)::double as avg_cost, round((total_cost - startup_cost)::double, 6) as span from m""",
+    ),
+    "q2_6_32_render_plan": Registered(lambda s, d: pr.render_plans(labelled_nodes(s, d), "plan_id"), f"with {M} select plan_id, string_agg({_LINE}, chr(10) order by pre) as plan from m group by plan_id"),
+    "q2_6_33_render_compact": Registered(
+        lambda s, d: pr.render_compact(labelled_nodes(s, d), "plan_id"), f"with {M} select plan_id, string_agg(repeat('  ', depth) || {_DESCRIPTION}, chr(10) order by pre) as plan from m group by plan_id"
+    ),
+    "q2_6_8_tables": Registered(
+        lambda s, d: n.tables(labelled_nodes(s, d)).select("plan_id", F.array_join("tables", ",").alias("tables")), f"with {M} select plan_id, coalesce(string_agg(distinct table_name, ',' order by table_name), '') as tables from m group by plan_id"
+    ),
+    "q2_6_4_scan_nodes": Registered(lambda s, d: n.of_category(plan_nodes(s, d), "scan", "join").select("plan_id", "node_id", "category", "kind"), f"with {N} select plan_id, node_id, category, kind from n where category in ('scan', 'join')"),
+    "q2_6_10_uses_parallel": Registered(
+        lambda s, d: n.uses_workers(plan_nodes(s, d).withColumn("props", F.when(F.col("est_rows") % 5 == 0, F.create_map(F.lit("Workers Planned"), (F.col("width") % 3).cast("string"))).otherwise(F.col("props")))),
+        f"with {N} select plan_id, bool_or(est_rows % 5 = 0 and width % 3 > 0) as uses_workers, max(case when est_rows % 5 = 0 then width % 3 else 0 end)::integer as workers from n group by plan_id",
+    ),
+    "q2_6_34_shortened": Registered(
+        lambda s, d: table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.length(pr.shortened(F.repeat(F.lit("x"), (F.col("l_partkey") % 240).cast("int")))).alias("n")),
+        "select l_orderkey as id, cast(least(l_partkey % 240, 120) as integer) as n from lineitem",
     ),
     "q2_6_1_plan_summary": Registered(
         lambda s, d: n.summary(plan_nodes(s, d)),
@@ -209,27 +291,10 @@ QUERIES = {
         f"""with {N}, c as (select *, greatest({_ROWS}, {_COST}) as g from n) select plan_id, node_id, 'Parallelization' as analyzer, 'missed' as rule, {_SEV.format("g")} as severity
             from c where g >= 2 and (category in ('scan', 'aggregate') or kind in ('HashJoin', 'MergeJoin'))""",
     ),
-    "q2_5_27_property_lists": Registered(
-        lambda s, d: s.createDataFrame([(1, "a DESC, b , c ASC", "count(x), f(y)"), (2, "x", "g(a), h(g(b))")], "id long, keys string, output string")
-        .select("id", pr.sort_keys(F.col("keys")).alias("k"), pr.group_keys(F.col("keys")).alias("g"), pr.aggregate_functions(F.col("output")).alias("f"))
-        .select("id", F.array_join(F.transform("k", lambda x: F.concat(x.expression, F.lit("/"), F.coalesce(x.direction, F.lit("-")))), "|").alias("sort_keys"), F.array_join("g", "|").alias("group_keys"), F.array_join("f", "|").alias("functions")),
-        "select * from (values (1::bigint, 'a/DESC|b/-|c/ASC', 'a DESC|b|c ASC', 'count'), (2::bigint, 'x/-', 'x', 'g|h')) v(id, sort_keys, group_keys, functions)",
-    ),
-    "q2_6_6_descriptions": Registered(
-        lambda s, d: _parsed(s, d).select("name", "node_id", pr.description().alias("label"), pr.table_or_fallback().alias("tbl"), pr.index_or_fallback().alias("idx"), pr.average_cost().alias("avg_cost"), F.round(pr.cost_span(), 6).alias("span")),
-        """select name, node_id::integer as node_id, label, tbl, idx, avg_cost::double as avg_cost, round(span::double, 6) as span from (values ('text', 1, 'Nested Loop Left Join', 'unknown_table', 'unknown_index', 2186.8, 4352.6),
-            ('text', 2, 'Index Scan using ix_a on s.lines', 's.lines', 'ix_a', 22.09, 43.34), ('text', 3, 'Materialize', 'unknown_table', 'unknown_index', 12.995, 7.77), ('text', 4, 'Sequential Scan on t', 't', 'no_index', 3.5, 7.0),
-            ('json', 1, 'Limit', 'unknown_table', 'unknown_index', 4.95, 9.1), ('json', 2, 'Index Scan using ix on s.t', 's.t', 'ix', 49.8, 99.4)) v(name, node_id, label, tbl, idx, avg_cost, span)""",
-    ),
     "q2_6_31_scan_types": Registered(
         lambda s, d: n.kind_counts(plan_nodes(s, d).filter("category in ('scan', 'join')").withColumn("database", F.concat(F.lit("db"), (F.col("plan_id") % 3).cast("string"))), "database", "category"),
         f"with {N} select 'db' || plan_id % 3 as database, category, kind, count(*) as nodes from n where category in ('scan', 'join') group by all",
     ),
-    "q2_6_32_render_plan": Registered(
-        lambda s, d: pr.render_plans(_parsed(s, d).filter("name = 'json'"), "name"),
-        """select 'json' as name, 'Limit  (cost=0.40..9.50 rows=10 width=8)' || chr(10) || '  -> Index Scan using ix on s.t  (cost=0.10..99.50 rows=500 width=8) (actual rows=13 loops=3)' as plan""",
-    ),
-    "q2_6_34_shortened": Registered(lambda s, d: s.range(118, 124).select("id", F.length(pr.shortened(F.repeat(F.lit("x"), F.col("id").cast("int")))).alias("n")), "select id::bigint as id, case when id > 120 then 120 else id end::integer as n from range(118, 124) r(id)"),
     "q2_18_4_engine": Registered(
         lambda s, d: engine.Engine.default().run(plan_nodes(s, d), lambda name: name in ("Scan", "Join")).findings.groupBy("analyzer", "rule", "severity").agg(F.count("*").alias("findings")),
         f"with {RULES} select analyzer, rule, severity, count(*) as findings from f where analyzer in ('Scan', 'Join') group by all",

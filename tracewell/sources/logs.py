@@ -8,7 +8,7 @@ So a large file is read and assembled by many tasks, and no window spans a file.
 from __future__ import annotations
 
 import bz2
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as ln
 from ..functions.prefix import DEFAULT, parse_prefix
+from ..functions.sqltext import format_column, normalize_column
+from ..operators.groups import group_stats
 from ..session import ship_package
 
 LINE_SCHEMA = "file string, block long, place long, value string"
@@ -28,32 +30,82 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
 
 
-def _decoded(max_bytes: int):
+_PART = 1 << 20
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content in parts of about a megabyte, whatever it is compressed with; members that follow one another are joined."""
+    if data[:2] == b"\x1f\x8b":
+        fresh = lambda: zlib.decompressobj(31)
+    elif data[:3] == b"BZh":
+        fresh = bz2.BZ2Decompressor
+    else:
+        yield from (data[i : i + _PART] for i in range(0, len(data), _PART))
+        return
+    rest = data
+    while rest:
+        decoder, held = fresh(), rest
+        while not decoder.eof:
+            out = decoder.decompress(held, _PART)
+            held = getattr(decoder, "unconsumed_tail", b"")
+            if not out and not held and getattr(decoder, "needs_input", True):
+                raise EOFError("the compressed data end early")
+            yield out
+        rest = decoder.unused_data
+
+
+def lines_of(parts: Iterator[bytes], max_bytes: int) -> Iterator[str]:
+    """The lines of a content that comes in parts; more than max_bytes are an error as soon as they are seen."""
+    held, total = b"", 0
+    for part in parts:
+        total += len(part)
+        if total > max_bytes:
+            raise ValueError(f"more than {max_bytes} bytes")
+        *whole, held = (held + part).split(b"\n")
+        for line in whole:
+            yield line.decode("utf-8", "replace").removesuffix("\r")
+    if held:
+        yield held.decode("utf-8", "replace").removesuffix("\r")
+
+
+def _decoded(max_bytes: int, keep_going: bool):
+    def rows(path: str, values: list[str], first: int, error: str | None = None) -> pa.RecordBatch:
+        n = len(values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path] * n), pa.array([0] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(values, pa.string()), pa.array([error] * n, pa.string())], names=["file", "block", "place", "value", "error"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                elif data[:3] == b"BZh":
-                    data = bz2.decompress(data)
-                if len(data) > max_bytes:
-                    raise ValueError(f"{path} has more than {max_bytes} bytes")
-                values = data.decode("utf-8", "replace").split("\n")
-                if values and not values[-1]:
-                    values.pop()
-                for lo in range(0, len(values), 50_000):
-                    part = [v.removesuffix("\r") for v in values[lo : lo + 50_000]]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([0] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64()), pa.array(part)], names=["file", "block", "place", "value"])
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                path, values, at = path.as_py(), [], 0
+                try:
+                    for line in lines_of(inflated(data.as_py()), max_bytes):
+                        values.append(line)
+                        if len(values) == 20_000:
+                            yield rows(path, values, at)
+                            at, values = at + len(values), []
+                except (ValueError, EOFError, OSError, zlib.error) as e:
+                    if not keep_going:
+                        raise ValueError(f"{path}: {e}") from e
+                    yield rows(path, [None], -1, f"{type(e).__name__}: {e}")
+                    continue
+                yield rows(path, values, at)
 
     return run
 
 
-def read_lines_by_content(spark: SparkSession, path: str, max_bytes: int = 16 << 30) -> DataFrame:
-    """Like read_lines for files whose compression shows in their first bytes, not in their names; a file is one task."""
+def read_lines_by_content(spark: SparkSession, path: str | list[str], max_bytes: int = 16 << 30, errors: bool = False) -> DataFrame:
+    """Like read_lines for files whose compression shows in their first bytes, not in their names; a file is one task.
+
+    Files are inflated in parts, so a task holds the compressed file (2 GB at most, Spark's limit) and a part of it, and stops
+    where it exceeds max_bytes. With `errors`, a file that can't be read gives one row with its `error` and no value, besides the lines
+    before the damage, and the others are read; else it is an error.
+    """
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_decoded(max_bytes), LINE_SCHEMA)
+    found = files.mapInArrow(_decoded(max_bytes, errors), LINE_SCHEMA + ", error string")
+    return found if errors else found.drop("error")
 
 
 def lines_of_text(spark: SparkSession, text: str, name: str = "text") -> DataFrame:
@@ -84,15 +136,23 @@ def _untab(line: Column) -> Column:
     return F.regexp_replace(line, r"^\t", "")
 
 
-def entries(lines: DataFrame, log_line_prefix: str = DEFAULT, zone_overrides: dict[str, int] | None = None, fixed_zone: int | None = None) -> DataFrame:
+def entries(
+    lines: DataFrame, log_line_prefix: str = DEFAULT, zone_overrides: dict[str, int] | None = None, fixed_zone: int | None = None, max_entry_bytes: int = 0, without_plan: bool = False
+) -> DataFrame:
     """Plan entries: file, entry, ts (UTC), duration_ms, database, query_text, plan_format, plan_text.
 
     An entry is a line `duration: <n> ms  plan:` with the lines up to the next timestamped one. The plan begins at the
-    first line with a cost, or where the rest is valid JSON; entries without plan are dropped, and JSON inside a
-    statement stays part of it.
+    first line with a cost, or where the rest is valid JSON; JSON inside a statement stays part of it. Entries without plan
+    are dropped, or, with without_plan, kept with null plan columns and the rest as their statement. Lines of an entry
+    beyond max_entry_bytes (0: none) are cut off.
     """
     prefix = parse_prefix(log_line_prefix)
     rows = number_entries(lines).filter("entry > 0")
+    if max_entry_bytes:
+        upto = Window.partitionBy("file", "entry").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, 0)
+        large = rows.groupBy("file", "entry").agg(F.sum(F.octet_length("value") + 1).alias("_b")).filter(F.col("_b") > max_entry_bytes).select("file", "entry")
+        cut = rows.join(large, ["file", "entry"], "left_semi").withColumn("_b", F.sum(F.octet_length("value") + 1).over(upto)).filter(F.col("_b") <= max_entry_bytes).drop("_b")
+        rows = rows.join(large, ["file", "entry"], "left_anti").unionByName(cut)
     texts = rows.groupBy("file", "entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "place", "value"))), lambda x: x.value).alias("l"))
     head = F.col("l")[0]
     texts = texts.withColumn("duration_ms", ln.duration_ms(head)).filter(F.col("duration_ms").isNotNull())
@@ -101,12 +161,34 @@ def entries(lines: DataFrame, log_line_prefix: str = DEFAULT, zone_overrides: di
     at_json = F.array_position(F.transform("rest", lambda x, i: ln.looks_like_json(x) & F.try_parse_json(F.array_join(F.slice("rest", i + 1, F.size("rest")), "\n")).isNotNull()), True)
     texts = texts.withColumn("_c", at_cost).withColumn("_j", F.when(F.col("_c") == 0, at_json).otherwise(0))
     start = F.when(F.col("_c") > 0, F.col("_c")).otherwise(F.col("_j"))
-    texts = texts.withColumn("_p", start).filter("_p > 0")
-    plan = F.array_join(F.slice("rest", F.col("_p").cast("int"), F.size("rest")), "\n")
-    said = F.regexp_replace(F.array_join(F.slice("rest", F.lit(1), (F.col("_p") - 1).cast("int")), "\n"), r"^\s*Query Text: ", "")
+    texts = texts.withColumn("_p", start.cast("int"))
+    if not without_plan:
+        texts = texts.filter("_p > 0")
+    plan = F.when(F.col("_p") > 0, F.array_join(F.slice("rest", F.greatest("_p", F.lit(1)), F.size("rest")), "\n"))
+    said = F.regexp_replace(F.array_join(F.slice("rest", F.lit(1), F.when(F.col("_p") > 0, F.col("_p") - 1).otherwise(F.size("rest"))), "\n"), r"^\s*Query Text: ", "")
     inside = F.try_variant_get(F.try_parse_json(plan), "$['Query Text']", "string")
     query = F.when(F.col("_j") > 0, F.coalesce(inside, said)).otherwise(said)
     return texts.select(
         "file", "entry", ln.utc_timestamp(ln.timestamp_text(head), zone_overrides, fixed_zone).alias("ts"), "duration_ms", prefix.database(ln.message(head)).alias("database"),
-        query.alias("query_text"), F.when(F.col("_j") > 0, "json").otherwise("text").alias("plan_format"), plan.alias("plan_text"),
+        query.alias("query_text"), F.when(F.col("_j") > 0, "json").when(F.col("_p") > 0, "text").alias("plan_format"), plan.alias("plan_text"),
     )
+
+
+def with_normal_forms(found: DataFrame, formatted: bool = False) -> DataFrame:
+    """Entries with normalized_query and fingerprint of their statement (and its layout), each distinct shape worked out once."""
+    out = found.withColumn("_n", normalize_column("query_text"))
+    out = out.withColumns({"normalized_query": F.col("_n.normalized_query"), "fingerprint": F.col("_n.fingerprint"), "normalized": F.col("_n.successful")}).drop("_n")
+    return out.withColumn("formatted_query", format_column("normalized_query")) if formatted else out
+
+
+def executions_of(found: DataFrame) -> DataFrame:
+    """Entries as executions: one row each with fingerprint, database, time, duration and an order that parsing gives."""
+    rows = found if "fingerprint" in found.columns else with_normal_forms(found)
+    return rows.withColumn("seq", F.struct("file", "entry"))
+
+
+def log_groups(lines: DataFrame, log_line_prefix: str = DEFAULT, **options) -> DataFrame:
+    """From log lines to statement groups in one plan: entries, normal forms, fingerprints, statistics."""
+    rows = executions_of(entries(lines, log_line_prefix, **options))
+    texts = rows.groupBy("fingerprint").agg(F.min("normalized_query").alias("normalized_query"))
+    return group_stats(rows).hint("shuffle_hash").join(texts, "fingerprint")

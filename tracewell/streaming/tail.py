@@ -20,7 +20,7 @@ from ..operators import groups as g
 from ..operators import state as st
 
 _START = re.compile(LINE_START.encode())
-BUDGET = 64 << 20
+BUDGET, MOST_BUDGET = 64 << 20, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -60,8 +60,8 @@ def complete_part(path: str, offset: Offset, budget: int = BUDGET, flush: bool =
 
 
 def read_budget(stalled: int, base: int = BUDGET) -> int:
-    """Doubles with each cycle in which no boundary was found."""
-    return base * 2 ** min(stalled, 20)
+    """Doubles with each cycle in which no boundary was found, up to MOST_BUDGET, which an entry can't exceed."""
+    return min(base * 2 ** min(stalled, 20), max(base, MOST_BUDGET))
 
 
 def stale(files: DataFrame, live: DataFrame, cutoff: str) -> DataFrame:
