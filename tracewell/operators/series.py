@@ -193,13 +193,38 @@ def baseline_split(rows: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
-def correlation(executions: DataFrame, x: str, y: str, key: str = KEY) -> DataFrame:
-    """Pearson correlation (0 for a constant side) with its strength."""
+def correlation(executions: DataFrame, x: str, y: str, key: str = KEY, level: float = 0.05) -> DataFrame:
+    """Pearson correlation (0 for a constant side) of groups of at least 3 with its strength, t, degrees of freedom, two-sided p and significance."""
     r = F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
     out = executions.groupBy(key).agg(F.count("*").alias("n"), r.alias("_r")).filter("n >= 3")
     a = F.abs("_r")
     name = F.when(a < 0.3, "VeryWeak").when(a < 0.5, "Weak").when(a < 0.7, "Moderate").when(a < 0.9, "Strong").otherwise("VeryStrong")
-    return out.select(key, "n", F.round("_r", 6).alias("r"), name.alias("strength"))
+    df = (F.col("n") - 2).cast("double")
+    t = F.when(a >= 1, F.signum("_r") * float("inf")).otherwise(F.col("_r") * F.sqrt(df / F.greatest(1 - F.col("_r") * F.col("_r"), F.lit(1e-300))))
+    out = out.withColumns({"_t": t, "df": df}).withColumn("_p", p_value_column("_t", "df"))
+    return out.select(key, "n", F.round("_r", 6).alias("r"), name.alias("strength"), F.round("_t", 6).alias("t"), "df", F.round("_p", 6).alias("p_value"), (F.col("_p") < level).alias("significant"))
+
+
+def possible_causes(change: Column) -> Column:
+    """What may lie behind a change, given as a signed share of the baseline."""
+    lines = lambda *x: F.array(*map(F.lit, x))
+    return (
+        F.when(change > 0.5, lines("Major system change or deployment", "Infrastructure issue or resource contention"))
+        .when(change > 0.2, lines("Query plan change", "Index modification or corruption", "Data growth or distribution change"))
+        .otherwise(lines("Minor configuration change", "Normal system variation"))
+    )
+
+
+def mean_interval(executions: DataFrame, value: str = "duration_ms", key: str = KEY, level: float = 0.95) -> DataFrame:
+    """Mean of each group with the bounds of its confidence interval by Student's t; both are the mean for a single value."""
+    out = executions.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"))
+
+    @F.arrow_udf("double")
+    def quantile(ns: pa.Array) -> pa.Array:
+        return pa.array([student_t(1 - level, n - 1) if n > 1 else 0.0 for n in ns.to_pylist()], pa.float64())
+
+    half = quantile("n") * F.col("_s") / F.sqrt("n")
+    return out.select(key, "n", F.round("_m", 6).alias("mean"), F.round(F.col("_m") - half, 6).alias("lower"), F.round(F.col("_m") + half, 6).alias("upper"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -230,6 +255,17 @@ def student_p(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+def student_t(p: float, df: float) -> float:
+    """The t whose two-sided p-value is p, by bisection."""
+    low, high = 0.0, 1.0
+    while student_p(high, df) > p:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if student_p(middle, df) > p else (low, middle)
+    return (low + high) / 2
+
+
 def p_value_column(t: Column | str, df: Column | str) -> Column:
     """student_p over columns; groups are few, so this runs on one row a group."""
 
@@ -245,11 +281,17 @@ def shape(skewness: Column, kurtosis: Column) -> Column:
 
 
 def regression_report(executions: DataFrame, value: str = "duration_ms", key: str = KEY, detector_points: int = 30) -> DataFrame:
-    """One row a fingerprint of at least 3 points: which engine judged it, status, change, trend, significance, shape, anomalies, confidence, recommendations.
+    """One row a fingerprint: which engine judged it, status, change, trend, significance, shape, anomalies, confidence, recommendations, causes.
 
-    Series shorter than `detector_points` are judged half against half; the others by the first three quarters against the rest.
+    Series shorter than `detector_points` are judged half against half; the others by the first three quarters against the
+    rest. Of fewer than 3 points nothing can be said: status InsufficientData, and the advice to collect more.
     """
     rows = ranked(executions, value, key)
+    few = executions.groupBy(key).agg(F.count("*").alias("n")).filter("n < 3").select(
+        key, "n", F.lit("none").alias("engine"), F.lit("InsufficientData").alias("status"), F.lit(None).cast("double").alias("change_pct"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("double").alias("p_value"),
+        F.lit("Stable").alias("trend"), F.lit(0.0).alias("strength"), F.lit("Unknown").alias("shape"), F.lit(0).cast("bigint").alias("anomalies"), F.lit("Low").alias("confidence"), F.lit("collect_more_data").alias("recommendations"),
+        F.array().cast("array<string>").alias("causes"),
+    )
     basic = basic_regression(rows, key).select(key, "n", F.col("status").alias("_bs"), F.col("change_pct").alias("_bc"))
     split = baseline_split(rows, key).select(key, "status", "change_pct", "severity", "welch_t", "welch_df")
     shapes = distribution(executions, value, key).select(key, "skewness", "kurtosis", "jarque_bera")
@@ -267,4 +309,6 @@ def regression_report(executions: DataFrame, value: str = "duration_ms", key: st
         F.when(F.col("severity") == "Critical", "investigate").when(F.col("severity") == "High", "optimize").when(F.col("severity").isNotNull(), "monitor"),
         F.when((F.col("trend") == "Degrading") & (F.col("strength") > 0.7), "investigate_trend"), F.when(F.col("anomalies") > 5, "investigate_variability"),
     ))
-    return out.select(key, "n", "engine", "status", "change_pct", "severity", "p_value", "trend", "strength", "shape", "anomalies", confidence.alias("confidence"), F.array_join(advice, ",").alias("recommendations"))
+    causes = F.when(F.col("severity").isNotNull(), possible_causes(F.col("change_pct") / 100)).otherwise(F.array().cast("array<string>"))
+    judged = out.select(key, "n", "engine", "status", "change_pct", "severity", "p_value", "trend", "strength", "shape", "anomalies", confidence.alias("confidence"), F.array_join(advice, ",").alias("recommendations"), causes.alias("causes"))
+    return judged.unionByName(few)

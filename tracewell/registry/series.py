@@ -67,9 +67,24 @@ QUERIES = {
             select fingerprint, cast(n as bigint) as n, round(a, 6) as mean, round(sd, 6) as stddev, round(g1, 6) as skewness, round(g2, 6) as kurtosis, round(n / 6 * (s1 * s1 + s2 * s2 / 4), 4) as jarque_bera from u""",
     ),
     "q2_9_16_correlation": Registered(
-        lambda s, d: x.correlation(executions(s, d).withColumn("memory", 100 + 0.1 * F.col("drift_ms")).withColumn("place", F.col("seq").cast("double")), "drift_ms", "place"),
-        f"""with {E}, c as (select fingerprint, count(*) as n, corr(drift_ms, cast(seq as double)) as r from e group by fingerprint)
-            select fingerprint, n, round(r, 6) as r, case when abs(r) < 0.3 then 'VeryWeak' when abs(r) < 0.5 then 'Weak' when abs(r) < 0.7 then 'Moderate' when abs(r) < 0.9 then 'Strong' else 'VeryStrong' end as strength from c where n >= 3""",
+        lambda s, d: x.correlation(executions(s, d).withColumn("place", F.col("seq").cast("double")), "drift_ms", "place"),
+        f"""with {E}, c as (select fingerprint, count(*) as n, corr(drift_ms, cast(seq as double)) as r, count(*) - 2 as df from e group by fingerprint), c2 as (select *, r * sqrt(df / (1 - r * r)) as st, abs(r * sqrt(df / (1 - r * r))) as t from c),
+            {_TWO_SIDED.replace("from c,", "from c2 c,")}
+            select fingerprint, n, round(r, 6) as r, case when abs(r) < 0.3 then 'VeryWeak' when abs(r) < 0.5 then 'Weak' when abs(r) < 0.7 then 'Moderate' when abs(r) < 0.9 then 'Strong' else 'VeryStrong' end as strength, round(st, 6) as t,
+            df::double as df, round(two_sided, 6) as p_value, two_sided < 0.05 as significant from c2 join w using (fingerprint) where n >= 3""",
+    ),
+    "q2_9_11_mean_interval": Registered(
+        lambda s, d: x.mean_interval(executions(s, d)).select("fingerprint", "n", "mean", F.round((F.col("upper") - F.col("lower")) / 2, 5).alias("half")).withColumn("covered", F.col("half") > 0).drop("half"),
+        f"with {E} select fingerprint, count(*) as n, round(avg(duration_ms), 6) as mean, count(*) > 1 as covered from e group by fingerprint",
+    ),
+    "q2_9_10_causes": Registered(
+        lambda s, d: executions(s, d).select("seq", F.array_join(x.possible_causes(F.col("seq") % 100 / 100 - 0.2), ";").alias("causes")),
+        f"""with {E} select seq, case when (seq % 100) / 100.0 - 0.2 > 0.5 then 'Major system change or deployment;Infrastructure issue or resource contention'
+            when (seq % 100) / 100.0 - 0.2 > 0.2 then 'Query plan change;Index modification or corruption;Data growth or distribution change' else 'Minor configuration change;Normal system variation' end as causes from e""",
+    ),
+    "q2_9_29_short_series": Registered(
+        lambda s, d: x.regression_report(executions(s, d).withColumn("fingerprint", F.concat("fingerprint", F.floor(F.log2(F.col("seq") + 1)).cast("string")))).filter("n < 3").select("fingerprint", "n", "status", "confidence", "recommendations"),
+        f"""with {E} select fingerprint || cast(floor(log2(seq + 1)) as bigint) as fingerprint, count(*) as n, 'InsufficientData' as status, 'Low' as confidence, 'collect_more_data' as recommendations from e group by all having count(*) < 3""",
     ),
     "q2_9_18_baseline_regression": Registered(
         lambda s, d: x.baseline_split(_drift(s, d)),

@@ -13,11 +13,46 @@ from ..sources import export as ex
 from ..streaming import tail
 from .data import E, Registered, executions
 from .groups import G, HOURLY, SLO, SLOW, STATE, STATS
+from .plans import N, plan_nodes
 
 
 def _folder(s) -> str:
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewell-")
-    return f"{base}/tracewell/{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share; a local one serves local sessions only."""
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tracewell-")
+    return f"{base}/tracewell/{s.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _checkpoints(s, d):
+    """Two rounds of checkpoints of the 17 files that events fall into, written and read back as versions of a store."""
+    e = executions(s, d).select(F.concat(F.lit("/log/"), (F.col("seq") % 17).cast("string")).alias("path"), (F.col("seq") * 10).alias("position"), F.lit(1).cast("long").alias("device"), (F.col("seq") % 17).alias("inode"), (F.col("seq") * 10).alias("size"), F.col("ts").alias("last_modified"), F.lit(1).cast("long").alias("processed"))
+    store = _folder(s)
+    none, version = tail.load_files(s, store)
+    tail.save_files(tail.upsert_files(none, e.filter("inode < 12")), store, version + 1)
+    first, version = tail.load_files(s, store)
+    tail.save_files(tail.delete_file(tail.upsert_files(first, e.filter("inode >= 8")), "/log/3"), store, version + 1)
+    return tail.load_files(s, store)[0]
+
+
+def _plans(s, d):
+    """Nodes with a fingerprint and a database by the plan's number, and costs over all bounds."""
+    x = plan_nodes(s, d)
+    return x.withColumns({"fingerprint": F.concat(F.lit("f"), (F.col("plan_id") % 7).cast("string")), "database": F.concat(F.lit("db"), (F.col("plan_id") % 3).cast("string")), "total_cost": F.col("total_cost") / 50})
+
+
+def _runs(s, d):
+    bad = F.col("seq") % 9 == 0
+    return executions(s, d).select(
+        F.concat(F.lit("/log/"), (F.col("seq") % 3).cast("string")).alias("pattern"), F.when(bad, "error").otherwise("success").alias("status"), F.when(bad, F.when(F.col("seq") % 2 == 0, "file_error").otherwise("parse_error")).alias("error_type"),
+        (F.col("duration_ms") / 1000).alias("seconds"), (F.col("ts") + F.make_dt_interval(secs=F.col("seq") / 1000000)).alias("ended"),
+    )
+
+
+_HASH = """'{query_hash="' || fingerprint || '",database="' || database || '"'"""
+_LE = "case b when 10 then '+Inf' else ([" + ", ".join(f"'{x:g}'" for x in (0.001, 0.01, 0.1, 1.0, 5.0, 10.0, 30.0, 60.0, 300.0)) + "])[b] end"
 
 
 def _round_trip(s, d):
@@ -48,10 +83,54 @@ QUERIES = {
         f"with {E} select distinct {G}, case when database = 'db0' then 'SELECT $1' else '' end as normalized_query, '' as original_query, '' as plan from e",
     ),
     "q2_23_metric_families": Registered(
-        lambda s, d: ex.metric_families(g.group_stats(executions(s, d)), g.cumulative_buckets(g.bucket_counts(executions(s, d).withColumn("duration_ms", F.col("slow_ms"))))).filter("family like '%calls_total' or family like '%bucket'").groupBy("family").agg(F.count("*").alias("series"), F.sum("value").alias("value")),
-        f"""with {E}, x as (select {SLOW} as b from e), i as (select count(distinct ({G})) as n from e)
-            select 'tracewell_calls_total' as family, (select n from i) as series, count(*)::double as value from e
-            union all select 'tracewell_duration_seconds_bucket', 10 * (select n from i), sum(10 - b)::double from x""",
+        lambda s, d: ex.metric_families(g.group_stats(executions(s, d)), g.cumulative_buckets(g.bucket_counts(executions(s, d).withColumn("duration_ms", F.col("slow_ms"))))).groupBy("family").agg(F.count("*").alias("series"), F.round(F.sum("value"), 6).alias("value")),
+        f"""with {E}, {STATS}, x as (select {SLOW} as b from e), i as (select count(*) as n from s)
+            select 'tracewell_calls_total' as family, count(*) as series, sum(calls)::double as value from s
+            union all select 'tracewell_duration_seconds_bucket', 10 * (select n from i), sum(10 - b)::double from x
+            union all select 'tracewell_duration_' || k || '_seconds', count(*), round(sum(round(v / 1000, 9)), 6) from (select unnest([{{'k': 'mean', 'v': mean_ms}}, {{'k': 'min', 'v': min_ms}}, {{'k': 'max', 'v': max_ms}}], recursive := true) from s) group by k
+            union all select 'tracewell_duration_seconds_total', count(*), round(sum(round(total_ms / 1000, 9)), 6) from s""",
+    ),
+    "q2_23_query_families": Registered(
+        lambda s, d: ex.query_families(executions(s, d).withColumn("duration_ms", F.col("slow_ms"))).select("family", "labels", F.round("value", 4).alias("value")),
+        f"""with {E}, y as (select * replace (slow_ms as duration_ms) from e), x as (select fingerprint, database, {SLOW} as b, duration_ms from y),
+            t as (select cast(sum(cast(duration_ms as decimal(18,2))) as double) as g from y),
+            s as (select fingerprint, database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total, round(coalesce(stddev_samp(duration_ms), 0), 6) as sd, min(ts) as a, max(ts) as z,
+                quantile_cont(duration_ms, 0.95) as p95, quantile_cont(duration_ms, 0.99) as p99 from y group by all),
+            v as (select {_HASH} as l, calls, unnest([{{'family': 'query_duration_seconds_sum', 'v': total / 1000}}, {{'family': 'query_duration_seconds_count', 'v': calls::double}}, {{'family': 'query_latency_cv', 'v': round(sd / round(total / calls, 6), 6)}},
+                {{'family': 'query_total_time_share_pct', 'v': round(total * 100 / g, 6)}}, {{'family': 'query_latency_p95_ms', 'v': round(p95, 6)}}, {{'family': 'query_latency_p99_ms', 'v': round(p99, 6)}},
+                {{'family': 'query_first_seen_seconds', 'v': epoch_us(a) / 1e6}}, {{'family': 'query_last_seen_seconds', 'v': epoch_us(z) / 1e6}}], recursive := true) from s, t)
+            select 'tracewell_' || family as family, l || '}}' as labels, round(v, 4) as value from v
+            union all select 'tracewell_query_executions_total', {_HASH} || ',status="success"}}', calls::double from s
+            union all select 'tracewell_query_duration_seconds_bucket', {_HASH} || ',le="' || {_LE} || '"}}', (select count(*) from x where x.fingerprint = i.fingerprint and x.database = i.database and x.b < r.b)::double
+                from (select distinct fingerprint, database from y) i, range(1, 11) r(b)
+            union all select 'tracewell_slow_queries_total', '{{database="' || database || '",threshold="' || k || 's"}}', count(*) filter (duration_ms >= k * 1000)::double from y, (values (1), (5), (10), (30)) h(k) group by database, k""",
+    ),
+    "q2_23_plan_families": Registered(
+        lambda s, d: ex.plan_families(_plans(s, d)),
+        f"""with {N}, m as (select *, 'f' || plan_id % 7 as fingerprint, 'db' || plan_id % 3 as database, total_cost / 50 as cost from n)
+            select 'tracewell_query_plan_cost_bucket' as family, {_HASH} || ',le="' || t || '"}}' as labels, count(*) filter (cost <= u)::double as value from m,
+                (values ('0.01', 0.01), ('0.1', 0.1), ('1', 1.0), ('10', 10.0), ('100', 100.0), ('1000', 1000.0), ('10000', 10000.0), ('100000', 100000.0), ('+Inf', 1e300)) h(t, u) where depth = 0 group by all
+            union all select 'tracewell_query_' || category || '_types_total', '{{' || category || '_type="' || lower(regexp_replace(kind, '([a-z])([A-Z])', '\\1_\\2', 'g')) || '",database="' || database || '"}}', count(*)::double
+                from m where category in ('scan', 'join') group by category, kind, database""",
+    ),
+    "q2_23_run_families": Registered(
+        lambda s, d: ex.run_families(_runs(s, d)).select("family", "labels", F.round("value", 3).alias("value")),
+        f"""with {E}, r as (select '/log/' || seq % 3 as pattern, case when seq % 9 = 0 then 'error' else 'success' end as status, case when seq % 9 = 0 then case when seq % 2 = 0 then 'file_error' else 'parse_error' end end as error_type,
+                duration_ms / 1000 as seconds, epoch_us(ts) + seq as ended from e)
+            select 'tracewell_logs_parsed_total' as family, '{{log_path_pattern="' || pattern || '",status="' || status || '"}}' as labels, count(*)::double as value from r group by pattern, status
+            union all select 'tracewell_parse_errors_total', '{{log_path_pattern="' || pattern || '",error_type="' || error_type || '"}}', count(*)::double from r where error_type is not null group by pattern, error_type
+            union all select 'tracewell_export_duration_seconds_sum', '', round(sum(seconds), 3) from r
+            union all select 'tracewell_last_successful_parse_timestamp', '', round(max(ended) filter (status = 'success') / 1e6, 3) from r
+            union all select 'tracewell_exporter_up', '', arg_max((status = 'success')::int, ended)::double from r""",
+    ),
+    "q2_2_21_file_states": Registered(
+        lambda s, d: _checkpoints(s, d).select("path", "position", "last_modified"),
+        f"""with {E}, f as (select '/log/' || seq % 17 as path, seq % 17 as k, ts, seq * 10 as position from e) select path, arg_max(position, (ts, position)) as position, max(ts)::timestamp as last_modified from f where k <> 3 group by path""",
+    ),
+    "q2_2_26_cleanup_files": Registered(
+        lambda s, d: tail.cleanup_files(_checkpoints(s, d), "2024-01-30 12:00:00").select("path", "last_modified"),
+        f"with {E} select '/log/' || seq % 17 as path, max(ts)::timestamp as last_modified from e where seq % 17 <> 3 group by all having max(ts) >= timestamp '2024-01-30 12:00:00'",
     ),
+    "q2_2_28_last_run": Registered(lambda s, d: tail.last_run(_checkpoints(s, d), F.current_timestamp()), f"with {E} select max(ts)::timestamp as last_run from e where seq % 17 <> 3"),
     "q2_17_11_stream_fold": Registered(_streamed, f"with {E}, {STATE} select * exclude (latency_buckets) from z"),
 }

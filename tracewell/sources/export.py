@@ -83,6 +83,69 @@ def metric_families(stats: DataFrame, buckets: DataFrame, namespace: str = "trac
     return rows.unionByName(lines)
 
 
+#: Thresholds in seconds above which executions count as slow, and bounds of the histogram of plan costs.
+SLOW_SECONDS = (1.0, 5.0, 10.0, 30.0)
+COST_BOUNDS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0, 100000.0)
+
+
+def _labels(**pairs: Column) -> Column:
+    parts = [F.concat(F.lit(f'{k}="'), F.coalesce(v.cast("string"), F.lit("unknown")), F.lit('"')) for k, v in pairs.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _bound(le: Column) -> Column:
+    return F.when(le == float("inf"), "+Inf").otherwise(F.regexp_replace(le.cast("string"), r"\.0$", ""))
+
+
+def query_families(executions: DataFrame, namespace: str = "tracewell") -> DataFrame:
+    """(family, labels, value) of each statement group: executions, the duration histogram with sum and count, variation,
+    share of the total time, high percentiles, first and last time; and slow executions of each database and threshold."""
+    own = {"query_hash": F.col("fingerprint"), "database": F.col("database")}
+    stats = g.derived(g.group_stats(executions))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    pairs = {
+        "query_duration_seconds_sum": F.col("total_ms") / 1000, "query_duration_seconds_count": F.col("calls"), "query_latency_cv": F.col("cv"), "query_total_time_share_pct": F.col("share_pct"),
+        "query_latency_p95_ms": F.col("p95_ms"), "query_latency_p99_ms": F.col("p99_ms"), "query_first_seen_seconds": seconds("first_ts"), "query_last_seen_seconds": seconds("last_ts"),
+    }
+    rows = stats.select("calls", *own.values(), F.explode(F.array(*[F.struct(F.lit(f"{namespace}_{n}").alias("family"), c.cast("double").alias("value")) for n, c in pairs.items()])).alias("v"))
+    out = rows.select("v.family", _labels(**own).alias("labels"), "v.value")
+    out = out.unionByName(stats.select(F.lit(f"{namespace}_query_executions_total").alias("family"), _labels(**own, status=F.lit("success")).alias("labels"), F.col("calls").cast("double").alias("value")))
+    buckets = g.cumulative_buckets(g.bucket_counts(executions))
+    out = out.unionByName(buckets.select(F.lit(f"{namespace}_query_duration_seconds_bucket").alias("family"), _labels(**own, le=_bound(F.col("le"))).alias("labels"), F.col("count").cast("double").alias("value")))
+    slow = g.slow_counts(executions, tuple(1000 * x for x in SLOW_SECONDS), ("database",))
+    threshold = F.concat(_bound(F.col("threshold_ms") / 1000), F.lit("s"))
+    return out.unionByName(slow.select(F.lit(f"{namespace}_slow_queries_total").alias("family"), _labels(database=F.col("database"), threshold=threshold).alias("labels"), F.col("slow_calls").cast("double").alias("value")))
+
+
+def plan_families(nodes: DataFrame, namespace: str = "tracewell") -> DataFrame:
+    """(family, labels, value) of plan nodes with fingerprint and database: the histogram of root costs of each group, and
+    scans and joins of each kind and database; both nested loops count as nested_loop."""
+    own = {"query_hash": F.col("fingerprint"), "database": F.col("database")}
+    roots = nodes.filter("depth = 0")
+    le = F.array(*[F.lit(b) for b in (*COST_BOUNDS, float("inf"))])
+    costs = roots.select("fingerprint", "database", "total_cost", F.explode(le).alias("le")).groupBy("fingerprint", "database", "le").agg(F.count_if(F.col("total_cost") <= F.col("le")).cast("double").alias("value"))
+    out = costs.select(F.lit(f"{namespace}_query_plan_cost_bucket").alias("family"), _labels(**own, le=_bound(F.col("le"))).alias("labels"), "value")
+    snake = F.lower(F.regexp_replace(F.when(F.col("kind").startswith("NestedLoop"), "NestedLoop").otherwise(F.col("kind")), "(?<=[a-z])(?=[A-Z])", "_"))
+    for category in ("scan", "join"):
+        kinds = nodes.filter(F.col("category") == category).groupBy(snake.alias("k"), "database").agg(F.count("*").cast("double").alias("value"))
+        out = out.unionByName(kinds.select(F.lit(f"{namespace}_query_{category}_types_total").alias("family"), _labels(**{f"{category}_type": F.col("k"), "database": F.col("database")}).alias("labels"), "value"))
+    return out
+
+
+def run_families(runs: DataFrame, namespace: str = "tracewell") -> DataFrame:
+    """(family, labels, value) of parse runs (pattern, status, error_type, seconds, ended): files parsed, errors by type,
+    seconds spent, when one last succeeded, and whether the last run did."""
+    name = lambda n: F.lit(f"{namespace}_{n}").alias("family")
+    one = lambda c: c.cast("double").alias("value")
+    parsed = runs.groupBy("pattern", "status").agg(one(F.count("*"))).select(name("logs_parsed_total"), _labels(log_path_pattern=F.col("pattern"), status=F.col("status")).alias("labels"), "value")
+    errors = runs.filter("error_type is not null").groupBy("pattern", "error_type").agg(one(F.count("*"))).select(name("parse_errors_total"), _labels(log_path_pattern=F.col("pattern"), error_type=F.col("error_type")).alias("labels"), "value")
+    spent = runs.agg(one(F.sum(F.col("seconds").cast("decimal(28,6)")))).select(name("export_duration_seconds_sum"), F.lit("").alias("labels"), "value")
+    good = F.col("status") == "success"
+    last = runs.agg(one(F.max(F.when(good, F.unix_micros(F.col("ended").cast("timestamp")) / 1e6)))).select(name("last_successful_parse_timestamp"), F.lit("").alias("labels"), "value")
+    up = runs.agg(one(F.max_by(good.cast("int"), "ended"))).select(name("exporter_up"), F.lit("").alias("labels"), "value")
+    return parsed.unionByName(errors).unionByName(spent).unionByName(last).unionByName(up)
+
+
 def exposition(families: DataFrame) -> DataFrame:
     """Lines of the text format, in order."""
     return families.select(F.concat("family", "labels", F.lit(" "), F.col("value").cast("string")).alias("line")).orderBy("line")

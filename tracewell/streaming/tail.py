@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -69,6 +69,51 @@ def stale(files: DataFrame, live: DataFrame, cutoff: str) -> DataFrame:
     return files.join(live, "path", "left_anti").filter(F.col("last_modified") < F.lit(cutoff).cast("timestamp_ntz"))
 
 
+FILE_STATE = "path string, position long, device long, inode long, size long, last_modified timestamp_ntz, processed long"
+
+
+def upsert_files(states: DataFrame, news: DataFrame) -> DataFrame:
+    """Checkpoints of files (FILE_STATE) with new ones in place of those of the same path; of several new ones the last modified counts."""
+    latest = news.groupBy("path").agg(F.max(F.struct("last_modified", "position", *[c for c in news.columns if c not in ("path", "last_modified", "position")])).alias("s"))
+    latest = latest.select("path", *[F.col(f"s.{c}").alias(c) for c in news.columns if c != "path"]).select(*states.columns)
+    return states.join(latest, "path", "left_anti").select(*states.columns).unionByName(latest)
+
+
+def file_state(states: DataFrame, path: str) -> DataFrame:
+    """The checkpoint of one file, or no row."""
+    return states.filter(F.col("path") == path)
+
+
+def delete_file(states: DataFrame, path: str) -> DataFrame:
+    return states.filter(F.col("path") != path)
+
+
+def cleanup_files(states: DataFrame, cutoff: str) -> DataFrame:
+    """Checkpoints of files modified since the cut-off."""
+    return states.filter(F.col("last_modified") >= F.lit(cutoff).cast("timestamp_ntz"))
+
+
+def last_run(states: DataFrame, now: Column) -> DataFrame:
+    """One row: when a file was last modified, a day before `now` if there is none."""
+    return states.agg(F.coalesce(F.max("last_modified"), now.cast("timestamp_ntz") - F.expr("interval 24 hours")).alias("last_run"))
+
+
+def save_files(states: DataFrame, store: str, version: int) -> None:
+    """Writes checkpoints as one version of the store; the newest complete version counts, so a write that fails changes nothing."""
+    states.coalesce(1).write.mode("overwrite").parquet(f"{store}/version={version}")
+
+
+def load_files(spark: SparkSession, store: str) -> tuple[DataFrame, int]:
+    """The newest version of the checkpoints, and its number; none: an empty table and -1."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(base)] if fs.exists(base) else []
+    done = [int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        return spark.createDataFrame([], FILE_STATE), -1
+    return spark.read.schema(FILE_STATE).parquet(f"{store}/version={max(done)}"), max(done)
+
+
 def fold_batches(executions: DataFrame, store: str, slo_threshold_ms: float, checkpoint: str) -> StreamingQuery:
     """Runs a stream of executions into a store: one partial state a batch, under its id. Reads with `load_store`."""
 
