@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.functions import prefix, sqltext
 from tracewell.functions.lines import parse_interval, parse_since
@@ -152,3 +153,52 @@ def test_engine_keeps_failures_apart(spark):
     report = engine.run(node_table(plans, "plan_text", "plan_id"))
     assert report.outcomes["Broken"].startswith("failed") and report.summary()["failed"] == 1
     assert ("Scan", "seq_scan", "Critical") in {(r.analyzer, r.rule, r.severity) for r in report.findings.collect()}
+
+
+def test_settings():
+    from tracewell.operators.config import Settings, parse_threshold
+
+    assert [parse_threshold(x) for x in ("500ms", " 1.5 s ", "0ms")] == [500, 1500, 0]
+    for bad in ("5", "x s", "-1s", "inf s", ""):
+        with pytest.raises(ValueError):
+            parse_threshold(bad)
+    assert Settings().validate().retain_days == 7
+    for wrong in ({"log_line_prefix": "x"}, {"exclude_query_patterns": ("(",)}, {"include_databases": ("a",)}, {"backends": ()}, {"slow_query_thresholds": ("x",)}, {"histogram_buckets": (2.0, 1.0)}, {"poll_interval": "soon"}):
+        with pytest.raises(ValueError):
+            Settings(**wrong).validate()
+
+
+def test_compressed_contents(tmp_path, spark):
+    """Any content is inflated in parts; a limit stops it early; damaged files don't keep others from being read."""
+    import bz2
+    import gzip
+
+    text = ("line of a log " * 5 + "\r\n") * 40_000
+    for name, data in (("a", text.encode()), ("b", gzip.compress(text.encode()) + gzip.compress(b"more\n")), ("c", bz2.compress(text.encode())), ("d", gzip.compress(text.encode())[:-400]), ("e", b"")):
+        (tmp_path / name).write_bytes(data)
+    found = logs.read_lines_by_content(spark, str(tmp_path), errors=True)
+    counts = {(r.file.rsplit("/", 1)[1], r.bad): r.n for r in found.groupBy("file", F.col("error").isNotNull().alias("bad")).agg(F.count("*").alias("n")).collect()}
+    assert counts[("a", False)] == counts[("c", False)] == 40_000 and counts[("b", False)] == 40_001 and counts[("d", True)] == 1 and ("e", False) not in counts
+    assert found.filter("error is null and value is not null").select("value").distinct().count() == 2
+    with pytest.raises(ValueError, match="more than 1000000"):
+        list(logs.lines_of(logs.inflated(gzip.compress(b"x" * 5_000_000)), 1_000_000))
+
+
+def test_long_entries_are_cut(spark):
+    text = "2025-06-12 00:00:18.041 UTC [1] u@d LOG:  duration: 5 ms  plan:\n\tQuery Text: select 1\n\tSeq Scan on t  (cost=0.00..1.00 rows=10 width=8)\n" + "\t  Filter: (x = 1)\n" * 100
+    whole, cut = (logs.entries(logs.lines_of_text(spark, text), "%m [%p] %u@%d ", max_entry_bytes=n).first() for n in (0, 400))
+    assert len(whole.plan_text) > 1000 > len(cut.plan_text) > 100
+
+
+def test_backends_keep_failures_apart(spark, tmp_path):
+    from tracewell.sources.backends import CompositeBackend, OtlpBackend, TableBackend, TextBackend
+
+    class Broken:
+        def write(self, families):
+            raise OSError("full")
+
+    families = spark.createDataFrame([("f_total", '{a="x"}', 1.0), ("g", "", 2.0)], "family string, labels string, value double")
+    every = CompositeBackend({"text": TextBackend(f"{tmp_path}/t"), "broken": Broken(), "table": TableBackend(f"{tmp_path}/p"), "otlp": OtlpBackend(f"{tmp_path}/o")})
+    every.write(families)
+    assert every.outcomes == {"text": "ok", "broken": "failed: full", "table": "ok", "otlp": "ok"}
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t").collect()) == ["f_total{a=\"x\"} 1.0", "g 2.0"] and spark.read.parquet(f"{tmp_path}/p").count() == 2

@@ -82,6 +82,7 @@ def node_rules(t: Thresholds, work_mem_kb: int = 4096) -> list[Rule]:
     space, method, batches = _kb(_prop("Sort Space Used")), _prop("Sort Method"), F.coalesce(_prop("Batches", "double"), _prop("Hash Batches", "double"))
     planned, launched = _prop("Workers Planned", "double"), _prop("Workers Launched", "double")
     functions = r"lower\(|upper\(|date\(|substring\("
+    # The limits of each rule and the severities they stand for.
     return [
         Rule("RowEstimation", "excessive_rows", F.when(rank(rows) >= 2, rows)),
         Rule("RowEstimation", "cartesian", F.when(nested & _prop("Join Filter").isNull() & (c("est_rows") > 10000) & (ratio > 0.8), "Critical")),
