@@ -72,7 +72,7 @@ def _decoded(max_bytes: int, keep_going: bool):
     def rows(path: str, values: list[str], first: int, error: str | None = None) -> pa.RecordBatch:
         n = len(values)
         return pa.RecordBatch.from_arrays(
-            [pa.array([path] * n), pa.array([0] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(values, pa.string()), pa.array([error] * n, pa.string())], names=["file", "block", "place", "value", "error"]
+            [pa.array([path] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(values, pa.string()), pa.array([error] * n, pa.string())], names=["file", "block", "place", "value", "error"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
