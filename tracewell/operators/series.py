@@ -8,12 +8,16 @@ spread over as many tasks as it has hours.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .config import regression_thresholds
+
 KEY = "fingerprint"
 # Percent of change that bound the classes, half against half and baseline against the rest.
 MINOR, SIGNIFICANT, CRITICAL = 5.0, 20.0, 50.0
@@ -312,3 +316,32 @@ def regression_report(executions: DataFrame, value: str = "duration_ms", key: st
     causes = F.when(F.col("severity").isNotNull(), possible_causes(F.col("change_pct") / 100)).otherwise(F.array().cast("array<string>"))
     judged = out.select(key, "n", "engine", "status", "change_pct", "severity", "p_value", "trend", "strength", "shape", "anomalies", confidence.alias("confidence"), F.array_join(advice, ",").alias("recommendations"), causes.alias("causes"))
     return judged.unionByName(few)
+
+
+class RegressionEngine(Protocol):
+    """Judges each fingerprint's series: (fingerprint, n, status, ...)."""
+
+    def analyze(self, executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class BasicEngine:
+    """Half against half."""
+
+    def analyze(self, executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame:
+        return basic_regression(ranked(executions, value, key), key)
+
+
+@dataclass(frozen=True)
+class StatisticalEngine:
+    """The full report; series shorter than `detector_points` are judged as the basic engine does."""
+
+    detector_points: int = 30
+
+    def analyze(self, executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame:
+        return regression_report(executions, value, key, self.detector_points)
+
+
+def engine_for(workload: str = "mixed", statistical: bool = True) -> RegressionEngine:
+    """The engine of a workload's preset."""
+    return StatisticalEngine(regression_thresholds(workload)[4]) if statistical else BasicEngine()

@@ -23,6 +23,15 @@ def _token(s, d):
     return e.withColumn("token", token).withColumn("stamp", F.concat(F.date_format(wall.cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), token))
 
 
+def _offsets(s, d):
+    """Numeric zone tokens of every event: +HH, +HHMM, +HH:MM, and two shapes that are none."""
+    e, n = executions(s, d), F.col("seq")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours, minutes = n % 20, n % 70
+    tail = F.when(n % 5 == 1, two(minutes)).when(n % 5 == 2, F.concat(F.lit(":"), two(minutes))).when(n % 5 == 4, "X").otherwise("")
+    return e.select("seq", F.concat(F.when(n % 2 == 0, "+").otherwise("-"), F.when(n % 5 == 3, (hours % 10).cast("string")).otherwise(two(hours)), tail).alias("t"))
+
+
 def log_lines(s, d):
     """The events as a log of seven files in several blocks: header, statement of two lines, plan of two nodes, noise."""
     e = _token(s, d)
@@ -68,8 +77,10 @@ QUERIES = {
         f"with {E} select x.* from e, lateral (values (duration_ms, 10::bigint, 8, 0), (1.0::double, 10::bigint, 8, 1)) x(total_cost, est_rows, width, level)",
     ),
     "q2_3_19_numeric_offset": Registered(
-        lambda s, d: s.createDataFrame([(x,) for x in ("+02", "-0530", "+05:30", "+16", "+0560", "UTC", "+1")], "t string").select("t", ln.numeric_offset("t").alias("seconds")),
-        "select * from (values ('+02', 7200), ('-0530', -19800), ('+05:30', 19800), ('+16', null), ('+0560', null), ('UTC', null), ('+1', null)) v(t, seconds)",
+        lambda s, d: _offsets(s, d).select("seq", "t", ln.numeric_offset("t").alias("seconds")),
+        f"""with {E}, x as (select seq, case when seq % 2 = 0 then '+' else '-' end as g, seq % 20 as h, seq % 70 as m, seq % 5 as k from e),
+            t as (select *, g || case k when 3 then cast(h % 10 as varchar) else printf('%02d', h) end || case k when 1 then printf('%02d', m) when 2 then ':' || printf('%02d', m) when 4 then 'X' else '' end as t from x)
+            select seq, t, cast(case when k < 3 and h <= 15 and (k = 0 or m <= 59) then case g when '-' then -1 else 1 end * (h * 3600 + case k when 0 then 0 else m * 60 end) end as integer) as seconds from t""",
     ),
     "q2_3_28_prefix_database": Registered(
         lambda s, d: log_lines(s, d).filter(F.col("value").contains("checkpoint")).select(parse_prefix("%m [%p] %u@%d ").database(ln.message("value")).alias("database")).groupBy("database").agg(F.count("*").alias("n")),

@@ -40,6 +40,12 @@ QUERIES = {
             select fingerprint, n, round(a, 6) as first_ms, round(b, 6) as second_ms, round(p, 6) as change_pct,
             case when p <= 5 then 'None' when p <= 20 then 'Minor' when p <= 50 then 'Significant' else 'Critical' end as status from c where n >= 3""",
     ),
+    "q2_9_1_engine": Registered(
+        lambda s, d: x.engine_for(statistical=False).analyze(executions(s, d), "drift_ms").select("fingerprint", "n", "status").unionByName(x.engine_for("olap").analyze(executions(s, d), "drift_ms").select("fingerprint", "n", "status")),
+        f"""with {R}, h as (select fingerprint, n, {A} as a, {B} as b, {BA} as ba, {BB} as bb from r group by fingerprint, n), c as (select *, (b - a) / a * 100 as p, (bb - ba) / ba * 100 as q from h)
+            select fingerprint, n, case when p <= 5 then 'None' when p <= 20 then 'Minor' when p <= 50 then 'Significant' else 'Critical' end as status from c
+            union all select fingerprint, n, case when q >= 50 then 'Critical' when q > 10 then 'Significant' else 'None' end from c""",
+    ),
     "q2_9_6_trend": Registered(
         lambda s, d: x.trend(_drift(s, d)),
         f"""with {R}, h as (select fingerprint, {A} as a, {B} as b, stddev_samp(y) / avg(y) as cv, regr_r2(y, rn) as r2 from r group by fingerprint, n)

@@ -13,6 +13,7 @@ from ..sources import export as ex
 from ..streaming import tail
 from .data import E, Registered, executions
 from .groups import G, HOURLY, SLO, SLOW, STATE, STATS
+from .lines import log_lines
 from .plans import N, plan_nodes
 
 
@@ -70,7 +71,20 @@ def _streamed(s, d):
     return st.as_table(tail.load_store(s, f"{base}/store")).drop("latency_buckets")
 
 
+def _log_stream(s, d):
+    """The events' log, written as a file for each of seven names and read as a stream of two files a batch."""
+    base = _folder(s)
+    log_lines(s, d).repartition(4, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
+    tail.fold_logs(s, f"{base}/in", f"{base}/store", f"{base}/checkpoint", "%m [%p] %u@%d ", SLO, 2).awaitTermination()
+    return st.as_table(tail.load_store(s, f"{base}/store"))
+
+
 QUERIES = {
+    "q2_17_2_log_stream": Registered(
+        lambda s, d: _log_stream(s, d).select("database", "calls", "total_ms", "min_ms", "max_ms", "slo_breaches", "first_seen", "last_seen"),
+        f"""with {E} select database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms, count(*) filter (duration_ms > {SLO}) as slo_breaches,
+            min(date_trunc('millisecond', ts))::timestamp as first_seen, max(date_trunc('millisecond', ts))::timestamp as last_seen from e group by fingerprint, database""",
+    ),
     "q2_2_1_export_rows": Registered(
         lambda s, d: _round_trip(s, d).select("fingerprint", "database", "calls", "total_ms", "mean_ms", "stddev_ms", F.size("sample").alias("n_sample"), F.size("histogram").alias("n_hours"), F.round(F.aggregate("sample", F.lit(0.0), lambda a, x: a + x), 2).alias("sample_ms")),
         f"""with {E}, {STATS}, {HOURLY}, x as (select {G}, cast(count(*) as integer) as n_sample, round(sum(duration_ms), 2) as sample_ms from (select * from e qualify row_number() over (partition by {G} order by seq) <= 100) group by {G}),

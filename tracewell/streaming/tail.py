@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.lines import LINE_START
+from ..functions.prefix import DEFAULT
 from ..operators import groups as g
 from ..operators import state as st
+from ..sources import logs
 
 _START = re.compile(LINE_START.encode())
 BUDGET, MOST_BUDGET = 64 << 20, 1 << 30
@@ -123,6 +125,23 @@ def fold_batches(executions: DataFrame, store: str, slo_threshold_ms: float, che
     return executions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fold_logs(spark: SparkSession, path: str, store: str, checkpoint: str, log_line_prefix: str = DEFAULT, slo_threshold_ms: float = 0.0, files_per_batch: int = 100, every: str | None = None) -> StreamingQuery:
+    """Runs log files, as they appear under a path or glob, into a store: entries, normal forms and partial states of each batch.
+
+    Once over what is there, or, with `every` (such as "30 seconds"), again and again. A file is read when it is complete
+    (rotated); entries don't cross files.
+    """
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = logs.executions_of(logs.entries(batch.withColumn("place", F.monotonically_increasing_id()), log_line_prefix))
+        st.state_rows(rows, slo_threshold_ms, batch_id).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def load_store(spark: SparkSession, store: str) -> DataFrame:
     """The merged store."""
     return st.merge_states(spark.read.parquet(store).drop("batch"))
