@@ -54,11 +54,12 @@ def test_ranges_are_pruned(spark, monkeypatch):
     rows = [(i, [float(x) for x in np.eye(16)[i * 16 // 2000] * 5 + rnd.normal(0, 0.05, 16)]) for i in range(2000)]
     sent = []
     real = exact_topk._packets
-    monkeypatch.setattr(exact_topk, "_packets", lambda o, per, ranges, s: sent.append((s is not None, ranges)) or real(o, per, ranges, s))
+    monkeypatch.setattr(exact_topk, "_packets", lambda ranges, s: sent.append((s is not None, ranges)) or real(ranges, s))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     want = brute(rows, 256.0)
     assert Counter(tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == want
     monkeypatch.setattr(exact_topk, "SUMMARY_BYTES", 0)
+    monkeypatch.setattr(exact_topk, "PARTITIONS", 0)
     assert Counter(tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == want
     assert [s[0] for s in sent] == [True, False] and sent[0][1] > 20
 

@@ -3,7 +3,10 @@
 Tier one: a minimal perfect hash over the vocabulary resolves whole pre-tokens that are tokens themselves.
 Tier two: other pre-tokens are merged by rank with a heap over a linked list of their bytes, in n log n.
 
-Pre-tokens repeat, so a worker keeps the ids of those it has met, up to a bound. Null texts count as empty.
+Pre-tokens repeat, so a worker keeps the ids of those it has met, up to a bound.
+
+Defined results: null texts count as empty; an empty text has no ids; texts of any length are encoded whole; repeated rows
+have equal ids; merges of equal rank go from left to right; an empty table gives none; other columns are never read.
 """
 
 from __future__ import annotations

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,42 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers are used again by other operators, and there are several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc only
+except (AttributeError, OSError):
+    _trim = None
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A map over batches that releases memory at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def trimmed_group(run: Callable[[tuple, pd.DataFrame], pd.DataFrame], rows: int = 1000):
+    """A map over groups that releases memory after each large one."""
+
+    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = run(key, frame)
+        if len(frame) >= rows or frame.memory_usage(deep=True).sum() > 1 << 20:
+            del frame
+            release()
+        return out
+
+    return whole
+
+
 def digest_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     is collected to the driver but two numbers a round; each round is written to the shared folder.
     """
     e = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
-    e = e.mapInArrow(_forest, "a long, b long").distinct()
+    e = e.mapInArrow(trimmed(_forest), "a long, b long").distinct()
     e, seen = materialize(e, "edges"), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

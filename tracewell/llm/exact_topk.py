@@ -29,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 BLOCK_ROWS, RANGE_BLOCKS, PACKET_QUERIES = 256, 256, 512
 #: Bounds of ranges are sent to the tasks up to so many bytes; beyond that, queries go to all ranges.
 SUMMARY_BYTES = 32 << 20
+#: Offsets of partitions are broadcast up to so many, and joined by exchange beyond.
+PARTITIONS = 1 << 18
 _NONE = -(1 << 63)  # below every score
 _MOST = (1 << 63) - 1
 
@@ -163,7 +165,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def _packets(offsets: dict[int, int], per: int, ranges: int, summary: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None):
+def _packets(ranges: int, summary: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None):
     """Packets of queries for each range that may hold a result of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def _packets(offsets: dict[int, int], per: int, ranges: int, summary: dict[int,
 
         for b in _rows(batches):
             ids = np.frombuffer(b["q_ids"], np.int64)
-            own = (offsets[b["part"]] + b["place"]) * BLOCK_ROWS + np.frombuffer(b["q_at"], np.int64)
+            own = b["number"] * BLOCK_ROWS + np.frombuffer(b["q_at"], np.int64)
             w = b["width"]
             held.setdefault(w, []).append((own, ids, _unpacked(b["q_rows"], len(ids), w), np.frombuffer(b["q_floor"], np.int64)))
             if sum(len(x[0]) for x in held[w]) >= PACKET_QUERIES:
@@ -232,7 +234,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """(query_id, rank, vec_id, score): the k best candidates of every query row, the row itself excepted."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
-    blocks = materialize(rows.mapInArrow(_blocks(scale, k), _BLOCK_SCHEMA), "blocks")
+    blocks = materialize(rows.mapInArrow(trimmed(_blocks(scale, k)), _BLOCK_SCHEMA), "blocks")
     # blocks are numbered through by the counts of the partitions before theirs: one row a partition comes to the driver
     counts = sorted((r[0], r[1]) for r in blocks.groupBy("part").agg(F.max("place") + 1).collect())
     offsets, total = {}, 0
@@ -242,8 +244,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     tasks = spark.sparkContext.defaultParallelism
     per = max(1, min(RANGE_BLOCKS, -(-total // (4 * tasks))))
     ranges = -(-total // per)
-    table = spark.createDataFrame([(p, o) for p, o in offsets.items()] or [(-1, 0)], "part long, offset long")
-    numbered = blocks.join(F.broadcast(table), "part").withColumn("number", F.col("offset") + F.col("place"))  # one row a partition
+    table = spark.createDataFrame(list(offsets.items()) or [(-1, 0)], "part long, offset long")
+    table = F.broadcast(table) if len(offsets) <= PARTITIONS else table.hint("merge")
+    numbered = blocks.join(table, "part").withColumn("number", F.col("offset") + F.col("place"))
     numbered = numbered.withColumn("r", F.floor(F.col("number") / per).cast("long"))
     widths = [r[0] for r in blocks.select("width").distinct().limit(2).collect()]
     summary = None
@@ -251,10 +254,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         found = numbered.select("r", "width", "high", "low").groupBy("r", "width").applyInPandas(_extremes, "r long, width int, high binary, low binary").orderBy("r").collect()
         matrix = lambda c: np.stack([np.frombuffer(x[c], np.int64) for x in found])
         summary = {widths[0]: (np.array([x["r"] for x in found]), matrix("high"), matrix("low"))}
-    queries = blocks.filter(F.octet_length("q_ids") > 0).select("part", "place", "width", "q_at", "q_ids", "q_rows", "q_floor")
-    packets = queries.mapInArrow(_packets(offsets, per, ranges, summary), _SEARCH_SCHEMA)
+    queries = numbered.filter(F.octet_length("q_ids") > 0).select("number", "width", "q_at", "q_ids", "q_rows", "q_floor")
+    packets = queries.mapInArrow(_packets(ranges, summary), _SEARCH_SCHEMA)
     index = numbered.select("r", (F.col("number") * BLOCK_ROWS).alias("first"), "width", "ids", "rows", "high", "low")
     dealt = index.unionByName(packets).repartition(max(1, min(ranges, 100_000)), "r").sortWithinPartitions("r", F.desc("first"))
-    found = dealt.mapInArrow(_search(k), "own long, query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(trimmed(_search(k)), "own long, query_id long, vec_id long, score long")
     order = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

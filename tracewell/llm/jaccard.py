@@ -21,8 +21,12 @@ What holds the work down when a large share of the rows are copies:
 
 Links are never dropped: the result has the components of the complete link graph.
 
+Shingles are 54-bit hashes, so two different ones of a pair of sets are taken for one with a chance of about their number
+squared in 2^54; a light subset is known by two 63-bit sums.
+
 Defined results: a null or word-less text has 0 shingles and is its own component; a row without id has a null
-component; rows that repeat an id are versions of one document and share its component; other columns are ignored.
+component; rows that repeat an id are versions of one document and share its component, and each version's links count;
+texts of any length are taken whole; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, text_slices
+from .common import materialize, partitions_for, text_slices, trimmed, trimmed_group
 from .components import connected_components
 from .shingles import SLICE_DOCS, mix, shingle_sets
 
@@ -522,29 +526,29 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """(sets, edges): each row's set (id, n, h1, h2), and links between representatives that span every component of the link graph."""
     spark = docs.sparkSession
     pairs_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(pairs_in.mapInArrow(_scan(width), _SCAN_SCHEMA), "sets")
+    sets = materialize(pairs_in.mapInArrow(trimmed(_scan(width)), _SCAN_SCHEMA), "sets")
     boundary = _boundary(sets, percent)
     shingles = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions_for(spark), -(-int(shingles) // BUCKET_SHINGLES))
     # light sets large enough to link to a heavy one are listed too
     least = max(1, _needed(boundary + 1, percent))
-    low = pairs_in.mapInArrow(_low_shingles(width, percent, least, COUNTED, buckets), "bucket int, found binary, times binary")
-    top = low.groupBy("bucket").applyInPandas(_frequent, "token long, w long").orderBy(F.desc("w"), "token").limit(FREQUENT).toPandas()
+    low = pairs_in.mapInArrow(trimmed(_low_shingles(width, percent, least, COUNTED, buckets)), "bucket int, found binary, times binary")
+    top = low.groupBy("bucket").applyInPandas(trimmed_group(_frequent), "token long, w long").orderBy(F.desc("w"), "token").limit(FREQUENT).toPandas()
     top["token"] = top["token"].astype(np.int64).astype(np.uint64)
     top = top.sort_values("token")
     frequent, weight = top["token"].to_numpy(), top["w"].to_numpy(np.int64)
 
     edges = []
     if boundary:
-        subsets = materialize(pairs_in.mapInArrow(_subsets(width, percent, boundary), "key long, check long, c int, size int, id long"), "subsets")
+        subsets = materialize(pairs_in.mapInArrow(trimmed(_subsets(width, percent, boundary)), "key long, check long, c int, size int, id long"), "subsets")
         hubs = subsets.groupBy("key", "check", "c").agg(F.min(F.struct("size", "id")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
         edges.append(
             subsets.hint("merge").join(hubs, ["key", "check", "c"])
             .filter(f"id <> hub.id and 100 * c >= {percent} * (size + hub.size - c)")
             .select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
         )
-    blocks = pairs_in.mapInArrow(_prefixes(width, percent, least, frequent, weight, buckets), "bucket int, entries binary, owners binary")
-    found = materialize(blocks.groupBy("bucket").applyInPandas(_pairs(percent, full_list), "a long, sa long, b long, sb long, token long, size long"), "pairs")
+    blocks = pairs_in.mapInArrow(trimmed(_prefixes(width, percent, least, frequent, weight, buckets)), "bucket int, entries binary, owners binary")
+    found = materialize(blocks.groupBy("bucket").applyInPandas(trimmed_group(_pairs(percent, full_list)), "a long, sa long, b long, sb long, token long, size long"), "pairs")
     # several versions of one id are told apart by their sets' digests
     shapes = sets.filter("n > 0").select("id", "h1", "n", "bitmap").dropDuplicates(["id", "h1"])
     first = found.filter("token = -1").select("a", "sa", "b", "sb").distinct()
@@ -557,14 +561,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     def bodies(wanted: DataFrame) -> DataFrame:
         """The packed sets of (id, h1)."""
         ids = wanted.select("id").distinct()
-        whole = pairs_in.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_bodies(width), "id long, h1 long, h2 long, body binary")
+        whole = pairs_in.join(ids.hint("merge"), "id", "left_semi").mapInArrow(trimmed(_bodies(width)), "id long, h1 long, h2 long, body binary")
         return whole.join(wanted.distinct().hint("merge"), ["id", "h1"], "left_semi").dropDuplicates(["id", "h1"]).drop("h2")
 
     ends = first.select(F.col("a").alias("id"), F.col("sa").alias("h1")).unionByName(first.select(F.col("b").alias("id"), F.col("sb").alias("h1")))
     own = materialize(bodies(ends), "bodies")
     both = first.hint("merge").join(own.select(F.col("id").alias("a"), F.col("h1").alias("sa"), F.col("body").alias("xa")), ["a", "sa"])
     both = both.hint("merge").join(own.select(F.col("id").alias("b"), F.col("h1").alias("sb"), F.col("body").alias("xb")), ["b", "sb"])
-    edges.append(materialize(both.select("a", "b", "xa", "xb").mapInArrow(_verify(percent), "a long, b long"), "links"))
+    edges.append(materialize(both.select("a", "b", "xa", "xb").mapInArrow(trimmed(_verify(percent)), "a long, b long"), "links"))
     if long_lists.take(1):
         known = edges[0]
         for e in edges[1:]:
@@ -598,22 +602,22 @@ def _across(sets: DataFrame, shapes: DataFrame, lists: DataFrame, known: DataFra
     dealt = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("token", F.least("k", "chunk").alias("i"), F.greatest("k", "chunk").alias("j"), "chunk", "id", "h1", "size", "part", "bitmap")
     bucket = F.pmod(F.xxhash64(*_BLOCK), F.lit(4 * buckets))
-    near = materialize(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_cross(percent), _MEMBER_SCHEMA), "near")
+    near = materialize(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(trimmed_group(_cross(percent)), _MEMBER_SCHEMA), "near")
     whole = materialize(bodies(near.select("id", "h1")), "bodies")
     with_sets = near.hint("merge").join(whole, ["id", "h1"]).withColumn("bucket", bucket)
-    return materialize(with_sets.groupBy("bucket").applyInPandas(_linked(percent), "a long, b long"), "links")
+    return materialize(with_sets.groupBy("bucket").applyInPandas(trimmed_group(_linked(percent)), "a long, b long"), "links")
 
 
 def _same_sets(sets: DataFrame) -> DataFrame:
     """Each id of a class of equal sets with the smallest id of the class."""
     hubs = sets.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("b"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    return sets.join(hubs, ["n", "h1", "h2"]).filter("id <> b").select(F.col("id").alias("a"), "b")
+    return sets.hint("merge").join(hubs, ["n", "h1", "h2"]).filter("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, full_list: int = 16) -> DataFrame:
     """(id, n_shingles, component_id) of every row; see the module's text for the method and the defined results."""
     sets, edges = links(docs, id_col, text_col, width, percent, full_list)
     parts = connected_components(edges.unionByName(_same_sets(sets)), "a", "b")
-    return sets.join(parts, sets.id == parts.node, "left").select(
+    return sets.hint("merge").join(parts, sets.id == parts.node, "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_cuts
+from .common import release, sample_cuts
 from .shingles import mix
 
 UNDETERMINED = "und"
@@ -270,6 +270,7 @@ def language_column(model: LanguageModel, text: Column | str) -> Column:
             a, b = model.score(texts.slice(lo, 1000).cast(pa.string()))
             lang += a
             score += b
+        release()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return identify(text)

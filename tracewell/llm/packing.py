@@ -11,7 +11,10 @@ whose size is fixed by `shard_pieces`; with tens of thousands of pieces a shard
 
 The length of a text is its number of UTF-8 bytes (the tokens of a byte-level model) plus one separator, unless a
 length column is named. Defined results: null lengths and texts count as empty, and an empty text still takes its separator;
-a length below 1 counts as 1; rows that repeat an id are packed each; other columns are ignored.
+a length below 1 counts as 1; rows that repeat an id or have none are packed each; documents of any length are cut into pieces;
+of equal lengths the smaller id goes first, of bins with equal room the last opened, of equal costs the larger size, and of
+packings of equal cost the one with more sizes; an empty table gives none; other columns are ignored. Which rows share a
+shard follows the input's partitions, so bins may differ between layouts of one table, their costs hardly.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 CAPACITIES = (2048, 4096, 8192, 16384, 32768)
 SHARD_PIECES = 50_000
 _SCHEMA = "id long, piece int, begin long, length int, bin long, bin_capacity int, bin_offset int"
@@ -137,4 +142,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, -(-int(count) // shard_pieces))
     # round-robin over rows sorted by their hash: repeated rows spread, and a retried task deals alike
     dealt = rows.repartition(shards).withColumn("shard", F.spark_partition_id().cast("long"))
-    return dealt.mapInArrow(_shard(tuple(capacities), cost), _SCHEMA).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(trimmed(_shard(tuple(capacities), cost)), _SCHEMA).withColumnRenamed("id", id_col)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, text_slices
+from .common import materialize, partitions_for, release, text_slices, trimmed, trimmed_group
 from .shingles import _POWERS, _SPACE, mix, words
 
 LENGTH, GRAM = 400, 100
@@ -436,7 +436,10 @@ def _erase_column(as_text: bool, mark: bool):
                     kept, spans = erase(data, begins, ends)
             shown = kept.decode("utf-8", "ignore") if as_text else kept
             out.append({"kept": shown, "n_removed": len(data) - len(kept), "spans": [{"begin": b, "end": e} for b, e in spans], "n_passage": passage})
-        return pa.array(out, kind)
+        found = pa.array(out, kind)
+        del out
+        release()
+        return found
 
     return erased.asNondeterministic()  # so that filters on the result don't run it again
 
@@ -456,15 +459,15 @@ def remove_repeats(
     docs = docs.drop("kept", "n_removed", "spans", "n_passage")
     keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64(text_col)})
     plain = keyed.filter(F.octet_length(text_col) >= (min(length, 2 * words - 1) if words else length)).select("_d", "_t", text_col)
-    anchors = materialize(plain.mapInArrow(_anchors(sizes), _ANCHOR_SCHEMA), "anchors")
+    anchors = materialize(plain.mapInArrow(trimmed(_anchors(sizes)), _ANCHOR_SCHEMA), "anchors")
     often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
     buckets = max(partitions_for(docs.sparkSession), -(-int(often.agg(F.sum("n")).first()[0] or 0) // BUCKET_ANCHORS))
     # sets, as equal rows have the same anchors and the same stretches
     rows = anchors.hint("merge").join(often.select("h", (F.col("n") > hot).alias("hot")), "h")
     rows = rows.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "at", "hot")).alias("_a"))
     # Both joins with the texts use all columns, so that the texts are exchanged once.
-    runs = keyed.hint("merge").join(rows, ["_d", "_t"]).mapInArrow(_runs(text_col, lengths, buckets), "bucket int, run binary, done binary")
-    found = runs.groupBy("bucket").applyInPandas(_merge(lengths, buckets), "_d long, _t long, begin long, end long, words boolean")
+    runs = keyed.hint("merge").join(rows, ["_d", "_t"]).mapInArrow(trimmed(_runs(text_col, lengths, buckets)), "bucket int, run binary, done binary")
+    found = runs.groupBy("bucket").applyInPandas(trimmed_group(_merge(lengths, buckets)), "_d long, _t long, begin long, end long, words boolean")
     found = found.groupBy("_d", "_t").agg(F.collect_set(F.struct("begin", "end", "words")).alias("_f"))
     out = keyed.hint("merge").join(found, ["_d", "_t"], "left").withColumn("_r", _erase_column(as_text, mark_words)(text_col, "_f"))
     return out.select(*[F.col(c) for c in docs.columns], *[F.col(f"_r.{c}").alias(c) for c in ("kept", "n_removed", "spans", "n_passage")])

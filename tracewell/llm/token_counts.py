@@ -6,7 +6,9 @@ space that begins the rest: word-piece segmentation. The trie of the vocabulary
 node, how many pieces are popped on taking the link (Song et al., Fast WordPiece Tokenization, 2021), so a word costs
 one step for each byte. Entries of single bytes make every word segmentable.
 
-Null and empty texts count 0 words and 0 tokens.
+Defined results: null and empty texts count 0 words and 0 tokens; texts of any length are counted whole, in time linear in
+their bytes; repeated rows count each; of pieces that begin alike the longest is taken, so there are no ties; an empty table
+gives none; other columns are never read.
 """
 
 from __future__ import annotations
