@@ -162,25 +162,27 @@ def _patterns(words: list[str], stems: set[str], lengths: list[int]) -> set[str]
     return out
 
 
-def learn_lexicon(texts: list[list[str]], labels: list[int], seed: tuple[str, ...] = SEED, least: int = 3) -> dict[str, float]:
-    """Patterns with weights, from the distinct folded words of labelled texts; the seed with its default weight without texts of both kinds.
+def learn_lexicon(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED, least: int = 3) -> dict[str, float]:
+    """Patterns with weights, from the distinct words (distinct_words) of labelled texts; the seed with its default weight without texts of both kinds.
 
     A pattern is added only if it covers at least `least` toxic texts that no other covers, which bounds the lexicon.
     """
     lexicon = {f" {w} ": 3.0 for w in seed}
     if not texts or len(set(labels)) < 2:
         return lexicon
-    stems = stems_of(w for words, y in zip(texts, labels, strict=True) if y for w in words)
+    stems = stems_of(w for words, y in zip(texts, labels, strict=True) if y for w in words.split())
     lengths = sorted(set(map(len, stems)))
+    # patterns are worked out when they are needed: those of all texts at once would be large
+    patterns = lambda words: _patterns(words.split(), stems, lengths)
     bad_counts, good = Counter(), Counter()
     for words, y in zip(texts, labels, strict=True):
         if y:
-            bad_counts.update(_patterns(words, stems, lengths))
+            bad_counts.update(patterns(words))
     counts = Counter({p: n for p, n in bad_counts.items() if n >= least or p in lexicon})
     del bad_counts
     for words, y in zip(texts, labels, strict=True):
         if not y:
-            good.update(p for p in _patterns(words, stems, lengths) if p in counts or p in lexicon)
+            good.update(p for p in patterns(words) if p in counts or p in lexicon)
     n_bad, n_good = sum(labels), len(labels) - sum(labels)
 
     def weight(p: str, seen: int) -> float:
@@ -192,7 +194,7 @@ def learn_lexicon(texts: list[list[str]], labels: list[int], seed: tuple[str, ..
     left = []
     for words, y in zip(texts, labels, strict=True):
         if y:
-            s = _patterns(words, stems, lengths)
+            s = patterns(words)
             if not s & lexicon.keys():
                 left.append(s & eager)
     gain = Counter(p for s in left for p in s)
@@ -229,18 +231,21 @@ def learn_weights(features: list[tuple[float, float]], labels: list[int]) -> tup
 
 def learn(texts: list[str], labels: list[int], seed: tuple[str, ...] = SEED) -> ToxicityModel:
     """Lexicon and weights from labelled texts; without labelled texts of both kinds, the seed with its default weights."""
-    model = ToxicityModel(learn_lexicon([sorted(set(fold(t).split())) for t in texts], labels, seed))
+    model = ToxicityModel(learn_lexicon([distinct_words(t) for t in texts], labels, seed))
     if texts and len(set(labels)) > 1:
         model.weights = learn_weights([model.features(t) for t in texts], labels)
     return model
 
 
-def _words_column(text: str) -> Column:
-    """The distinct folded words of a text column, in order."""
+def distinct_words(text: str) -> str:
+    """The distinct folded words of a text, in order, between single spaces."""
+    return " ".join(sorted(set(fold(text).split())))
+
 
-    @F.arrow_udf("array<string>")
+def _words_column(text: str) -> Column:
+    @F.arrow_udf("string")
     def distinct(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(set(fold(t.as_py() or "").split())) for t in texts], pa.list_(pa.string()))
+        return pa.array([distinct_words(t.as_py() or "") for t in texts], pa.string())
 
     return distinct(text)
 
