@@ -57,7 +57,7 @@ from .shingles import _POWERS, _SPACE, mix, words
 
 LENGTH, GRAM = 400, 100
 HOT = 20_000
-WORD_BYTES = 5
+WORD_BYTES = 3
 BUCKET_ANCHORS = 40_000
 SCAN_BYTES = 4 << 20  # of a text scanned at once
 _PLACE_BITS = 28  # of a position in a slice; the other bits of the order of anchors are the gram's hash
