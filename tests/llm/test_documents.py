@@ -210,7 +210,9 @@ def test_main_text():
 
 
 def test_stretches():
-    assert main_text.stretches([0, 3, 0, 0, 100, 50, 90, 0, 0, 0, 4]) == [(1, 7)]
+    # the line of 3 is apart from the surge, as lines without weight lie between
+    assert main_text.stretches([0, 3, 0, 0, 100, 50, 90, 0, 0, 0, 4]) == [(4, 7)]
+    assert main_text.stretches([0, 3, 2, 100, 50, 90, 0, 0, 0, 4]) == [(1, 6)]
     assert main_text.stretches([5, 5]) == []
 
 
