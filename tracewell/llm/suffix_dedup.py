@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, release, text_slices, trimmed, trimmed_group
+from .common import discard, materialize, partitions_for, release, text_slices, trimmed, trimmed_group
 from .shingles import _POWERS, _SPACE, mix, words
 
 LENGTH, GRAM = 400, 100
@@ -464,7 +464,8 @@ def remove_repeats(
     buckets = max(partitions_for(docs.sparkSession), -(-int(often.agg(F.sum("n")).first()[0] or 0) // BUCKET_ANCHORS))
     # sets, as equal rows have the same anchors and the same stretches
     rows = anchors.hint("merge").join(often.select("h", (F.col("n") > hot).alias("hot")), "h")
-    rows = rows.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "at", "hot")).alias("_a"))
+    rows = materialize(rows.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h", "at", "hot")).alias("_a")), "places")
+    discard(anchors, often)
     # Both joins with the texts use all columns, so that the texts are exchanged once.
     runs = keyed.hint("merge").join(rows, ["_d", "_t"]).mapInArrow(trimmed(_runs(text_col, lengths, buckets)), "bucket int, run binary, done binary")
     found = runs.groupBy("bucket").applyInPandas(trimmed_group(_merge(lengths, buckets)), "_d long, _t long, begin long, end long, words boolean")
