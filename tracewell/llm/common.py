@@ -144,3 +144,41 @@ def sample_cuts(rows: DataFrame, group: str, hashed: str, limits: dict) -> dict:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys with at least one in HOT_KEYS of all rows, and HOT_ROWS of them, are joined through a table of at most HOT_KEYS rows.
+HOT_KEYS, HOT_ROWS = 1000, 500
+
+
+def numbered(stored: DataFrame, name: str) -> DataFrame:
+    """Rows of a stored table with dense numbers from 0 on: the place in a partition, and the rows of those before.
+
+    Only a count for each partition comes to the driver.
+    """
+    part, place = F.shiftright(F.col("_row"), 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stored.withColumn("_row", F.monotonically_increasing_id())
+    counts = dict(rows.groupBy(part.alias("p")).count().collect())
+    before, offsets = 0, [0] * (max(counts, default=0) + 1)
+    for p in sorted(counts):
+        offsets[p] = before
+        before += counts[p]
+    return rows.withColumn(name, place + F.lit(offsets)[part.cast("int")]).drop("_row")
+
+
+def join_names(rows: DataFrame, names: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with a table that has each key once, however many rows share a key.
+
+    `counted` (names itself, if none is given) has the number of rows of each key in `n`. Keys with at least one in HOT_KEYS of all
+    rows, of which there can be no more than HOT_KEYS, are broadcast; all others meet by a shuffle in which none is large.
+    """
+    counted = names if counted is None else counted
+    total, most = counted.agg(F.sum("n"), F.max("n")).first()
+    bound = max((total or 0) // HOT_KEYS, HOT_ROWS)
+    names = names.drop("n")
+    if (most or 0) < bound:
+        return rows.join(names.hint("merge"), keys, how)
+    hot = counted.filter(F.col("n") >= bound).select(*keys)  # at most HOT_KEYS rows
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    some = marked.filter("_hot").drop("_hot").join(F.broadcast(names.join(F.broadcast(hot), keys)), keys, how)
+    rest = marked.filter("_hot is null").drop("_hot").join(names.hint("merge"), keys, how)
+    return some.unionByName(rest)

@@ -8,9 +8,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard, lang_id, main_text, packing, suffix_dedup, token_counts, toxicity, transport_stream
+from . import byte_bpe, exact_topk, jaccard, lang_id, main_text, ordered_packing, packing, prefix_trie, spelling, suffix_dedup, token_counts, toxicity, transport_stream
 from .common import digest_bucket, table
-from .vocab import byte_ranks, multi_path, pretoken_pattern
+from .vocab import byte_ranks, english_path, multi_path, pretoken_pattern
 
 VOCABULARY = "byte_bpe_multi_50k"
 PASSAGE_WORDS = 51
@@ -91,8 +91,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_packing.pack_in_order(table(spark, sf_dir, "documents"), english_path())
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_media_ts, op3_exact_topk, op4_packing, op5_token_counts, op6_lang_id, op7_byte_bpe, op8_jaccard_join, op9_main_text, op10_suffix_dedup)
+    found = (op1_toxicity, op2_media_ts, op3_exact_topk, op4_packing, op5_token_counts, op6_lang_id, op7_byte_bpe, op8_jaccard_join, op9_main_text, op10_suffix_dedup, op11_spelling, op12_ordered_packing, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 

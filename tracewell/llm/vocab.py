@@ -23,3 +23,9 @@ def pretoken_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
+
+
+def english_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
