@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard, lang_id, main_text, ordered_packing, packing, prefix_trie, spelling, suffix_dedup, token_counts, toxicity, transport_stream
+from . import byte_bpe, exact_topk, jaccard, lang_id, main_text, ordered_packing, packing, prefix_trie, spelling, sql, suffix_dedup, token_counts, toxicity, transport_stream
 from .common import digest_bucket, table
 from .vocab import byte_ranks, english_path, multi_path, pretoken_pattern
 
@@ -109,17 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op3_exact_topk": """
-            with v as (
-                select row_number() over () as own, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
-                from embeddings
-                where vec_id is not null and len(embedding) > 0
-                  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-            scored as (
-                select q.own, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
-                from v q join v c on q.vec_id % 50 = 0 and q.own <> c.own and len(q.e) = len(c.e)),
-            ranked as (select *, cast(row_number() over (partition by own order by score desc, vec_id) as integer) as rank from scored)
-            select query_id, rank, vec_id, score from ranked where rank <= 5
-        """
-    }
+    return {"op3_exact_topk": sql.EXACT_TOPK, "op11_spelling": sql.SPELLING, "op13_prefix_trie": sql.PREFIX_TRIE}
