@@ -115,32 +115,65 @@ def value_bands(v: Column) -> Column:
     return F.when(v == 0, 0).when(v > 0, band).otherwise(-band)
 
 
+def band_base(band: Column) -> Column:
+    """A value of the band, from its number alone: what sums within the band are taken from."""
+    size = F.pow(F.lit(2.0), (F.abs(band) - (1 << 21)) / 1024.0)
+    return F.when(band == 0, 0.0).when(band > 0, size).otherwise(-size)
+
+
+def banded(rows: DataFrame, value: str, keys: tuple[str, ...], also: tuple[tuple[Column, Column], ...] = ()) -> DataFrame:
+    """Rows by group and band of nearly equal values: n, the distinct values with their counts in order (`vals`), sums from
+    the band's base (`s1`, `s2`), and further aggregates: pairs of one over rows and one over its results.
+
+    Equal values are counted before anything is exchanged. Null values are a band of their own, without values.
+    """
+    first, second = [a[0] for a in also], [a[1] for a in also]
+    values = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"), *first).withColumn("g", value_bands(F.col("v")))
+    away = F.col("v") - band_base(F.col("g"))
+    return values.groupBy(*keys, "g").agg(
+        F.sum("c").alias("c"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("n"), F.sum(away * F.col("c")).alias("s1"), F.sum(away * away * F.col("c")).alias("s2"),
+        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "c")))).alias("vals"), *second,
+    )
+
+
+def with_places(bands: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Bands with the number of values in those before (`b`), in all (`total`), and the group's mean."""
+    over = Window.partitionBy(*keys)
+    before = F.sum("n").over(over.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    mean = F.sum(F.col("s1") + F.col("n") * band_base(F.col("g"))).over(over) / F.sum("n").over(over)
+    return bands.withColumn("b", before).withColumn("total", F.sum("n").over(over)).withColumn("mean", mean)
+
+
+def _nth(vals: Column, rank: Column) -> Column:
+    """The value at a rank (from 0) among counted values in order."""
+    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("v"))
+    step = lambda a, x: F.struct((a.upto + x.c).alias("upto"), F.when((a.upto <= rank) & (rank < a.upto + x.c), x.v).otherwise(a.v).alias("v"))
+    return F.aggregate(vals, zero, step, lambda a: a.v)
+
+
+def quantile_aggregates(qs: tuple[float, ...], weibull: bool) -> tuple[list[Column], list[Column]]:
+    """Aggregates over a group's placed bands, and the quantiles q<percent> from them."""
+    aggs, shown = [], []
+    for i, q in enumerate(qs):
+        at = F.least(F.greatest(F.lit(q) * (F.col("total") + 1) - 1, F.lit(0.0)), F.col("total") - 1.0) if weibull else F.lit(q) * (F.col("total") - 1)
+        for name, rank in (("_a", F.floor(at)), ("_b", F.ceil(at))):
+            here = (F.col("b") <= rank) & (rank < F.col("b") + F.col("n"))
+            aggs.append(F.max(F.when(here, _nth(F.col("vals"), rank - F.col("b")))).alias(f"{name}{i}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"_p{i}"))
+        shown.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_p{i}")).alias(f"q{round(q * 100)}"))
+    return aggs, shown
+
+
 def order_quantiles(rows: DataFrame, qs: tuple[float, ...], value: str, keys: tuple[str, ...], weibull: bool) -> DataFrame:
     """Quantiles of each group by linear interpolation: columns q<percent>, and n. Positions are q (n + 1) - 1, clamped to
     the ends, with `weibull`, else q (n - 1). Null values are left out.
 
-    Only the order statistics next to each quantile are needed. They come from counts by value: distinct values with
-    running counts within bands of nearly equal values, so equal values are gathered before any window, no window holds
-    more than a band of a group, and no group is collected.
+    Equal values are counted first, then bands of nearly equal ones; a group is one row a band when its bands are put in
+    order, and only the bands that hold a wanted rank are looked into. One scan, three exchanges, each after a combine.
     """
-    values = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("_g", value_bands(F.col("v")))
-    sums = values.groupBy(*keys, "_g").agg(F.sum("c").alias("_s"))
-    over = Window.partitionBy(*keys)
-    sums = sums.select(*keys, "_g", F.coalesce(F.sum("_s").over(over.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_s").over(over).alias("n"))
-    inner = Window.partitionBy(*keys, "_g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    left = values.withColumn("_i", F.sum("c").over(inner)).alias("l")
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_g")])
-    upto = left.join(sums.alias("r"), same).select("l.*", "r._b", "r.n").withColumn("hi", F.col("_i") + F.col("_b")).withColumn("lo", F.col("hi") - F.col("c"))
-    aggs = []
-    for i, q in enumerate(qs):
-        at = F.least(F.greatest(F.lit(q) * (F.col("n") + 1) - 1, F.lit(0.0)), F.col("n") - 1.0) if weibull else F.lit(q) * (F.col("n") - 1)
-        below, above = F.floor(at), F.ceil(at)
-        a = F.max(F.when((F.col("lo") <= below) & (below < F.col("hi")), F.col("v")))
-        b = F.max(F.when((F.col("lo") <= above) & (above < F.col("hi")), F.col("v")))
-        aggs += [a.alias(f"_a{i}"), b.alias(f"_b{i}"), F.max(at - below).alias(f"_p{i}")]
-    out = upto.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
-    shown = [(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_p{i}")).alias(f"q{round(q * 100)}") for i, q in enumerate(qs)]
-    return out.select(*keys, "n", *shown)
+    aggs, shown = quantile_aggregates(qs, weibull)
+    placed = with_places(banded(rows.filter(F.col(value).isNotNull()), value, keys), keys)
+    return placed.groupBy(*keys).agg(F.max("total").alias("n"), *aggs).select(*keys, "n", *shown)
 
 
 def quantiles_r6(executions: DataFrame, qs: tuple[float, ...], value: str = "duration_ms", key: str = KEY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import groups as g
 from ..operators import state as st
 from ..sources import export as ex
-from ..streaming import tail
-from .data import E, Registered, executions
+from ..sources import growing
+from ..streaming import commits, tail
+from .data import E, Registered, executions, table
 from .groups import G, HOURLY, SLO, SLOW, STATE, STATS
 from .lines import log_lines
 from .plans import N, plan_nodes
@@ -79,7 +81,66 @@ def _log_stream(s, d):
     return st.as_table(tail.load_store(s, f"{base}/store"))
 
 
+def _append(plan):
+    """Appends bytes [begin, end) of one file to another, which is cut to its former size first: a task that runs again does no harm."""
+
+    def run(frames):
+        for frame in frames:
+            for source, target, begin, size in frame.itertuples(index=False):
+                with open(source, "rb") as a, open(target, "ab") as b:
+                    b.truncate(int(size))
+                    a.seek(int(begin))
+                    while part := a.read(1 << 20):
+                        b.write(part)
+            yield frame[["target"]]
+
+    return plan.mapInPandas(run, "target string")
+
+
+def _written(s, d, base, half):
+    """The events' log in two parts for each of its seven files, cut within an entry: {(part, file): path}."""
+    lines = log_lines(s, d).withColumn("part", (F.col("place") >= half * 10 + 3).cast("int"))
+    lines.repartition(4, "part", "file").sortWithinPartitions("part", "file", "place").select("part", "file", "value").write.partitionBy("part", "file").text(f"{base}/parts")
+    found = [f.path for f in growing.listed(f"{base}/parts") if "/part-" in f.path]
+    return {(int(re.search(r"/part=(\d+)/", p)[1]), re.search(r"/file=(\d+)/", p)[1]): p for p in found}
+
+
+def _grow(s, base, parts, part, names):
+    """Appends one part of each file to the log of the name given."""
+    sizes = {f.path: f.size for f in growing.listed(f"{base}/log")}
+    rows = [(parts[part, f], f"{base}/log/{name}", 0, sizes.get(f"{base}/log/{name}", 0)) for f, name in names.items() if (part, f) in parts]
+    _append(s.createDataFrame(rows, "source string, target string, begin long, size long").repartition(4, "target")).write.format("noop").mode("overwrite").save()
+
+
+def _followed(s, d, between=lambda store: None, checkpoint="a", rotate=True):
+    """The log followed in two triggers: between them all files grow, one of them into a new file after it was renamed."""
+    base = _folder(s)
+    half = table(s, d, "events").count() // 2
+    parts, names = _written(s, d, base, half), {str(f): f"{f}.log" for f in range(7)}
+    fs = s.sparkContext._jvm.org.apache.hadoop.fs
+    path = fs.Path(f"{base}/log")
+    path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    follow = lambda c, **kw: tail.follow_logs(s, f"{base}/log", f"{base}/store", f"{base}/{c}", "%m [%p] %u@%d ", SLO, chunk_bytes=200_000, **kw).awaitTermination()
+    _grow(s, base, parts, 0, names)
+    follow("a")
+    between(f"{base}/store")
+    if rotate:
+        last = str((half + 3) % 7)  # not the file that was cut within an entry
+        path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).rename(fs.Path(f"{base}/log/{last}.log"), fs.Path(f"{base}/log/{last}.log.1"))
+    _grow(s, base, parts, 1, names)
+    follow(checkpoint, flush=True)
+    return st.as_table(commits.states_of(s, f"{base}/store")).select("database", "calls", "total_ms", "min_ms", "max_ms", "slo_breaches", "first_seen", "last_seen")
+
+
+def _followed_sql(which: str) -> str:
+    return f"""with {E} select database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms, count(*) filter (duration_ms > {SLO}) as slo_breaches,
+            min(date_trunc('millisecond', ts))::timestamp as first_seen, max(date_trunc('millisecond', ts))::timestamp as last_seen from e where {which} group by fingerprint, database"""
+
+
 QUERIES = {
+    "q2_17_5_growing_logs": Registered(_followed, _followed_sql("true")),
+    "q2_2_22_resumed_logs": Registered(lambda s, d: _followed(s, d, checkpoint="b"), _followed_sql("true")),
+    "q2_2_29_reset_store": Registered(lambda s, d: _followed(s, d, between=lambda store: commits.reset(s, store)), _followed_sql("seq >= (select count(*) // 2 from e)")),
     "q2_17_2_log_stream": Registered(
         lambda s, d: _log_stream(s, d).select("database", "calls", "total_ms", "min_ms", "max_ms", "slo_breaches", "first_seen", "last_seen"),
         f"""with {E} select database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms, count(*) filter (duration_ms > {SLO}) as slo_breaches,

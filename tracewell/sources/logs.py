@@ -136,44 +136,87 @@ def _untab(line: Column) -> Column:
     return F.regexp_replace(line, r"^\t", "")
 
 
-def entries(
-    lines: DataFrame, log_line_prefix: str = DEFAULT, zone_overrides: dict[str, int] | None = None, fixed_zone: int | None = None, max_entry_bytes: int = 0, without_plan: bool = False
-) -> DataFrame:
-    """Plan entries: file, entry, ts (UTC), duration_ms, database, query_text, plan_format, plan_text.
+def plan_place(rest: Column) -> Column:
+    """struct<kind, first, last> of the plan among an entry's lines (numbered from 1); kind is null if there is none.
 
-    An entry is a line `duration: <n> ms  plan:` with the lines up to the next timestamped one. The plan begins at the
-    first line with a cost, or where the rest is valid JSON; JSON inside a statement stays part of it. Entries without plan
-    are dropped, or, with without_plan, kept with null plan columns and the rest as their statement. Lines of an entry
-    beyond max_entry_bytes (0: none) are cut off.
+    One pass over the lines. A line with a cost begins a text plan, which goes on to the end. A line that opens a JSON value is
+    followed, by bracket depth outside of strings, to the line that closes it: if what lies between is valid JSON with a
+    "Plan", that is the plan, else it is a literal in the statement, and the search goes on after it. Each value is parsed once,
+    where it closes, so the work is in proportion to the entry's length.
     """
-    prefix = parse_prefix(log_line_prefix)
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("opened"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("first"), F.lit(0).alias("last")
+    )
+
+    def state(at, opened=0, depth=0, quoted=False, kind=None, first=0, last=0) -> Column:
+        given = {"at": at, "opened": opened, "depth": depth, "quoted": quoted, "kind": kind, "first": first, "last": last}
+        kinds = {"quoted": "boolean", "kind": "string"}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(kinds.get(k, "int")).alias(k) for k, v in given.items()])
+
+    def step(a: Column, line: Column) -> Column:
+        at = a.at + 1
+        opened = F.when(a.opened > 0, a.opened).otherwise(at)
+        whole = F.regexp_replace(F.concat(F.when(a.quoted, '"').otherwise(""), F.regexp_replace(line, r"\\.", "")), r'"[^"]*"', "")
+        quoted = F.contains(whole, F.lit('"'))
+        outside = F.substring_index(whole, '"', 1)
+        depth = a.depth + F.length(outside) - F.length(F.translate(outside, "[{", "")) - (F.length(outside) - F.length(F.translate(outside, "]}", "")))
+        parsed = F.try_parse_json(F.array_join(F.slice(rest, opened, at - opened + 1), "\n"))
+        is_plan = F.try_variant_get(parsed, "$.Plan", "variant").isNotNull() | F.try_variant_get(parsed, "$[0].Plan", "variant").isNotNull()
+        closed = F.when(F.coalesce(is_plan, F.lit(False)), state(at, kind="json", first=opened, last=at)).otherwise(state(at))
+        in_json = F.when(depth > 0, state(at, opened, depth, quoted)).otherwise(closed)
+        in_statement = F.when(line.rlike(ln.COST), state(at, kind="text", first=at, last=F.size(rest))).otherwise(state(at))
+        return F.when(a.kind.isNotNull(), a).when((a.opened > 0) | ln.looks_like_json(line), in_json).otherwise(in_statement)
+
+    at_cost = F.array_position(F.transform(rest, lambda x: x.rlike(ln.COST)), True)
+    at_open = F.array_position(F.transform(rest, ln.looks_like_json), True)
+    plain = F.when(at_cost > 0, state(0, kind="text", first=at_cost, last=F.size(rest))).otherwise(state(0))
+    found = F.when((at_open > 0) & ((at_cost == 0) | (at_open < at_cost)), F.aggregate(rest, start, step)).otherwise(plain)
+    return F.struct(found["kind"].alias("kind"), found["first"].alias("first"), found["last"].alias("last"))
+
+
+def assembled(lines: DataFrame, max_entry_bytes: int = 0) -> DataFrame:
+    """(file, entry, l): the lines of each entry in order. Lines of an entry beyond max_entry_bytes (0: none) are cut off."""
     rows = number_entries(lines).filter("entry > 0")
     if max_entry_bytes:
         upto = Window.partitionBy("file", "entry").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, 0)
         large = rows.groupBy("file", "entry").agg(F.sum(F.octet_length("value") + 1).alias("_b")).filter(F.col("_b") > max_entry_bytes).select("file", "entry")
         cut = rows.join(large, ["file", "entry"], "left_semi").withColumn("_b", F.sum(F.octet_length("value") + 1).over(upto)).filter(F.col("_b") <= max_entry_bytes).drop("_b")
         rows = rows.join(large, ["file", "entry"], "left_anti").unionByName(cut)
-    texts = rows.groupBy("file", "entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "place", "value"))), lambda x: x.value).alias("l"))
+    return rows.groupBy("file", "entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "place", "value"))), lambda x: x.value).alias("l"))
+
+
+def parsed_entries(texts: DataFrame, log_line_prefix: str = DEFAULT, zone_overrides: dict[str, int] | None = None, fixed_zone: int | None = None, without_plan: bool = False) -> DataFrame:
+    """Plan entries from their lines (file, entry, l), row by row: see `entries`."""
+    prefix = parse_prefix(log_line_prefix)
     head = F.col("l")[0]
     texts = texts.withColumn("duration_ms", ln.duration_ms(head)).filter(F.col("duration_ms").isNotNull())
     texts = texts.withColumn("rest", F.filter(F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), _untab), lambda x: F.trim(x) != ""))
-    at_cost = F.array_position(F.transform("rest", lambda x: x.rlike(ln.COST)), True)
-    at_json = F.array_position(F.transform("rest", lambda x, i: ln.looks_like_json(x) & F.try_parse_json(F.array_join(F.slice("rest", i + 1, F.size("rest")), "\n")).isNotNull()), True)
-    texts = texts.withColumn("_c", at_cost).withColumn("_j", F.when(F.col("_c") == 0, at_json).otherwise(0))
-    start = F.when(F.col("_c") > 0, F.col("_c")).otherwise(F.col("_j"))
-    texts = texts.withColumn("_p", start.cast("int"))
+    texts = texts.withColumn("_p", plan_place(F.col("rest")))
+    found = F.col("_p.kind").isNotNull()
     if not without_plan:
-        texts = texts.filter("_p > 0")
-    plan = F.when(F.col("_p") > 0, F.array_join(F.slice("rest", F.greatest("_p", F.lit(1)), F.size("rest")), "\n"))
-    said = F.regexp_replace(F.array_join(F.slice("rest", F.lit(1), F.when(F.col("_p") > 0, F.col("_p") - 1).otherwise(F.size("rest"))), "\n"), r"^\s*Query Text: ", "")
+        texts = texts.filter(found)
+    plan = F.when(found, F.array_join(F.slice("rest", F.greatest(F.col("_p.first"), F.lit(1)), F.greatest(F.col("_p.last") - F.col("_p.first") + 1, F.lit(0))), "\n"))
+    said = F.regexp_replace(F.array_join(F.slice("rest", F.lit(1), F.when(found, F.col("_p.first") - 1).otherwise(F.size("rest"))), "\n"), r"^\s*Query Text: ", "")
     inside = F.try_variant_get(F.try_parse_json(plan), "$['Query Text']", "string")
-    query = F.when(F.col("_j") > 0, F.coalesce(inside, said)).otherwise(said)
+    query = F.when(F.col("_p.kind") == "json", F.coalesce(inside, said)).otherwise(said)
     return texts.select(
         "file", "entry", ln.utc_timestamp(ln.timestamp_text(head), zone_overrides, fixed_zone).alias("ts"), "duration_ms", prefix.database(ln.message(head)).alias("database"),
-        query.alias("query_text"), F.when(F.col("_j") > 0, "json").when(F.col("_p") > 0, "text").alias("plan_format"), plan.alias("plan_text"),
+        query.alias("query_text"), F.col("_p.kind").alias("plan_format"), plan.alias("plan_text"),
     )
 
 
+def entries(
+    lines: DataFrame, log_line_prefix: str = DEFAULT, zone_overrides: dict[str, int] | None = None, fixed_zone: int | None = None, max_entry_bytes: int = 0, without_plan: bool = False
+) -> DataFrame:
+    """Plan entries: file, entry, ts (UTC), duration_ms, database, query_text, plan_format, plan_text.
+
+    An entry is a line `duration: <n> ms  plan:` with the lines up to the next timestamped one. The plan begins at the
+    first line with a cost, or at a line that opens JSON which holds a plan; other JSON inside a statement stays part of it.
+    Entries without plan are dropped, or, with without_plan, kept with null plan columns and the rest as their statement.
+    """
+    return parsed_entries(assembled(lines, max_entry_bytes), log_line_prefix, zone_overrides, fixed_zone, without_plan)
+
+
 def with_normal_forms(found: DataFrame, formatted: bool = False) -> DataFrame:
     """Entries with normalized_query and fingerprint of their statement (and its layout), each distinct shape worked out once."""
     out = found.withColumn("_n", normalize_column("query_text"))
@@ -188,7 +231,9 @@ def executions_of(found: DataFrame) -> DataFrame:
 
 
 def log_groups(lines: DataFrame, log_line_prefix: str = DEFAULT, **options) -> DataFrame:
-    """From log lines to statement groups in one plan: entries, normal forms, fingerprints, statistics."""
+    """From log lines to statement groups: entries, normal forms, fingerprints, statistics, each worked out once.
+
+    A fingerprint is a digest of the normal form, so the form is part of the group's key and needs no join.
+    """
     rows = executions_of(entries(lines, log_line_prefix, **options))
-    texts = rows.groupBy("fingerprint").agg(F.min("normalized_query").alias("normalized_query"))
-    return group_stats(rows).hint("shuffle_hash").join(texts, "fingerprint")
+    return group_stats(rows, ("fingerprint", "normalized_query", "database"))

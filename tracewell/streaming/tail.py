@@ -1,8 +1,8 @@
 """Logs that grow: entries up to a safe boundary, folded into the cumulative store batch by batch.
 
-The file source takes files as they appear (a rotated log is a file). For files that still grow, `complete_part` gives
-the bytes up to the last entry header, so that an entry is only read when the next one has begun; what is held back is
-read next time. A store's batches are written once under their id, so a batch that is replayed replaces itself.
+`follow_logs` reads files that are still being written (sources.growing), with entries put together across batches.
+`fold_logs` takes files as they appear, when they are complete. Where no stream runs, `complete_part` gives the bytes of a file
+up to the last entry header; what is held back is read next time.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..functions.prefix import DEFAULT
 from ..operators import groups as g
 from ..operators import state as st
 from ..sources import logs
+from . import assembly, commits
 
 _START = re.compile(LINE_START.encode())
 BUDGET, MOST_BUDGET = 64 << 20, 1 << 30
@@ -142,6 +143,33 @@ def fold_logs(spark: SparkSession, path: str, store: str, checkpoint: str, log_l
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def follow_logs(
+    spark: SparkSession, path: str, store: str, checkpoint: str, log_line_prefix: str = DEFAULT, slo_threshold_ms: float = 0.0, every: str | None = None, flush: bool = False,
+    idle_seconds: float | None = None, chunk_bytes: int = 32 << 20, **options,
+) -> StreamingQuery:
+    """Runs logs that are still being written into a store (streaming.commits), each entry once it is complete.
+
+    A batch's states and the places in its files become visible together, and a batch that is replayed changes nothing. A
+    new checkpoint over an existing store goes on where the store's files are. Once over what is there, or, with `every` (such
+    as "30 seconds"), again and again; `flush` takes the last entries as complete, `idle_seconds` those of files left alone so long.
+    """
+    start = None if commits.has_state(spark, checkpoint) else commits.offsets_json(commits.files_of(spark, store))
+    pieces = assembly.growing_pieces(spark, path, chunkBytes=chunk_bytes, flush=flush, idleSeconds=idle_seconds, startingOffsets=start)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        key = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}/{batch_id}"
+        if commits.committed(spark, store, key):
+            return
+        # entries are put together once; all else reads what is stored
+        kept = commits.stored(batch, store)
+        found = logs.parsed_entries(kept.filter("l is not null").select("file", "entry", "l"), log_line_prefix, **options)
+        commits.fold(spark, store, key, st.state_rows(logs.executions_of(found), slo_threshold_ms, batch_id), assembly.file_rows(kept))
+        commits.drop(kept)
+
+    writer = assembly.assembled_stream(pieces).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def load_store(spark: SparkSession, store: str) -> DataFrame:
     """The merged store."""
     return st.merge_states(spark.read.parquet(store).drop("batch"))
