@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import band_base, banded, quantile_aggregates, with_places
+from .series import band_base, banded, quantile_aggregates, with_picks, with_places
 
 GROUP = ("fingerprint", "database")
 # Upper bounds of the latency buckets in seconds; one more bucket takes the rest.
@@ -28,28 +28,31 @@ def sample_stddev(column: str) -> Column:
     return F.coalesce(F.stddev_samp(column), F.lit(0.0))
 
 
-def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
-    """Calls, total, mean, sample deviation, extremes, exact interpolated percentiles and time range of each group.
+def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representative: bool = False) -> DataFrame:
+    """Calls, total, mean, sample deviation, extremes, exact interpolated percentiles and time range of each group; with
+    `representative` also the `seq` of its slowest execution, of equals the last.
 
     One scan: everything comes from the counts of distinct durations, gathered in bands of nearly equal ones (series.banded).
     The deviation is put together from the bands' own, so large means with small deviations keep their digits.
     """
     d = "duration_ms"
     aggs, shown = quantile_aggregates(PERCENTILES, False)
-    also = ((F.min("ts").alias("t0"), F.min("t0").alias("t0")), (F.max("ts").alias("t1"), F.max("t1").alias("t1")))
-    placed = with_places(banded(executions, d, by, also), by)
+    sums = F.sum(F.col("v").cast("decimal(18,2)") * F.col("c").cast("decimal(18,0)")).alias("s")
+    also = ((F.min("ts").alias("t0"), F.min("t0").alias("t0")), (F.max("ts").alias("t1"), F.max("t1").alias("t1")), (None, sums), (None, F.min("v").alias("v0")), (None, F.max("v").alias("v1")))
+    if representative:
+        also += ((F.max("seq").alias("q"), F.max(F.struct("v", "q")).alias("r")),)
+    placed = with_picks(with_places(banded(executions, d, by, also), by), PERCENTILES, False)
     part = F.col("s1") / F.col("n")
     around = F.col("s2") - F.col("s1") * part + F.col("n") * F.pow(band_base(F.col("g")) + part - F.col("mean"), 2)
-    in_band = F.aggregate("vals", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x.v.cast("decimal(18,2)") * x.c).cast("decimal(38,2)"))
     out = placed.groupBy(*by).agg(
-        F.sum("c").alias("calls"), F.sum(F.when(F.col("n") > 0, in_band)).cast("double").alias("total_ms"), F.min(F.col("vals")[0].v).alias("min_ms"),
-        F.max(F.element_at("vals", -1).v).alias("max_ms"), F.sum(F.when(F.col("n") > 0, F.greatest(around, F.lit(0.0)))).alias("_m2"), F.max("total").alias("_n"),
-        F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"), *aggs,
+        F.sum("c").alias("calls"), F.sum("s").cast("double").alias("total_ms"), F.min("v0").alias("min_ms"), F.max("v1").alias("max_ms"),
+        F.sum(F.when(F.col("n") > 0, F.greatest(around, F.lit(0.0)))).alias("_m2"), F.max("total").alias("_n"),
+        F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"), *aggs, *([F.max("r").alias("_r")] if representative else []),
     )
     deviation = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).otherwise(0.0)
     quantiles = [F.round(q, 6).alias(f"p{round(p * 100)}_ms") for p, q in zip(PERCENTILES, shown, strict=True)]
     return out.select(
-        *by, "calls", "total_ms", "min_ms", "max_ms", F.round(deviation, 6).alias("stddev_ms"), "first_ts", "last_ts", F.round(F.col("total_ms") / F.col("calls"), 6).alias("mean_ms"), *quantiles,
+        *by, "calls", "total_ms", "min_ms", "max_ms", F.round(deviation, 6).alias("stddev_ms"), "first_ts", "last_ts", F.round(F.col("total_ms") / F.col("calls"), 6).alias("mean_ms"), *quantiles, *([F.col("_r.q").alias("seq")] if representative else []),
     )
 
 

@@ -121,13 +121,13 @@ def band_base(band: Column) -> Column:
     return F.when(band == 0, 0.0).when(band > 0, size).otherwise(-size)
 
 
-def banded(rows: DataFrame, value: str, keys: tuple[str, ...], also: tuple[tuple[Column, Column], ...] = ()) -> DataFrame:
+def banded(rows: DataFrame, value: str, keys: tuple[str, ...], also: tuple[tuple[Column | None, Column], ...] = ()) -> DataFrame:
     """Rows by group and band of nearly equal values: n, the distinct values with their counts in order (`vals`), sums from
-    the band's base (`s1`, `s2`), and further aggregates: pairs of one over rows and one over its results.
+    the band's base (`s1`, `s2`), and further aggregates: pairs of one over rows (or None) and one over its results, the value `v` and its count `c`.
 
     Equal values are counted before anything is exchanged. Null values are a band of their own, without values.
     """
-    first, second = [a[0] for a in also], [a[1] for a in also]
+    first, second = [a[0] for a in also if a[0] is not None], [a[1] for a in also]
     values = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"), *first).withColumn("g", value_bands(F.col("v")))
     away = F.col("v") - band_base(F.col("g"))
     return values.groupBy(*keys, "g").agg(
@@ -151,16 +151,25 @@ def _nth(vals: Column, rank: Column) -> Column:
     return F.aggregate(vals, zero, step, lambda a: a.v)
 
 
+def _position(q: float, total: Column, weibull: bool) -> Column:
+    return F.least(F.greatest(F.lit(q) * (total + 1) - 1, F.lit(0.0)), total - 1.0) if weibull else F.lit(q) * (total - 1)
+
+
+def with_picks(placed: DataFrame, qs: tuple[float, ...], weibull: bool) -> DataFrame:
+    """Placed bands with `picks`: for each quantile the values below and above its position that lie in the band, else null."""
+    at = [_position(q, F.col("total"), weibull) for q in qs]
+    ranks = F.array(*[f(p).cast("long") for p in at for f in (F.floor, F.ceil)])
+    here = lambda r: (F.col("b") <= r) & (r < F.col("b") + F.col("n"))
+    return placed.withColumn("picks", F.transform(ranks, lambda r: F.when(here(r), _nth(F.col("vals"), r - F.col("b"))))).drop("vals")
+
+
 def quantile_aggregates(qs: tuple[float, ...], weibull: bool) -> tuple[list[Column], list[Column]]:
-    """Aggregates over a group's placed bands, and the quantiles q<percent> from them."""
-    aggs, shown = [], []
+    """Aggregates over a group's bands with picks, and the quantiles q<percent> from them and the group's `_n`."""
+    aggs = [F.max(F.col("picks")[i]).alias(f"_q{i}") for i in range(2 * len(qs))]
+    shown = []
     for i, q in enumerate(qs):
-        at = F.least(F.greatest(F.lit(q) * (F.col("total") + 1) - 1, F.lit(0.0)), F.col("total") - 1.0) if weibull else F.lit(q) * (F.col("total") - 1)
-        for name, rank in (("_a", F.floor(at)), ("_b", F.ceil(at))):
-            here = (F.col("b") <= rank) & (rank < F.col("b") + F.col("n"))
-            aggs.append(F.max(F.when(here, _nth(F.col("vals"), rank - F.col("b")))).alias(f"{name}{i}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"_p{i}"))
-        shown.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_p{i}")).alias(f"q{round(q * 100)}"))
+        at = _position(q, F.col("_n"), weibull)
+        shown.append((F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (at - F.floor(at))).alias(f"q{round(q * 100)}"))
     return aggs, shown
 
 
@@ -172,8 +181,8 @@ def order_quantiles(rows: DataFrame, qs: tuple[float, ...], value: str, keys: tu
     order, and only the bands that hold a wanted rank are looked into. One scan, three exchanges, each after a combine.
     """
     aggs, shown = quantile_aggregates(qs, weibull)
-    placed = with_places(banded(rows.filter(F.col(value).isNotNull()), value, keys), keys)
-    return placed.groupBy(*keys).agg(F.max("total").alias("n"), *aggs).select(*keys, "n", *shown)
+    placed = with_picks(with_places(banded(rows.filter(F.col(value).isNotNull()), value, keys), keys), qs, weibull)
+    return placed.groupBy(*keys).agg(F.max("total").alias("_n"), *aggs).select(*keys, F.col("_n").alias("n"), *shown)
 
 
 def quantiles_r6(executions: DataFrame, qs: tuple[float, ...], value: str = "duration_ms", key: str = KEY) -> DataFrame:

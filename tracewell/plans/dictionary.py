@@ -45,16 +45,20 @@ def _folded(nodes: Column) -> Column:
     return F.aggregate(nodes, empty, step, lambda a: F.reverse(a.done))
 
 
+def _gathered(nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(plan, subtrees as _folded gives them)."""
+    node = F.struct("path", F.col("depth").cast("int").alias("depth"), F.col("node_id").cast("int").alias("node_id"), content(nodes, *columns).alias("content"))
+    return nodes.groupBy(PLAN).agg(F.reverse(F.array_sort(F.collect_list(node))).alias("_n")).select(PLAN, _folded(F.col("_n")).alias("_s"))
+
+
 def subtrees(nodes: DataFrame, *columns: str) -> DataFrame:
-    """(plan, node_id, digest, size): each node's subtree by its digest and number of nodes. The first of a plan is its root's."""
-    gathered = nodes.groupBy(PLAN).agg(F.reverse(F.array_sort(F.collect_list(F.struct("path", F.col("depth").cast("int").alias("depth"), F.col("node_id").cast("int").alias("node_id"), content(nodes, *columns).alias("content"))))).alias("_n"))
-    return gathered.select(PLAN, F.explode(_folded(F.col("_n"))).alias("s")).select(PLAN, "s.*")
+    """(plan, node_id, digest, size): each node's subtree by its digest and number of nodes."""
+    return _gathered(nodes, columns).select(PLAN, F.explode("_s").alias("s")).select(PLAN, "s.*")
 
 
 def trees(nodes: DataFrame, *columns: str) -> DataFrame:
-    """(plan, tree, size): each plan's digest."""
-    gathered = nodes.groupBy(PLAN).agg(F.reverse(F.array_sort(F.collect_list(F.struct("path", F.col("depth").cast("int").alias("depth"), F.col("node_id").cast("int").alias("node_id"), content(nodes, *columns).alias("content"))))).alias("_n"))
-    return gathered.select(PLAN, _folded(F.col("_n"))[0].alias("s")).select(PLAN, F.col("s.digest").alias("tree"), F.col("s.size").alias("size"))
+    """(plan, tree, size): each plan's digest, that of its root's subtree, and number of nodes."""
+    return _gathered(nodes, columns).select(PLAN, F.col("_s")[0].alias("s")).select(PLAN, F.col("s.digest").alias("tree"), F.col("s.size").alias("size"))
 
 
 def members(nodes: DataFrame, *columns: str) -> DataFrame:

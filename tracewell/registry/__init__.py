@@ -6,6 +6,6 @@ from .data import Registered
 
 
 def registered() -> dict[str, Registered]:
-    from . import captures, groups, lines, plans, series, sinks, sqltext
+    from . import captures, groups, lines, plans, series, sinks, sqltext, trees
 
-    return {**captures.QUERIES, **groups.QUERIES, **lines.QUERIES, **plans.QUERIES, **series.QUERIES, **sinks.QUERIES, **sqltext.QUERIES}
+    return {**captures.QUERIES, **groups.QUERIES, **lines.QUERIES, **plans.QUERIES, **series.QUERIES, **sinks.QUERIES, **sqltext.QUERIES, **trees.QUERIES}

@@ -9,11 +9,12 @@ from ..functions.prefix import parse_prefix
 from ..sources import logs
 from .data import E, Registered, executions
 
+PREFIX = "%m [%p] %u@%d "
 TOKENS = ("UTC", "PDT", "+05:30", "IST", "-0330", "XYZ", "+02", "CEST")
 _OFFSETS = (0, -7 * 3600, 19800, 19800, -12600, 0, 7200, 7200)
 
 
-def _token(s, d):
+def stamped(s, d):
     e = executions(s, d)
     token, off = F.lit(None), F.lit(0)
     for i, (t, o) in enumerate(zip(TOKENS, _OFFSETS, strict=True)):
@@ -34,7 +35,7 @@ def _offsets(s, d):
 
 def log_lines(s, d):
     """The events as a log of seven files in several blocks: header, statement of two lines, plan of two nodes, noise."""
-    e = _token(s, d)
+    e = stamped(s, d)
     prefix = F.concat(F.col("stamp"), F.lit(" [7] u@"), F.col("database"), F.lit(" LOG:  "))
     head = F.concat(prefix, F.lit("duration: "), F.col("duration_ms").cast("string"), F.lit(" ms  plan:"))
     body = F.array(
@@ -47,12 +48,12 @@ def log_lines(s, d):
 
 
 def _entries(s, d):
-    return logs.entries(log_lines(s, d), "%m [%p] %u@%d ")
+    return logs.entries(log_lines(s, d), PREFIX)
 
 
 def mixed_log(s, d):
     """The events as entries with a text plan, a JSON plan that holds the statement, and none, in turn; the statement has the event's number."""
-    e = _token(s, d)
+    e = stamped(s, d)
     prefix = F.concat(F.col("stamp"), F.lit(" [7] u@"), F.col("database"), F.lit(" LOG:  duration: "), F.col("duration_ms").cast("string"), F.lit(" ms  plan:"))
     said = F.concat(F.lit("select * from "), F.col("fingerprint"), F.lit(" where id = "), F.col("seq").cast("string"))
     json = F.concat(F.lit('\t  "Query Text": "'), said, F.lit('",'))
@@ -67,11 +68,11 @@ _STAMP_MS = "date_trunc('millisecond', ts)::timestamp"
 
 QUERIES = {
     "q2_3_1_split_log_line": Registered(
-        lambda s, d: _token(s, d).select("seq", F.concat("stamp", F.lit(" LOG: x")).alias("v")).select("seq", ln.timestamp_text("v").alias("stamp"), ln.message("v").alias("message")),
+        lambda s, d: stamped(s, d).select("seq", F.concat("stamp", F.lit(" LOG: x")).alias("v")).select("seq", ln.timestamp_text("v").alias("stamp"), ln.message("v").alias("message")),
         f"""with {E}, t as (select *, list_value('UTC','PDT','+05:30','IST','-0330','XYZ','+02','CEST')[seq % 8 + 1] as token, list_value(0,-25200,19800,19800,-12600,0,7200,7200)[seq % 8 + 1] as o from e)
             select seq, strftime(ts + o * interval 1 second, '%Y-%m-%d %H:%M:%S.%g') || ' ' || token as stamp, ' LOG: x' as message from t""",
     ),
-    "q2_3_16_timestamp_utc": Registered(lambda s, d: _token(s, d).select("seq", ln.utc_timestamp("stamp").alias("ts")), f"with {E} select seq, {_STAMP_MS} as ts from e"),
+    "q2_3_16_timestamp_utc": Registered(lambda s, d: stamped(s, d).select("seq", ln.utc_timestamp("stamp").alias("ts")), f"with {E} select seq, {_STAMP_MS} as ts from e"),
     "q2_3_12_cost_tuple": Registered(
         lambda s, d: log_lines(s, d).select(ln.cost_tuple("value").alias("c"), "value").filter("c is not null").select(F.round("c.total_cost", 6).alias("total_cost"), "c.est_rows", "c.width", ln.plan_level(F.regexp_replace("value", "^\t", "")).alias("level")),
         f"with {E} select x.* from e, lateral (values (duration_ms, 10::bigint, 8, 0), (1.0::double, 10::bigint, 8, 1)) x(total_cost, est_rows, width, level)",
@@ -83,7 +84,7 @@ QUERIES = {
             select seq, t, cast(case when k < 3 and h <= 15 and (k = 0 or m <= 59) then case g when '-' then -1 else 1 end * (h * 3600 + case k when 0 then 0 else m * 60 end) end as integer) as seconds from t""",
     ),
     "q2_3_28_prefix_database": Registered(
-        lambda s, d: log_lines(s, d).filter(F.col("value").contains("checkpoint")).select(parse_prefix("%m [%p] %u@%d ").database(ln.message("value")).alias("database")).groupBy("database").agg(F.count("*").alias("n")),
+        lambda s, d: log_lines(s, d).filter(F.col("value").contains("checkpoint")).select(parse_prefix(PREFIX).database(ln.message("value")).alias("database")).groupBy("database").agg(F.count("*").alias("n")),
         f"with {E} select database, count(*) as n from e group by database",
     ),
     "q2_4_entry_assembly": Registered(
@@ -99,13 +100,13 @@ QUERIES = {
         f"with {E} select cast(seq % 7 as varchar) as file, count(*) * 2 as entries, count(*) * 6 as lines from e group by all",
     ),
     "q2_1_12_log_to_groups": Registered(
-        lambda s, d: logs.log_groups(mixed_log(s, d), "%m [%p] %u@%d ", without_plan=True).select("normalized_query", "database", "calls", "total_ms", "min_ms", "max_ms", "mean_ms", "p50_ms", "first_ts", "last_ts"),
+        lambda s, d: logs.log_groups(mixed_log(s, d), PREFIX, without_plan=True).select("normalized_query", "database", "calls", "total_ms", "min_ms", "max_ms", "mean_ms", "p50_ms", "first_ts", "last_ts"),
         f"""with {E} select 'SELECT * FROM ' || fingerprint || ' WHERE id = $1' as normalized_query, database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms, min(duration_ms) as min_ms,
             max(duration_ms) as max_ms, round(cast(sum(cast(duration_ms as decimal(18,2))) as double) / count(*), 6) as mean_ms, round(quantile_cont(duration_ms, 0.5), 6) as p50_ms, min({_STAMP_MS}) as first_ts, max({_STAMP_MS}) as last_ts
             from e group by fingerprint, database""",
     ),
     "q2_1_21_entries_without_plan": Registered(
-        lambda s, d: logs.entries(mixed_log(s, d), "%m [%p] %u@%d ", without_plan=True).select("duration_ms", "query_text", "plan_format", F.col("plan_text").isNotNull().alias("has_plan")),
+        lambda s, d: logs.entries(mixed_log(s, d), PREFIX, without_plan=True).select("duration_ms", "query_text", "plan_format", F.col("plan_text").isNotNull().alias("has_plan")),
         f"with {E} select duration_ms, 'select * from ' || fingerprint || ' where id = ' || seq as query_text, (['text', 'json', null])[seq % 3 + 1] as plan_format, seq % 3 < 2 as has_plan from e",
     ),
 }

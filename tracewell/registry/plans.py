@@ -54,15 +54,15 @@ N = f"""l as (select *, cast(row_number() over (partition by l_orderkey order by
       case when l_suppkey % 9 = 4 then l_linenumber * 2 end as batches from l)"""
 
 
-def _class(v: str, t=DEFAULT.rows) -> str:
+def class_of(v: str, t=DEFAULT.rows) -> str:
     return f"case when {v} >= {t[2]} then 3 when {v} >= {t[1]} then 2 when {v} >= {t[0]} then 1 else 0 end"
 
 
-_ROWS, _COST = _class("est_rows"), _class("total_cost", DEFAULT.cost)
+ROWS_CLASS, COST_CLASS = class_of("est_rows"), class_of("total_cost", DEFAULT.cost)
 _SEV = "(['Low','Medium','High','Critical'])[{0} + 1]"
 _MEM = """(((least(lr, rr)::double * least(lw, rw) + 24 * least(lr, rr)::double + 8 * greatest(1.5 * least(lr, rr)::double, 1024.0)) * 1.12
     + 1024 * greatest(least(lr, rr)::double / 10000, 1.0)) / 1024 * 1.1 / 4096)"""
-_RULES = (
+NODE_RULES = (
     ("RowEstimation", "excessive_rows", _SEV.format("r"), "r >= 1"),
     ("RowEstimation", "cartesian", "'Critical'", "kind = 'NestedLoop' and est_rows > 10000 and est_rows / greatest(lr::double * rr::double, 1.0) > 0.8"),
     ("Scan", "seq_scan", _SEV.format("s"), "kind = 'SeqScan' and s >= 1"),
@@ -89,11 +89,11 @@ _RULES = (
 )
 RULES = (
     N
-    + f""", ch as (select p.*, coalesce(a.est_rows, 1) as lr, coalesce(b.est_rows, 1) as rr, coalesce(a.width, 0) as lw, coalesce(b.width, 0) as rw, {_ROWS.replace("est_rows", "p.est_rows")} as r,
-    {_COST.replace("total_cost", "p.total_cost")} as c, {_class("coalesce(p.actual_rows, p.est_rows)")} as s
+    + f""", ch as (select p.*, coalesce(a.est_rows, 1) as lr, coalesce(b.est_rows, 1) as rr, coalesce(a.width, 0) as lw, coalesce(b.width, 0) as rw, {ROWS_CLASS.replace("est_rows", "p.est_rows")} as r,
+    {COST_CLASS.replace("total_cost", "p.total_cost")} as c, {class_of("coalesce(p.actual_rows, p.est_rows)")} as s
     from n p left join n a on a.plan_id = p.plan_id and a.node_id = 2 * p.node_id left join n b on b.plan_id = p.plan_id and b.node_id = 2 * p.node_id + 1),
     f as ("""
-    + " union all ".join(f"select plan_id, node_id, '{a}' as analyzer, '{r}' as rule, {s} as severity from ch where {c}" for a, r, s, c in _RULES)
+    + " union all ".join(f"select plan_id, node_id, '{a}' as analyzer, '{r}' as rule, {s} as severity from ch where {c}" for a, r, s, c in NODE_RULES)
     + ")"
 )
 _SELF = "greatest(total_cost - coalesce((select sum(total_cost) from n k where k.plan_id = n.plan_id and k.parent_id = n.node_id), 0), 0)"
@@ -288,7 +288,7 @@ QUERIES = {
     ),
     "q2_11_39_missed_parallel": Registered(
         lambda s, d: rules.missed_parallelism(plan_nodes(s, d), DEFAULT),
-        f"""with {N}, c as (select *, greatest({_ROWS}, {_COST}) as g from n) select plan_id, node_id, 'Parallelization' as analyzer, 'missed' as rule, {_SEV.format("g")} as severity
+        f"""with {N}, c as (select *, greatest({ROWS_CLASS}, {COST_CLASS}) as g from n) select plan_id, node_id, 'Parallelization' as analyzer, 'missed' as rule, {_SEV.format("g")} as severity
             from c where g >= 2 and (category in ('scan', 'aggregate') or kind in ('HashJoin', 'MergeJoin'))""",
     ),
     "q2_6_31_scan_types": Registered(
