@@ -13,6 +13,7 @@ from ..functions.prefix import DEFAULT as DEFAULT_PREFIX
 from ..plans import dictionary
 from ..plans.nodes import PLAN
 from ..plans.parse import node_table
+from ..session import stored
 from ..sources import logs
 from . import rules
 from .config import DEFAULT, Thresholds
@@ -28,7 +29,7 @@ def plan_key(plan_text) -> F.Column:
 def findings_of_texts(plans: DataFrame, thresholds: Thresholds = DEFAULT, work_mem_kb: int = 4096, text: str = "plan_text") -> DataFrame:
     """(plan_key, findings): the findings of each distinct plan text, gravest first; texts that can't be read have none."""
     texts = plans.filter(F.col(text).isNotNull()).select(plan_key(F.col(text)).alias(PLAN), text).dropDuplicates([PLAN])
-    nodes = node_table(texts, text, PLAN)
+    nodes = stored(node_table(texts, text, PLAN))  # read by several rules
     found = dictionary.once_each(nodes, lambda n: rules.all_findings(n, thresholds, work_mem_kb))
     order = F.struct((-rules.rank(F.col("severity"))).alias("o"), *FINDING)
     listed = found.groupBy(PLAN).agg(F.array_sort(F.collect_list(order)).alias("f"))
@@ -43,8 +44,7 @@ def log_group_findings(lines: DataFrame, log_line_prefix: str = DEFAULT_PREFIX,
     found = logs.entries(lines, log_line_prefix, **options)
     stats = group_stats(logs.executions_of(found), ("fingerprint", "normalized_query", "database"), representative=True)
     plans = found.filter("plan_text is not null").select(F.struct("file", "entry").alias("seq"), "plan_text")
-    own = stats.select("seq").join(plans, "seq")
-    keyed = own.select("seq", plan_key(F.col("plan_text")).alias("plan_key"))
-    out = stats.join(keyed, "seq", "left").join(findings_of_texts(own, thresholds, work_mem_kb), "plan_key", "left")
+    groups = stored(stats.join(plans, "seq", "left").withColumn("plan_key", plan_key(F.col("plan_text"))))
+    out = groups.join(findings_of_texts(groups, thresholds, work_mem_kb), "plan_key", "left")
     nothing = F.expr("cast(array() as array<struct<analyzer:string,rule:string,severity:string,node_id:int>>)")
-    return out.withColumn("findings", F.coalesce("findings", nothing)).drop("plan_key", "seq")
+    return out.withColumn("findings", F.coalesce("findings", nothing)).drop("plan_key", "plan_text", "seq")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import groups as g
 from ..operators import state as st
+from ..session import shared_folder
 from ..sources import export as ex
 from ..sources import growing
 from ..streaming import commits, tail
@@ -19,20 +18,10 @@ from .lines import log_lines
 from .plans import N, plan_nodes
 
 
-def _folder(s) -> str:
-    """A new folder in the one that driver and executors share; a local one serves local sessions only."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tracewell-")
-    return f"{base}/tracewell/{s.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def _checkpoints(s, d):
     """Two rounds of checkpoints of the 17 files that events fall into, written and read back as versions of a store."""
     e = executions(s, d).select(F.concat(F.lit("/log/"), (F.col("seq") % 17).cast("string")).alias("path"), (F.col("seq") * 10).alias("position"), F.lit(1).cast("long").alias("device"), (F.col("seq") % 17).alias("inode"), (F.col("seq") * 10).alias("size"), F.col("ts").alias("last_modified"), F.lit(1).cast("long").alias("processed"))
-    store = _folder(s)
+    store = shared_folder(s)
     none, version = tail.load_files(s, store)
     tail.save_files(tail.upsert_files(none, e.filter("inode < 12")), store, version + 1)
     first, version = tail.load_files(s, store)
@@ -59,13 +48,13 @@ _LE = "case b when 10 then '+Inf' else ([" + ", ".join(f"'{x:g}'" for x in (0.00
 
 
 def _round_trip(s, d):
-    path = _folder(s)
+    path = shared_folder(s)
     ex.write_export(ex.export_rows(executions(s, d)), path)
     return ex.read_export(s, path)
 
 
 def _streamed(s, d):
-    base = _folder(s)
+    base = shared_folder(s)
     executions(s, d).repartition(4).write.parquet(f"{base}/in")
     schema = s.read.parquet(f"{base}/in").schema
     stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
@@ -75,7 +64,7 @@ def _streamed(s, d):
 
 def _log_stream(s, d):
     """The events' log, written as a file for each of seven names and read as a stream of two files a batch."""
-    base = _folder(s)
+    base = shared_folder(s)
     log_lines(s, d).repartition(4, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
     tail.fold_logs(s, f"{base}/in", f"{base}/store", f"{base}/checkpoint", "%m [%p] %u@%d ", SLO, 2).awaitTermination()
     return st.as_table(tail.load_store(s, f"{base}/store"))
@@ -114,7 +103,7 @@ def _grow(s, base, parts, part, names):
 
 def _followed(s, d, between=lambda store: None, checkpoint="a", rotate=True):
     """The log followed in two triggers: between them all files grow, one of them into a new file after it was renamed."""
-    base = _folder(s)
+    base = shared_folder(s)
     half = table(s, d, "events").count() // 2
     parts, names = _written(s, d, base, half), {str(f): f"{f}.log" for f in range(7)}
     fs = s.sparkContext._jvm.org.apache.hadoop.fs

@@ -1,13 +1,14 @@
-"""What a session needs for this package's Python: the code on the executors, and batches of moderate size."""
+"""What a session needs: this package's code on the executors, batches of moderate size, a folder for intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 2000
 _shipped: set[str] = set()
@@ -30,3 +31,28 @@ def ship_package(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
+
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, in the one that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a local folder serves local sessions (tests); on a cluster it is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tracewell-"))
+        base = _local[0]
+    return f"{base.rstrip('/')}/tracewell/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: what follows doesn't work it out again, nor does a lost executor."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

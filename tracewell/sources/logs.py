@@ -7,11 +7,6 @@ So a large file is read and assembled by many tasks, and no window spans a file.
 
 from __future__ import annotations
 
-import bz2
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +15,7 @@ from ..functions.prefix import DEFAULT, parse_prefix
 from ..functions.sqltext import format_column, normalize_column
 from ..operators.groups import group_stats
 from ..session import ship_package
+from .compressed import CompressedLogs
 
 LINE_SCHEMA = "file string, block long, place long, value string"
 
@@ -30,81 +26,19 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
 
 
-_PART = 1 << 20
-
-
-def inflated(data: bytes) -> Iterator[bytes]:
-    """The content in parts of about a megabyte, whatever it is compressed with; members that follow one another are joined."""
-    if data[:2] == b"\x1f\x8b":
-        fresh = lambda: zlib.decompressobj(31)
-    elif data[:3] == b"BZh":
-        fresh = bz2.BZ2Decompressor
-    else:
-        yield from (data[i : i + _PART] for i in range(0, len(data), _PART))
-        return
-    rest = data
-    while rest:
-        decoder, held = fresh(), rest
-        while not decoder.eof:
-            out = decoder.decompress(held, _PART)
-            held = getattr(decoder, "unconsumed_tail", b"")
-            if not out and not held and getattr(decoder, "needs_input", True):
-                raise EOFError("the compressed data end early")
-            yield out
-        rest = decoder.unused_data
-
-
-def lines_of(parts: Iterator[bytes], max_bytes: int) -> Iterator[str]:
-    """The lines of a content that comes in parts; more than max_bytes are an error as soon as they are seen."""
-    held, total = b"", 0
-    for part in parts:
-        total += len(part)
-        if total > max_bytes:
-            raise ValueError(f"more than {max_bytes} bytes")
-        *whole, held = (held + part).split(b"\n")
-        for line in whole:
-            yield line.decode("utf-8", "replace").removesuffix("\r")
-    if held:
-        yield held.decode("utf-8", "replace").removesuffix("\r")
-
-
-def _decoded(max_bytes: int, keep_going: bool):
-    def rows(path: str, values: list[str], first: int, error: str | None = None) -> pa.RecordBatch:
-        n = len(values)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([path] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(values, pa.string()), pa.array([error] * n, pa.string())], names=["file", "block", "place", "value", "error"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0), batch.column(1), strict=True):
-                path, values, at = path.as_py(), [], 0
-                try:
-                    for line in lines_of(inflated(data.as_py()), max_bytes):
-                        values.append(line)
-                        if len(values) == 20_000:
-                            yield rows(path, values, at)
-                            at, values = at + len(values), []
-                except (ValueError, EOFError, OSError, zlib.error) as e:
-                    if not keep_going:
-                        raise ValueError(f"{path}: {e}") from e
-                    yield rows(path, [None], -1, f"{type(e).__name__}: {e}")
-                    continue
-                yield rows(path, values, at)
-
-    return run
-
-
-def read_lines_by_content(spark: SparkSession, path: str | list[str], max_bytes: int = 16 << 30, errors: bool = False) -> DataFrame:
-    """Like read_lines for files whose compression shows in their first bytes, not in their names; a file is one task.
-
-    Files are inflated in parts, so a task holds the compressed file (2 GB at most, Spark's limit) and a part of it, and stops
-    where it exceeds max_bytes. With `errors`, a file that can't be read gives one row with its `error` and no value, besides the lines
+def read_lines_by_content(spark: SparkSession, path: str | list[str], max_bytes: int = 16 << 30, errors: bool = False, chunk_bytes: int = 64 << 20) -> DataFrame:
+    """Like read_lines for files whose compression shows in their first bytes, not in their names (sources.compressed).
+
+    Files are shared out by gzip members, bzip2 blocks or lines, each task inflating its own in parts and stopping where they
+    exceed max_bytes. With `errors`, a range that can't be read gives one row with its `error` and no value, besides the lines
     before the damage, and the others are read; else it is an error.
     """
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    found = files.mapInArrow(_decoded(max_bytes, errors), LINE_SCHEMA + ", error string")
+    spark.dataSource.register(CompressedLogs)
+    found = None
+    for p in [path] if isinstance(path, str) else path:
+        rows = spark.read.format("compressed_logs").options(path=p, maxBytes=max_bytes, keepGoing=errors, chunkBytes=chunk_bytes).load()
+        found = rows if found is None else found.unionByName(rows)
     return found if errors else found.drop("error")
 
 
