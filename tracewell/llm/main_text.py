@@ -1,18 +1,18 @@
 """Main text of web pages by line-block distribution.
 
 1. Markup is stripped in one pass over the tags. A block element's text is a line; where more than two block borders lie
-   between two texts, empty lines stand for the rest, so that nesting leaves gaps as it does in pretty-printed source.
-2. A line weighs as many characters as it has outside links; headings weigh all of theirs. What an element's name or role,
-   or a whole class or id, marks as a menu, header, footer, sidebar, notice, advert, form or reader comments gives one
-   empty line. On a page with article or main elements, only lines inside them weigh anything.
+   between two texts, empty lines stand for the rest, so that nesting leaves gaps as it does in pretty-printed source (not
+   within article elements, where nesting says nothing). What elements' names or roles mark as a menu, header, footer,
+   sidebar or form gives one empty line; within an article it goes without one, as adverts and reader comments do.
+2. A line weighs as many characters as it has outside links; headings and lines within articles weigh all of theirs. Lines
+   that a whole class or id marks as boilerplate weigh nothing; nor do, on a page with article or main elements, those outside.
 3. The weights are summed over a sliding window of WINDOW lines: the distribution of line blocks. A surge is where a block
-   passes the threshold; the text begins at the first line of weight there, and reaches back over lines of weight that
-   follow one another. A dive is where the blocks reach zero. The lines between each surge and its dive are kept.
-   Inside article elements any weight is a surge, as the markup vouches for it; elsewhere THRESHOLD characters are, or
-   half of the page's largest block if that is less.
+   passes THRESHOLD characters, or half of the page's largest block if that is less; the text begins at the first line of
+   weight there, and reaches back over lines of weight that follow one another. A dive is where the blocks reach zero. The
+   lines between each surge and its dive are kept, but for marked ones.
 
-So lists of links before, after and between the running text (three or more link-only lines) go without having to be
-marked, link-only lines within it stay, and on pages without article so do short lines of text apart from it.
+So menus, adverts and lists of links before, after and between the running text go by their weights; within an article
+nothing is dropped but adverts, comments and what elements mark.
 
 If marked classes, ids and forms leave no text at all, they are not believed and only elements' names and roles count.
 
@@ -65,11 +65,13 @@ _END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in _RAW}
 @dataclass
 class Line:
     text: str
-    own: int  # characters outside links
+    own: int  # characters that weigh
     article: bool
+    marked: bool = False  # by a class or id, as boilerplate
 
 
 _GAP = Line("", 0, False)
+_PLAIN_BLOCKS = {"p", "blockquote", "pre", "figure", "figcaption", "table"} | _HEADINGS  # an article's own, whatever their class
 
 
 def attributes_of(page: str, at: int) -> tuple[dict[str, str], int]:
@@ -85,6 +87,7 @@ def attributes_of(page: str, at: int) -> tuple[dict[str, str], int]:
 
 
 def _noisy(name: str, found: dict[str, str], in_article: bool, marks: bool) -> bool:
+    """Whether an element is left out by its name, role or invisibility, or in an article as an advert or comments."""
     if name in _DROPPED and (marks or name != "form") or (name == "header" and not in_article):
         return True
     if not found or name in _UNMARKED:
@@ -93,7 +96,15 @@ def _noisy(name: str, found: dict[str, str], in_article: bool, marks: bool) -> b
         return True
     if found.get("role", "").lower() in _ROLES:
         return True
-    return marks and any(_MARKED.fullmatch(x) or _MARKED_PART.fullmatch(x) for k in ("class", "id") for x in found.get(k, "").split())
+    return marks and in_article and name not in _PLAIN_BLOCKS and any(_MARKED_PART.fullmatch(x) for x in _names(found))
+
+
+def _names(found: dict[str, str]) -> list[str]:
+    return [x for k in ("class", "id") for x in found.get(k, "").split()]
+
+
+def _marked(name: str, found: dict[str, str]) -> bool:
+    return bool(found) and name not in _UNMARKED and any(_MARKED.fullmatch(x) or _MARKED_PART.fullmatch(x) for x in _names(found))
 
 
 def lines_of(page: str, marks: bool = True) -> list[Line]:
@@ -101,9 +112,9 @@ def lines_of(page: str, marks: bool = True) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     own = breaks = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are noise
+    stack: list[tuple[str, bool, bool]] = []  # open elements, and whether they are noise or marked
     open_: dict[str, int] = {}  # how many elements of each name are open
-    noise = links = headings = articles = 0
+    noise = marked = links = headings = articles = 0
     at, n = 0, len(page)
 
     def end_line() -> None:
@@ -111,9 +122,9 @@ def lines_of(page: str, marks: bool = True) -> list[Line]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                if out:
+                if out and not articles:
                     out.extend([_GAP] * min(breaks - 2, WINDOW))
-                out.append(Line(text, own, articles > 0))
+                out.append(Line(text, own, articles > 0, marked > 0))
                 breaks = 0
             parts, own = [], 0
         breaks += 1
@@ -122,18 +133,19 @@ def lines_of(page: str, marks: bool = True) -> list[Line]:
         out.extend([_GAP] * WINDOW)
 
     def close(name: str) -> None:
-        nonlocal noise, links, headings, articles
+        nonlocal noise, marked, links, headings, articles
         while True:
-            top, bad = stack.pop()
+            top, bad, said = stack.pop()
             open_[top] -= 1
             noise -= bad
+            marked -= said
             links -= top == "a"
             headings -= top in _HEADINGS
             if top in _ZONES:
                 articles -= 1
                 if not articles:
                     border()
-            if bad:
+            if bad and not articles:
                 out.append(_GAP)
             if top == name:
                 return
@@ -143,7 +155,7 @@ def lines_of(page: str, marks: bool = True) -> list[Line]:
         stop = m.start() if m else n
         if stop > at and not noise:
             parts.append(page[at:stop])
-            if not links or headings:
+            if not links or headings or articles:
                 own += len(page[at:stop].strip())
         if not m:
             break
@@ -180,7 +192,7 @@ def lines_of(page: str, marks: bool = True) -> list[Line]:
                 end_line()
             if name in _CLOSES_P and open_.get("p"):
                 # a block ends an open paragraph, if no other block was opened within it
-                for top, _ in reversed(stack):
+                for top, *_ in reversed(stack):
                     if top == "p":
                         close("p")
                         break
@@ -191,15 +203,17 @@ def lines_of(page: str, marks: bool = True) -> list[Line]:
         if name in _VOID or empty:
             continue
         bad = not noise and _noisy(name, found, articles > 0, marks)
-        if bad:
+        said = marks and not articles and _marked(name, found)
+        if bad or (said and not noise and name in _BLOCK):
             end_line()
         if name in _ZONES:
             if not articles:
                 border()
             articles += 1
-        stack.append((name, bad))
+        stack.append((name, bad, said))
         open_[name] = open_.get(name, 0) + 1
         noise += bad
+        marked += said
         links += name == "a"
         headings += name in _HEADINGS
     end_line()
@@ -231,20 +245,19 @@ def stretches(weights: list[int], window: int = WINDOW, threshold: float = THRES
 
 
 def main_text(page: str, threshold: int = THRESHOLD) -> str:
-    """The main text; with a negative threshold, the distribution is left out and all unmarked lines stay."""
+    """The main text; with a negative threshold, the distribution is left out and all lines stay."""
     lines = lines_of(page)
-    if not any(x.text for x in lines):
+    if not any(x.text and not x.marked for x in lines):
         lines = lines_of(page, marks=False)
-    zoned = any(x.article for x in lines)
-    if zoned:
-        lines = [x if x.article else _GAP for x in lines]
     if threshold < 0:
         return "\n".join(x.text for x in lines if x.text)
-    weights = [x.own for x in lines]
+    zoned = any(x.article for x in lines)
+    counts = [not x.marked and (x.article or not zoned) for x in lines]
+    weights = [x.own if c else 0 for x, c in zip(lines, counts, strict=True)]
     if not any(weights):  # all text is in links
-        weights = [len(x.text) for x in lines]
-    least = 0 if zoned else min(threshold, max(blocks_of(weights), default=0) / 2)
-    return "\n".join(x.text for a, b in stretches(weights, threshold=least) for x in lines[a:b] if x.text)
+        weights = [len(x.text) if c else 0 for x, c in zip(lines, counts, strict=True)]
+    least = min(threshold, max(blocks_of(weights), default=0) / 2)
+    return "\n".join(x.text for a, b in stretches(weights, threshold=least) for x in lines[a:b] if x.text and not x.marked)
 
 
 def main_text_column(page: Column | str) -> Column:
