@@ -116,6 +116,18 @@ def test_packing_against_optimum():
     assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.25 and sum(ratios) / len(ratios) <= 1.03
 
 
+def test_a_further_length_never_costs_more():
+    import random
+
+    rnd = random.Random(6)
+    for trial in range(40):
+        sizes = sorted(rnd.sample(range(1, 60), rnd.randint(1, 8)))
+        lengths = [rnd.randint(1, sizes[-1]) for _ in range(rnd.randint(1, 60))]
+        more = sorted({*sizes, *rnd.sample(range(1, 90), rnd.randint(1, 3))})
+        cost = lambda c: c * (1 + c / 100)
+        assert packing.pack(lengths, more, cost)[2] <= packing.pack(lengths, sizes, cost)[2] + 1e-9, trial
+
+
 def test_op5(spark, docs):
     ranks = byte_ranks(multi_path())
     types, got, rows = run(spark, "op5_token_counts")
