@@ -63,11 +63,11 @@ def test_expected_counts(model):
                     each[i] += p
         got = np.zeros_like(model.probs)
         ((_, codes),) = lang_id._by_length(pa.array([word]))
-        model._expect(np.array([[1.0, 2.0]]), codes, lang_id._numbers(model.table, codes), got)
+        lang_id._expect(model.probs, np.array([[1.0, 2.0]]), codes, lang_id._numbers(model.table, codes), got)
         assert got == pytest.approx(each / total * [1.0, 2.0])
     got = np.zeros_like(model.probs)
     ((_, codes),) = lang_id._by_length(pa.array(["ab" * 1500 + "z" * 400]))
-    model._expect(np.array([[1.0, 1.0]]), codes, lang_id._numbers(model.table, codes), got)
+    lang_id._expect(model.probs, np.array([[1.0, 1.0]]), codes, lang_id._numbers(model.table, codes), got)
     letters = np.array([0, 1, *map(len, PIECES)])
     assert (got * letters[:, None]).sum(0) == pytest.approx([3401, 3401])
 
@@ -86,7 +86,37 @@ def test_repeated_rows_and_null_ids(spark):
     assert model.score(pa.array(["und so weiter ein text", "the words of the text", "", None]))[0] == ["de", "en", "und", "und"]
 
 
-def test_most_frequent_languages(spark, monkeypatch):
-    monkeypatch.setattr(lang_id, "LANGUAGES", 2)
-    docs = spark.createDataFrame([(i, "ab cd", f"l{min(i, 3)}") for i in range(9)], "doc_id long, text string, lang string")
-    assert lang_id.fit(docs, F.lit(True)).languages == ["l0", "l3"]
+def test_all_languages_in_blocks(spark, monkeypatch):
+    """Every language is learned; working on them in blocks changes nothing."""
+    say = ["ab cd", "the words", "und so weiter", "que la mesa"]
+    rows = [(i, f"{say[i % 4]} {chr(97 + i % 23)}x", f"l{i % 37:02d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = lang_id.fit(docs, F.lit(True))
+    assert len(whole.languages) == 37
+    texts = pa.array([t for _, t, _ in rows] + ["", None, "x" * 3000])
+    monkeypatch.setattr(lang_id, "LANGUAGE_BLOCK", 5)
+    parts = lang_id.fit(docs, F.lit(True))
+    assert np.allclose(whole.probs, parts.probs)
+    (a, b), (c, d) = whole.score(texts), parts.score(texts)
+    assert a == c and np.allclose(b, d)
+
+
+def test_memory_with_a_thousand_languages():
+    """The values of words, positions and languages are held for a block of languages at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    pieces = lang_id.Pieces([chr(97 + i) for i in range(26)] + ["th", "he", "in", "er"])
+    probs = rng.random((pieces.n, 1000))
+    model = lang_id.LanguageModel([f"l{i}" for i in range(1000)], np.full(1000, 1e-3), pieces, probs / probs.sum(0))
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 12)) for _ in range(5000)]
+    tracemalloc.start()
+    model.score(pa.array([" ".join(words[k::50]) for k in range(50)]))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_words_learned_from_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "aa aa aa bb bb cc", "x"), (2, "dd dd ee", "y")], "doc_id long, text string, lang string")
+    one = lang_id.fit(docs, F.lit(True), words_per_language=1)
+    assert np.allclose(one.probs, lang_id.learn({"x": {"aa": 3}, "y": {"dd": 2}}, {"x": 1.0, "y": 1.0}, lang_id.public_pieces()).probs)

@@ -22,16 +22,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, sample_cuts
+from .common import SLICE_BYTES, release, sample_cuts, text_slices
 from .shingles import mix
 
 UNDETERMINED = "und"
 #: The sample: so many texts of each language, those of the smallest hashes of their ids and texts.
 TEXTS_PER_LANGUAGE = 250
-LANGUAGES = 500
+#: Of each language's sample the most frequent words are learned from, so many at most.
+WORDS_PER_LANGUAGE = 100_000
+#: So many languages are worked on at once, so memory doesn't grow with their number.
+LANGUAGE_BLOCK = 16
 RESCALED = 16
 _MARK = 0x2581
 _FLOOR = 1e-7
@@ -124,63 +127,18 @@ class LanguageModel:
     table: Pieces | None
     probs: np.ndarray  # piece x language
 
-    def word_scores(self, words: pa.Array) -> np.ndarray:
-        """log P(word | language), summed over segmentations."""
-        out = np.zeros((len(words), len(self.languages)))
+    def blocks(self) -> Iterator[slice]:
+        return (slice(k, min(k + LANGUAGE_BLOCK, len(self.languages))) for k in range(0, len(self.languages), LANGUAGE_BLOCK))
+
+    def word_scores(self, words: pa.Array, block: slice | None = None) -> np.ndarray:
+        """log P(word | language), summed over segmentations, for a block of languages (all, if none is given)."""
+        probs = self.probs[:, block or slice(None)]
+        out = np.zeros((len(words), probs.shape[1]))
         for own, codes in _by_length(words):
-            alpha, shift = self._forward(codes, _numbers(self.table, codes))
+            alpha, shift = _forward(probs, codes, _numbers(self.table, codes))
             out[own] = np.log(alpha[:, -1]) + shift[:, -1]
         return out
 
-    def _forward(self, codes: np.ndarray, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(values, logarithms taken out of them) of each word, position and language."""
-        n, length = codes.shape
-        alpha = np.zeros((n, length + 1, len(self.languages)))
-        alpha[:, 0] = 1
-        shift = np.zeros_like(alpha) if length > RESCALED else np.zeros((1, length + 1, 1))
-        some = [ids.any(0) for ids in numbers]
-        for i in range(1, length + 1):
-            first = max(0, i - len(numbers))
-            shift[:, i] = shift[:, i - 1]
-            for k in range(1, i - first + 1):
-                if not some[k - 1][i - k]:
-                    continue
-                ids = numbers[k - 1][:, i - k]
-                hit = np.flatnonzero(ids)
-                if len(hit) * 2 > n:
-                    alpha[:, i] += alpha[:, i - k] * self.probs[ids]
-                else:
-                    alpha[hit, i] += alpha[hit, i - k] * self.probs[ids[hit]]
-            if length > RESCALED and i % RESCALED == 0:
-                _rescale(alpha, shift, i, slice(max(0, i - len(numbers) + 1), i + 1))
-        return alpha, shift
-
-    def _expect(self, weight: np.ndarray, codes: np.ndarray, numbers: list[np.ndarray], expected: np.ndarray) -> None:
-        """Adds the expected counts of pieces over all segmentations of the words, each word as often as `weight` says."""
-        alpha, before = self._forward(codes, numbers)
-        n, length = codes.shape
-        beta = np.zeros_like(alpha)
-        beta[:, length] = 1
-        after = np.zeros_like(before)
-        total = np.log(alpha[:, length]) + before[:, length]
-        for i in range(length - 1, -1, -1):
-            after[:, i] = after[:, i + 1]
-            for k in range(1, min(len(numbers), length - i) + 1):
-                ids = numbers[k - 1][:, i]
-                hit = np.flatnonzero(ids)
-                if not len(hit):
-                    continue
-                use = self.probs[ids[hit]] * beta[hit, i + k]
-                beta[hit, i] += use
-                if length > RESCALED:
-                    use = np.exp(np.log(use) + np.log(alpha[hit, i]) + before[hit, i] + after[hit, i + k] - total[hit]) * weight[hit]
-                else:
-                    use = use * alpha[hit, i] / alpha[hit, length] * weight[hit]
-                for j in range(len(self.languages)):
-                    expected[:, j] += np.bincount(ids[hit], weights=use[:, j], minlength=len(expected))
-            if length > RESCALED and i % RESCALED == 0:
-                _rescale(beta, after, i, slice(i, min(length, i + len(numbers) - 1) + 1))
-
     def score(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Prediction and posterior of each text."""
         lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _NO_LETTERS)
@@ -192,16 +150,70 @@ class LanguageModel:
         some = np.bincount(owner, weights=wide[codes] > 0, minlength=len(texts)) > 0
         if not self.languages or not some.any():
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        scores = np.zeros((len(values), len(self.languages)))
         real = np.flatnonzero(wide > 0)
-        scores[real] = self.word_scores(values.take(pa.array(real)))
-        total = np.stack([np.bincount(owner, weights=scores[codes, j], minlength=len(texts)) for j in range(len(self.languages))], 1)
+        known, total = values.take(pa.array(real)), np.zeros((len(texts), len(self.languages)))
+        for block in self.blocks():
+            scores = np.zeros((len(values), block.stop - block.start))
+            scores[real] = self.word_scores(known, block)
+            for j in range(block.start, block.stop):
+                total[:, j] = np.bincount(owner, weights=scores[codes, j - block.start], minlength=len(texts))
         total += np.log(self.prior)
         top = total.max(1, keepdims=True)
         best, sure = total.argmax(1), 1 / np.exp(total - top).sum(1)
         return [self.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)], np.where(some, sure, 0.0).tolist()
 
 
+def _forward(probs: np.ndarray, codes: np.ndarray, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, logarithms taken out of them) of each word, position and language, by the languages' piece probabilities."""
+    n, length = codes.shape
+    alpha = np.zeros((n, length + 1, probs.shape[1]))
+    alpha[:, 0] = 1
+    shift = np.zeros_like(alpha) if length > RESCALED else np.zeros((1, length + 1, 1))
+    some = [ids.any(0) for ids in numbers]
+    for i in range(1, length + 1):
+        first = max(0, i - len(numbers))
+        shift[:, i] = shift[:, i - 1]
+        for k in range(1, i - first + 1):
+            if not some[k - 1][i - k]:
+                continue
+            ids = numbers[k - 1][:, i - k]
+            hit = np.flatnonzero(ids)
+            if len(hit) * 2 > n:
+                alpha[:, i] += alpha[:, i - k] * probs[ids]
+            else:
+                alpha[hit, i] += alpha[hit, i - k] * probs[ids[hit]]
+        if length > RESCALED and i % RESCALED == 0:
+            _rescale(alpha, shift, i, slice(max(0, i - len(numbers) + 1), i + 1))
+    return alpha, shift
+
+
+def _expect(probs: np.ndarray, weight: np.ndarray, codes: np.ndarray, numbers: list[np.ndarray], expected: np.ndarray) -> None:
+    """Adds the expected counts of pieces over all segmentations of the words, each word as often as `weight` says."""
+    alpha, before = _forward(probs, codes, numbers)
+    n, length = codes.shape
+    beta = np.zeros_like(alpha)
+    beta[:, length] = 1
+    after = np.zeros_like(before)
+    total = np.log(alpha[:, length]) + before[:, length]
+    for i in range(length - 1, -1, -1):
+        after[:, i] = after[:, i + 1]
+        for k in range(1, min(len(numbers), length - i) + 1):
+            ids = numbers[k - 1][:, i]
+            hit = np.flatnonzero(ids)
+            if not len(hit):
+                continue
+            use = probs[ids[hit]] * beta[hit, i + k]
+            beta[hit, i] += use
+            if length > RESCALED:
+                use = np.exp(np.log(use) + np.log(alpha[hit, i]) + before[hit, i] + after[hit, i + k] - total[hit]) * weight[hit]
+            else:
+                use = use * alpha[hit, i] / alpha[hit, length] * weight[hit]
+            for j in range(probs.shape[1]):
+                expected[:, j] += np.bincount(ids[hit], weights=use[:, j], minlength=len(expected))
+        if length > RESCALED and i % RESCALED == 0:
+            _rescale(beta, after, i, slice(i, min(length, i + len(numbers) - 1) + 1))
+
+
 def word_counts(texts: list[str]) -> dict[str, int]:
     """How often each word is in the texts."""
     flat = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), _NO_LETTERS).flatten()
@@ -216,35 +228,48 @@ def learn(counts: dict[str, dict[str, int]], shares: dict[str, float], pieces: l
     model = LanguageModel(languages, prior / prior.sum() if languages else prior, table, np.zeros((table.n, len(languages))))
     if not languages:
         return model
-    known = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts.get(x, {}).get(w, 0) for x in languages] for w in known], float).reshape(len(known), len(languages))
-    groups = [(own, codes, _numbers(table, codes)) for own, codes in _by_length(pa.array(known, pa.string()))] if known else []
     seen = np.zeros(table.n)
-    for own, _, numbers in groups:
-        for ids in numbers:
-            seen += np.bincount(ids.ravel(), weights=np.repeat(weight[own].sum(1), ids.shape[1]), minlength=table.n)
+    blocks = [(block, *_weighed(counts, languages[block])) for block in model.blocks()]
+    for _, known, weight in blocks:
+        for own, codes in _by_length(known):
+            for ids in _numbers(table, codes):
+                seen += np.bincount(ids.ravel(), weights=np.repeat(weight[own].sum(1), ids.shape[1]), minlength=table.n)
     seen[0] = 0
     model.probs[:] = np.maximum((seen + 0.1) / (seen + 0.1).sum(), _FLOOR)[:, None]
     model.probs[0] = 0
-    for _ in range(rounds):
-        expected = np.full_like(model.probs, 0.01)
-        for own, codes, numbers in groups:
-            model._expect(weight[own], codes, numbers, expected)
-        expected[0] = 0
-        model.probs = np.maximum(expected / expected.sum(0), _FLOOR)
-        model.probs[0] = 0
+    for block, known, weight in blocks:
+        groups = [(own, codes, _numbers(table, codes)) for own, codes in _by_length(known)]
+        probs = model.probs[:, block].copy()
+        for _ in range(rounds):
+            expected = np.full_like(probs, 0.01)
+            for own, codes, numbers in groups:
+                _expect(probs, weight[own], codes, numbers, expected)
+            expected[0] = 0
+            probs = np.maximum(expected / expected.sum(0), _FLOOR)
+            probs[0] = 0
+        model.probs[:, block] = probs
     return model
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, pieces: list[str] | None = None) -> LanguageModel:
+def _weighed(counts: dict[str, dict[str, int]], languages: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of some languages, and how often each has each."""
+    known = sorted({w for x in languages for w in counts.get(x, {})})
+    place = {w: i for i, w in enumerate(known)}
+    weight = np.zeros((len(known), len(languages)))
+    for j, x in enumerate(languages):
+        for w, n in counts.get(x, {}).items():
+            weight[place[w], j] = n
+    return pa.array(known, pa.string()), weight
+
+
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE, pieces: list[str] | None = None) -> LanguageModel:
     """A model of the labelled rows that `train` selects.
 
-    The sample is bounded: for each language the `texts_per_language` texts of smallest hash of id and text. What comes to
-    the driver is their words with counts, and the number of rows of each of the LANGUAGES most frequent languages.
+    The sample is bounded: for each language the `texts_per_language` texts of smallest hash of id and text, and of their words the
+    `words_per_language` most frequent. What comes to the driver is these words with counts, and each language's number of rows.
     """
     labelled = docs.filter(train).filter(F.col(lang_col).isNotNull())
-    most = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    shares = {r[0]: float(r[1]) for r in most}
+    shares = {r[0]: float(r[1]) for r in labelled.groupBy(lang_col).count().collect()}
     if not shares:
         return learn({}, {}, pieces or public_pieces())
     hashed = labelled.select(F.col(lang_col).alias("g"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
@@ -255,7 +280,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     sample = hashed.filter(chosen).dropDuplicates(["g", "h"])
     words = sample.select("g", F.explode(F.split(F.lower("t"), _NO_LETTERS_JVM)).alias("w")).filter("w <> ''")
     counts: dict[str, dict[str, int]] = {x: {} for x in shares}
-    for lang, word, n in words.groupBy("g", "w").count().collect():
+    ranked = words.groupBy("g", "w").count().withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("count"), "w")))
+    for lang, word, n in ranked.filter(F.col("r") <= words_per_language).select("g", "w", "count").toLocalIterator(prefetchPartitions=True):
         counts[lang][word] = n
     return learn(counts, shares, pieces or public_pieces())
 
@@ -266,8 +292,8 @@ def language_column(model: LanguageModel, text: Column | str) -> Column:
     @F.arrow_udf("struct<lang:string,score:double>")
     def identify(texts: pa.Array) -> pa.Array:
         lang, score = [], []
-        for lo in range(0, len(texts), 1000):
-            a, b = model.score(texts.slice(lo, 1000).cast(pa.string()))
+        for _, part in text_slices(texts, SLICE_BYTES, 1000):
+            a, b = model.score(pa.array(part, pa.binary()).cast(pa.string()))
             lang += a
             score += b
         release()
