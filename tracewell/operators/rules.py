@@ -1,12 +1,13 @@
 """Plan analyzers: row-local predicates over plan nodes, and plan-level ones over their aggregates.
 
-A rule is a name, the kind of its finding, and a severity expression that is null where the rule doesn't fire. All
-node-local rules are evaluated in one pass over the node table; what they need of children is joined once.
+A rule is a name, the kind of its finding, a severity expression that is null where the rule doesn't fire, a sentence, and
+the numbers that it rests on. All node-local rules are evaluated in one pass over the node table, with their evidence if it is
+asked for; what they need of children is joined once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ class Rule:
     analyzer: str
     name: str
     severity: Column
+    says: str = ""
+    evidence: dict[str, Column] = field(default_factory=dict)
 
 
 def rank(severity: Column) -> Column:
@@ -81,48 +84,89 @@ def node_rules(t: Thresholds, work_mem_kb: int = 4096) -> list[Rule]:
     exact, lossy = F.coalesce(_prop("Exact Heap Blocks", "double"), F.lit(0.0)), _prop("Lossy Heap Blocks", "double")
     space, method, batches = _kb(_prop("Sort Space Used")), _prop("Sort Method"), F.coalesce(_prop("Batches", "double"), _prop("Hash Batches", "double"))
     planned, launched = _prop("Workers Planned", "double"), _prop("Workers Launched", "double")
+    reached = lambda s, limits: F.when(s == "Critical", limits[2]).when(s == "High", limits[1]).when(s == "Medium", limits[0]).otherwise(0.0)
     functions = r"lower\(|upper\(|date\(|substring\("
     # The limits of each rule and the severities they stand for.
     return [
-        Rule("RowEstimation", "excessive_rows", F.when(rank(rows) >= 2, rows)),
-        Rule("RowEstimation", "cartesian", F.when(nested & _prop("Join Filter").isNull() & (c("est_rows") > 10000) & (ratio > 0.8), "Critical")),
-        Rule("Scan", "seq_scan", F.when(seq, F.when(rank(classify(seen, *t.rows)) >= 2, classify(seen, *t.rows)))),
-        Rule("Scan", "index_scan", F.when(c("kind").isin("IndexScan", "IndexOnlyScan"), high(worst))),
-        Rule("Scan", "bitmap_scan", F.when(c("kind").isin("BitmapHeapScan", "BitmapIndexScan", "ParallelBitmapHeapScan"), high(rows))),
-        Rule("Join", "nested_loop", F.when(c("kind").isin("NestedLoop", "NestedLoopLeftJoin"), high(worst))),
-        Rule("Join", "hash_memory", F.when((c("kind") == "HashJoin") & ((rows == "Critical") | ((rank(cost) >= 3) & (c("est_rows") > 1_000_000))), _tiers(mem, (20, "Critical"), (5, "High"), (2, "Medium"), (1.2, "Low")))),
-        Rule("Join", "merge_join", F.when(c("kind") == "MergeJoin", high(cost))),
-        Rule("QueryPattern", "distinct", F.when(F.lower(_prop("Operation")).contains("unique") & index_cond.contains("=") & ~index_cond.contains("AND"), "Low")),
-        Rule("QueryPattern", "function_in_filter", F.when(low_flt.rlike(functions), "Medium")),
-        Rule("QueryPattern", "wide_row", F.when(c("width") > 500, "Low")),
-        Rule("StartupCost", "high", _tiers(startup, (100_000, "Critical"), (50_000, "High"), (10_000, "Medium"))),
-        Rule("StartupCost", "dominant", F.when((startup > 1000) & (startup / c("total_cost") > 0.9), "Medium")),
-        Rule("StartupCost", "external_sort", F.when((c("kind") == "Sort") & F.lower(method).contains("external") & (startup > 5000), "High")),
-        Rule("StartupCost", "materialize", F.when((c("kind") == "Materialize") & (startup > 5000), "Medium")),
-        Rule("IndexUsage", "missing_index", F.when(seq & flt.contains("=") & ~low_flt.contains(" or ") & (c("est_rows") > 1000) & (c("est_rows") < 1_000_000), F.when(c("est_rows") > 100_000, "High").when(c("est_rows") > 10_000, "Medium").otherwise("Low"))),
-        Rule("IndexUsage", "function_in_filter", F.when(seq & low_flt.rlike(functions + r"|cast\("), "Medium")),
-        Rule("IndexUsage", "leading_wildcard", F.when(seq & (flt.contains("LIKE '%") | flt.contains("ILIKE '%")), "Medium")),
-        Rule("IndexUsage", "large_index_scan", F.when(c("kind").isin("IndexScan", "IndexOnlyScan") & (c("est_rows") > 50_000), "Medium")),
-        Rule("IndexUsage", "large_bitmap", F.when((c("kind") == "BitmapHeapScan") & (c("est_rows") > 100_000), "Medium")),
-        Rule("SortMemory", "disk_sort", F.when((_prop("Sort Space Type") == "Disk") | F.lower(method).contains("external"), F.when(space > 100_000, "High").otherwise("Medium"))),
-        Rule("SortMemory", "hash_batches", F.when(batches > 1, F.when(batches > 8, "High").otherwise("Medium"))),
-        Rule("FilterEfficiency", "wasteful_filter", F.when((removed >= 10_000) & (kept.isNull() | (kept / (kept + removed) < 0.10)), by_removed(removed))),
-        Rule("FilterEfficiency", "recheck", F.when(recheck >= 10_000, by_removed(recheck))),
-        Rule("FilterEfficiency", "join_filter", F.when(join_removed >= 10_000, by_removed(join_removed))),
-        Rule("IndexEfficiency", "heap_fetches", F.when((fetches >= 1000) & (kept.isNull() | (kept * loops == 0) | (fetches / (kept * loops) > 0.10)), F.when(fetches >= 100_000, "High").otherwise("Medium"))),
-        Rule("IndexEfficiency", "lossy_bitmap", F.when((lossy >= 64) & (lossy / (lossy + exact) > 0.05), "Medium")),
-        Rule("Parallelization", "inefficient", F.when((planned > 0) & (launched > 0) & (launched / planned < 0.5), "Medium")),
+        Rule("RowEstimation", "excessive_rows", F.when(rank(rows) >= 2, rows),
+            "The planner expects very many rows here.", dict(estimated_rows=c("est_rows"), cost=c("total_cost"))),
+        Rule("RowEstimation", "cartesian", F.when(nested & _prop("Join Filter").isNull() & (c("est_rows") > 10000) & (ratio > 0.8), "Critical"),
+            "Nearly every pair of input rows comes out: a join condition may be missing.", dict(result_rows=c("est_rows"), left_input_rows=left, right_input_rows=right, cartesian_ratio=ratio)),
+        Rule("Scan", "seq_scan", F.when(seq, F.when(rank(classify(seen, *t.rows)) >= 2, classify(seen, *t.rows))),
+            "A whole table is read.", dict(row_count=seen, estimated_rows=c("est_rows"), cost=c("total_cost"), severity_threshold=reached(classify(seen, *t.rows), t.rows))),
+        Rule("Scan", "index_scan", F.when(c("kind").isin("IndexScan", "IndexOnlyScan"), high(worst)),
+            "An index scan returns many rows or costs much.", dict(row_count=c("est_rows"), cost=c("total_cost"), cost_threshold=reached(worst, t.cost))),
+        Rule("Scan", "bitmap_scan", F.when(c("kind").isin("BitmapHeapScan", "BitmapIndexScan", "ParallelBitmapHeapScan"), high(rows)),
+            "A bitmap scan returns many rows.", dict(row_count=c("est_rows"), cost=c("total_cost"), severity_threshold=reached(rows, t.rows))),
+        Rule("Join", "nested_loop", F.when(c("kind").isin("NestedLoop", "NestedLoopLeftJoin"), high(worst)),
+            "A nested loop handles many rows or costs much.", dict(result_rows=c("est_rows"), cost=c("total_cost"), left_input_rows=F.coalesce("left_est_rows", F.lit(0)), right_input_rows=F.coalesce("right_est_rows", F.lit(0)))),
+        Rule("Join", "hash_memory", F.when((c("kind") == "HashJoin") & ((rows == "Critical") | ((rank(cost) >= 3) & (c("est_rows") > 1_000_000))), _tiers(mem, (20, "Critical"), (5, "High"), (2, "Medium"), (1.2, "Low"))),
+            "The hash table may not fit into memory.", dict(result_rows=c("est_rows"), cost=c("total_cost"), left_input_rows=F.coalesce("left_est_rows", F.lit(0)), right_input_rows=F.coalesce("right_est_rows", F.lit(0)), left_width_bytes=F.coalesce("left_width", F.lit(100)), right_width_bytes=F.coalesce("right_width", F.lit(100)), estimated_memory_kb=mem * work_mem_kb, work_mem_kb=F.lit(work_mem_kb), memory_pressure_ratio=mem)),
+        Rule("Join", "merge_join", F.when(c("kind") == "MergeJoin", high(cost)),
+            "A merge join costs much.", dict(cost=c("total_cost"), estimated_rows=c("est_rows"))),
+        Rule("QueryPattern", "distinct", F.when(F.lower(_prop("Operation")).contains("unique") & index_cond.contains("=") & ~index_cond.contains("AND"), "Low"),
+            "Rows that an equality on an index makes unique are made unique again."),
+        Rule("QueryPattern", "function_in_filter", F.when(low_flt.rlike(functions), "Medium"),
+            "A filter calls a function on a column, which keeps an index from being used."),
+        Rule("QueryPattern", "wide_row", F.when(c("width") > 500, "Low"),
+            "Rows are wide: more columns may be read than are needed.", dict(row_width_bytes=c("width"))),
+        Rule("StartupCost", "high", _tiers(startup, (100_000, "Critical"), (50_000, "High"), (10_000, "Medium")),
+            "Much is spent before the first row.", dict(startup_cost=startup, total_cost=c("total_cost"), startup_ratio=F.when(c("total_cost") > 0, startup / c("total_cost")).otherwise(0.0))),
+        Rule("StartupCost", "dominant", F.when((startup > 1000) & (startup / c("total_cost") > 0.9), "Medium"),
+            "Nearly all is spent before the first row.", dict(startup_cost=startup, total_cost=c("total_cost"), startup_percentage=startup / c("total_cost") * 100)),
+        Rule("StartupCost", "external_sort", F.when((c("kind") == "Sort") & F.lower(method).contains("external") & (startup > 5000), "High"),
+            "A sort on disk comes before the first row.", dict(startup_cost=startup)),
+        Rule("StartupCost", "materialize", F.when((c("kind") == "Materialize") & (startup > 5000), "Medium"),
+            "An expensive result is kept before the first row.", dict(startup_cost=startup)),
+        Rule("IndexUsage", "missing_index", F.when(seq & flt.contains("=") & ~low_flt.contains(" or ") & (c("est_rows") > 1000) & (c("est_rows") < 1_000_000), F.when(c("est_rows") > 100_000, "High").when(c("est_rows") > 10_000, "Medium").otherwise("Low")),
+            "An equality filter reads a whole table: an index may be missing.", dict(estimated_rows=c("est_rows"))),
+        Rule("IndexUsage", "function_in_filter", F.when(seq & low_flt.rlike(functions + r"|cast\("), "Medium"),
+            "A function in the filter of a whole-table scan keeps an index from being used."),
+        Rule("IndexUsage", "leading_wildcard", F.when(seq & (flt.contains("LIKE '%") | flt.contains("ILIKE '%")), "Medium"),
+            "A pattern that begins with a wildcard can't use an ordinary index."),
+        Rule("IndexUsage", "large_index_scan", F.when(c("kind").isin("IndexScan", "IndexOnlyScan") & (c("est_rows") > 50_000), "Medium"),
+            "An index is read for very many rows.", dict(estimated_rows=c("est_rows"))),
+        Rule("IndexUsage", "large_bitmap", F.when((c("kind") == "BitmapHeapScan") & (c("est_rows") > 100_000), "Medium"),
+            "A bitmap covers very many rows.", dict(estimated_rows=c("est_rows"))),
+        Rule("SortMemory", "disk_sort", F.when((_prop("Sort Space Type") == "Disk") | F.lower(method).contains("external"), F.when(space > 100_000, "High").otherwise("Medium")),
+            "A sort went to disk.", dict(sort_space_used_kb=F.coalesce(space, F.lit(0.0)), work_mem_kb=F.lit(work_mem_kb))),
+        Rule("SortMemory", "hash_batches", F.when(batches > 1, F.when(batches > 8, "High").otherwise("Medium")),
+            "A hash table was split into batches.", dict(batches=batches, work_mem_kb=F.lit(work_mem_kb))),
+        Rule("FilterEfficiency", "wasteful_filter", F.when((removed >= 10_000) & (kept.isNull() | (kept / (kept + removed) < 0.10)), by_removed(removed)),
+            "A filter throws most rows away.", dict(rows_removed=removed, rows_kept=kept, selectivity=kept / (kept + removed))),
+        Rule("FilterEfficiency", "recheck", F.when(recheck >= 10_000, by_removed(recheck)),
+            "Many rows fail the recheck of an index.", dict(rows_removed_by_index_recheck=recheck)),
+        Rule("FilterEfficiency", "join_filter", F.when(join_removed >= 10_000, by_removed(join_removed)),
+            "A join's filter throws many rows away.", dict(rows_removed_by_join_filter=join_removed)),
+        Rule("IndexEfficiency", "heap_fetches", F.when((fetches >= 1000) & (kept.isNull() | (kept * loops == 0) | (fetches / (kept * loops) > 0.10)), F.when(fetches >= 100_000, "High").otherwise("Medium")),
+            "An index-only scan often goes to the table.", dict(heap_fetches=fetches, actual_rows=kept * loops, heap_fetch_ratio=F.when(kept * loops > 0, fetches / (kept * loops)))),
+        Rule("IndexEfficiency", "lossy_bitmap", F.when((lossy >= 64) & (lossy / (lossy + exact) > 0.05), "Medium"),
+            "A bitmap was too large to hold each row.", dict(heap_blocks_lossy=lossy, heap_blocks_exact=exact, lossy_fraction=lossy / (lossy + exact))),
+        Rule("Parallelization", "inefficient", F.when((planned > 0) & (launched > 0) & (launched / planned < 0.5), "Medium"),
+            "Few of the planned workers started.", dict(workers_planned=planned, workers_launched=launched, efficiency_ratio=launched / planned)),
     ]
 
 
-def node_findings(nodes: DataFrame, thresholds: Thresholds, work_mem_kb: int = 4096, analyzers: tuple[str, ...] | None = None) -> DataFrame:
-    """(plan_id, node_id, analyzer, rule, severity) of all node-local rules."""
+
+
+def node_findings(nodes: DataFrame, thresholds: Thresholds, work_mem_kb: int = 4096, analyzers: tuple[str, ...] | None = None, evidence: bool = False) -> DataFrame:
+    """(plan_id, node_id, analyzer, rule, severity) of all node-local rules; with `evidence` also a sentence, `text`, and `evidence`, a
+    map of the numbers that the finding rests on (those that are known)."""
     rules = [r for r in node_rules(thresholds, work_mem_kb) if analyzers is None or r.analyzer in analyzers]
-    fired = F.filter(F.array(*[F.struct(F.lit(r.analyzer).alias("analyzer"), F.lit(r.name).alias("rule"), r.severity.alias("severity")) for r in rules]), lambda x: x.severity.isNotNull())
+    fired = F.filter(F.array(*[_finding(r, evidence) for r in rules]), lambda x: x.severity.isNotNull())
     rows = n.children_estimates(nodes).select(n.PLAN, "node_id", F.explode(fired).alias("f"))
     return rows.select(n.PLAN, "node_id", "f.*")
 
 
+def _finding(rule: Rule, evidence: bool) -> Column:
+    own = [F.lit(rule.analyzer).alias("analyzer"), F.lit(rule.name).alias("rule"), rule.severity.alias("severity")]
+    if evidence:
+        numbers = [x for name, value in rule.evidence.items() for x in (F.lit(name), value.cast("double"))]
+        known = F.map_filter(F.create_map(*numbers), lambda _, v: v.isNotNull()) if numbers else F.expr("cast(map() as map<string,double>)")
+        own += [F.lit(rule.says).alias("text"), F.when(rule.severity.isNotNull(), known).alias("evidence")]
+    return F.struct(*own)
+
+
 def _counter(text: Column, group: str, key: str) -> Column:
     """A count such as read of `shared hit=8 read=2, temp written=1`; 0 if absent."""
     return F.coalesce(F.regexp_extract(text, rf"{group}(?: \w+=\d+)*? {key}=(\d+)", 1).try_cast("bigint"), F.lit(0))

@@ -60,7 +60,7 @@ def class_of(v: str, t=DEFAULT.rows) -> str:
 
 ROWS_CLASS, COST_CLASS = class_of("est_rows"), class_of("total_cost", DEFAULT.cost)
 _SEV = "(['Low','Medium','High','Critical'])[{0} + 1]"
-_MEM = """(((least(lr, rr)::double * least(lw, rw) + 24 * least(lr, rr)::double + 8 * greatest(1.5 * least(lr, rr)::double, 1024.0)) * 1.12
+MEMORY = """(((least(lr, rr)::double * least(lw, rw) + 24 * least(lr, rr)::double + 8 * greatest(1.5 * least(lr, rr)::double, 1024.0)) * 1.12
     + 1024 * greatest(least(lr, rr)::double / 10000, 1.0)) / 1024 * 1.1 / 4096)"""
 NODE_RULES = (
     ("RowEstimation", "excessive_rows", _SEV.format("r"), "r >= 1"),
@@ -69,7 +69,7 @@ NODE_RULES = (
     ("Scan", "index_scan", _SEV.format("greatest(r, c)"), "kind = 'IndexScan' and greatest(r, c) >= 2"),
     ("Scan", "bitmap_scan", _SEV.format("r"), "kind = 'BitmapHeapScan' and r >= 2"),
     ("Join", "nested_loop", _SEV.format("greatest(r, c)"), "kind = 'NestedLoop' and greatest(r, c) >= 2"),
-    ("Join", "hash_memory", f"case when {_MEM} > 20 then 'Critical' when {_MEM} > 5 then 'High' when {_MEM} > 2 then 'Medium' else 'Low' end", f"kind = 'HashJoin' and (r = 3 or (c >= 2 and est_rows > 1000000)) and {_MEM} > 1.2"),
+    ("Join", "hash_memory", f"case when {MEMORY} > 20 then 'Critical' when {MEMORY} > 5 then 'High' when {MEMORY} > 2 then 'Medium' else 'Low' end", f"kind = 'HashJoin' and (r = 3 or (c >= 2 and est_rows > 1000000)) and {MEMORY} > 1.2"),
     ("Join", "merge_join", _SEV.format("c"), "kind = 'MergeJoin' and c >= 2"),
     ("QueryPattern", "function_in_filter", "'Medium'", "flt like 'lower(%'"),
     ("QueryPattern", "wide_row", "'Low'", "width > 500"),

@@ -11,7 +11,7 @@ from ..operators import state as st
 from ..session import shared_folder
 from ..sources import export as ex
 from ..sources import growing
-from ..streaming import commits, tail
+from ..streaming import commits, recency, tail
 from .data import E, Registered, executions, table
 from .groups import G, HOURLY, SLO, SLOW, STATE, STATS
 from .lines import log_lines
@@ -121,12 +121,35 @@ def _followed(s, d, between=lambda store: None, checkpoint="a", rotate=True):
     return st.as_table(commits.states_of(s, f"{base}/store")).select("database", "calls", "total_ms", "min_ms", "max_ms", "slo_breaches", "first_seen", "last_seen")
 
 
+def _given_up(s, d, cap=10):
+    """The events as a stream of three batches in order of time; series of four shards by user, of which ten are kept each."""
+    base = shared_folder(s)
+    e = table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "user_id")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        a, b = (lo + (hi - lo) * x / 3 for x in (k, k + 1))
+        e.filter((F.col("ts") >= a) & ((F.col("ts") < b) | F.lit(k == 2))).coalesce(1).write.parquet(f"{base}/in/{k}")
+    stream = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    series = F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string"))
+    gone = recency.given_up_series(stream, series, cap, F.col("user_id") % 4)
+    gone.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out").select("shard", "series", F.col("last").cast("timestamp_ntz").alias("last"), F.col("given_up").cast("timestamp_ntz").alias("given_up"))
+
+
 def _followed_sql(which: str) -> str:
     return f"""with {E} select database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms, count(*) filter (duration_ms > {SLO}) as slo_breaches,
             min(date_trunc('millisecond', ts))::timestamp as first_seen, max(date_trunc('millisecond', ts))::timestamp as last_seen from e where {which} group by fingerprint, database"""
 
 
 QUERIES = {
+    "q2_22_32_given_up_series": Registered(
+        _given_up,
+        """with e as (select user_id % 4 as shard, event_type || '-' || user_id % 20 as series, ts, row_number() over (partition by user_id % 4 order by ts, event_id) as o from events),
+            t as (select *, lead(o) over w as later, coalesce(lag(o) over w, 0) as before from e window w as (partition by shard, series order by o)),
+            others as (select i.shard, i.series, i.ts as last, i.o, j.ts as given_up, row_number() over (partition by i.shard, i.o order by j.o) as k
+                from t i join t j on i.shard = j.shard and j.o > i.o and j.before < i.o and j.series <> i.series and (i.later is null or j.o < i.later))
+            select shard, series, last::timestamp as last, given_up::timestamp as given_up from others where k = 10""",
+    ),
     "q2_17_5_growing_logs": Registered(_followed, _followed_sql("true")),
     "q2_2_22_resumed_logs": Registered(lambda s, d: _followed(s, d, checkpoint="b"), _followed_sql("true")),
     "q2_2_29_reset_store": Registered(lambda s, d: _followed(s, d, between=lambda store: commits.reset(s, store)), _followed_sql("seq >= (select count(*) // 2 from e)")),

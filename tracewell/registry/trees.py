@@ -9,7 +9,7 @@ from ..operators.config import DEFAULT
 from ..plans import dictionary, patterns
 from .data import E, Registered
 from .lines import PREFIX, stamped
-from .plans import COST_CLASS, NODE_RULES, ROWS_CLASS, RULES, N, class_of, plan_nodes
+from .plans import COST_CLASS, MEMORY, NODE_RULES, ROWS_CLASS, RULES, N, class_of, plan_nodes
 
 
 def _is(kind: str, child: bool = False) -> patterns.Step:
@@ -50,7 +50,51 @@ _SEEN = f"""ch as (select fingerprint, database, count(*) as calls, max(duration
     cl as (select *, {ROWS_CLASS} as r, {COST_CLASS} as c, {class_of("est_rows")} as s from ch),
     f as ({" union all ".join(f"select fingerprint, database, '{a}' as analyzer, '{r}' as rule, {s} as severity from cl where {c}" for a, r, s, c in NODE_RULES)})"""
 
+#: The numbers behind each rule's findings, in SQL over a node with its rules' classes (ch) and its children (l.., r..).
+EVIDENCE = {
+    "excessive_rows": {"estimated_rows": "est_rows", "cost": "total_cost"},
+    "cartesian": {"result_rows": "est_rows", "left_input_rows": "lr", "right_input_rows": "rr", "cartesian_ratio": "est_rows / greatest(lr::double * rr::double, 1.0)"},
+    "seq_scan": {"row_count": "coalesce(actual_rows, est_rows)", "estimated_rows": "est_rows", "cost": "total_cost", "severity_threshold": f"({[*DEFAULT.rows]})[s]"},
+    "index_scan": {"row_count": "est_rows", "cost": "total_cost", "cost_threshold": f"({[*DEFAULT.cost]})[greatest(r, c)]"},
+    "bitmap_scan": {"row_count": "est_rows", "cost": "total_cost", "severity_threshold": f"({[*DEFAULT.rows]})[r]"},
+    "nested_loop": {"result_rows": "est_rows", "cost": "total_cost", "left_input_rows": "coalesce(ll, 0)", "right_input_rows": "coalesce(rl, 0)"},
+    "hash_memory": {
+        "result_rows": "est_rows", "cost": "total_cost", "left_input_rows": "coalesce(ll, 0)", "right_input_rows": "coalesce(rl, 0)", "left_width_bytes": "coalesce(lwidth, 100)", "right_width_bytes": "coalesce(rwidth, 100)",
+        "estimated_memory_kb": f"{MEMORY} * 4096", "work_mem_kb": "4096", "memory_pressure_ratio": MEMORY,
+    },
+    "merge_join": {"cost": "total_cost", "estimated_rows": "est_rows"},
+    "wide_row": {"row_width_bytes": "width"},
+    "high": {"startup_cost": "startup_cost", "total_cost": "total_cost", "startup_ratio": "startup_cost / total_cost"},
+    "dominant": {"startup_cost": "startup_cost", "total_cost": "total_cost", "startup_percentage": "startup_cost / total_cost * 100"},
+    "external_sort": {"startup_cost": "startup_cost"},
+    "materialize": {"startup_cost": "startup_cost"},
+    "missing_index": {"estimated_rows": "est_rows"},
+    "large_index_scan": {"estimated_rows": "est_rows"},
+    "large_bitmap": {"estimated_rows": "est_rows"},
+    "disk_sort": {"sort_space_used_kb": "space", "work_mem_kb": "4096"},
+    "hash_batches": {"batches": "batches", "work_mem_kb": "4096"},
+    "wasteful_filter": {"rows_removed": "removed", "rows_kept": "actual_rows", "selectivity": "actual_rows / (actual_rows + removed)::double"},
+    "heap_fetches": {"heap_fetches": "fetches", "actual_rows": "actual_rows", "heap_fetch_ratio": "fetches / nullif(actual_rows, 0)::double"},
+}
+
+
+def _evidence_sql() -> str:
+    parts = []
+    for analyzer, rule, _, condition in NODE_RULES:
+        for name, value in EVIDENCE.get(rule, {}).items():
+            parts.append(f"select plan_id, node_id, '{analyzer}' as analyzer, '{rule}' as rule, '{name}' as name, round(({value})::double, 4) as value from x where {condition} and ({value}) is not null")
+    return f"""with {RULES}, x as (select ch.*, l.est_rows as ll, l.width as lwidth, q.est_rows as rl, q.width as rwidth from ch
+        left join n l on l.plan_id = ch.plan_id and l.node_id = 2 * ch.node_id left join n q on q.plan_id = ch.plan_id and q.node_id = 2 * ch.node_id + 1)
+        {" union all ".join(parts)}"""
+
+
+def _evidence(s, d):
+    found = rules.node_findings(plan_nodes(s, d), DEFAULT, evidence=True)
+    return found.select("plan_id", "node_id", "analyzer", "rule", F.explode("evidence").alias("name", "value")).withColumn("value", F.round("value", 4))
+
+
 QUERIES = {
+    "q2_11_finding_evidence": Registered(_evidence, _evidence_sql()),
     "q2_18_8_plan_pattern": Registered(
         lambda s, d: _matches(s, d, _is("NestedLoop"), _category("join"), _is("SeqScan")),
         f"""with {N} select a.plan_id, a.node_id as step0, b.node_id as step1, c.node_id as step2 from n a join n b on {_ABOVE.format(x="a", y="b")} join n c on {_ABOVE.format(x="b", y="c")}
