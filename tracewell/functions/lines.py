@@ -87,6 +87,11 @@ def plan_level(line: Column | str) -> Column:
     return F.floor(F.length(F.regexp_extract(line, r"^ *", 0)) / 2).cast("int")
 
 
+def plan_text_of(indents: Column | str, contents: Column | str) -> Column:
+    """The text of a plan from arrays of its lines' indents in characters and contents."""
+    return F.array_join(F.zip_with(indents, contents, lambda n, c: F.concat(F.repeat(F.lit(" "), n), c)), "\n")
+
+
 def cost_tuple(line: Column | str) -> Column:
     """struct of startup and total cost, rows and width; null if the line has no cost."""
     part = lambda i, kind: F.regexp_extract(line, COST, i).try_cast(kind)

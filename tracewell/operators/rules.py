@@ -253,3 +253,10 @@ def top_findings(findings: DataFrame, k: int = 5) -> DataFrame:
     """The k gravest findings of each plan; equals by node, analyzer and rule."""
     w = Window.partitionBy(n.PLAN).orderBy(F.desc(rank(F.col("severity"))), F.asc_nulls_first("node_id"), "analyzer", "rule")
     return findings.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def insights(findings: DataFrame, k: int = 3) -> DataFrame:
+    """(plan, insights): the sentences or names of the k gravest findings of each plan, in order."""
+    says = F.col("text") if "text" in findings.columns else F.concat_ws(" ", "analyzer", "rule")
+    top = top_findings(findings, k).withColumn("_says", says)
+    return top.groupBy(n.PLAN).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_says"))), lambda x: x._says).alias("insights"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .groups import GROUP, LATENCY_BOUNDS, latency_bucket
@@ -10,8 +10,8 @@ from .groups import GROUP, LATENCY_BOUNDS, latency_bucket
 _ADDED = ("calls", "total_ms", "sum_sq_ms", "slo_breaches")
 
 
-def state_rows(executions: DataFrame, slo_threshold_ms: float = 0.0, batch: int = 0) -> DataFrame:
-    """What one batch adds to the store, for each group; one pass over the executions."""
+def state_rows(executions: DataFrame, slo_threshold_ms: float = 0.0, batch: int = 0, also: tuple[Column, ...] = ()) -> DataFrame:
+    """What one batch adds to the store, for each group, and further aggregates; one pass over the executions."""
     d, bucket = F.col("duration_ms"), latency_bucket("duration_ms")
     breach = d > slo_threshold_ms if slo_threshold_ms > 0 else F.lit(False)
     return executions.groupBy(*GROUP).agg(
@@ -19,6 +19,7 @@ def state_rows(executions: DataFrame, slo_threshold_ms: float = 0.0, batch: int
         F.min(d).alias("min_ms"), F.max(d).alias("max_ms"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.max(F.struct(d.alias("ms"), F.lit(batch).alias("batch"), F.col("seq").alias("seq"))).alias("representative"),
         F.count_if(breach).alias("slo_breaches"), F.array(*[F.count_if(bucket == i) for i in range(len(LATENCY_BOUNDS) + 1)]).alias("latency_buckets"),
+        *also,
     )
 
 

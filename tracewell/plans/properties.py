@@ -13,6 +13,45 @@ def prop(name: str) -> Column:
     return F.try_element_at("props", F.lit(name))
 
 
+# Names of properties in JSON plans and what text plans call them.
+CANONICAL = {
+    "Exact Heap Blocks": "Heap Blocks: exact", "Lossy Heap Blocks": "Heap Blocks: lossy", "Hash Batches": "Batches", "Original Hash Batches": "Original Batches", "Hash Buckets": "Buckets", "Original Hash Buckets": "Original Buckets",
+}
+# Properties that are whole numbers, that are true or false, and that are texts; others are the user's own.
+_WHOLE = ("Workers Planned", "Workers Launched", "Rows Removed by Filter", "Rows Removed by Index Recheck", "Rows Removed by Join Filter", "Heap Blocks: exact", "Heap Blocks: lossy", "Heap Fetches", "Loops", "Batches")
+_FLAGS = ("Inner Unique",)
+_TEXTS = (
+    "Output", "Index Cond", "Filter", "Join Filter", "Recheck Cond", "Hash Cond", "Merge Cond", "Sort Key", "Group Key", "Relation Name", "Index Name", "Alias", "Cache Key", "Cache Mode", "Sort Method", "Sort Space Used", "Function",
+    "Subplan Name", "One-Time Filter", "Peak Memory Usage", "Sort Space Type",
+)
+
+
+def canonical(key: Column) -> Column:
+    """A property's name, whichever form of plan it comes from."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair]), key), key)
+
+
+def set_property(props: Column, key: str, value: Column) -> Column:
+    """Properties with one set, under its canonical name, in place of any of that name; a null value leaves them as they are."""
+    name = CANONICAL.get(key, key)
+    others = F.map_filter(props, lambda k, _: canonical(k) != name)
+    return F.when(value.isNull(), props).otherwise(F.map_concat(others, F.create_map(F.lit(name), value)))
+
+
+def typed_properties(nodes, *keys: str):
+    """(keys, key, kind, number, flag, text): each property of the nodes under its canonical name and with its type.
+
+    `kind` is whole, flag, text or custom; a number or flag that can't be read as one is custom, as are unknown names. `text` is
+    the value as written.
+    """
+    rows = nodes.select(*keys, F.explode(F.map_entries("props")).alias("p")).select(*keys, canonical(F.col("p.key")).alias("key"), F.col("p.value").alias("text"))
+    number = F.when(F.col("key").isin(*_WHOLE) & F.col("text").rlike(r"^\+?\d+$"), F.col("text").try_cast("bigint"))
+    word = F.lower("text")
+    flag = F.when(F.col("key").isin(*_FLAGS), F.when(word.isin("true", "t", "yes", "1"), True).when(word.isin("false", "f", "no", "0"), False))
+    kind = F.when(number.isNotNull(), "whole").when(flag.isNotNull(), "flag").when(F.col("key").isin(*_TEXTS), "text").otherwise("custom")
+    return rows.select(*keys, "key", kind.alias("kind"), number.alias("number"), flag.alias("flag"), "text")
+
+
 def sort_keys(text: Column) -> Column:
     """array<struct<expression, direction>> of a Sort Key; the direction is null where none is written."""
     def one(key: Column) -> Column:

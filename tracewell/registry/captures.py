@@ -46,8 +46,20 @@ _KINDS = (
 )
 
 
-def _families(s, d):
-    return ex.query_families(executions(s, d))
+def _otlp(s, d):
+    """Points read back from their JSON: name, whether they are counters, labels and value."""
+    points = backends.otlp_points(ex.query_families(executions(s, d).withColumn("duration_ms", F.col("slow_ms"))))
+    kind = "array<struct<attributes:array<struct<key:string,value:struct<stringValue:string>>>,asDouble:double>>"
+    x = points.select(F.from_json("json", f"struct<name:string,sum:struct<dataPoints:{kind},isMonotonic:boolean>,gauge:struct<dataPoints:{kind}>>").alias("j"))
+    p = F.coalesce("j.sum.dataPoints", "j.gauge.dataPoints")[0]
+    labels = F.concat(F.lit("{"), F.array_join(F.transform(p["attributes"], lambda a: F.concat(a["key"], F.lit('="'), a["value"]["stringValue"], F.lit('"'))), ","), F.lit("}"))
+    return x.select(F.col("j.name").alias("name"), F.coalesce("j.sum.isMonotonic", F.lit(False)).alias("monotonic"), labels.alias("labels"), F.round(p["asDouble"], 4).alias("value"))
+
+
+def _otlp_sql():
+    from .sinks import QUERIES as sinks
+
+    return f"select family as name, regexp_matches(family, '_(total|count|sum|bucket)$') as monotonic, labels, value from ({sinks['q2_23_query_families'].sql})"
 
 
 QUERIES = {
@@ -69,6 +81,11 @@ QUERIES = {
         lambda s, d: captures.wanted(_captures(s, d), 50.0, 1.0).groupBy("database").agg(F.count("*").alias("n")).unionByName(captures.wanted(_captures(s, d), 50.0, 0.0).groupBy("database").agg(F.count("*").alias("n"))),
         f"with {E} select database, count(*) as n from e where duration_ms >= 50 group by database",
     ),
+    "q2_1_33_sampled": Registered(
+        lambda s, d: _captures(s, d).filter(captures.sampled(0.3, "query_text", "query_id")).groupBy("database", "query_id").agg(F.count("*").alias("n"), F.max("query_text").alias("last")),
+        f"""with {_C}, t as (select database, query_id::bigint as query_id, 'select * from t_' || fingerprint || ' where id = ' || seq as q from c)
+            select database, query_id, count(*) as n, max(q) as last from t where ('0x' || substr(md5(q || '|' || query_id), 1, 8))::bigint / 4294967296.0 < 0.3 group by database, query_id""",
+    ),
     "q2_8_19_overhead": Registered(
         lambda s, d: captures.overhead(_captures(s, d), "overhead_ns", "database"),
         f"with {E} select database, count(*) as captures, round(avg(seq % 900 + 100), 6) as mean_ns, min(seq % 900 + 100) as min_ns, max(seq % 900 + 100) as max_ns, round(stddev_pop(seq % 900 + 100), 6) as stddev_ns from e group by database",
@@ -84,13 +101,5 @@ QUERIES = {
             case k when 4 then 'b = ' || id end as merge_condition, null::varchar as group_keys, case k when 5 then 'sum' end as functions, case k when 6 then 'a|b' || id end as sort_keys, case k when 6 then 'quicksort' end as sort_method,
             case k when 7 then 10::bigint end as limit_count, case k when 7 then 5::bigint end as limit_offset, case k when 8 then 't.' || id end as cache_key, case k when 8 then 'logical' end as cache_mode, case k when 9 then '7' end as subplan from o""",
     ),
-    "q2_2_12_otlp_points": Registered(
-        lambda s, d: backends.otlp_points(_families(s, d)).select(F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.sum.isMonotonic").alias("monotonic"), F.from_json("json", "struct<sum:struct<dataPoints:array<struct<attributes:array<struct<key:string>>>>>,gauge:struct<dataPoints:array<struct<attributes:array<struct<key:string>>>>>>").alias("j"))
-        .groupBy("name", "monotonic", F.array_join(F.coalesce("j.sum.dataPoints", "j.gauge.dataPoints")[0]["attributes"]["key"], ",").alias("keys")).agg(F.count("*").alias("points")),
-        f"""with {E}, n as (select count(distinct (fingerprint, database)) as n, count(distinct database) as d from e)
-            select 'tracewell_query_' || name as name, case when m then 'true' end as monotonic, keys, k * n as points from n, (values ('duration_seconds_sum', true, 'query_hash,database', 1), ('duration_seconds_count', true, 'query_hash,database', 1),
-                ('duration_seconds_bucket', true, 'query_hash,database,le', 10), ('executions_total', true, 'query_hash,database,status', 1), ('latency_cv', false, 'query_hash,database', 1), ('total_time_share_pct', false, 'query_hash,database', 1),
-                ('latency_p95_ms', false, 'query_hash,database', 1), ('latency_p99_ms', false, 'query_hash,database', 1), ('first_seen_seconds', false, 'query_hash,database', 1), ('last_seen_seconds', false, 'query_hash,database', 1)) v(name, m, keys, k)
-            union all select 'tracewell_slow_queries_total', 'true', 'database,threshold', 4 * d from n""",
-    ),
+    "q2_2_12_otlp_points": Registered(_otlp, _otlp_sql()),
 }

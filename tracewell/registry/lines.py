@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as ln
 from ..functions.prefix import parse_prefix
+from ..session import shared_folder
 from ..sources import logs
 from .data import E, Registered, executions
 
@@ -66,7 +67,30 @@ def mixed_log(s, d):
 
 _STAMP_MS = "date_trunc('millisecond', ts)::timestamp"
 
+def _compressed(s, d):
+    """The log in gzip members and bzip2 blocks, without names that say so, read in small ranges."""
+    base = shared_folder(s)
+    for k, codec in ((0, "gzip"), (1, "bzip2")):
+        rows = log_lines(s, d).filter(F.col("file").cast("int") % 2 == k).repartition(3, "file").sortWithinPartitions("file", "place")
+        rows.select("file", "value").write.partitionBy("file").option("compression", codec).mode("append").text(f"{base}/in")
+    found = logs.entries(logs.read_lines_by_content(s, f"{base}/in", chunk_bytes=5000), PREFIX)
+    return found.groupBy("database").agg(F.count("*").alias("calls"), F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double").alias("total_ms"))
+
+
+def _replanned(s, d):
+    """Plans put together again from their lines' indents and contents."""
+    rows = log_lines(s, d).withColumn("line", F.regexp_replace("value", "^\t", "")).filter(F.col("line").contains("(cost="))
+    lines = F.array_sort(F.collect_list(F.struct("place", ln.indent("line").alias("n"), F.ltrim("line").alias("c"))))
+    plans = rows.groupBy(F.floor(F.col("place") / 10).alias("seq")).agg(lines.alias("l"))
+    return plans.select("seq", ln.plan_text_of(F.col("l.n"), F.col("l.c")).alias("plan"))
+
+
 QUERIES = {
+    "q2_1_3_compressed_logs": Registered(_compressed, f"with {E} select database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms from e group by database"),
+    "q2_3_24_plan_lines": Registered(
+        lambda s, d: _replanned(s, d).select("seq", F.length("plan").alias("n"), F.substring_index("plan", "\n", -1).alias("last")),
+        f"with {E} select seq, cast(length('Limit  (cost=0.10..' || duration_ms || ' rows=10 width=8)') + 55 as integer) as n, '  ->  Seq Scan on t  (cost=0.00..1.00 rows=10 width=8)' as last from e",
+    ),
     "q2_3_1_split_log_line": Registered(
         lambda s, d: stamped(s, d).select("seq", F.concat("stamp", F.lit(" LOG: x")).alias("v")).select("seq", ln.timestamp_text("v").alias("stamp"), ln.message("v").alias("message")),
         f"""with {E}, t as (select *, list_value('UTC','PDT','+05:30','IST','-0330','XYZ','+02','CEST')[seq % 8 + 1] as token, list_value(0,-25200,19800,19800,-12600,0,7200,7200)[seq % 8 + 1] as o from e)

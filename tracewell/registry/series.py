@@ -67,10 +67,10 @@ QUERIES = {
             select fingerprint, rn, ts, case when y > x then 'Degradation' else 'Improvement' end as change_type, round(abs((y - x) / x), 6) as magnitude from j where abs((y - x) / x) > 0.2""",
     ),
     "q2_9_12_distribution": Registered(
-        lambda s, d: x.distribution(executions(s, d)).drop("p_value"),
+        lambda s, d: x.distribution(executions(s, d)),
         f"""with {E}, m as (select fingerprint, count(*)::double as n, avg(duration_ms) as a, stddev_samp(duration_ms) as sd, skewness(duration_ms) as g1, kurtosis(duration_ms) as g2 from e group by fingerprint),
             u as (select *, g1 * (n - 2) / sqrt(n * (n - 1)) as s1, (g2 * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1) as s2 from m)
-            select fingerprint, cast(n as bigint) as n, round(a, 6) as mean, round(sd, 6) as stddev, round(g1, 6) as skewness, round(g2, 6) as kurtosis, round(n / 6 * (s1 * s1 + s2 * s2 / 4), 4) as jarque_bera from u""",
+            select fingerprint, cast(n as bigint) as n, round(a, 6) as mean, round(sd, 6) as stddev, round(g1, 6) as skewness, round(g2, 6) as kurtosis, round(n / 6 * (s1 * s1 + s2 * s2 / 4), 4) as jarque_bera, round(exp(-n / 12 * (s1 * s1 + s2 * s2 / 4)), 6) as p_value from u""",
     ),
     "q2_9_16_correlation": Registered(
         lambda s, d: x.correlation(executions(s, d).withColumn("place", F.col("seq").cast("double")), "drift_ms", "place"),

@@ -116,8 +116,8 @@ QUERIES = {
         f"select o_orderkey as id, {_FORM} as normalized_query, o_orderkey % {len(FORMS)} <> {FORMS.index(None)} as successful from orders",
     ),
     "q2_7_6_fingerprint": Registered(
-        lambda s, d: habits(s, d).select("id", q.normalize_column("sql").alias("n")).filter(f"id % {len(HABITS)} in (0, 1, {FORMS.index(None)})").select("id", F.when(F.col("n.normalized_query") == FORMS[0], F.col("n.fingerprint")).alias("known"), F.length("n.fingerprint").alias("digits")),
-        f"select o_orderkey as id, case when o_orderkey % {len(HABITS)} = 0 then '1c00ca4a990103b5' end as known, 16::integer as digits from orders where o_orderkey % {len(HABITS)} in (0, 1, {FORMS.index(None)})",
+        lambda s, d: habits(s, d).select("id", q.normalize_column("sql").alias("n")).select("id", F.when(F.col("n.normalized_query") == FORMS[0], F.col("n.fingerprint")).alias("known"), F.length("n.fingerprint").alias("digits")),
+        f"select o_orderkey as id, case when o_orderkey % {len(HABITS)} in ({', '.join(str(k) for k, f in enumerate(FORMS) if f == FORMS[0])}) then '1c00ca4a990103b5' end as known, 16::integer as digits from orders",
     ),
     "q2_7_14_fold_by_fingerprint": Registered(
         lambda s, d: habits(s, d).withColumn("n", q.normalize_column("sql")).groupBy("n.fingerprint").agg(F.count("*").alias("calls"), F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("total")).drop("fingerprint"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import group_findings, rules
 from ..operators.config import DEFAULT
 from ..plans import dictionary, patterns
+from ..plans import properties as pr
 from .data import E, Registered
 from .lines import PREFIX, stamped
 from .plans import COST_CLASS, MEMORY, NODE_RULES, ROWS_CLASS, RULES, N, class_of, plan_nodes
@@ -93,7 +94,27 @@ def _evidence(s, d):
     return found.select("plan_id", "node_id", "analyzer", "rule", F.explode("evidence").alias("name", "value")).withColumn("value", F.round("value", 4))
 
 
+def _typed(s, d):
+    """Properties with one set in every other node under the name that JSON plans use."""
+    x = plan_nodes(s, d)
+    x = x.withColumn("props", pr.set_property(F.col("props"), "Hash Batches", F.when(F.col("node_id") % 2 == 0, F.when(F.col("node_id") % 3 == 0, "many").otherwise("3"))))
+    return pr.typed_properties(x, "plan_id", "node_id").select("plan_id", "node_id", "key", "kind", "number", "text")
+
+
 QUERIES = {
+    "q2_5_34_typed_properties": Registered(
+        _typed,
+        f"""with {N}, p as (select plan_id, node_id, unnest([{{'key': 'Filter', 'text': flt}}, {{'key': 'Rows Removed by Filter', 'text': removed::varchar}}, {{'key': 'Heap Fetches', 'text': fetches::varchar}},
+                {{'key': 'Sort Method', 'text': case when external then 'external merge' end}}, {{'key': 'Sort Space Used', 'text': space || 'kB'}},
+                {{'key': 'Batches', 'text': case when node_id % 6 = 0 then 'many' when node_id % 2 = 0 then '3' else batches::varchar end}}], recursive := true) from n),
+            k as (select *, case when key in ('Rows Removed by Filter', 'Heap Fetches', 'Batches') then try_cast(text as bigint) end as number from p where text is not null)
+            select plan_id, node_id, key, case when number is not null then 'whole' when key = 'Batches' then 'custom' else 'text' end as kind, number, text from k""",
+    ),
+    "q2_13_8_insights": Registered(
+        lambda s, d: rules.insights(rules.node_findings(plan_nodes(s, d), DEFAULT)).select("plan_id", F.array_join("insights", "|").alias("insights")),
+        f"""with {RULES}, o as (select *, analyzer || ' ' || rule as says, row_number() over (partition by plan_id order by list_position(['Critical', 'High', 'Medium', 'Low'], severity), node_id, analyzer, rule) as k from f)
+            select plan_id, string_agg(says, '|' order by k) as insights from o where k <= 3 group by plan_id""",
+    ),
     "q2_11_finding_evidence": Registered(_evidence, _evidence_sql()),
     "q2_18_8_plan_pattern": Registered(
         lambda s, d: _matches(s, d, _is("NestedLoop"), _category("join"), _is("SeqScan")),

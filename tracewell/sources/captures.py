@@ -5,7 +5,7 @@ A capture needs no log around it. Without a plan it still has its statement's no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import normalize_column
@@ -17,8 +17,11 @@ SCHEMA = "ts timestamp_ntz, duration_ms double, query_text string, plan_text str
 
 
 def sampled(rate: float, *of: Column | str) -> Column:
-    """Whether a row is in the sample of this rate: by a hash of `of`, so a rerun takes the same rows."""
-    return F.lit(True) if rate >= 1 else F.lit(False) if rate <= 0 else F.pmod(F.xxhash64(*of), F.lit(1 << 53)) / float(1 << 53) < rate
+    """Whether a row is in the sample of this rate: by a digest of `of`, so a rerun takes the same rows, and a larger rate all of a smaller one's."""
+    if rate <= 0 or rate >= 1:
+        return F.lit(rate >= 1)
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in of])), 1, 8), 16, 10)
+    return share.cast("double") / float(1 << 32) < rate
 
 
 def wanted(captures: DataFrame, min_duration_ms: float = 1.0, rate: float = 0.8, first_of_each: bool = False) -> DataFrame:
@@ -43,10 +46,12 @@ def captured_executions(captures: DataFrame) -> DataFrame:
 
 def aggregate_captures(captures: DataFrame, slo_threshold_ms: float = 0.0, batch: int = 0) -> DataFrame:
     """What captures add to the cumulative store, with the normal form of each group and its query id: the first that isn't 0."""
-    rows = captured_executions(captures)
-    rows = rows.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
-    ids = rows.groupBy("fingerprint").agg(F.min("normalized_query").alias("normalized_query"), F.coalesce(F.min_by("query_id", F.when(F.col("query_id") != 0, F.struct("ts", "query_id"))), F.lit(0)).alias("query_id"))
-    return state_rows(rows, slo_threshold_ms, batch).join(ids, "fingerprint")
+    rows = captured_executions(captures).withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
+    known = F.min(F.when(F.col("query_id") != 0, F.struct("ts", "query_id"))).alias("_id")
+    groups = state_rows(rows, slo_threshold_ms, batch, (F.min("normalized_query").alias("normalized_query"), known))
+    # a fingerprint has one normal form and, over all its databases, one query id
+    first = F.min("_id").over(Window.partitionBy("fingerprint"))
+    return groups.withColumn("query_id", F.coalesce(first["query_id"], F.lit(0))).drop("_id")
 
 
 def with_server_statistics(statements: DataFrame, server: DataFrame) -> DataFrame:

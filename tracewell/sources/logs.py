@@ -16,6 +16,7 @@ from ..functions.sqltext import format_column, normalize_column
 from ..operators.groups import group_stats
 from ..session import ship_package
 from .compressed import CompressedLogs
+from .growing import listed
 
 LINE_SCHEMA = "file string, block long, place long, value string"
 
@@ -42,6 +43,23 @@ def read_lines_by_content(spark: SparkSession, path: str | list[str], max_bytes:
     return found if errors else found.drop("error")
 
 
+def read_log_patterns(spark: SparkSession, patterns: list[str], **options) -> DataFrame:
+    """Lines of the files of several globs or folders, each with the `pattern` that it came from.
+
+    The pattern, not the file's name, is what metrics are labelled with: names are many. A pattern that no file matches is left
+    out, and a file that two patterns match counts for the first.
+    """
+    taken: set[str] = set()
+    found = None
+    for pattern in patterns:
+        own = [f.path for f in listed(pattern) if f.path not in taken]
+        taken.update(own)
+        if own:
+            rows = read_lines(spark, own, **options).withColumn("pattern", F.lit(pattern))
+            found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], LINE_SCHEMA + ", pattern string") if found is None else found
+
+
 def lines_of_text(spark: SparkSession, text: str, name: str = "text") -> DataFrame:
     """The lines of a string."""
     rows = text.split("\n")
