@@ -28,9 +28,10 @@ def sample_stddev(column: str) -> Column:
     return F.coalesce(F.stddev_samp(column), F.lit(0.0))
 
 
-def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representative: bool = False) -> DataFrame:
+def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representative: bool = False, counts: dict[str, Column] | None = None) -> DataFrame:
     """Calls, total, mean, sample deviation, extremes, exact interpolated percentiles and time range of each group; with
-    `representative` also the `seq` of its slowest execution, of equals the last.
+    `representative` also the `seq` of its slowest execution, of equals the last. `counts` are conditions on a duration `v`; each gives
+    a column of how many executions meet it.
 
     One scan: everything comes from the counts of distinct durations, gathered in bands of nearly equal ones (series.banded).
     The deviation is put together from the bands' own, so large means with small deviations keep their digits.
@@ -39,6 +40,8 @@ def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representati
     aggs, shown = quantile_aggregates(PERCENTILES, False)
     sums = F.sum(F.col("v").cast("decimal(18,2)") * F.col("c").cast("decimal(18,0)")).alias("s")
     also = ((F.min("ts").alias("t0"), F.min("t0").alias("t0")), (F.max("ts").alias("t1"), F.max("t1").alias("t1")), (None, sums), (None, F.min("v").alias("v0")), (None, F.max("v").alias("v1")))
+    counts = counts or {}
+    also += tuple((None, F.sum(F.when(met, F.col("c")).otherwise(0)).alias(name)) for name, met in counts.items())
     if representative:
         also += ((F.max("seq").alias("q"), F.max(F.struct("v", "q")).alias("r")),)
     placed = with_picks(with_places(banded(executions, d, by, also), by), PERCENTILES, False)
@@ -47,12 +50,13 @@ def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representati
     out = placed.groupBy(*by).agg(
         F.sum("c").alias("calls"), F.sum("s").cast("double").alias("total_ms"), F.min("v0").alias("min_ms"), F.max("v1").alias("max_ms"),
         F.sum(F.when(F.col("n") > 0, F.greatest(around, F.lit(0.0)))).alias("_m2"), F.max("total").alias("_n"),
-        F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"), *aggs, *([F.max("r").alias("_r")] if representative else []),
+        F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"), *aggs, *[F.sum(name).alias(name) for name in counts],
+        *([F.max("r").alias("_r")] if representative else []),
     )
     deviation = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).otherwise(0.0)
     quantiles = [F.round(q, 6).alias(f"p{round(p * 100)}_ms") for p, q in zip(PERCENTILES, shown, strict=True)]
     return out.select(
-        *by, "calls", "total_ms", "min_ms", "max_ms", F.round(deviation, 6).alias("stddev_ms"), "first_ts", "last_ts", F.round(F.col("total_ms") / F.col("calls"), 6).alias("mean_ms"), *quantiles, *([F.col("_r.q").alias("seq")] if representative else []),
+        *by, "calls", "total_ms", "min_ms", "max_ms", F.round(deviation, 6).alias("stddev_ms"), "first_ts", "last_ts", F.round(F.col("total_ms") / F.col("calls"), 6).alias("mean_ms"), *quantiles, *counts, *([F.col("_r.q").alias("seq")] if representative else []),
     )
 
 
@@ -93,6 +97,12 @@ def bucket_bound(i: Column) -> Column:
     return out.otherwise(float("inf"))
 
 
+def bucket_conditions(duration_ms: Column) -> list[Column]:
+    """For each bucket whether a duration falls into it."""
+    b = latency_bucket(duration_ms)
+    return [b == i for i in range(len(LATENCY_BOUNDS) + 1)]
+
+
 def cumulative_buckets(counts: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     """One row a bucket with its bound and the count up to it."""
     rows = counts.select(*by, F.posexplode("latency_buckets").alias("i", "n"))

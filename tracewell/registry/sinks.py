@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..operators import groups as g
 from ..operators import state as st
+from ..operators.config import Settings
 from ..session import shared_folder
 from ..sources import export as ex
 from ..sources import growing
-from ..streaming import commits, recency, tail
+from ..sources.backends import CompositeBackend, TableBackend, TextBackend
+from ..streaming import commits, recency, service, tail
 from .data import E, Registered, executions, table
-from .groups import G, HOURLY, SLO, SLOW, STATE, STATS
+from .groups import BOUNDS, B, G, HOURLY, SLO, SLOW, STATE, STATS
 from .lines import log_lines
 from .plans import N, plan_nodes
 
@@ -121,6 +123,27 @@ def _followed(s, d, between=lambda store: None, checkpoint="a", rotate=True):
     return st.as_table(commits.states_of(s, f"{base}/store")).select("database", "calls", "total_ms", "min_ms", "max_ms", "slo_breaches", "first_seen", "last_seen")
 
 
+SETTINGS = Settings(log_line_prefix="%m [%p] %u@%d ", include_databases=("db0", "db1"), exclude_query_patterns=("FROM click",), slo_threshold_ms=SLO, sample_rate=1.0, backends=("table", "text"), max_query_cardinality=7, retain_days=20, min_duration_ms=0.011)
+
+
+def _by_settings(s, d):
+    """The events' log followed once by SETTINGS, and what a backend holds of the store's families afterwards."""
+    base = shared_folder(s)
+    log_lines(s, d).repartition(4, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
+    service.follow(s, f"{base}/in", f"{base}/store", f"{base}/checkpoint", SETTINGS, once=True, flush=True).awaitTermination()
+    last = executions(s, d).agg(F.max("ts")).first()[0]
+    service.publish(service.exported(s, f"{base}/store", SETTINGS, F.lit(last)), SETTINGS, f"{base}/out")
+    return s.read.parquet(f"{base}/out/table").groupBy("family").agg(F.count("*").alias("series"), F.round(F.sum("value"), 4).alias("value"))
+
+
+def _backends(s, d):
+    """Families written to several backends, one of which can't be written to, and read back from another."""
+    base = shared_folder(s)
+    families = ex.query_families(executions(s, d).withColumn("duration_ms", F.col("slow_ms")))
+    CompositeBackend({"broken": TextBackend("nowhere://x"), "table": TableBackend(f"{base}/table")}).write(families)
+    return s.read.parquet(f"{base}/table").select("family", "labels", F.round("value", 4).alias("value"))
+
+
 def _given_up(s, d, cap=10):
     """The events as a stream of three batches in order of time; series of four shards by user, of which ten are kept each."""
     base = shared_folder(s)
@@ -142,6 +165,18 @@ def _followed_sql(which: str) -> str:
 
 
 QUERIES = {
+    "q2_24_settings": Registered(
+        _by_settings,
+        f"""with {E}, w as (select * from e where database in ('db0', 'db1') and fingerprint not like 'click%'), k as (select fingerprint, database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total, min(duration_ms) as lo,
+                max(duration_ms) as hi, max(date_trunc('millisecond', ts)) as z from w group by all),
+            s as (select * from (select * from k where z >= (select max(ts) from e) - interval 20 day order by z desc, fingerprint, database limit 7) where lo >= 0.011),
+            b as (select w.fingerprint, w.database, {B.format("duration_ms", BOUNDS)} as b from w join s using (fingerprint, database))
+            select 'tracewell_calls_total' as family, count(*) as series, sum(calls)::double as value from s
+            union all select 'tracewell_duration_seconds_bucket', 10 * (select count(*) from s), sum(10 - b)::double from b
+            union all select 'tracewell_duration_' || f || '_seconds', count(*), round(sum(round(v / 1000, 9)), 4) from (select unnest([{{'f': 'mean', 'v': round(total / calls, 6)}}, {{'f': 'min', 'v': lo}}, {{'f': 'max', 'v': hi}}], recursive := true) from s) group by f
+            union all select 'tracewell_duration_seconds_total', count(*), round(sum(round(total / 1000, 9)), 4) from s""",
+    ),
+    "q2_2_22_file_state": Registered(lambda s, d: tail.file_state(_checkpoints(s, d), "/log/5").select("path", "last_modified"), f"with {E} select '/log/5' as path, max(ts)::timestamp as last_modified from e where seq % 17 = 5"),
     "q2_22_32_given_up_series": Registered(
         _given_up,
         """with e as (select user_id % 4 as shard, event_type || '-' || user_id % 20 as series, ts, row_number() over (partition by user_id % 4 order by ts, event_id) as o from events),
@@ -221,3 +256,4 @@ QUERIES = {
     "q2_2_28_last_run": Registered(lambda s, d: tail.last_run(_checkpoints(s, d), F.current_timestamp()), f"with {E} select max(ts)::timestamp as last_run from e where seq % 17 <> 3"),
     "q2_17_11_stream_fold": Registered(_streamed, f"with {E}, {STATE} select * exclude (latency_buckets) from z"),
 }
+QUERIES["q2_2_13_backends"] = Registered(_backends, QUERIES["q2_23_query_families"].sql)

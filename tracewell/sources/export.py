@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import groups as g
+from ..session import stored
 
 VERSION = 3
 SAMPLE = 100
@@ -101,7 +102,10 @@ def query_families(executions: DataFrame, namespace: str = "tracewell") -> DataF
     """(family, labels, value) of each statement group: executions, the duration histogram with sum and count, variation,
     share of the total time, high percentiles, first and last time; and slow executions of each database and threshold."""
     own = {"query_hash": F.col("fingerprint"), "database": F.col("database")}
-    stats = g.derived(g.group_stats(executions))
+    v = F.col("v")
+    counts = {f"_b{i}": met for i, met in enumerate(g.bucket_conditions(v))} | {f"_s{i}": v >= 1000.0 * x for i, x in enumerate(SLOW_SECONDS)}
+    groups = stored(g.group_stats(executions, counts=counts))  # one row a group, read by each family
+    stats = g.derived(groups)
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     pairs = {
         "query_duration_seconds_sum": F.col("total_ms") / 1000, "query_duration_seconds_count": F.col("calls"), "query_latency_cv": F.col("cv"), "query_total_time_share_pct": F.col("share_pct"),
@@ -110,9 +114,10 @@ def query_families(executions: DataFrame, namespace: str = "tracewell") -> DataF
     rows = stats.select("calls", *own.values(), F.explode(F.array(*[F.struct(F.lit(f"{namespace}_{n}").alias("family"), c.cast("double").alias("value")) for n, c in pairs.items()])).alias("v"))
     out = rows.select("v.family", _labels(**own).alias("labels"), "v.value")
     out = out.unionByName(stats.select(F.lit(f"{namespace}_query_executions_total").alias("family"), _labels(**own, status=F.lit("success")).alias("labels"), F.col("calls").cast("double").alias("value")))
-    buckets = g.cumulative_buckets(g.bucket_counts(executions))
+    buckets = g.cumulative_buckets(groups.withColumn("latency_buckets", F.array(*[F.col(c) for c in counts if c.startswith("_b")])))
     out = out.unionByName(buckets.select(F.lit(f"{namespace}_query_duration_seconds_bucket").alias("family"), _labels(**own, le=_bound(F.col("le"))).alias("labels"), F.col("count").cast("double").alias("value")))
-    slow = g.slow_counts(executions, tuple(1000 * x for x in SLOW_SECONDS), ("database",))
+    each = F.array(*[F.struct(F.lit(1000.0 * x).alias("threshold_ms"), F.col(f"_s{i}").alias("n")) for i, x in enumerate(SLOW_SECONDS)])
+    slow = groups.select("database", F.explode(each).alias("r")).groupBy("database", "r.threshold_ms").agg(F.sum("r.n").alias("slow_calls"))
     threshold = F.concat(_bound(F.col("threshold_ms") / 1000), F.lit("s"))
     return out.unionByName(slow.select(F.lit(f"{namespace}_slow_queries_total").alias("family"), _labels(database=F.col("database"), threshold=threshold).alias("labels"), F.col("slow_calls").cast("double").alias("value")))
 

@@ -73,6 +73,17 @@ def limit_line_bytes(lines: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return lines.withColumn("value", F.when(F.octet_length("value") > max_bytes, F.decode(F.substring(F.encode("value", "UTF-8"), 1, max_bytes), "UTF-8")).otherwise(F.col("value")))
 
 
+def limit_lines(texts: DataFrame, max_line_bytes: int = 0, max_entry_bytes: int = 0) -> DataFrame:
+    """Entries (file, entry, l) with lines cut at a number of bytes, and without the lines beyond a number of bytes of all (0: none)."""
+    if max_line_bytes:
+        short = lambda x: F.when(F.octet_length(x) > max_line_bytes, F.decode(F.substring(F.encode(x, "UTF-8"), 1, max_line_bytes), "UTF-8")).otherwise(x)
+        texts = texts.withColumn("l", F.transform("l", short))
+    if max_entry_bytes:
+        upto = F.aggregate("l", F.struct(F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("n")), lambda a, x: F.struct((a.b + F.octet_length(x) + 1).alias("b"), (a.n + F.when(a.b + F.octet_length(x) + 1 <= max_entry_bytes, 1).otherwise(0)).alias("n")), lambda a: a.n)
+        texts = texts.withColumn("l", F.slice("l", 1, upto))
+    return texts
+
+
 def number_entries(lines: DataFrame) -> DataFrame:
     """lines with `entry`: how many timestamped lines their file has up to them (0: before the first)."""
     rows = lines.withColumn("_s", ln.is_line_start("value").cast("int"))

@@ -8,6 +8,7 @@ up to the last entry header; what is held back is read next time.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -145,13 +146,14 @@ def fold_logs(spark: SparkSession, path: str, store: str, checkpoint: str, log_l
 
 def follow_logs(
     spark: SparkSession, path: str, store: str, checkpoint: str, log_line_prefix: str = DEFAULT, slo_threshold_ms: float = 0.0, every: str | None = None, flush: bool = False,
-    idle_seconds: float | None = None, chunk_bytes: int = 32 << 20, **options,
+    idle_seconds: float | None = None, chunk_bytes: int = 32 << 20, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, max_entry_bytes: int = 0, max_line_bytes: int = 0, **options,
 ) -> StreamingQuery:
     """Runs logs that are still being written into a store (streaming.commits), each entry once it is complete.
 
     A batch's states and the places in its files become visible together, and a batch that is replayed changes nothing. A
     new checkpoint over an existing store goes on where the store's files are. Once over what is there, or, with `every` (such
     as "30 seconds"), again and again; `flush` takes the last entries as complete, `idle_seconds` those of files left alone so long.
+    `keep` filters the executions; lines and entries are cut at max_line_bytes and max_entry_bytes (0: not).
     """
     start = None if commits.has_state(spark, checkpoint) else commits.offsets_json(commits.files_of(spark, store))
     pieces = assembly.growing_pieces(spark, path, chunkBytes=chunk_bytes, flush=flush, idleSeconds=idle_seconds, startingOffsets=start)
@@ -162,8 +164,9 @@ def follow_logs(
             return
         # entries are put together once; all else reads what is stored
         kept = commits.stored(batch, store)
-        found = logs.parsed_entries(kept.filter("l is not null").select("file", "entry", "l"), log_line_prefix, **options)
-        commits.fold(spark, store, key, st.state_rows(logs.executions_of(found), slo_threshold_ms, batch_id), assembly.file_rows(kept))
+        texts = logs.limit_lines(kept.filter("l is not null").select("file", "entry", "l"), max_line_bytes, max_entry_bytes)
+        rows = keep(logs.executions_of(logs.parsed_entries(texts, log_line_prefix, **options)))
+        commits.fold(spark, store, key, st.state_rows(rows, slo_threshold_ms, batch_id), assembly.file_rows(kept))
         commits.drop(kept)
 
     writer = assembly.assembled_stream(pieces).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
