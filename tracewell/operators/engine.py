@@ -43,6 +43,7 @@ class Engine:
     def __init__(self) -> None:
         self.analyzers: dict[str, Analyzer | None] = {}  # None: of the default set
         self.thresholds, self.work_mem_kb = DEFAULT, 4096
+        self.own: dict[str, Thresholds] = {}  # of analyzers that have some of their own
 
     @classmethod
     def default(cls, thresholds: Thresholds = DEFAULT, work_mem_kb: int = 4096) -> Engine:
@@ -57,10 +58,22 @@ class Engine:
         """Adds an analyzer, or replaces the one of this name."""
         self.analyzers[name] = analyzer
 
+    def configure(self, name: str, thresholds: Thresholds | None) -> Thresholds:
+        """Gives a default analyzer thresholds of its own (None: the engine's again); returns those it has now."""
+        if self.analyzers.get(name, name) is not None or name not in NODE_ANALYZERS:
+            raise ValueError(f"no analyzer with thresholds: {name!r}")
+        if thresholds is None:
+            self.own.pop(name, None)
+        else:
+            self.own[name] = thresholds
+        return self.own.get(name, self.thresholds)
+
     def _defaults(self, nodes: DataFrame, names: list[str]) -> list[DataFrame]:
         """Findings of default analyzers: one pass over the nodes and one over the plans."""
         of_nodes, of_plans = [n for n in names if n in NODE_ANALYZERS], [n for n in names if n in PLAN_ANALYZERS]
-        out = [rules.node_findings(nodes, self.thresholds, self.work_mem_kb, tuple(of_nodes))] if of_nodes else []
+        shared = [x for x in of_nodes if x not in self.own]
+        out = [rules.node_findings(nodes, self.thresholds, self.work_mem_kb, tuple(shared))] if shared else []
+        out += [rules.node_findings(nodes, self.own[x], self.work_mem_kb, (x,)) for x in of_nodes if x in self.own]
         if of_plans:
             out.append(rules.plan_findings(nodes).filter(F.col("analyzer").isin(of_plans)))
         return [x.select(*COLUMNS) for x in out]

@@ -40,6 +40,7 @@ def typed(nodes: DataFrame) -> DataFrame:
         "hash_condition": _when(("HashJoin",), prop("Hash Cond")), "merge_condition": _when(("MergeJoin",), prop("Merge Cond")),
         "group_keys": _when(grouped, group_keys(prop("Group Key"))), "functions": _when(aggregates, aggregate_functions(prop("Output"))),
         "hash_batches": _when(("HashAggregate",), F.coalesce(_number("Batches"), _number("Hash Batches"))),
+        "hash_buckets": _when(("Hash",), F.coalesce(_number("Buckets"), _number("Hash Buckets"))),
         "sort_keys": _when(("Sort",), sort_keys(prop("Sort Key"))), "sort_method": _when(("Sort",), prop("Sort Method")),
         "limit_count": _when(("Limit",), _from_line(r"(?i)limit\s+(\d+)").try_cast("bigint")), "limit_offset": _when(("Limit",), _from_line(r"(?i)offset\s+(\d+)").try_cast("bigint")),
         "cache_key": _when(("Memoize",), prop("Cache Key")), "cache_mode": _when(("Memoize",), F.coalesce(prop("Cache Mode"), _from_line(r"Cache Mode: (\w+)"))),

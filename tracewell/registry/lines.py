@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import lines as ln
 from ..functions.prefix import parse_prefix
 from ..session import shared_folder
-from ..sources import logs
-from .data import E, Registered, executions
+from ..sources import logs, ranges
+from ..sources.growing import GrowingReader, file_system, listed
+from .data import E, Registered, executions, table
 
 PREFIX = "%m [%p] %u@%d "
 TOKENS = ("UTC", "PDT", "+05:30", "IST", "-0330", "XYZ", "+02", "CEST")
@@ -85,7 +88,35 @@ def _replanned(s, d):
     return plans.select("seq", ln.plan_text_of(F.col("l.n"), F.col("l.c")).alias("plan"))
 
 
+def _ranges(s, d):
+    """The log as one file, read in two ranges of bytes that are cut anywhere: lines come once, entries are whole if both are read."""
+    base = shared_folder(s)
+    mixed_log(s, d).repartition(1).sortWithinPartitions("file", "block", "place").select("value").write.text(f"{base}/in")
+    found = next(f for f in listed(f"{base}/in") if "/part-" in f.path)
+    # a range begins where a line does, here within an entry
+    cut = GrowingReader._last_line_end(replace(found, size=found.size * 2 // 5), file_system(found.path)[0], 0)
+    ranges.register(s)
+    one, two = (s.read.format("logrange").options(path=found.path, start=a, end=b, blockBytes=20_000).load() for a, b in ((0, cut), (cut, found.size)))
+    both = one.unionByName(two)
+    return logs.log_groups(both, PREFIX, without_plan=True).select("normalized_query", "database", "calls", "max_ms", "p95_ms")
+
+
 QUERIES = {
+    "q2_1_13_ranges_to_groups": Registered(
+        _ranges, f"with {E} select 'SELECT * FROM ' || fingerprint || ' WHERE id = $1' as normalized_query, database, count(*) as calls, max(duration_ms) as max_ms, round(quantile_cont(duration_ms, 0.95), 6) as p95_ms from e group by fingerprint, database"
+    ),
+    "q2_1_18_zone_overrides": Registered(
+        lambda s, d: stamped(s, d).select("seq", ln.utc_timestamp("stamp", {"XYZ": 3600}).alias("ts"), ln.utc_timestamp("stamp", None, -7200).alias("fixed")),
+        f"""with {E} select seq, {{0}} - case when seq % 8 = 5 then interval 1 hour else interval 0 hour end as ts, {{0}} + case when seq % 8 in (2, 4, 6) then 0 else list_value(0,-25200,19800,19800,-12600,0,7200,7200)[seq % 8 + 1] + 7200 end * interval 1 second as fixed from e""".format("date_trunc('millisecond', ts)::timestamp"),
+    ),
+    "q2_3_8_leading_space": Registered(
+        lambda s, d: executions(s, d).select("seq", F.concat(F.repeat(F.lit(" "), (F.col("seq") % 7).cast("int")), F.when(F.col("seq") % 3 == 0, "\t").otherwise(""), F.lit("x y")).alias("v")).select("seq", ln.indent("v").alias("n")),
+        f"with {E} select seq, cast(seq % 7 + (seq % 3 = 0)::integer as integer) as n from e",
+    ),
+    "q2_3_31_plan_format": Registered(
+        lambda s, d: table(s, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, F.substring("props", 1, 4)).when(F.col("event_id") % 4 == 1, F.concat(F.lit("  ["), "props", F.lit("]"))).when(F.col("event_id") % 4 == 2, F.lit("Seq Scan {")).otherwise(F.col("props")).alias("v")).select("seq", ln.plan_format("v").alias("form"), ln.looks_like_json("v").alias("begins")),
+        "select event_id as seq, case when event_id % 2 = 1 then 'json' else 'text' end as form, event_id % 4 <> 2 as begins from events",
+    ),
     "q2_1_3_compressed_logs": Registered(_compressed, f"with {E} select database, count(*) as calls, cast(sum(cast(duration_ms as decimal(18,2))) as double) as total_ms from e group by database"),
     "q2_3_24_plan_lines": Registered(
         lambda s, d: _replanned(s, d).select("seq", F.length("plan").alias("n"), F.substring_index("plan", "\n", -1).alias("last")),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import group_findings, rules
-from ..operators.config import DEFAULT
+from ..operators import engine, group_findings, rules
+from ..operators.config import DEFAULT, Thresholds
 from ..plans import dictionary, patterns
+from ..plans import nodes as n
 from ..plans import properties as pr
 from .data import E, Registered
 from .lines import PREFIX, stamped
-from .plans import COST_CLASS, MEMORY, NODE_RULES, ROWS_CLASS, RULES, N, class_of, plan_nodes
+from .plans import COST_CLASS, MEMORY, NODE_RULES, PLAN_RULES, ROWS_CLASS, RULES, N, class_of, plan_nodes
 
 
 def _is(kind: str, child: bool = False) -> patterns.Step:
@@ -101,7 +102,71 @@ def _typed(s, d):
     return pr.typed_properties(x, "plan_id", "node_id").select("plan_id", "node_id", "key", "kind", "number", "text")
 
 
+_RARE = {
+    "Operation": ("'Unique'", "node_id % 2 = 0"), "Index Cond": ("'a = 1'", "true"), "Rows Removed by Index Recheck": ("removed * 3", "true"), "Rows Removed by Join Filter": ("removed * 5", "node_id % 3 = 0"),
+    "Exact Heap Blocks": ("width", "true"), "Lossy Heap Blocks": ("width / 2", "node_id % 2 = 1"), "Workers Planned": ("4", "true"), "Workers Launched": ("node_id % 4", "true"),
+}
+
+
+def _rare(s, d):
+    """Nodes with properties that rules look for which the other queries' nodes don't have."""
+    x = plan_nodes(s, d).withColumn("removed", F.try_element_at("props", F.lit("Rows Removed by Filter")).cast("bigint"))
+    props = F.map_filter(F.create_map(*[c for name, (value, where) in _RARE.items() for c in (F.lit(name), F.expr(f"case when {where} then cast(cast({value} as {'string' if value.startswith(chr(39)) else 'bigint'}) as string) end"))]), lambda _, v: v.isNotNull())
+    found = rules.node_findings(x.withColumn("props", props), DEFAULT)
+    return found.filter(F.col("rule").isin("distinct", "recheck", "join_filter", "lossy_bitmap", "inefficient"))
+
+
+def _all(s, d):
+    found = rules.all_findings(plan_nodes(s, d), DEFAULT)
+    return found.groupBy("analyzer", "rule", "severity").agg(F.count("*").alias("findings"), F.countDistinct("plan_id").alias("plans"))
+
+
+_STRICT = Thresholds(rows=(1_000, 10_000, 100_000), cost=DEFAULT.cost)
+
+
+def _engine(s, d):
+    """The default analyzers, one of them with its own thresholds, and a user's."""
+    e = engine.Engine.default()
+    e.configure("Scan", _STRICT)
+    own = lambda x: x.filter("width >= 500").select("plan_id", "node_id", F.lit("Mine").alias("analyzer"), F.lit("wide").alias("rule"), F.lit("Low").alias("severity"))
+    e.add("Mine", own)
+    return e.run(plan_nodes(s, d), only=lambda name: name in ("Scan", "Join", "Mine")).findings
+
+
+_STRICT_SEQ = class_of("coalesce(actual_rows, est_rows)", _STRICT.rows)
+_STRICT_ROWS = class_of("est_rows", _STRICT.rows)
+_LEVEL = "(['Low','Medium','High','Critical'])[{0} + 1]"
+
 QUERIES = {
+    "q2_11_rare_findings": Registered(
+        _rare,
+        f"""with {N} select plan_id, node_id, 'QueryPattern' as analyzer, 'distinct' as rule, 'Low' as severity from n where node_id % 2 = 0
+            union all select plan_id, node_id, 'FilterEfficiency', 'recheck', case when removed * 3 >= 1000000 then 'Critical' when removed * 3 >= 100000 then 'High' else 'Medium' end from n where removed * 3 >= 10000
+            union all select plan_id, node_id, 'FilterEfficiency', 'join_filter', case when removed * 5 >= 1000000 then 'Critical' when removed * 5 >= 100000 then 'High' else 'Medium' end from n where node_id % 3 = 0 and removed * 5 >= 10000
+            union all select plan_id, node_id, 'IndexEfficiency', 'lossy_bitmap', 'Medium' from n where node_id % 2 = 1 and width // 2 >= 64
+            union all select plan_id, node_id, 'Parallelization', 'inefficient', 'Medium' from n where node_id % 4 = 1""",
+    ),
+    "q2_8_26_all_findings": Registered(
+        _all,
+        f"""with {RULES}, {PLAN_RULES.removeprefix(N).lstrip(", ")}, z as (select plan_id, analyzer, rule, severity from f union all select plan_id, analyzer, rule, severity from g)
+            select analyzer, rule, severity, count(*) as findings, count(distinct plan_id) as plans from z group by all""",
+    ),
+    "q2_18_2_configured_engine": Registered(
+        _engine,
+        f"""with {RULES}, t as (select *, {_STRICT_SEQ} as q, {_STRICT_ROWS} as w from ch)
+            select * from f where analyzer = 'Join' union all select plan_id, node_id, 'Mine', 'wide', 'Low' from ch where width >= 500
+            union all select plan_id, node_id, 'Scan', 'seq_scan', {_LEVEL.format("q")} from t where kind = 'SeqScan' and q >= 1
+            union all select plan_id, node_id, 'Scan', 'index_scan', {_LEVEL.format("greatest(w, c)")} from t where kind = 'IndexScan' and greatest(w, c) >= 2
+            union all select plan_id, node_id, 'Scan', 'bitmap_scan', {_LEVEL.format("w")} from t where kind = 'BitmapHeapScan' and w >= 2""",
+    ),
+    "q2_6_27_is_ancestor": Registered(
+        lambda s, d: (lambda x: x.select("plan_id", F.col("node_id").alias("above"), F.col("path").alias("p")).join(x.select("plan_id", F.col("node_id").alias("below"), F.col("path").alias("q")), "plan_id").filter(n.is_ancestor(F.col("p"), F.col("q"))).select("plan_id", "above", "below"))(plan_nodes(s, d)),
+        f"with {N} select a.plan_id, a.node_id as above, b.node_id as below from n a join n b on {_ABOVE.format(x='a', y='b')}",
+    ),
+    "q2_6_19_find_nodes": Registered(
+        lambda s, d: _matches(s, d, patterns.Step((F.col("category") == "scan") & (F.col("total_cost") > 100_000))),
+        f"with {N} select plan_id, node_id as step0 from n where category = 'scan' and total_cost > 100000",
+    ),
     "q2_5_34_typed_properties": Registered(
         _typed,
         f"""with {N}, p as (select plan_id, node_id, unnest([{{'key': 'Filter', 'text': flt}}, {{'key': 'Rows Removed by Filter', 'text': removed::varchar}}, {{'key': 'Heap Fetches', 'text': fetches::varchar}},
@@ -140,7 +205,7 @@ QUERIES = {
             t as (select plan_id, cast(count(*) as integer) as size, string_agg(k || kind, ',' order by k) as tree from u group by plan_id, node_id)
             select size, count(*) as places, min(plan_id) as first from t group by tree, size""",
     ),
-    "q2_8_13_findings_once_each": Registered(lambda s, d: dictionary.once_each(plan_nodes(s, d), lambda n: rules.node_findings(n, DEFAULT)), f"with {RULES} select * from f"),
+    "q2_8_13_findings_once_each": Registered(lambda s, d: dictionary.once_each(plan_nodes(s, d), lambda x: rules.node_findings(x, DEFAULT)), f"with {RULES} select * from f"),
     "q2_8_13_group_findings": Registered(
         _group_findings,
         f"""with {E}, {_SEEN} select 'SELECT * FROM ' || fingerprint || ' WHERE id = $1' as normalized_query, database, calls, max_ms, analyzer, rule, severity from ch left join f using (fingerprint, database)""",
