@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tests.llm.test_passages import brute_passages
+from tracewell.llm import suffix_dedup
 from tracewell.llm.components import connected_components
 from tracewell.llm.jaccard import _bodies, jaccard_components, spanning_links
 from tracewell.llm.shingles import shingle_sets
@@ -191,8 +193,9 @@ def test_copies_of_one_row(spark):
 
 
 @pytest.mark.parametrize("scan", [100, 333, 5000])
-def test_scan_in_slices(scan):
+def test_scan_in_slices(scan, monkeypatch):
     """Slices give every window the anchor that a scan of the whole text gives it, and words the same codes."""
+    monkeypatch.setattr(suffix_dedup, "_thinned", lambda data, at, *_: np.ones(len(at), bool))
     rnd = random.Random(13)
     texts = [bytes(rnd.choice(b"ab c") for _ in range(n)) for n in (0, 59, 60, 61, 700, 2400)] + [b"x" * 400, b"a b " * 200]
 
@@ -204,6 +207,34 @@ def test_scan_in_slices(scan):
     assert word_codes(texts, scan) == word_codes(texts)
 
 
+def test_periodic_texts(spark):
+    """Long runs of one period lose most of their anchors and none of their repeats, nor do texts that share a window with them."""
+    rnd = random.Random(15)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    rows = ["x" * 1500, "ab" * 700 + "zz", say(90) + "abc " * 300 + say(90), "x" * 60, "x" * 59, say(40) + "c ab" * 15 + say(40), "ba" * 31, "y" * 239 + "x" * 300 + "y" * 241, "word " * 400, "a" * 61 + say(10), say(200)]
+    rows += ["xy" * 20 + "x" * 400 + "xy" * 200, "0123456789abcdef" * 90 + say(5) + "0123456789abcdef" * 90, "q" * 4000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    for length, gram in ((60, 12), (400, 100)):
+        got = {r.doc_id: r.kept for r in remove_repeats(df, length=length, gram=gram).collect()}
+        want = brute_repeats([t.encode() for t in rows], length)
+        assert [bytes(got[i]) for i in range(len(rows))] == want
+    got = {r.doc_id: r.kept for r in remove_repeats(df, words=51).collect()}
+    want = brute_passages([t.encode() for t in rows], 400, 51)
+    assert [bytes(got[i]) for i in range(len(rows))] == want
+
+
+def test_memory_of_one_byte_repeated():
+    import tracemalloc
+
+    tracemalloc.start()
+    n = 0
+    for text in (b"x" * (10 << 20), b"ab" * (1 << 20)):
+        for owner, *_ in all_anchors_of([text], 400, 100):
+            n += len(owner)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30 and n < 100_000
+    tracemalloc.stop()
+
+
 def test_remove_repeats_empty(no_docs):
     assert remove_repeats(no_docs).count() == 0
 

@@ -96,8 +96,39 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     at = least[start]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))))
     last = np.concatenate((new[1:] - 1, [len(at) - 1]))
-    at, owner = at[new], owner[new]
-    return owner, h[at].view(np.int64), at - (ends - lens)[owner], at - start[last], at - start[new]
+    at, owner, lo, hi = at[new], owner[new], at[new] - start[last], at[new] - start[new]
+    keep = _thinned(data, at, owner, h[at], lo, hi, length, gram)
+    at, owner, lo, hi = at[keep], owner[keep], lo[keep], hi[keep]
+    return owner, h[at].view(np.int64), at - (ends - lens)[owner], lo, hi
+
+
+def _thinned(data: np.ndarray, at: np.ndarray, owner: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which anchors to keep: all but most of those inside a periodic stretch, where every period has one.
+
+    Anchors of one gram at equal distances of at most a gram bound a stretch with that period. Its inner anchors, all of whose
+    windows lie within it, have equal windows: one in every half length of them covers the same bytes, and any window that
+    equals theirs, here or in another text, still meets one that is kept.
+    """
+    keep = np.ones(len(at), bool)
+    if len(at) * 16 < len(data):  # not dense
+        return keep
+    step = np.diff(at)
+    alike = (owner[1:] == owner[:-1]) & (h[1:] == h[:-1]) & (step <= gram)
+    ends = np.flatnonzero(~alike | np.concatenate(([False], step[1:] != step[:-1])))
+    first = np.concatenate(([0], ends + 1))
+    # a change of distance ends a run at the anchor that the next one begins with
+    for a, b in zip(first.tolist(), np.append(ends, len(at) - 1).tolist(), strict=True):
+        if b - a < 8 or not alike[a]:
+            continue
+        p, begin, end = int(step[a]), int(at[a]), int(at[b]) + gram
+        if end - begin < 4 * length or not np.array_equal(data[begin : end - p], data[begin + p : end]):
+            continue
+        inner = a + np.flatnonzero((at[a : b + 1] - hi[a : b + 1] >= begin) & (at[a : b + 1] - lo[a : b + 1] + length <= end))
+        every = max(1, length // 2 // p)
+        if len(inner) > 4 * every:
+            keep[inner[every:-every]] = False
+            keep[inner[every:-every:every]] = True
+    return keep
 
 
 def all_anchors_of(texts: list[bytes], length: int, gram: int, scan: int = SCAN_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
