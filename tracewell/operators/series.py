@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .config import regression_thresholds
 
 KEY = "fingerprint"
@@ -44,12 +45,19 @@ def _mean_where(condition: Column) -> Column:
     return F.sum(F.when(condition, F.col("y").cast("decimal(28,8)"))).cast("double") / F.count_if(condition)
 
 
+def _half_aggregates() -> list[Column]:
+    first = F.col("rn") <= F.floor(F.col("n") / 2)
+    return [F.max("n").alias("n"), _mean_where(first).alias("_first"), _mean_where(~first).alias("_second")]
+
+
+def _half_change() -> Column:
+    return F.when(F.col("_first") > 0, (F.col("_second") - F.col("_first")) / F.col("_first") * 100).otherwise(0.0)
+
+
 def halves(rows: DataFrame, key: str = KEY) -> DataFrame:
     """Means of the first and second half of each ranked series, and the change in percent (0 for a zero baseline)."""
-    first = F.col("rn") <= F.floor(F.col("n") / 2)
-    out = rows.groupBy(key).agg(F.max("n").alias("n"), _mean_where(first).alias("_a"), _mean_where(~first).alias("_b"))
-    change = F.when(F.col("_a") > 0, (F.col("_b") - F.col("_a")) / F.col("_a") * 100).otherwise(0.0)
-    return out.select(key, "n", F.round("_a", 6).alias("first_ms"), F.round("_b", 6).alias("second_ms"), F.round(change, 6).alias("change_pct"))
+    out = rows.groupBy(key).agg(*_half_aggregates())
+    return out.select(key, "n", F.round("_first", 6).alias("first_ms"), F.round("_second", 6).alias("second_ms"), F.round(_half_change(), 6).alias("change_pct"))
 
 
 def basic_status(change_pct: Column) -> Column:
@@ -63,16 +71,20 @@ def basic_regression(rows: DataFrame, key: str = KEY) -> DataFrame:
     return out.withColumn("status", basic_status(F.col("change_pct")))
 
 
+def _trend_aggregates() -> list[Column]:
+    """Besides those of the halves."""
+    return [F.abs(F.coalesce(F.stddev_samp("y"), F.lit(0.0)) / F.avg("y")).alias("_cv"), F.coalesce(F.regr_r2("y", "rn"), F.lit(0.0)).alias("_r2")]
+
+
+def _trend_columns() -> list[Column]:
+    ratio = (F.col("_second") - F.col("_first")) / F.col("_first")
+    name = F.when(F.col("_cv") > 0.5, "Volatile").when(ratio > 0.05, "Degrading").when(ratio < -0.05, "Improving").otherwise("Stable")
+    return [name.alias("trend"), F.round(F.least(F.greatest("_r2", F.lit(0.0)), F.lit(1.0)), 6).alias("strength")]
+
+
 def trend(rows: DataFrame, key: str = KEY) -> DataFrame:
     """Volatile if the variation exceeds one half, else by the halves' means (5 %); strength is R squared of y on the rank."""
-    first = F.col("rn") <= F.floor(F.col("n") / 2)
-    out = rows.groupBy(key).agg(
-        _mean_where(first).alias("_a"), _mean_where(~first).alias("_b"), F.abs(F.coalesce(F.stddev_samp("y"), F.lit(0.0)) / F.avg("y")).alias("_cv"),
-        F.coalesce(F.regr_r2("y", "rn"), F.lit(0.0)).alias("_r2"),
-    )
-    ratio = (F.col("_b") - F.col("_a")) / F.col("_a")
-    name = F.when(F.col("_cv") > 0.5, "Volatile").when(ratio > 0.05, "Degrading").when(ratio < -0.05, "Improving").otherwise("Stable")
-    return out.select(key, name.alias("trend"), F.round(F.least(F.greatest("_r2", F.lit(0.0)), F.lit(1.0)), 6).alias("strength"))
+    return rows.groupBy(key).agg(*_half_aggregates(), *_trend_aggregates()).select(key, *_trend_columns())
 
 
 def seasonality(rows: DataFrame, key: str = KEY, least: int = 168, strength: float = 0.2) -> DataFrame:
@@ -200,43 +212,56 @@ def iqr_outliers(executions: DataFrame, value: str = "duration_ms", key: str = K
 
 def modified_z(executions: DataFrame, threshold: float = 3.5, value: str = "duration_ms", key: str = KEY) -> DataFrame:
     """Executions whose 0.6745 (x - median) / MAD exceeds the threshold; none where the MAD is 0."""
-    median = quantiles_r6(executions, (0.5,), value, key).select(key, F.col("q50").alias("med"))
+    # medians and deviations are one row a group, worked out once
+    median = stored(quantiles_r6(executions, (0.5,), value, key).select(key, F.col("q50").alias("med")))
     away = executions.join(median, key).withColumn("_a", F.abs(F.col(value) - F.col("med")))
-    mad = quantiles_r6(away.select(key, "_a"), (0.5,), "_a", key).select(key, F.col("q50").alias("mad"))
+    mad = stored(quantiles_r6(away.select(key, "_a"), (0.5,), "_a", key).select(key, F.col("q50").alias("mad")).filter("mad > 0"))
     z = F.lit(0.6745) * (F.col(value) - F.col("med")) / F.col("mad")
-    out = away.join(mad.filter("mad > 0"), key).withColumn("z", z).filter(F.abs("z") > threshold)
+    out = executions.join(median.join(mad, key), key).withColumn("z", z).filter(F.abs("z") > threshold)
     kind = F.when(F.abs("z") > 4, "Spike").otherwise("Outlier")
     return out.select(key, "seq", F.col(value).alias("value"), F.round("z", 6).alias("z"), kind.alias("kind"))
 
 
-def distribution(executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame:
-    """Mean, sample deviation, adjusted skewness G1 and excess kurtosis G2, Jarque-Bera statistic with its p, and the shape's name."""
-    n = F.col("n")
-    out = executions.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2"))
+def _shape_aggregates(value: str) -> list[Column]:
+    return [F.count("*").alias("_count"), F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2")]
+
+
+def _with_shape(out: DataFrame) -> DataFrame:
+    n = F.col("_count")
     g1 = F.when(n >= 3, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     g2 = F.when(n >= 4, (n - 1) * ((n + 1) * F.col("_g2") + 6) / ((n - 2) * (n - 3))).otherwise(0.0)
     jb = F.when(n >= 8, n / 6.0 * (F.col("_g1") * F.col("_g1") + F.col("_g2") * F.col("_g2") / 4))
-    out = out.withColumns({"g1": g1, "g2": g2, "jb": jb})
-    return out.select(key, "n", F.round("_m", 6).alias("mean"), F.round("_s", 6).alias("stddev"), F.round("g1", 6).alias("skewness"), F.round("g2", 6).alias("kurtosis"), F.round("jb", 4).alias("jarque_bera"), F.round(F.exp(-F.col("jb") / 2), 6).alias("p_value"))
+    return out.withColumns({"skewness": F.round(g1, 6), "kurtosis": F.round(g2, 6), "jarque_bera": F.round(jb, 4), "_jb_p": F.round(F.exp(-jb / 2), 6)})
 
 
-def baseline_split(rows: DataFrame, key: str = KEY) -> DataFrame:
-    """First three quarters against the rest: means, change, severity of increases, Welch's t and degrees of freedom."""
+def distribution(executions: DataFrame, value: str = "duration_ms", key: str = KEY) -> DataFrame:
+    """Mean, sample deviation, adjusted skewness G1 and excess kurtosis G2, Jarque-Bera statistic with its p."""
+    out = _with_shape(executions.groupBy(key).agg(*_shape_aggregates(value)))
+    return out.select(key, F.col("_count").alias("n"), F.round("_m", 6).alias("mean"), F.round("_s", 6).alias("stddev"), "skewness", "kurtosis", "jarque_bera", F.col("_jb_p").alias("p_value"))
+
+
+def _split_aggregates() -> list[Column]:
     base = F.col("rn") <= F.floor(F.col("n") * 3 / 4)
     v = lambda c: F.coalesce(F.var_samp(F.when(c, F.col("y"))), F.lit(0.0))
-    out = rows.groupBy(key).agg(
-        _mean_where(base).alias("_a"), _mean_where(~base).alias("_b"), v(base).alias("_va"), v(~base).alias("_vb"), F.count_if(base).alias("_na"), F.count_if(~base).alias("_nb")
-    )
+    return [_mean_where(base).alias("_a"), _mean_where(~base).alias("_b"), v(base).alias("_va"), v(~base).alias("_vb"), F.count_if(base).alias("_na"), F.count_if(~base).alias("_nb")]
+
+
+def _split_columns() -> list[Column]:
     change = (F.col("_b") - F.col("_a")) / F.col("_a") * 100
     sa, sb = F.col("_va") / F.col("_na"), F.col("_vb") / F.col("_nb")
     t = (F.col("_a") - F.col("_b")) / F.sqrt(sa + sb)
     df = (sa + sb) * (sa + sb) / (sa * sa / (F.col("_na") - 1) + sb * sb / (F.col("_nb") - 1))
     severity = F.when(change >= BASE_CRITICAL, "Critical").when(change >= BASE_SIGNIFICANT, "High").when(change > BASE_MINOR, "Medium")
     status = F.when(change >= BASE_CRITICAL, "Critical").when(change > BASE_MINOR, "Significant").otherwise("None")
-    return out.select(
-        key, F.round("_a", 6).alias("baseline_ms"), F.round("_b", 6).alias("current_ms"), F.round(change, 6).alias("change_pct"), severity.alias("severity"), status.alias("status"),
+    return [
+        F.round("_a", 6).alias("baseline_ms"), F.round("_b", 6).alias("current_ms"), F.round(change, 6).alias("change_pct"), severity.alias("severity"), status.alias("status"),
         F.round(t, 6).alias("welch_t"), F.round(df, 4).alias("welch_df"),
-    )
+    ]
+
+
+def baseline_split(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """First three quarters against the rest: means, change, severity of increases, Welch's t and degrees of freedom."""
+    return rows.groupBy(key).agg(*_split_aggregates()).select(key, *_split_columns())
 
 
 def correlation(executions: DataFrame, x: str, y: str, key: str = KEY, level: float = 0.05) -> DataFrame:
@@ -332,17 +357,17 @@ def regression_report(executions: DataFrame, value: str = "duration_ms", key: st
     Series shorter than `detector_points` are judged half against half; the others by the first three quarters against the
     rest. Of fewer than 3 points nothing can be said: status InsufficientData, and the advice to collect more.
     """
-    rows = ranked(executions, value, key)
-    few = executions.groupBy(key).agg(F.count("*").alias("n")).filter("n < 3").select(
+    # one row a series: halves, split, trend and shape from one pass over the ranked rows
+    series = stored(ranked(executions, value, key).groupBy(key).agg(*_half_aggregates(), *_trend_aggregates(), *_split_aggregates(), *_shape_aggregates("y")))
+    few = series.filter("n < 3").select(
         key, "n", F.lit("none").alias("engine"), F.lit("InsufficientData").alias("status"), F.lit(None).cast("double").alias("change_pct"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("double").alias("p_value"),
         F.lit("Stable").alias("trend"), F.lit(0.0).alias("strength"), F.lit("Unknown").alias("shape"), F.lit(0).cast("bigint").alias("anomalies"), F.lit("Low").alias("confidence"), F.lit("collect_more_data").alias("recommendations"),
         F.array().cast("array<string>").alias("causes"),
     )
-    basic = basic_regression(rows, key).select(key, "n", F.col("status").alias("_bs"), F.col("change_pct").alias("_bc"))
-    split = baseline_split(rows, key).select(key, "status", "change_pct", "severity", "welch_t", "welch_df")
-    shapes = distribution(executions, value, key).select(key, "skewness", "kurtosis", "jarque_bera")
     odd = modified_z(executions, 3.5, value, key).groupBy(key).agg(F.count("*").alias("anomalies"))
-    out = basic.join(split, key).join(trend(rows, key), key).join(shapes, key).join(odd, key, "left").withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
+    half = F.round(_half_change(), 6)
+    out = _with_shape(series.filter("n >= 3")).select(key, "n", half.alias("_bc"), basic_status(half).alias("_bs"), *_split_columns(), *_trend_columns(), "skewness", "kurtosis", "jarque_bera")
+    out = out.join(odd, key, "left").withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
     full = F.col("n") >= detector_points
     out = out.withColumns({
         "engine": F.when(full, "statistical").otherwise("basic"), "status": F.when(full, F.col("status")).otherwise(F.col("_bs")), "change_pct": F.when(full, F.col("change_pct")).otherwise(F.col("_bc")),
