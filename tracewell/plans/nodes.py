@@ -119,7 +119,12 @@ def post_order(nodes: DataFrame) -> DataFrame:
 
 
 def children_estimates(nodes: DataFrame) -> DataFrame:
-    """nodes with the estimated rows and widths of their first and second child (null where missing)."""
+    """nodes with the estimated rows and widths of their first and second child (null where missing).
+
+    Parsed nodes carry them; a table without them is joined with its children.
+    """
+    if {"left_est_rows", "left_width", "right_est_rows", "right_width"} <= set(nodes.columns):
+        return nodes
     kids = nodes.filter("parent_id is not null").withColumn("_k", F.element_at("path", -1))
     picked = kids.groupBy(PLAN, F.col("parent_id").alias("node_id")).agg(*[
         F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{side}_{c}") for k, side in ((0, "left"), (1, "right")) for c in ("est_rows", "width")
