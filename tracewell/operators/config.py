@@ -37,6 +37,7 @@ PRESETS = {"oltp": for_workload("oltp", "large", "latency"), "warehouse": for_wo
 
 def regression_thresholds(workload: str = "mixed") -> tuple[float, float, float, float, int]:
     """Minor, significant and critical change in percent, significance level, and points the statistical engine needs."""
+    # Fixed values.
     return {"oltp": (5.0, 15.0, 30.0, 0.05, 20), "olap": (15.0, 35.0, 70.0, 0.01, 50), "analytics": (20.0, 40.0, 80.0, 0.01, 50), "mixed": (10.0, 25.0, 50.0, 0.05, 30)}[workload]
 
 
@@ -54,7 +55,7 @@ def parse_threshold(text: str) -> float:
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run is set up with; `validate` raises on what can't work."""
+    """What a run is set up with; `validate` raises on what can't work, streaming.service acts on it. The defaults are fixed values."""
 
     poll_interval: str = "30s"
     log_line_prefix: str = "%m [%p] "

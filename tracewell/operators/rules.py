@@ -86,7 +86,7 @@ def node_rules(t: Thresholds, work_mem_kb: int = 4096) -> list[Rule]:
     planned, launched = _prop("Workers Planned", "double"), _prop("Workers Launched", "double")
     reached = lambda s, limits: F.when(s == "Critical", limits[2]).when(s == "High", limits[1]).when(s == "Medium", limits[0]).otherwise(0.0)
     functions = r"lower\(|upper\(|date\(|substring\("
-    # The limits of each rule and the severities they stand for.
+    # The limits of each rule, the severities they stand for, and the names of their evidence.
     return [
         Rule("RowEstimation", "excessive_rows", F.when(rank(rows) >= 2, rows),
             "The planner expects very many rows here.", dict(estimated_rows=c("est_rows"), cost=c("total_cost"))),

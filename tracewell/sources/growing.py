@@ -103,19 +103,18 @@ class GrowingReader(DataSourceStreamReader):
         self.forget = float(options.get("forgetSeconds", 86400))
         self.start = json.loads(options.get("startingOffsets", "{}"))
         self.seen: dict[str, dict] = dict(self.start)
-        self.ids: dict[tuple, str] = {}
+        self.ids: dict[Known, str] = {}  # of the files as they were last listed
 
     def _id(self, f: Known, system: pafs.FileSystem) -> str | None:
         """Device, inode and a digest of the first line; None while that isn't complete."""
-        key = (f.path, f.device, f.inode, f.size < 1)
-        name = self.ids.get(key)
+        if f in self.ids:  # unchanged since it was last looked at
+            return self.ids[f]
         with system.open_input_file(f.path) as data:
             head = data.read_at(min(f.size, _FIRST_LINE), 0)
         line, newline, _ = head.partition(b"\n")
         if not newline and len(head) < _FIRST_LINE and not self.flush:
-            return name
-        self.ids[key] = name = f"{f.device}:{f.inode}:{zlib.crc32(line):08x}" if f.inode else f"{f.path}:{zlib.crc32(line):08x}"
-        return name
+            return None
+        return f"{f.device}:{f.inode}:{zlib.crc32(line):08x}" if f.inode else f"{f.path}:{zlib.crc32(line):08x}"
 
     @staticmethod
     def _last_line_end(f: Known, system: pafs.FileSystem, floor: int) -> int:
@@ -135,12 +134,13 @@ class GrowingReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         system, _ = file_system(self.pattern)
-        now, live = time.time(), {}
+        now, live, ids = time.time(), {}, {}
         for f in listed(self.pattern):
             try:
                 name = self._id(f, system) if f.size else None
                 if name is None:
                     continue
+                ids[f] = name
                 before = self.seen.get(name, {})
                 floor = before.get("position", 0) if before.get("position", 0) <= f.size else 0
                 close = self.flush or (self.idle is not None and now - f.modified >= self.idle)
@@ -154,6 +154,7 @@ class GrowingReader(DataSourceStreamReader):
             if name not in live and now - gone < self.forget:
                 close = self.flush or (self.idle is not None and now - gone >= self.idle)
                 live[name] = {**state, "gone": gone, "closed": bool(state.get("closed")) or close}
+        self.ids = ids
         self.seen = {k: live[k] for k in sorted(live)}
         return self.seen
 
