@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import band_base, banded, quantile_aggregates, with_picks, with_places
+from .series import BAND_BASE, banded, quantile_aggregates, with_picks
 
 GROUP = ("fingerprint", "database")
 # Upper bounds of the latency buckets in seconds; one more bucket takes the rest.
@@ -28,35 +28,33 @@ def sample_stddev(column: str) -> Column:
     return F.coalesce(F.stddev_samp(column), F.lit(0.0))
 
 
-def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representative: bool = False, counts: dict[str, Column] | None = None) -> DataFrame:
+def group_stats(executions: DataFrame, by: tuple[str, ...] = GROUP, representative: bool = False, counts: dict[str, str] | None = None) -> DataFrame:
     """Calls, total, mean, sample deviation, extremes, exact interpolated percentiles and time range of each group; with
-    `representative` also the `seq` of its slowest execution, of equals the last. `counts` are conditions on a duration `v`; each gives
+    `representative` also the `seq` of its slowest execution, of equals the last. `counts` are SQL conditions on a duration `v`; each gives
     a column of how many executions meet it.
 
     One scan: everything comes from the counts of distinct durations, gathered in bands of nearly equal ones (series.banded).
     The deviation is put together from the bands' own, so large means with small deviations keep their digits.
     """
-    d = "duration_ms"
     aggs, shown = quantile_aggregates(PERCENTILES, False)
-    sums = F.sum(F.col("v").cast("decimal(18,2)") * F.col("c").cast("decimal(18,0)")).alias("s")
-    also = ((F.min("ts").alias("t0"), F.min("t0").alias("t0")), (F.max("ts").alias("t1"), F.max("t1").alias("t1")), (None, sums), (None, F.min("v").alias("v0")), (None, F.max("v").alias("v1")))
+    also = [
+        ("min(ts) as t0", "min(t0) as t0"), ("max(ts) as t1", "max(t1) as t1"), (None, "sum(cast(v as decimal(18,2)) * cast(c as decimal(18,0))) as s"), (None, "min(v) as v0"), (None, "max(v) as v1"),
+    ]
     counts = counts or {}
-    also += tuple((None, F.sum(F.when(met, F.col("c")).otherwise(0)).alias(name)) for name, met in counts.items())
+    also += [(None, f"sum(case when {met} then c else 0 end) as `{name}`") for name, met in counts.items()]
     if representative:
-        also += ((F.max("seq").alias("q"), F.max(F.struct("v", "q")).alias("r")),)
-    placed = with_picks(with_places(banded(executions, d, by, also), by), PERCENTILES, False)
-    part = F.col("s1") / F.col("n")
-    around = F.col("s2") - F.col("s1") * part + F.col("n") * F.pow(band_base(F.col("g")) + part - F.col("mean"), 2)
+        also.append(("max(seq) as q", "max(struct(v, q)) as r"))
+    placed = with_picks(banded(executions, "duration_ms", by, tuple(also)), by, PERCENTILES, False)
+    around = f"s2 - s1 * s1 / n + n * pow({BAND_BASE} + s1 / n - mean, 2)"
     out = placed.groupBy(*by).agg(
-        F.sum("c").alias("calls"), F.sum("s").cast("double").alias("total_ms"), F.min("v0").alias("min_ms"), F.max("v1").alias("max_ms"),
-        F.sum(F.when(F.col("n") > 0, F.greatest(around, F.lit(0.0)))).alias("_m2"), F.max("total").alias("_n"),
-        F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"), *aggs, *[F.sum(name).alias(name) for name in counts],
-        *([F.max("r").alias("_r")] if representative else []),
+        *map(F.expr, (
+            "sum(c) as calls", "cast(sum(s) as double) as total_ms", "min(v0) as min_ms", "max(v1) as max_ms", f"sum(case when n > 0 then greatest({around}, 0.0D) end) as _m2", "max(total) as _n",
+            "min(t0) as first_ts", "max(t1) as last_ts", *[f"sum(`{name}`) as `{name}`" for name in counts], *(["max(r) as _r"] if representative else []),
+        )), *aggs,
     )
-    deviation = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).otherwise(0.0)
-    quantiles = [F.round(q, 6).alias(f"p{round(p * 100)}_ms") for p, q in zip(PERCENTILES, shown, strict=True)]
-    return out.select(
-        *by, "calls", "total_ms", "min_ms", "max_ms", F.round(deviation, 6).alias("stddev_ms"), "first_ts", "last_ts", F.round(F.col("total_ms") / F.col("calls"), 6).alias("mean_ms"), *quantiles, *counts, *([F.col("_r.q").alias("seq")] if representative else []),
+    return out.selectExpr(
+        *[f"`{k}`" for k in by], "calls", "total_ms", "min_ms", "max_ms", "round(case when _n > 1 then sqrt(_m2 / (_n - 1)) else 0.0D end, 6) as stddev_ms", "first_ts", "last_ts", "round(total_ms / calls, 6) as mean_ms",
+        *[f"round({q}, 6) as p{round(p * 100)}_ms" for p, q in zip(PERCENTILES, shown, strict=True)], *[f"`{name}`" for name in counts], *(["_r.q as seq"] if representative else []),
     )
 
 
@@ -97,10 +95,11 @@ def bucket_bound(i: Column) -> Column:
     return out.otherwise(float("inf"))
 
 
-def bucket_conditions(duration_ms: Column) -> list[Column]:
-    """For each bucket whether a duration falls into it."""
-    b = latency_bucket(duration_ms)
-    return [b == i for i in range(len(LATENCY_BOUNDS) + 1)]
+def bucket_conditions() -> list[str]:
+    """For each bucket, in SQL, whether a duration v falls into it; an unknown one counts as above all bounds."""
+    above = [f"v / 1000.0D > {lo}D" for lo in LATENCY_BOUNDS]
+    upto = [f"v / 1000.0D <= {hi}D" for hi in LATENCY_BOUNDS]
+    return [upto[0], *[f"{a} and {u}" for a, u in zip(above, upto[1:], strict=False)], f"coalesce({above[-1]}, true)"]
 
 
 def cumulative_buckets(counts: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:

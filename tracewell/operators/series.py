@@ -121,68 +121,49 @@ def change_points(rows: DataFrame, key: str = KEY, threshold: float = 0.2) -> Da
     return out.select(key, F.col("at").alias("rn"), "ts", kind.alias("change_type"), F.round(F.abs("m"), 6).alias("magnitude"))
 
 
-def value_bands(v: Column) -> Column:
-    """A number that rises with v and is equal only for values within 0.07 percent of each other."""
-    band = F.floor(F.log2(F.abs(v)) * 1024) + (1 << 21)
-    return F.when(v == 0, 0).when(v > 0, band).otherwise(-band)
+# SQL texts, as building long expressions call by call takes longer than running them.
+#: A number that rises with v and is equal only for values within 0.07 percent of each other; and a value of that band, from its number alone.
+_BAND = "case when v = 0 then 0 when v > 0 then floor(log2(v) * 1024) + 2097152 else -(floor(log2(-v) * 1024) + 2097152) end"
+BAND_BASE = "case when g = 0 then 0.0D when g > 0 then pow(2.0D, (g - 2097152) / 1024.0D) else -pow(2.0D, (-g - 2097152) / 1024.0D) end"
 
 
-def band_base(band: Column) -> Column:
-    """A value of the band, from its number alone: what sums within the band are taken from."""
-    size = F.pow(F.lit(2.0), (F.abs(band) - (1 << 21)) / 1024.0)
-    return F.when(band == 0, 0.0).when(band > 0, size).otherwise(-size)
-
-
-def banded(rows: DataFrame, value: str, keys: tuple[str, ...], also: tuple[tuple[Column | None, Column], ...] = ()) -> DataFrame:
-    """Rows by group and band of nearly equal values: n, the distinct values with their counts in order (`vals`), sums from
-    the band's base (`s1`, `s2`), and further aggregates: pairs of one over rows (or None) and one over its results, the value `v` and its count `c`.
+def banded(rows: DataFrame, value: str, keys: tuple[str, ...], also: tuple[tuple[str | None, str], ...] = ()) -> DataFrame:
+    """Rows by group and band of nearly equal values (`g`): n, the distinct values with their counts in order (`vals`), sums from
+    the band's base (`s1`, `s2`), and further aggregates: pairs in SQL of one over rows (or None) and one over its results, the value `v`
+    and its count `c`.
 
     Equal values are counted before anything is exchanged. Null values are a band of their own, without values.
     """
-    first, second = [a[0] for a in also if a[0] is not None], [a[1] for a in also]
-    values = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"), *first).withColumn("g", value_bands(F.col("v")))
-    away = F.col("v") - band_base(F.col("g"))
+    first = [F.expr(a[0]) for a in also if a[0] is not None]
+    values = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.expr("count(*) as c"), *first).withColumn("g", F.expr(_BAND))
     return values.groupBy(*keys, "g").agg(
-        F.sum("c").alias("c"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("n"), F.sum(away * F.col("c")).alias("s1"), F.sum(away * away * F.col("c")).alias("s2"),
-        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "c")))).alias("vals"), *second,
+        F.expr("sum(c) as c"), F.expr("sum(case when v is not null then c else 0 end) as n"), F.expr(f"sum((v - {BAND_BASE}) * c) as s1"), F.expr(f"sum(pow(v - {BAND_BASE}, 2) * c) as s2"),
+        F.expr("sort_array(collect_list(case when v is not null then struct(v, c) end)) as vals"), *[F.expr(a[1]) for a in also],
     )
 
 
-def with_places(bands: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Bands with the number of values in those before (`b`), in all (`total`), and the group's mean."""
-    over = Window.partitionBy(*keys)
-    before = F.sum("n").over(over.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    mean = F.sum(F.col("s1") + F.col("n") * band_base(F.col("g"))).over(over) / F.sum("n").over(over)
-    return bands.withColumn("b", before).withColumn("total", F.sum("n").over(over)).withColumn("mean", mean)
-
-
-def _nth(vals: Column, rank: Column) -> Column:
-    """The value at a rank (from 0) among counted values in order."""
-    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("v"))
-    step = lambda a, x: F.struct((a.upto + x.c).alias("upto"), F.when((a.upto <= rank) & (rank < a.upto + x.c), x.v).otherwise(a.v).alias("v"))
-    return F.aggregate(vals, zero, step, lambda a: a.v)
-
-
-def _position(q: float, total: Column, weibull: bool) -> Column:
-    return F.least(F.greatest(F.lit(q) * (total + 1) - 1, F.lit(0.0)), total - 1.0) if weibull else F.lit(q) * (total - 1)
+def with_picks(bands: DataFrame, keys: tuple[str, ...], qs: tuple[float, ...], weibull: bool) -> DataFrame:
+    """Bands with the number of values in those before (`b`) and in all (`total`), the group's mean, and `picks`: for each quantile
+    the values below and above its position that lie in the band, else null."""
+    by = "partition by " + ", ".join(f"`{k}`" for k in keys)
+    placed = bands.selectExpr(
+        "*", f"sum(n) over ({by} order by g rows between unbounded preceding and current row) - n as b", f"sum(n) over ({by}) as total", f"sum(s1 + n * {BAND_BASE}) over ({by}) / sum(n) over ({by}) as mean",
+    )
+    ranks = ", ".join(f"cast({f}({_position(q, 'total', weibull)}) as bigint)" for q in qs for f in ("floor", "ceil"))
+    nth = """aggregate(vals, named_struct('upto', 0L, 'v', cast(null as double)),
+        (a, x) -> named_struct('upto', a.upto + x.c, 'v', case when a.upto <= r - b and r - b < a.upto + x.c then x.v else a.v end), a -> a.v)"""
+    return placed.withColumn("picks", F.expr(f"transform(array({ranks}), r -> case when b <= r and r < b + n then {nth} end)")).drop("vals")
 
 
-def with_picks(placed: DataFrame, qs: tuple[float, ...], weibull: bool) -> DataFrame:
-    """Placed bands with `picks`: for each quantile the values below and above its position that lie in the band, else null."""
-    at = [_position(q, F.col("total"), weibull) for q in qs]
-    ranks = F.array(*[f(p).cast("long") for p in at for f in (F.floor, F.ceil)])
-    here = lambda r: (F.col("b") <= r) & (r < F.col("b") + F.col("n"))
-    return placed.withColumn("picks", F.transform(ranks, lambda r: F.when(here(r), _nth(F.col("vals"), r - F.col("b"))))).drop("vals")
+def _position(q: float, total: str, weibull: bool) -> str:
+    return f"least(greatest({q}D * ({total} + 1) - 1, 0.0D), {total} - 1.0D)" if weibull else f"({q}D * ({total} - 1))"
 
 
-def quantile_aggregates(qs: tuple[float, ...], weibull: bool) -> tuple[list[Column], list[Column]]:
-    """Aggregates over a group's bands with picks, and the quantiles q<percent> from them and the group's `_n`."""
-    aggs = [F.max(F.col("picks")[i]).alias(f"_q{i}") for i in range(2 * len(qs))]
-    shown = []
-    for i, q in enumerate(qs):
-        at = _position(q, F.col("_n"), weibull)
-        shown.append((F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (at - F.floor(at))).alias(f"q{round(q * 100)}"))
-    return aggs, shown
+def quantile_aggregates(qs: tuple[float, ...], weibull: bool) -> tuple[list[Column], list[str]]:
+    """Aggregates over a group's bands with picks, and in SQL the quantiles from them and the group's `_n`."""
+    aggs = [F.expr(f"max(picks[{i}]) as _q{i}") for i in range(2 * len(qs))]
+    at = [_position(q, "_n", weibull) for q in qs]
+    return aggs, [f"(_q{2 * i} + (_q{2 * i + 1} - _q{2 * i}) * ({p} - floor({p})))" for i, p in enumerate(at)]
 
 
 def order_quantiles(rows: DataFrame, qs: tuple[float, ...], value: str, keys: tuple[str, ...], weibull: bool) -> DataFrame:
@@ -193,8 +174,9 @@ def order_quantiles(rows: DataFrame, qs: tuple[float, ...], value: str, keys: tu
     order, and only the bands that hold a wanted rank are looked into. One scan, three exchanges, each after a combine.
     """
     aggs, shown = quantile_aggregates(qs, weibull)
-    placed = with_picks(with_places(banded(rows.filter(F.col(value).isNotNull()), value, keys), keys), qs, weibull)
-    return placed.groupBy(*keys).agg(F.max("total").alias("_n"), *aggs).select(*keys, F.col("_n").alias("n"), *shown)
+    placed = with_picks(banded(rows.filter(F.col(value).isNotNull()), value, keys), keys, qs, weibull)
+    out = placed.groupBy(*keys).agg(F.expr("max(total) as _n"), *aggs)
+    return out.selectExpr(*[f"`{k}`" for k in keys], "_n as n", *[f"{x} as q{round(q * 100)}" for q, x in zip(qs, shown, strict=True)])
 
 
 def quantiles_r6(executions: DataFrame, qs: tuple[float, ...], value: str = "duration_ms", key: str = KEY) -> DataFrame:

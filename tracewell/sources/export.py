@@ -102,8 +102,7 @@ def query_families(executions: DataFrame, namespace: str = "tracewell") -> DataF
     """(family, labels, value) of each statement group: executions, the duration histogram with sum and count, variation,
     share of the total time, high percentiles, first and last time; and slow executions of each database and threshold."""
     own = {"query_hash": F.col("fingerprint"), "database": F.col("database")}
-    v = F.col("v")
-    counts = {f"_b{i}": met for i, met in enumerate(g.bucket_conditions(v))} | {f"_s{i}": v >= 1000.0 * x for i, x in enumerate(SLOW_SECONDS)}
+    counts = {f"_b{i}": met for i, met in enumerate(g.bucket_conditions())} | {f"_s{i}": f"v >= {1000.0 * x}D" for i, x in enumerate(SLOW_SECONDS)}
     groups = stored(g.group_stats(executions, counts=counts))  # one row a group, read by each family
     stats = g.derived(groups)
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
