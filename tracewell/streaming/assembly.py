@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship_package
+from ..sources import growing
 from ..sources.growing import EDGE, GrowingLogs
 
 ENTRIES = "file string, entry long, l array<string>, id string, position long, device long, inode long, size long, modified double"
@@ -57,8 +59,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def growing_pieces(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The stream of pieces of the logs that a path or glob names (sources.growing); options are the source's."""
+    """The stream of pieces of the logs that a path or glob names (sources.growing); options are the source's.
+
+    The source travels by value: the process that plans its batches doesn't have the files that Spark ships.
+    """
     ship_package(spark)
+    cloudpickle.register_pickle_by_value(growing)
     spark.dataSource.register(GrowingLogs)
     given = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
     return spark.readStream.format("growing_logs").options(path=path, **given).load()
