@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -88,15 +89,22 @@ def _replanned(s, d):
     return plans.select("seq", ln.plan_text_of(F.col("l.n"), F.col("l.c")).alias("plan"))
 
 
+#: Events in each file of the log that is read by ranges of bytes.
+FILE_EVENTS = 200_000
+
+
 def _ranges(s, d):
-    """The log as one file, read in two ranges of bytes that are cut anywhere: lines come once, entries are whole if both are read."""
+    """The log as files of whole entries, each read in two ranges of bytes that are cut anywhere: lines come once, entries are whole if both are read."""
     base = shared_folder(s)
-    mixed_log(s, d).repartition(1).sortWithinPartitions("file", "block", "place").select("value").write.text(f"{base}/in")
-    found = next(f for f in listed(f"{base}/in") if "/part-" in f.path)
+    files = -(-table(s, d, "events").count() // FILE_EVENTS)
+    mixed_log(s, d).repartition(max(files, 1), "file", "block").sortWithinPartitions("file", "block", "place").select("value").write.text(f"{base}/in")
+    found = [f for f in listed(f"{base}/in") if "/part-" in f.path and f.size]
     # a range begins where a line does, here within an entry
-    cut = GrowingReader._last_line_end(replace(found, size=found.size * 2 // 5), file_system(found.path)[0], 0)
+    cuts = [GrowingReader._last_line_end(replace(f, size=f.size * 2 // 5), file_system(f.path)[0], 0) for f in found]
+    block = min(max(sum(f.size for f in found) // 64, 20_000), 32 << 20)
     ranges.register(s)
-    one, two = (s.read.format("logrange").options(path=found.path, start=a, end=b, blockBytes=20_000).load() for a, b in ((0, cut), (cut, found.size)))
+    one, two = ([(f.path, 0, cut) for f, cut in zip(found, cuts, strict=True) if cut], [(f.path, cut, f.size) for f, cut in zip(found, cuts, strict=True)])
+    one, two = (s.read.format("logrange").options(ranges=json.dumps(x), blockBytes=block).load() for x in (one, two))
     both = one.unionByName(two)
     return logs.log_groups(both, PREFIX, without_plan=True).select("normalized_query", "database", "calls", "max_ms", "p95_ms")
 

@@ -157,7 +157,8 @@ def parsed_entries(texts: DataFrame, log_line_prefix: str = DEFAULT, zone_overri
     texts = texts.withColumn("_p", plan_place(F.col("rest")))
     found = F.col("_p.kind").isNotNull()
     if not without_plan:
-        texts = texts.filter(found)
+        # a filter here would be moved below the lines' own column, and both be worked out again at each use; a generator's result isn't
+        texts = texts.withColumn("_p", F.explode_outer(F.array("_p"))).filter(found)
     plan = F.when(found, F.array_join(F.slice("rest", F.greatest(F.col("_p.first"), F.lit(1)), F.greatest(F.col("_p.last") - F.col("_p.first") + 1, F.lit(0))), "\n"))
     said = F.regexp_replace(F.array_join(F.slice("rest", F.lit(1), F.when(found, F.col("_p.first") - 1).otherwise(F.size("rest"))), "\n"), r"^\s*Query Text: ", "")
     inside = F.try_variant_get(F.try_parse_json(plan), "$['Query Text']", "string")
