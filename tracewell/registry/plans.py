@@ -16,6 +16,12 @@ KINDS = ("SeqScan", "IndexScan", "BitmapHeapScan", "NestedLoop", "HashJoin", "Me
 _CATEGORY = ("scan", "scan", "scan", "join", "join", "join", "utility", "utility", "aggregate")
 
 
+def _known(*pairs):
+    """A map of the names whose values aren't null, in compiled code."""
+    none = F.expr("cast(map() as map<string,string>)")
+    return F.map_concat(*[F.when(v.isNotNull(), F.create_map(name, v)).otherwise(none) for name, v in zip(pairs[::2], pairs[1::2], strict=True)])
+
+
 def plan_nodes(s, d):
     """Node table with 1-based heap numbers, so that a node's parent is half its number and its path the bits below the first.
 
@@ -27,15 +33,15 @@ def plan_nodes(s, d):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k + 1)
     x = line.withColumn("node_id", F.row_number().over(w))
     depth = F.length(F.bin("node_id")) - 1
-    path = F.transform(F.when(depth > 0, F.split(F.substring(F.bin("node_id"), F.lit(2), depth), "(?<=.)(?=.)")).otherwise(F.array().cast("array<string>")), lambda b: b.cast("int"))
+    path = F.when(depth > 0, F.split(F.substring(F.bin("node_id"), F.lit(2), depth), "(?<=.)(?=.)").cast("array<int>")).otherwise(F.array().cast("array<int>"))
     total = F.floor(F.col("l_extendedprice") * 20).cast("double")
     odd = F.col("l_partkey") % 2 == 1
-    props = F.map_filter(F.create_map(
+    props = _known(
         F.lit("Filter"), F.when(F.col("l_partkey") % 3 == 0, "lower(x) = 1").when(F.col("l_partkey") % 3 == 1, "y LIKE '%a'"),
         F.lit("Rows Removed by Filter"), (F.col("l_partkey") * 100).cast("string"), F.lit("Heap Fetches"), F.when(odd, (F.col("l_partkey") * 10).cast("string")),
         F.lit("Sort Method"), F.when(k == 6, "external merge"), F.lit("Sort Space Used"), F.concat((F.col("l_partkey") * 100).cast("string"), F.lit("kB")),
         F.lit("Batches"), F.when(k == 4, (F.col("l_linenumber") * 2).cast("string")),
-    ), lambda _, v: v.isNotNull())
+    )
     rows, width = F.floor(F.col("l_extendedprice") * F.col("l_quantity")).cast("bigint"), (F.col("l_linenumber") * 100).cast("int")
     x = x.withColumn("_all", F.collect_list(F.struct(rows.alias("r"), width.alias("w"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     left, right = F.get("_all", 2 * F.col("node_id") - 1), F.get("_all", 2 * F.col("node_id"))

@@ -18,9 +18,12 @@ def ship_package(spark: SparkSession) -> None:
     """Let executors import this package, wherever the driver has it: once a session, through Spark's own file server.
 
     Rows of text can be long, so Arrow batches left at Spark's default of 10,000 rows are cut to BATCH_ROWS.
+    HotSpot never compiles methods of over 8,000 bytecodes, so larger generated ones give way to split projections.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
