@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import deal_by_size, ship_package
 
 
 @dataclass(frozen=True)
@@ -19,7 +19,7 @@ class Registered:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return deal_by_size(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
