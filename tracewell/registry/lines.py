@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as ln
 from ..functions.prefix import parse_prefix
-from ..session import shared_folder
+from ..session import deal_by_size, shared_folder
 from ..sources import logs, ranges
 from ..sources.growing import GrowingReader, file_system, listed
 from .data import E, Registered, executions, table
@@ -21,6 +21,7 @@ _OFFSETS = (0, -7 * 3600, 19800, 19800, -12600, 0, 7200, 7200)
 
 def stamped(s, d):
     e = executions(s, d)
+    deal_by_size(table(s, d, "events"), 4)  # an event is several lines
     token, off = F.lit(None), F.lit(0)
     for i, (t, o) in enumerate(zip(TOKENS, _OFFSETS, strict=True)):
         token = F.when(F.col("seq") % 8 == i, t).otherwise(token)
@@ -71,13 +72,19 @@ def mixed_log(s, d):
 
 _STAMP_MS = "date_trunc('millisecond', ts)::timestamp"
 
+#: Events in each part of a log that is written, on average.
+FILE_EVENTS = 200_000
+
+
 def _compressed(s, d):
     """The log in gzip members and bzip2 blocks, without names that say so, read in small ranges."""
     base = shared_folder(s)
+    events = table(s, d, "events").count()
+    parts = max(3, -(-events // FILE_EVENTS))
     for k, codec in ((0, "gzip"), (1, "bzip2")):
-        rows = log_lines(s, d).filter(F.col("file").cast("int") % 2 == k).repartition(3, "file").sortWithinPartitions("file", "place")
+        rows = log_lines(s, d).filter(F.col("file").cast("int") % 2 == k).repartition(parts, "file", F.floor(F.col("block") / (FILE_EVENTS // 100))).sortWithinPartitions("file", "place")
         rows.select("file", "value").write.partitionBy("file").option("compression", codec).mode("append").text(f"{base}/in")
-    found = logs.entries(logs.read_lines_by_content(s, f"{base}/in", chunk_bytes=5000), PREFIX)
+    found = logs.entries(logs.read_lines_by_content(s, f"{base}/in", chunk_bytes=min(max(events // 2, 5000), 32 << 20)), PREFIX)
     return found.groupBy("database").agg(F.count("*").alias("calls"), F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double").alias("total_ms"))
 
 
@@ -89,10 +96,6 @@ def _replanned(s, d):
     return plans.select("seq", ln.plan_text_of(F.col("l.n"), F.col("l.c")).alias("plan"))
 
 
-#: Events in each file of the log that is read by ranges of bytes.
-FILE_EVENTS = 200_000
-
-
 def _ranges(s, d):
     """The log as files of whole entries, each read in two ranges of bytes that are cut anywhere: lines come once, entries are whole if both are read."""
     base = shared_folder(s)

@@ -16,7 +16,7 @@ from ..sources.backends import CompositeBackend, TableBackend, TextBackend
 from ..streaming import commits, recency, service, tail
 from .data import E, Registered, executions, table
 from .groups import BOUNDS, B, G, HOURLY, SLO, SLOW, STATE, STATS
-from .lines import log_lines
+from .lines import FILE_EVENTS, log_lines
 from .plans import N, plan_nodes
 
 
@@ -55,6 +55,12 @@ def _round_trip(s, d):
     return ex.read_export(s, path)
 
 
+def _dealt(rows, s, d, *keys):
+    """Lines dealt by file and runs of blocks, so that a file's name has as many parts as the log needs; an entry is in one part."""
+    parts = max(4, -(-table(s, d, "events").count() // FILE_EVENTS))
+    return rows.repartition(parts, *keys, F.floor(F.col("block") / (FILE_EVENTS // 100)))
+
+
 def _streamed(s, d):
     base = shared_folder(s)
     executions(s, d).repartition(4).write.parquet(f"{base}/in")
@@ -67,8 +73,9 @@ def _streamed(s, d):
 def _log_stream(s, d):
     """The events' log, written as a file for each of seven names and read as a stream of two files a batch."""
     base = shared_folder(s)
-    log_lines(s, d).repartition(4, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
-    tail.fold_logs(s, f"{base}/in", f"{base}/store", f"{base}/checkpoint", "%m [%p] %u@%d ", SLO, 2).awaitTermination()
+    _dealt(log_lines(s, d), s, d, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
+    parts = sum("/part-" in f.path for f in growing.listed(f"{base}/in"))
+    tail.fold_logs(s, f"{base}/in", f"{base}/store", f"{base}/checkpoint", "%m [%p] %u@%d ", SLO, max(2, -(-parts // 4))).awaitTermination()
     return st.as_table(tail.load_store(s, f"{base}/store"))
 
 
@@ -129,7 +136,7 @@ SETTINGS = Settings(log_line_prefix="%m [%p] %u@%d ", include_databases=("db0",
 def _by_settings(s, d):
     """The events' log followed once by SETTINGS, and what a backend holds of the store's families afterwards."""
     base = shared_folder(s)
-    log_lines(s, d).repartition(4, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
+    _dealt(log_lines(s, d), s, d, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{base}/in")
     service.follow(s, f"{base}/in", f"{base}/store", f"{base}/checkpoint", SETTINGS, once=True, flush=True).awaitTermination()
     last = executions(s, d).agg(F.max("ts")).first()[0]
     service.publish(service.exported(s, f"{base}/store", SETTINGS, F.lit(last)), SETTINGS, f"{base}/out")

@@ -41,13 +41,14 @@ DEALT_BYTES = 4 << 20
 _DEALT = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def deal_by_size(rows: DataFrame) -> DataFrame:
+def deal_by_size(rows: DataFrame, times: int = 1) -> DataFrame:
     """Has exchanges of this session begin with as many partitions as a table's files need, so that a task's rows don't grow with it.
 
+    `times` is for tables from which more is made than they hold.
     Adaptive execution puts small ones together again; where the session's own number is enough, nothing changes.
     """
     spark = rows.sparkSession
-    needed = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // DEALT_BYTES)
+    needed = -(-times * int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // DEALT_BYTES)
     if needed > int(spark.conf.get(_DEALT, None) or spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set(_DEALT, str(needed))
     return rows
