@@ -155,40 +155,54 @@ def labelled_nodes(s, d):
     return plan_nodes(s, d).withColumns({"table_name": table_name, "index_name": F.when(F.col("kind") == "IndexScan", F.concat(F.lit("ix"), number))})
 
 
-def text_plans(s, d):
-    """The trees as text plans: (plan_id, plan_text)."""
+def _text():
+    """The aggregate that makes a text plan of labelled nodes."""
     fill = F.replace(_of_kind(0), F.lit("{0}"), F.col("node_id").cast("string"))
     indent = F.when(F.col("depth") == 0, 0).otherwise(6 * F.col("depth") - 4)
     actual = F.when(F.col("actual_rows").isNotNull(), F.concat(F.lit(" (actual time=0.010..1.500 rows="), F.col("actual_rows").cast("string"), F.lit(" loops=1)"))).otherwise("")
     head = F.concat(F.repeat(F.lit(" "), indent), F.when(F.col("depth") > 0, "->  ").otherwise(""), fill, F.format_string("  (cost=%.2f..%.2f rows=%d width=%d)", "startup_cost", "total_cost", "est_rows", "width"), actual)
     inner = F.repeat(F.lit(" "), 6 * F.col("depth") + 2)
     lines = F.concat(F.array(head), F.transform(F.map_entries("props"), lambda p: F.concat(inner, p.key, F.lit(": "), p.value)))
-    rows = labelled_nodes(s, d).select("plan_id", "path", lines.alias("lines"))
-    return rows.groupBy("plan_id").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("path", "lines"))), lambda x: x.lines)), "\n").alias("plan_text"))
+    return F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("path", lines.alias("lines")))), lambda x: x.lines)), "\n")
+
+
+def text_plans(s, d):
+    """The trees as text plans: (plan_id, plan_text)."""
+    return labelled_nodes(s, d).groupBy("plan_id").agg(_text().alias("plan_text"))
 
 
-def json_plans(s, d):
-    """The trees as JSON plans, nested as deep as MOST_NODES need: (plan_id, plan_text)."""
-    x = labelled_nodes(s, d)
+def _json_nodes():
+    """The aggregate that makes a map of labelled nodes, as JSON objects left open, by their numbers."""
     own = F.to_json(F.struct(
         _of_kind(1).alias("Node Type"), F.element_at(F.split("table_name", r"\."), -1).alias("Relation Name"), F.when(F.col("kind") == "SeqScan", "s").alias("Schema"), F.col("index_name").alias("Index Name"), F.col("startup_cost").alias("Startup Cost"),
         F.col("total_cost").alias("Total Cost"), F.col("est_rows").alias("Plan Rows"), F.col("width").alias("Plan Width"), F.col("actual_rows").alias("Actual Rows"), F.col("actual_loops").alias("Actual Loops"),
         F.try_element_at("props", F.lit("Filter")).alias("Filter"),
     ))
-    plans = x.groupBy("plan_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.substr(own, F.lit(1), F.length(own) - 1).alias("j")))).alias("m"))
+    return F.map_from_entries(F.collect_list(F.struct("node_id", F.substr(own, F.lit(1), F.length(own) - 1).alias("j"))))
+
+
+def _json_tree(k: int = 1):
+    """The node of a number and all below it, nested as deep as MOST_NODES need, from the map `m`."""
+    node = F.try_element_at("m", F.lit(k))
+    if 2 * k > MOST_NODES:
+        return F.concat(node, F.lit("}"))
+    return F.concat(node, F.lit(',"Plans":['), F.concat_ws(",", _json_tree(2 * k), _json_tree(2 * k + 1)), F.lit("]}"))
+
+
+def both_plans(s, d):
+    """The trees as text and as JSON plans, from one pass over the nodes: (plan_id, format, plan_text)."""
+    plans = labelled_nodes(s, d).groupBy("plan_id").agg(_text().alias("t"), _json_nodes().alias("m"))
+    json = F.concat(F.lit('[{"Plan": '), _json_tree(), F.lit("}]"))
+    forms = F.array(F.struct(F.lit("text").alias("format"), F.col("t").alias("plan_text")), F.struct(F.lit("json").alias("format"), json.alias("plan_text")))
+    return plans.select("plan_id", F.inline(forms))
 
-    def tree(k: int):
-        node = F.try_element_at("m", F.lit(k))
-        if 2 * k > MOST_NODES:
-            return F.concat(node, F.lit("}"))
-        return F.concat(node, F.lit(',"Plans":['), F.concat_ws(",", tree(2 * k), tree(2 * k + 1)), F.lit("]}"))
 
-    return plans.select("plan_id", F.concat(F.lit('[{"Plan": '), tree(1), F.lit("}]")).alias("plan_text"))
+#: What the rows of q2_5_1_parse_plans are made from.
+_FIELDS = ("node_id", "parent_id", "depth", "category", "kind", "table_name", "index_name", "startup_cost", "total_cost", "est_rows", "width", "actual_rows", "props")
 
 
 def _parsed(s, d):
-    both = text_plans(s, d).withColumn("format", F.lit("text")).unionByName(json_plans(s, d).withColumn("format", F.lit("json")))
-    return node_table(both, "plan_text", "plan_id", "format")
+    return node_table(both_plans(s, d), "plan_text", "plan_id", "format", fields=_FIELDS)
 
 
 #: The nodes in pre-order, with names; bits of the heap number below the first are the path.
@@ -207,7 +221,7 @@ QUERIES = {
             m.actual_rows, m.flt from m left join m u on u.plan_id = m.plan_id and u.node_id = m.parent_id, (values ('text'), ('json')) f(format)""",
     ),
     "q2_5_6_properties": Registered(
-        lambda s, d: node_table(text_plans(s, d), "plan_text", "plan_id").select("plan_id", "node_id", F.explode("props").alias("name", "value")),
+        lambda s, d: node_table(text_plans(s, d), "plan_text", "plan_id", fields=("node_id", "props")).select("plan_id", "node_id", F.explode("props").alias("name", "value")),
         f"""with {M} select plan_id, pre as node_id, unnest(p, recursive := true) from (select *, list_filter([{{'name': 'Filter', 'value': flt}}, {{'name': 'Rows Removed by Filter', 'value': removed::varchar}}, {{'name': 'Heap Fetches', 'value': fetches::varchar}},
             {{'name': 'Sort Method', 'value': case when external then 'external merge' end}}, {{'name': 'Sort Space Used', 'value': space || 'kB'}}, {{'name': 'Batches', 'value': batches::varchar}}], lambda x: x.value is not null) as p from m)""",
     ),
