@@ -38,8 +38,9 @@ def test_a_batch_is_as_one_by_one(spark):
 
 
 def test_plans_are_parsed_once(spark):
-    found = parse.node_table(registry.text_plans(spark, SF), "plan_text", "plan_id")
-    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for plans in (registry.text_plans(spark, SF), registry.both_plans(spark, SF)):
+        found = parse.node_table(plans, "plan_text", "plan_id")
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_unparsable_plans_give_no_nodes(spark):
