@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -80,14 +81,13 @@ def _log_stream(s, d):
 
 
 def _append(plan):
-    """Appends bytes [begin, end) of one file to another, which is cut to its former size first: a task that runs again does no harm."""
+    """Writes files into others, each at a place of its own: a task that runs again does no harm."""
 
     def run(frames):
         for frame in frames:
-            for source, target, begin, size in frame.itertuples(index=False):
-                with open(source, "rb") as a, open(target, "ab") as b:
-                    b.truncate(int(size))
-                    a.seek(int(begin))
+            for source, target, place in frame.itertuples(index=False):
+                with open(source, "rb") as a, open(os.open(target, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as b:
+                    b.seek(int(place))
                     while part := a.read(1 << 20):
                         b.write(part)
             yield frame[["target"]]
@@ -96,18 +96,28 @@ def _append(plan):
 
 
 def _written(s, d, base, half):
-    """The events' log in two parts for each of its seven files, cut within an entry: {(part, file): path}."""
-    lines = log_lines(s, d).withColumn("part", (F.col("place") >= half * 10 + 3).cast("int"))
-    lines.repartition(4, "part", "file").sortWithinPartitions("part", "file", "place").select("part", "file", "value").write.partitionBy("part", "file").text(f"{base}/parts")
-    found = [f.path for f in growing.listed(f"{base}/parts") if "/part-" in f.path]
-    return {(int(re.search(r"/part=(\d+)/", p)[1]), re.search(r"/file=(\d+)/", p)[1]): p for p in found}
+    """The events' log in two parts for each of its seven files, cut within an entry, each in pieces by its events: {(part, file): pieces in order}."""
+    lines = log_lines(s, d).withColumn("part", (F.col("place") >= half * 10 + 3).cast("int")).withColumn("piece", F.floor(F.col("block") / (FILE_EVENTS // 100)))
+    parts = max(4, -(-2 * half // FILE_EVENTS))
+    keys = ("part", "file", "piece")
+    lines.repartition(parts, *keys).sortWithinPartitions(*keys, "place").select(*keys, "value").write.partitionBy(*keys).text(f"{base}/parts")
+    out: dict[tuple[int, str], list[tuple[int, growing.Known]]] = {}
+    for f in growing.listed(f"{base}/parts"):
+        if m := re.search(r"/part=(\d+)/file=(\d+)/piece=(\d+)/part-", f.path):
+            out.setdefault((int(m[1]), m[2]), []).append((int(m[3]), f))
+    return {k: [f for _, f in sorted(v, key=lambda x: (x[0], x[1].path))] for k, v in out.items()}
 
 
 def _grow(s, base, parts, part, names):
-    """Appends one part of each file to the log of the name given."""
+    """Appends one part of each file to the log of the name given, its pieces side by side."""
     sizes = {f.path: f.size for f in growing.listed(f"{base}/log")}
-    rows = [(parts[part, f], f"{base}/log/{name}", 0, sizes.get(f"{base}/log/{name}", 0)) for f, name in names.items() if (part, f) in parts]
-    _append(s.createDataFrame(rows, "source string, target string, begin long, size long").repartition(4, "target")).write.format("noop").mode("overwrite").save()
+    rows = []
+    for f, name in names.items():
+        place = sizes.get(f"{base}/log/{name}", 0)
+        for piece in parts.get((part, f), ()):
+            rows.append((piece.path, f"{base}/log/{name}", place))
+            place += piece.size
+    _append(s.createDataFrame(rows, "source string, target string, place long").repartition(max(4, -(-len(rows) // 4)), "source")).write.format("noop").mode("overwrite").save()
 
 
 def _followed(s, d, between=lambda store: None, checkpoint="a", rotate=True):

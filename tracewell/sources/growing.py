@@ -10,6 +10,8 @@ Rows are pieces of entries: whole ones; the lines of a chunk before its first ti
 began earlier; and the last entry of a chunk, which may go on. `streaming.assembly` puts the latter together with keyed state.
 Files that haven't changed for `idleSeconds`, or all with `flush`, are read to their very end and their last entry is closed.
 
+A batch of very many chunks is read in larger ones than chunkBytes asks for; entries are the same, wherever chunks end.
+
 Options: path, chunkBytes, idleSeconds, flush, startingOffsets (JSON, as `offsets_json` gives). Files that vanish stay in the
 offsets for `forgetSeconds`, so one that comes back isn't read twice; their last entry is closed like that of an idle one.
 """
@@ -37,6 +39,8 @@ _ARROW = pa.schema(
 )
 _START = re.compile(LINE_START.encode())
 _TAIL, _FIRST_LINE, _BATCH = 1 << 16, 1 << 16, 4 << 20
+#: Chunks of a batch beyond which they grow with it, up to the largest size: a task's own cost comes once a chunk.
+_MANY, _LARGEST = 256, 32 << 20
 #: The slot of pieces that need the ones before or after them; whole entries have that of their chunk.
 EDGE = -1
 
@@ -160,6 +164,8 @@ class GrowingReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Chunk]:
         out: list[Chunk] = []
+        news = sum(max(0, state["position"] - start.get(name, {"position": 0})["position"]) for name, state in end.items())
+        chunk = max(self.chunk, min(-(-news // _MANY), _LARGEST))
         for name, state in start.items():
             if name not in end and not state.get("closed"):  # vanished while no stream ran: it can't go on
                 out.append(Chunk(name, state["path"], state["position"], state["position"], state["position"], state["position"], None, True))
@@ -171,7 +177,7 @@ class GrowingReader(DataSourceStreamReader):
                 begin = state["position"]
             if begin >= state["position"] and not close:
                 continue
-            cuts = [*range(begin, state["position"], self.chunk), max(begin, state["position"])]
+            cuts = [*range(begin, state["position"], chunk), max(begin, state["position"])]
             cuts = cuts if len(cuts) > 1 else [cuts[0], cuts[0]]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 last = k == len(cuts) - 2
