@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GIVEN_UP = "shard long, series string, last long, given_up long, reason string"
 _STATE = "series array<string>, last array<long>"
+#: Rows that are objects at a time.
+_ROWS = 1 << 14
 
 
 class Recent:
@@ -43,14 +46,32 @@ def _keeping(cap: int, live_us: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         series, last = state.get if state.exists else ((), ())
         recent = Recent(cap, live_us, dict(zip(series, map(int, last), strict=True)))
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        out = [(key[0], *gone) for s, at in zip(rows["series"], rows["at"], strict=True) for gone in recent.touch(s, int(at))]
+        out: list[tuple] = []
+        for s, at in _ordered(frames):
+            out.extend((key[0], *gone) for gone in recent.touch(s, at))
+            if len(out) >= _ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
         state.update((list(recent.held), list(recent.held.values())))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in GIVEN_UP.split(", ")])
 
+    columns = [c.split()[0] for c in GIVEN_UP.split(", ")]
     return run
 
 
+def _ordered(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
+    """(series, at) of a shard's touches in order of at and seq. A touch is held as three numbers, a series' name once."""
+    codes: dict[str, int] = {}
+    parts = [(f["at"].to_numpy("int64"), f["seq"].to_numpy(), np.array([codes.setdefault(s, len(codes)) for s in f["series"]], "int32")) for f in frames]
+    ats, seqs, series = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    names, order = list(codes), np.lexsort((seqs, ats))
+    del seqs
+    for k in range(0, len(order), _ROWS):
+        some = order[k : k + _ROWS]
+        yield from zip([names[c] for c in series[some]], ats[some].tolist(), strict=True)
+
+
 def given_up_series(executions: DataFrame, series: Column, cap: int, shard: Column | None = None, shards: int = 32, live_seconds: float | None = None) -> DataFrame:
     """Stream of the series that a stream of executions (ts, seq) makes give up: at most `cap` are kept in each shard.
 
