@@ -176,7 +176,17 @@ def node_findings(nodes: DataFrame, thresholds: Thresholds, work_mem_kb: int = 4
     rules = [r for r in node_rules(thresholds, work_mem_kb) if analyzers is None or r.analyzer in analyzers]
     rows = n.children_estimates(nodes)
     rows = rows.withColumns(node_facts(thresholds, work_mem_kb))
-    return _fired(rows, [_finding(r, evidence) for r in rules], "node_id")
+    return _fired(rows, [_finding(r, True) for r in rules], "node_id") if evidence else _named(rows, rules, "node_id")
+
+
+def _named(rows: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
+    """As `_fired`, of rules without evidence: a rule that fires leaves its number before its severity, all others are taken out in
+    compiled code before the array is exploded, as most rules don't fire at a node."""
+    marks = [F.coalesce(F.concat(F.lit(f"{i:03d}"), r.severity), F.lit("")) for i, r in enumerate(rules)]
+    rows = rows.select(n.PLAN, *keys, F.array_remove(F.array(*marks), "").alias("_found"))
+    rows = rows.select(n.PLAN, *keys, F.explode_outer("_found").alias("_m")).filter("_m is not null")
+    of = lambda names: F.get(F.array(*map(F.lit, names)), F.substring("_m", 1, 3).cast("int"))
+    return rows.select(n.PLAN, *keys, of([r.analyzer for r in rules]).alias("analyzer"), of([r.name for r in rules]).alias("rule"), F.substr("_m", F.lit(4)).alias("severity"))
 
 
 def _fired(rows: DataFrame, found: list[Column], *keys: str) -> DataFrame:

@@ -17,9 +17,9 @@ _CATEGORY = ("scan", "scan", "scan", "join", "join", "join", "utility", "utility
 
 
 def _known(*pairs):
-    """A map of the names whose values aren't null, in compiled code."""
-    none = F.expr("cast(map() as map<string,string>)")
-    return F.map_concat(*[F.when(v.isNotNull(), F.create_map(name, v)).otherwise(none) for name, v in zip(pairs[::2], pairs[1::2], strict=True)])
+    """A map of the names whose values aren't null, in compiled code and made at once; no value is empty."""
+    names, values = zip(*[(F.when(v.isNotNull(), name).otherwise(""), F.coalesce(v, F.lit(""))) for name, v in zip(pairs[::2], pairs[1::2], strict=True)])
+    return F.map_from_arrays(F.array_remove(F.array(*names), ""), F.array_remove(F.array(*values), ""))
 
 
 def plan_nodes(s, d):
@@ -31,9 +31,8 @@ def plan_nodes(s, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     k = (F.col("l_suppkey") % 9).cast("int")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k + 1)
-    x = line.withColumn("node_id", F.row_number().over(w))
     depth = F.length(F.bin("node_id")) - 1
-    path = F.when(depth > 0, F.split(F.substring(F.bin("node_id"), F.lit(2), depth), "(?<=.)(?=.)").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    path = F.when(depth > 0, F.split(F.substring(F.bin("node_id"), F.lit(2), depth), "").cast("array<int>")).otherwise(F.array().cast("array<int>"))
     total = F.floor(F.col("l_extendedprice") * 20).cast("double")
     odd = F.col("l_partkey") % 2 == 1
     props = _known(
@@ -43,7 +42,8 @@ def plan_nodes(s, d):
         F.lit("Batches"), F.when(k == 4, (F.col("l_linenumber") * 2).cast("string")),
     )
     rows, width = F.floor(F.col("l_extendedprice") * F.col("l_quantity")).cast("bigint"), (F.col("l_linenumber") * 100).cast("int")
-    x = x.withColumn("_all", F.collect_list(F.struct(rows.alias("r"), width.alias("w"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = line.withColumns({"node_id": F.row_number().over(w), "_all": F.collect_list(F.struct(rows.alias("r"), width.alias("w"))).over(every)})
     left, right = F.get("_all", 2 * F.col("node_id") - 1), F.get("_all", 2 * F.col("node_id"))
     return x.select(
         left["r"].alias("left_est_rows"), left["w"].alias("left_width"), right["r"].alias("right_est_rows"), right["w"].alias("right_width"),
